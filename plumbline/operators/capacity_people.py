@@ -1,0 +1,44 @@
+"""Items and people seen through several teams."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.functions.columns import ratio
+
+
+def deduplicate_items(items: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """One row per (organization, item): the first arrival, with every team it was seen in.
+
+    Memberships keep the order in which they were first seen. ``overlapping`` marks an
+    item that arrived more than once or belongs to several teams.
+    """
+    key = ["organization", "item_id"]
+    order = F.struct(*arrival)
+    payload = [c for c in items.columns if c not in (*key, "team_memberships")]
+    first = items.groupBy(*key).agg(
+        F.min_by(F.struct(*payload), order).alias("first"),
+        F.count(F.lit(1)).alias("arrivals"),
+    )
+    # A hot item collapses to one row per membership before anything is collected.
+    seen = (
+        items.select(
+            *key, order.alias("arrival"), F.posexplode("team_memberships").alias("at", "team")
+        )
+        .groupBy(*key, "team")
+        .agg(F.min(F.struct("arrival", "at")).alias("seen_at"))
+        .groupBy(*key)
+        .agg(F.array_sort(F.collect_list(F.struct("seen_at", "team"))).alias("seen"))
+        .select(*key, F.col("seen.team").alias("team_memberships"))
+    )
+    return first.join(seen, key, "left").select(
+        *key,
+        "first.*",
+        F.coalesce("team_memberships", F.array().cast("array<string>")).alias("team_memberships"),
+        ((F.col("arrivals") > 1) | (F.coalesce(F.size("team_memberships"), F.lit(0)) > 1)).alias(
+            "overlapping"
+        ),
+    )

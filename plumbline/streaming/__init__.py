@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator here is a batch computation over frozen tables.
+
+The metric definitions take an explicit ``as_of`` and read complete tables, so
+there is no streaming operator to offer.
+"""
