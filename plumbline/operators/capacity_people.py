@@ -16,29 +16,32 @@ def deduplicate_items(items: DataFrame, arrival: Sequence[str]) -> DataFrame:
     Memberships keep the order in which they were first seen. ``overlapping`` marks an
     item that arrived more than once or belongs to several teams.
     """
-    key = ["organization", "item_id"]
-    order = F.struct(*arrival)
-    payload = [c for c in items.columns if c not in (*key, "team_memberships")]
-    first = items.groupBy(*key).agg(
-        F.min_by(F.struct(*payload), order).alias("first"),
-        F.count(F.lit(1)).alias("arrivals"),
+    # The numeric id leads, so that sorting inside the aggregation compares numbers first.
+    key = ["item_id", "organization"]
+    payload = F.struct(*[c for c in items.columns if c not in (*key, "team_memberships")])
+    memberships = F.coalesce("team_memberships", F.array().cast("array<string>"))
+    arrived = F.struct(F.struct(*arrival).alias("at"), payload.alias("row"))
+    # A hot item collapses to one row per distinct membership before those are collected.
+    per_membership = (
+        items.withColumn("team_memberships", memberships)
+        .groupBy(*key, "team_memberships")
+        .agg(F.min(arrived).alias("first"), F.count(F.lit(1)).alias("arrivals"))
     )
-    # A hot item collapses to one row per membership before anything is collected.
-    seen = (
-        items.select(
-            *key, order.alias("arrival"), F.posexplode("team_memberships").alias("at", "team")
+    seen = F.array_sort(F.collect_list(F.struct("first.at", "team_memberships")))
+    return (
+        per_membership.groupBy(*key)
+        .agg(
+            F.min("first").alias("first"),
+            F.sum("arrivals").alias("arrivals"),
+            seen.alias("seen"),
+        )
+        .withColumn(
+            "team_memberships", F.array_distinct(F.flatten(F.col("seen.team_memberships")))
+        )
+        .select(
+            *key,
+            "first.row.*",
+            "team_memberships",
+            ((F.col("arrivals") > 1) | (F.size("team_memberships") > 1)).alias("overlapping"),
         )
-        .groupBy(*key, "team")
-        .agg(F.min(F.struct("arrival", "at")).alias("seen_at"))
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("seen_at", "team"))).alias("seen"))
-        .select(*key, F.col("seen.team").alias("team_memberships"))
-    )
-    return first.join(seen, key, "left").select(
-        *key,
-        "first.*",
-        F.coalesce("team_memberships", F.array().cast("array<string>")).alias("team_memberships"),
-        ((F.col("arrivals") > 1) | (F.coalesce(F.size("team_memberships"), F.lit(0)) > 1)).alias(
-            "overlapping"
-        ),
     )

@@ -20,23 +20,28 @@ def accountable_items(items: DataFrame, relations: DataFrame, settings: DataFram
     end is not among the items.
     """
     edges = relations.where(F.col("relation") == v.HIERARCHY)
+    yes, no = F.lit(True), F.lit(False)
     ends = (
         edges.select(
             "organization",
-            F.explode(
+            F.inline(
                 F.array(
-                    F.struct(F.col("parent_id").alias("item_id"), F.lit(v.LEAF_TASK).alias("level")),
-                    F.struct(F.col("child_id").alias("item_id"), F.lit(v.REQUIREMENT).alias("level")),
+                    F.struct(F.col("parent_id").alias("item_id"), yes.alias("p"), no.alias("c")),
+                    F.struct(F.col("child_id").alias("item_id"), no.alias("p"), yes.alias("c")),
                 )
-            ).alias("end"),
+            ),
         )
-        .select("organization", "end.item_id", F.col("end.level").alias("accounting_level"))
-        .distinct()
+        .groupBy("item_id", "organization")
+        .agg(F.max("p").alias("is_parent"), F.max("c").alias("is_child"))
     )
     levels = settings.select("team_id", "accounting_level")
+    other_level = F.when(F.col("accounting_level") == v.LEAF_TASK, F.col("is_parent")).when(
+        F.col("accounting_level") == v.REQUIREMENT, F.col("is_child")
+    )
     return (
         attach(items, levels, "team_id")
-        .join(ends, ["organization", "item_id", "accounting_level"], "left_anti")
+        .join(ends, ["item_id", "organization"], "left")
+        .where(~F.coalesce(other_level, no))
         .select(*items.columns)
     )
 
@@ -70,23 +75,27 @@ def known_load(accountable: DataFrame, settings: DataFrame, by: Sequence[str]) -
     team or team and person. Missing work never becomes zero: without a single known
     item the value is missing.
     """
+    return (
+        attach(accountable, settings.select("team_id", "unit"), "team_id", "inner")
+        .groupBy(*by, F.col("unit").alias("load_unit"))
+        .agg(*_load_tallies())
+    )
+
+
+def _load_tallies() -> list[Column]:
     case = _LoadCase(F.col("unit"))
 
     def tally(condition: Column) -> Column:
         return F.count(F.when(condition, 1))
 
-    return (
-        attach(accountable, settings.select("team_id", "unit"), "team_id", "inner")
-        .groupBy(*by, F.col("unit").alias("load_unit"))
-        .agg(
-            F.sum(F.when(case.known, F.col("remaining"))).cast("decimal(28,4)").alias("load_value"),
-            tally(case.open).alias("eligible"),
-            tally(case.known).alias("known"),
-            tally(case.missing).alias("missing"),
-            tally(case.other_unit | case.negative).alias("invalid"),
-            tally(case.unmapped | case.closed_with_work).alias("excluded"),
-        )
-    )
+    return [
+        F.sum(F.when(case.known, F.col("remaining"))).cast("decimal(28,4)").alias("load_value"),
+        tally(case.open).alias("eligible"),
+        tally(case.known).alias("known"),
+        tally(case.missing).alias("missing"),
+        tally(case.other_unit | case.negative).alias("invalid"),
+        tally(case.unmapped | case.closed_with_work).alias("excluded"),
+    ]
 
 
 def load_findings(accountable: DataFrame, settings: DataFrame) -> DataFrame:
@@ -185,39 +194,57 @@ def person_load(
     of them are open, and never a capacity. ``accountable`` was reduced with the whole
     team's hierarchy before it is split by person.
     """
-    loads = known_load(accountable, settings, ["team_id", "assigned_to"]).withColumnRenamed(
-        "assigned_to", "person_id"
-    )
     team = settings.select("team_id", "unit", *_THRESHOLDS)
-    in_unit = attach(capacities, settings.select("team_id", "unit"), "team_id", "inner").where(
-        "capacity_unit = unit"
-    ).drop("unit")
+    loads = (
+        known_load(accountable, settings, ["team_id", "assigned_to"])
+        .withColumn("person_id", F.coalesce("assigned_to", F.lit(v.UNASSIGNED_PERSON)))
+        .drop("load_unit", "assigned_to")
+    )
+    named = people.select("team_id", "person_id", "display_name")
+    roster = named.unionByName(
+        settings.select(
+            "team_id",
+            F.lit(v.UNASSIGNED_PERSON).alias("person_id"),
+            F.lit(None).cast("string").alias("display_name"),
+        )
+    )
     zero = F.lit(0).cast("bigint")
     compared = (
-        attach(people.select("team_id", "person_id", "display_name"), team, "team_id", "inner")
-        .join(loads.drop("load_unit"), ["team_id", "person_id"], "left")
-        .join(in_unit, ["team_id", "person_id"], "left")
-        .withColumn("load_unit", F.col("unit"))
-        .withColumns({c: F.coalesce(c, zero) for c in ("eligible", "known", "missing")})
-    )
-    rows = ["team_id", "person_id", "display_name", "load_value", "load_unit", "capacity_value",
-            "ratio", "load_class", "is_lower_bound", "eligible", "known", "missing", "reason"]
-    unassigned = (
-        loads.where("person_id is null and eligible > 0")
+        attach(roster, team, "team_id", "inner")
+        .withColumnRenamed("unit", "load_unit")
+        .join(loads, ["team_id", "person_id"], "left")
+        .join(
+            capacities.withColumnRenamed("capacity_unit", "load_unit"),
+            ["team_id", "person_id", "load_unit"],
+            "left",
+        )
         .withColumns(
             {
-                "person_id": F.lit(v.UNASSIGNED_PERSON),
-                "display_name": F.lit(None).cast("string"),
-                "capacity_value": F.lit(None).cast("decimal(38,8)"),
-                "ratio": F.lit(None).cast("decimal(38,14)"),
-                "load_class": F.lit(v.UNASSIGNED),
-                "is_lower_bound": F.lit(False),
-                "reason": F.lit("no_assignee"),
+                "capacity_unit": F.when(F.col("capacity_value").isNotNull(), F.col("load_unit")),
+                **{c: F.coalesce(c, zero) for c in ("eligible", "known", "missing")},
             }
         )
-        .select(*rows)
     )
-    return classify_load(compared).select(*rows).unionByName(unassigned)
+    nobody = F.col("person_id") == v.UNASSIGNED_PERSON
+    return (
+        classify_load(compared)
+        .where(~nobody | (F.col("eligible") > 0))
+        .select(
+            "team_id",
+            "person_id",
+            "display_name",
+            "load_value",
+            "load_unit",
+            F.when(~nobody, F.col("capacity_value")).alias("capacity_value"),
+            F.when(~nobody, F.col("ratio")).alias("ratio"),
+            F.when(nobody, v.UNASSIGNED).otherwise(F.col("load_class")).alias("load_class"),
+            (~nobody & F.col("is_lower_bound")).alias("is_lower_bound"),
+            "eligible",
+            "known",
+            "missing",
+            F.when(nobody, "no_assignee").otherwise(F.col("reason")).alias("reason"),
+        )
+    )
 
 
 def item_counts(accountable: DataFrame) -> DataFrame:
@@ -226,11 +253,24 @@ def item_counts(accountable: DataFrame) -> DataFrame:
     Blocked covers every accountable item, closed ones included; an item whose
     blocked state is unknown is missing, not unblocked.
     """
-    return accountable.groupBy("team_id").agg(
+    return accountable.groupBy("team_id").agg(*_count_tallies())
+
+
+def _count_tallies() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("accountable"),
         F.count(F.when(is_open(F.col("state_category")), 1)).alias("open"),
         F.count("blocked").alias("blocked_known"),
         F.count(F.when(F.col("blocked"), 1)).alias("blocked"),
+    ]
+
+
+def team_tallies(accountable: DataFrame, settings: DataFrame) -> DataFrame:
+    """Load and item counters of every team out of one pass over the items."""
+    return (
+        attach(accountable, settings.select("team_id", "unit"), "team_id", "inner")
+        .groupBy("team_id")
+        .agg(*_load_tallies(), *_count_tallies())
     )
 
 

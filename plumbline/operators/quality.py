@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from plumbline import vocabulary as v
 from plumbline.functions.columns import ratio
 from plumbline.operators.calendar import team_capacity
-from plumbline.operators.load import classify_load, item_counts, known_load
+from plumbline.operators.load import classify_load, team_tallies
 from plumbline.operators.skew import attach
 
 _REQUIREMENTS_SCHEMA = T.StructType(
@@ -161,8 +161,8 @@ def team_comparison(
     reservations: DataFrame,
     capacities: DataFrame,
 ) -> DataFrame:
-    """Every team's load beside its capacity, classified."""
-    loads = known_load(accountable, settings, ["team_id"]).drop("load_unit")
+    """Every team's load beside its capacity, classified, with its item counters."""
+    tallies = team_tallies(accountable, settings)
     capacity = team_capacity(settings, reservations, capacities).select(
         "team_id",
         F.when(F.col("eligible") > 0, F.col("capacity_unit")).alias("capacity_unit"),
@@ -172,12 +172,12 @@ def team_comparison(
         F.col("missing").alias("capacity_missing"),
     )
     zero = F.lit(0).cast("bigint")
-    counters = ("eligible", "known", "missing", "invalid", "excluded")
+    counters = [c for c in tallies.columns if c not in ("team_id", "load_value")]
     compared = (
         settings.select(
             "team_id", F.col("unit").alias("load_unit"), "below", "within", "attention"
         )
-        .join(loads, "team_id", "left")
+        .join(tallies, "team_id", "left")
         .join(capacity, "team_id", "left")
         .withColumns({c: F.coalesce(c, zero) for c in counters})
     )
@@ -195,10 +195,6 @@ def team_metrics(
     zero = F.lit(0).cast("bigint")
     if comparison is None:
         comparison = team_comparison(accountable, settings, reservations, capacities)
-    counts = item_counts(accountable)
-    wide = comparison.join(counts, "team_id", "left").withColumns(
-        {c: F.coalesce(c, zero) for c in counts.columns if c != "team_id"}
-    )
     has_reservations = F.col("capacity_eligible") > 0
 
     def metric(name, value, unit, eligible, known, missing=zero, invalid=zero, excluded=zero):
@@ -217,7 +213,7 @@ def team_metrics(
     load_quality = [c("eligible"), c("known"), c("missing"), c("invalid"), c("excluded")]
     items = F.lit(v.ITEMS_UNIT)
     none = F.lit(None)
-    long = wide.select(
+    long = comparison.select(
         "team_id",
         has_reservations.alias("has_reservations"),
         F.inline(
@@ -237,7 +233,7 @@ def team_metrics(
         ),
     )
     assessed = assess_metric(long, settings, metric_requirements(accountable.sparkSession))
-    use = observed_utilization(wide, settings).select(
+    use = observed_utilization(comparison, settings).select(
         "team_id",
         F.lit("observed_utilization").alias("metric_id"),
         F.col("status").alias("use_status"),

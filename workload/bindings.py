@@ -10,6 +10,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.calendar import (
+    eligible_day_factors,
+    reserved_capacity,
+    team_calendars,
+)
 from plumbline.operators.capacity_people import deduplicate_items
 from plumbline.operators.load import accountable_items
 from plumbline.operators.skew import attach
@@ -94,6 +99,15 @@ class Tables:
             F.lit(LOAD_AS_OF).cast("timestamp").alias("as_of"),
         )
 
+    @cached_property
+    def calendars(self) -> DataFrame:
+        return team_calendars(self.settings, self.windows)
+
+    @cached_property
+    def capacities(self) -> DataFrame:
+        factors = eligible_day_factors(self.calendars, self.people, self.days_off)
+        return reserved_capacity(self.calendars, self.reservations, factors)
+
     # -- work items -----------------------------------------------------------
 
     @cached_property

@@ -19,18 +19,6 @@ from workload.views import (
 )
 
 
-def calendars(t: Tables):
-    return cal.team_calendars(t.settings, t.windows)
-
-
-def factors(t: Tables):
-    return cal.eligible_day_factors(calendars(t), t.people, t.days_off)
-
-
-def capacities(t: Tables):
-    return cal.reserved_capacity(calendars(t), t.reservations, factors(t))
-
-
 @query(
     "deduplicate_items",
     with_views(
@@ -86,7 +74,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return cal.working_days(calendars(t))
+    return cal.working_days(t.calendars)
 
 
 @query(
@@ -114,7 +102,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return factors(t)
+    return cal.eligible_day_factors(t.calendars, t.people, t.days_off)
 
 
 @query(
@@ -129,7 +117,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return capacities(t)
+    return t.capacities
 
 
 _TEAM_CAPACITY = """
@@ -155,7 +143,7 @@ _TEAM_CAPACITY = """
     """,
 )
 def _(t: Tables):
-    return cal.team_capacity(t.settings, t.reservations, capacities(t))
+    return cal.team_capacity(t.settings, t.reservations, t.capacities)
 
 
 _DAY_KIND = """
@@ -176,7 +164,7 @@ _DAY_KIND = """
     ),
 )
 def _(t: Tables):
-    return cal.day_strip(calendars(t), t.days_off)
+    return cal.day_strip(t.calendars, t.days_off)
 
 
 @query(
@@ -194,7 +182,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return cal.day_strip_totals(calendars(t), t.days_off)
+    return cal.day_strip_totals(t.calendars, t.days_off)
 
 
 @query(
@@ -232,10 +220,6 @@ def _(t: Tables):
     return load.load_findings(t.accountable, t.settings).drop("organization")
 
 
-def _compared(t: Tables):
-    return quality.team_comparison(t.accountable, t.settings, t.reservations, capacities(t))
-
-
 _PERSON_PAIRS = f"""
   pairs as (
     select p.team_id, p.person_id, p.display_name, l.load_value as load, c.capacity_value as cap,
@@ -270,7 +254,7 @@ PERSON_LOAD_SQL = (
 
 
 def person_load(t: Tables):
-    return load.person_load(t.people, t.sprint_accountable, t.settings, capacities(t))
+    return load.person_load(t.people, t.sprint_accountable, t.settings, t.capacities)
 
 
 query("person_load", PERSON_LOAD_SQL)(person_load)
@@ -288,7 +272,7 @@ query("person_load", PERSON_LOAD_SQL)(person_load)
     """,
 )
 def _(t: Tables):
-    rows = load.person_load(t.people, t.accountable, t.settings, capacities(t))
+    rows = load.person_load(t.people, t.accountable, t.settings, t.capacities)
     return (
         rows.where("load_class <> 'UNASSIGNED'")
         .groupBy("load_class", "is_lower_bound", "reason")
@@ -359,13 +343,13 @@ _TEAM_HEAD = (
 )
 def _(t: Tables):
     compared = quality.team_comparison(
-        t.sprint_accountable, t.settings, t.reservations, capacities(t)
+        t.sprint_accountable, t.settings, t.reservations, t.capacities
     )
     return quality.observed_utilization(compared, t.settings)
 
 
 def team_metrics(t: Tables):
-    return quality.team_metrics(t.sprint_accountable, t.settings, t.reservations, capacities(t))
+    return quality.team_metrics(t.sprint_accountable, t.settings, t.reservations, t.capacities)
 
 
 ASSESS_SQL = (
