@@ -16,6 +16,7 @@ from plumbline.operators.calendar import (
     team_calendars,
 )
 from plumbline.operators.capacity_people import deduplicate_items
+from plumbline.operators.history import history_coverage, usable_revisions
 from plumbline.operators.load import accountable_items
 from plumbline.operators.skew import attach
 from plumbline.session import configure
@@ -272,3 +273,80 @@ class Tables:
             F.when(F.col("value") < 300, F.lit("0.5000")).cast("decimal(5,4)").alias("fraction"),
         )
         return personal.unionByName(whole_team)
+
+    # -- revision history -----------------------------------------------------
+
+    @cached_property
+    def revisions(self) -> DataFrame:
+        """Events of a user are the revisions of one item."""
+        kind = F.col("event_type")
+        even = F.pmod(F.get_json_object("props", "$.k").cast("bigint"), F.lit(2)) == 0
+        return self.read("events").select(
+            F.lit(ORGANIZATION).alias("organization"),
+            F.col("user_id").alias("item_id"),
+            F.pmod("user_id", F.lit(25)).cast("string").alias("team_id"),
+            F.col("event_id").alias("revision"),
+            F.col("ts").cast("timestamp").alias("changed_at"),
+            kind.alias("state"),
+            F.when(kind == "signup", "proposed")
+            .when(kind.isin("view", "click"), "in_progress")
+            .when(kind == "purchase", "completed")
+            .alias("state_category"),
+            F.when(even, "S1").otherwise("S2").alias("iteration_path"),
+            F.col("value").cast(_MONEY).alias("story_points"),
+        )
+
+    @cached_property
+    def history_windows(self) -> DataFrame:
+        """Read every team against sprint S1 or S2; region 3 commits a day and a half late."""
+        region = F.col("n_regionkey")
+        start = F.lit(HISTORY[0]).cast("timestamp")
+        late = F.lit("2024-01-09 12:00:00").cast("timestamp")
+        end = F.lit(HISTORY[1]).cast("timestamp")
+        return self.read("nation").select(
+            F.col("n_nationkey").cast("string").alias("team_id"),
+            F.when(region == 4, "S2").otherwise("S1").alias("iteration_path"),
+            F.when(region == 3, late).otherwise(start).alias("commitment_at"),
+            start.alias("since"),
+            end.alias("until"),
+            end.alias("as_of"),
+        )
+
+    @cached_property
+    def requested_items(self) -> DataFrame:
+        """Items whose history was asked for; region 0 asks for one that has none."""
+        users = self.revisions.select("organization", "item_id", "team_id").distinct()
+        absent = self.read("nation").where("n_regionkey = 0").select(
+            F.lit(ORGANIZATION).alias("organization"),
+            (-1 - F.col("n_nationkey")).cast("bigint").alias("item_id"),
+            F.col("n_nationkey").cast("string").alias("team_id"),
+        )
+        return users.unionByName(absent)
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return history_coverage(self.requested_items, self.revisions)
+
+    @cached_property
+    def usable(self) -> DataFrame:
+        return usable_revisions(self.revisions, self.coverage)
+
+    @cached_property
+    def usable_windows(self) -> DataFrame:
+        ready = self.coverage.where("is_usable").select("team_id")
+        return self.history_windows.join(ready, "team_id", "left_semi")
+
+    @cached_property
+    def created(self) -> DataFrame:
+        """First event of the users that are also suppliers; the others are unknown."""
+        return (
+            self.read("events")
+            .groupBy("user_id")
+            .agg(F.min("ts").cast("timestamp").alias("created_at"))
+            .join(self.read("supplier"), F.col("user_id") == F.col("s_suppkey"), "left_semi")
+            .select(
+                F.lit(ORGANIZATION).alias("organization"),
+                F.col("user_id").alias("item_id"),
+                "created_at",
+            )
+        )

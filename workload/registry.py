@@ -1,6 +1,6 @@
 """Import the query modules, so that the catalog is complete, and expose it."""
 
-from workload import load_queries  # noqa: F401
+from workload import history_queries, load_queries  # noqa: F401
 from workload.catalog import callables, oracles
 
 __all__ = ["callables", "oracles"]

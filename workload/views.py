@@ -164,8 +164,129 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         group by r.team_id, r.person_id, r.unit
         """,
     ),
+    # Instants are microseconds since the epoch.
+    "revisions": (
+        (),
+        """
+        select user_id as item_id, cast(user_id % 25 as varchar) as team_id, event_id as revision,
+          epoch_us(ts) as changed_at,
+          case event_type when 'signup' then 'proposed' when 'view' then 'in_progress'
+            when 'click' then 'in_progress' when 'purchase' then 'completed' end as state_category,
+          case when cast(regexp_extract(props, '[0-9]+') as bigint) % 2 = 0 then 'S1' else 'S2' end
+            as iteration_path,
+          cast(value as decimal(18,4)) as story_points
+        from events
+        """,
+    ),
+    "windows": (
+        (),
+        """
+        select cast(n_nationkey as varchar) as team_id,
+          case when n_regionkey = 4 then 'S2' else 'S1' end as iteration_path,
+          epoch_us(case when n_regionkey = 3 then timestamp '2024-01-09 12:00:00'
+            else timestamp '2024-01-08' end) as commitment_at,
+          epoch_us(timestamp '2024-01-08') as since, epoch_us(timestamp '2024-01-20') as until,
+          n_regionkey <> 0 as complete
+        from nation
+        """,
+    ),
+    "usable": (
+        ("revisions", "windows"),
+        """
+        select r.*, w.iteration_path as sprint, w.commitment_at, w.since, w.until,
+          lag(state_category) over item as before_category,
+          lag(r.iteration_path) over item as before_path,
+          row_number() over item as pos
+        from revisions r join windows w on w.team_id = r.team_id and w.complete
+        window item as (partition by r.team_id, item_id order by changed_at, revision)
+        """,
+    ),
+    "transitions": (
+        ("usable",),
+        """
+        select *, row_number() over (partition by team_id, item_id order by changed_at, revision) as nth
+        from usable where state_category = 'completed'
+          and before_category is distinct from 'completed'
+        """,
+    ),
+    "cohort": (
+        ("usable", "transitions"),
+        """
+        select t.team_id, t.item_id, t.changed_at as completed_at,
+          (select min(u.changed_at) from usable u where u.team_id = t.team_id
+            and u.item_id = t.item_id and u.state_category = 'in_progress') as started_at,
+          (select epoch_us(min(e.ts)) from events e where e.user_id = t.item_id
+            and e.user_id in (select s_suppkey from supplier)) as created_at
+        from transitions t where nth = 1 and t.changed_at between since and until
+        """,
+    ),
+    "baseline": (
+        ("usable",),
+        """
+        select * from (
+          select *, row_number() over (partition by team_id, item_id
+            order by changed_at desc, revision desc) as back
+          from usable where changed_at <= commitment_at)
+        where back = 1 and iteration_path = sprint
+          and coalesce(state_category, '') not in ('completed', 'removed')
+        """,
+    ),
+    "final_state": (
+        ("usable",),
+        """
+        select * from (
+          select *, row_number() over (partition by team_id, item_id
+            order by changed_at desc, revision desc) as back
+          from usable where changed_at <= until) where back = 1
+        """,
+    ),
+    "outcomes": (
+        ("baseline", "final_state"),
+        """
+        select b.team_id, b.item_id, b.story_points as committed, f.story_points as current,
+          coalesce(f.state_category = 'completed', false) as completed,
+          coalesce(f.story_points <> b.story_points, false) as changed
+        from baseline b left join final_state f on f.team_id = b.team_id and f.item_id = b.item_id
+        """,
+    ),
+    "scope_events": (
+        ("usable",),
+        """
+        select team_id, item_id, changed_at, revision, iteration_path,
+          case when iteration_path = sprint then 'entered' else 'exited' end as direction
+        from usable where changed_at > commitment_at and changed_at <= until
+          and (iteration_path = sprint) <> coalesce(before_path = sprint, false)
+        """,
+    ),
+    "ages": (
+        ("usable",),
+        """
+        select i.team_id, i.item_id, i.done,
+          (select min(u.changed_at) from usable u where u.team_id = i.team_id
+            and u.item_id = i.item_id and u.state_category = 'in_progress'
+            and u.pos > coalesce(i.done, 0)) as started
+        from (select team_id, item_id, max(pos) filter (where state_category = 'completed') as done,
+                arg_max(coalesce(state_category, ''), pos) as category
+              from usable group by all) i
+        where i.category = 'in_progress'
+        """,
+    ),
 }
 
+
+def half_even_days(start: str, end: str) -> str:
+    """Days between two microsecond instants with two decimals, ties to even."""
+    micros = f"({end} - {start})"
+    unit = 864000000
+    rest = f"((({micros} % {unit}) + {unit}) % {unit})"
+    whole = f"(({micros} - {rest}) // {unit})"
+    carry = (
+        f"case when {rest} > {unit // 2} or ({rest} = {unit // 2} and {whole} % 2 <> 0) "
+        "then 1 else 0 end"
+    )
+    return f"({whole} + {carry}) / 100.0::double"
+
+
 # Tallies of a load, over rows that carry state_category and remaining.
 LOAD_TALLIES = """
   sum(case when state_category in ('in_progress', 'proposed', 'resolved') and remaining >= 0
