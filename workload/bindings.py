@@ -350,3 +350,85 @@ class Tables:
                 "created_at",
             )
         )
+
+    # -- planning -------------------------------------------------------------
+
+    @cached_property
+    def planning_items(self) -> DataFrame:
+        """Children and parents with dates, sprint and area."""
+        orders = self.read("orders").select(
+            (F.col("o_orderkey") * 10).alias("parent_id"),
+            F.col("o_orderdate").cast("date").alias("start_date"),
+        )
+        regions = self.read("nation").select(
+            F.col("n_nationkey").cast("string").alias("team_id"),
+            F.col("n_regionkey").cast("string").alias("region"),
+        )
+        month = F.date_format("target_date", "yyyy-MM")
+        fields = [
+            "organization", "item_id", "team_id", "item_type", "state_category", "assigned_to",
+            "remaining", "start_date", "target_date", "area_path", "iteration_path",
+        ]
+        children = (
+            attach(self.children, regions, "team_id")
+            .withColumn("parent_id", F.col("item_id") - F.pmod("item_id", F.lit(10)))
+            .join(orders, "parent_id", "left")
+            .withColumns(
+                {
+                    "area_path": F.concat_ws(
+                        "\\", F.lit("area"), "region", F.substring("state", 1, 1)
+                    ),
+                    "iteration_path": F.concat_ws("-", F.lit("it"), month),
+                }
+            )
+        )
+        parents = self.parents.withColumns(
+            {
+                "start_date": F.date_sub("target_date", 30),
+                "area_path": F.concat_ws(
+                    "\\", F.lit("area"), F.pmod(F.col("team_id").cast("int") + 1, F.lit(7))
+                ),
+                "iteration_path": F.concat_ws("-", F.lit("it"), month),
+            }
+        )
+        return children.select(*fields).unionByName(parents.select(*fields))
+
+    @cached_property
+    def rule_overrides(self) -> DataFrame:
+        """Rule settings that differ from the defaults, by region."""
+
+        def override(rule_id, enabled, severity, tolerance, exceptions=()):
+            return F.struct(
+                F.lit(rule_id).alias("rule_id"),
+                F.lit(enabled).alias("enabled"),
+                F.lit(severity).alias("severity"),
+                F.lit(tolerance).alias("tolerance_days"),
+                F.array(*[F.lit(e) for e in exceptions]).cast("array<string>").alias("exceptions"),
+            )
+
+        by_region = {
+            0: [override("story_without_task", True, "high", 0),
+                override("area_or_iteration_mismatch", True, "info", 0)],
+            1: [override("missing_estimate", True, "info", 0),
+                override("area_or_iteration_mismatch", True, "attention", 0)],
+            2: [override("overdue_open_item", False, "info", 0),
+                override("area_or_iteration_mismatch", True, "info", 0)],
+            3: [override("overdue_open_item", True, "critical", 30),
+                override("inverted_dates", True, "attention", 0, ("10", "21"))],
+            4: [override("missing_required_fields", True, "info", 0,
+                         ("require:assigned_to", "require:remaining"))],
+        }
+        chosen = F.when(F.col("n_regionkey") == 0, F.array(*by_region[0]))
+        for region, rules in list(by_region.items())[1:]:
+            chosen = chosen.when(F.col("n_regionkey") == region, F.array(*rules))
+        return self.read("nation").select(
+            F.col("n_nationkey").cast("string").alias("team_id"), F.inline(chosen)
+        )
+
+    @cached_property
+    def closed_iterations(self) -> DataFrame:
+        return (
+            self.planning_items.where("target_date < date '1997-06-01'")
+            .select("team_id", "iteration_path")
+            .distinct()
+        )

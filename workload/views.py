@@ -271,6 +271,56 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         where i.category = 'in_progress'
         """,
     ),
+    "planning_items": (
+        ("children", "parents"),
+        r"""
+        select c.item_id, c.team_id, 'Task' as item_type, c.state_category, c.assigned_to, c.remaining,
+          cast(o.o_orderdate as date) as start_date, c.target_date,
+          'area\' || n.n_regionkey || '\' || substr(c.state, 1, 1) as area_path
+        from children c left join orders o on o.o_orderkey = c.l_orderkey
+        left join nation n on cast(n.n_nationkey as varchar) = c.team_id
+        union all
+        select item_id, team_id, 'Product Backlog Item', state_category, assigned_to, remaining,
+          target_date - 30, target_date, 'area\' || ((cast(team_id as int) + 1) % 7)
+        from parents
+        """,
+    ),
+    "edges": (
+        (),
+        "select distinct l_orderkey * 10 as parent_id, l_orderkey * 10 + l_linenumber as child_id from lineitem",
+    ),
+    "planning_findings": (
+        ("planning_items", "edges", "calendars"),
+        r"""
+        select f.* from (
+          select i.team_id, i.item_id, c.n_regionkey as region, i.state_category in
+              ('in_progress', 'proposed', 'resolved') as open, i.*, c.today,
+            k.parent_id is not null as has_child, k.last_target
+          from planning_items i join calendars c using (team_id)
+          left join (select e.parent_id, max(p.target_date) as last_target from edges e
+              left join planning_items p on p.item_id = e.child_id group by 1) k
+            on k.parent_id = i.item_id) i,
+        lateral (values
+          ('inverted_dates', 'attention', start_date > target_date
+            and not (region = 3 and item_id in (10, 21))),
+          ('overdue_open_item', case when region = 3 then 'critical' else 'attention' end,
+            region <> 2 and open and today - target_date > case when region = 3 then 30 else 0 end),
+          ('parent_ends_before_children', 'attention', last_target > target_date),
+          ('open_work_in_closed_sprint', 'attention', open and target_date < date '1997-06-01'),
+          ('missing_required_fields', 'info', region = 4 and
+            (coalesce(assigned_to, '') = '' or remaining is null)),
+          ('story_without_task', 'high', region = 0 and item_type = 'Product Backlog Item'
+            and not has_child),
+          ('missing_estimate', 'info', region = 1 and open and remaining is null),
+          ('area_or_iteration_mismatch', case when region = 1 then 'attention' else 'info' end,
+            region < 3 and not (area_path = 'area\' || region
+              or (region <> 2 and starts_with(area_path, 'area\' || region || '\'))))
+        ) r(rule_id, severity, fires),
+        lateral (select i.team_id, i.item_id, r.rule_id || ':' || i.item_id as finding_id, r.rule_id,
+          '1.0' as rule_version, r.severity) f
+        where coalesce(r.fires, false)
+        """,
+    ),
 }
 
 
