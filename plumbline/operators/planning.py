@@ -6,7 +6,7 @@ tolerate and which items they leave alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline import vocabulary as v
 from plumbline.functions.columns import is_open, path_in_scope
-from plumbline.operators.skew import attach
+from plumbline.operators.skew import attach, salted_join
 
 _REQUIRE = "require:"
 STORY_TYPES = ("Product Backlog Item", "User Story")
@@ -28,6 +28,7 @@ class Rule:
     enabled: bool
     severity: str
     fires: Callable[[Column], Column]
+    needs: str | None = None
     version: str = "1.0"
 
 
@@ -57,10 +58,12 @@ RULES: dict[str, Rule] = {
         Rule(
             "parent_ends_before_children", True, "attention",
             lambda rule: F.col("last_child_target") > F.col("target_date"),
+            needs="children",
         ),
         Rule(
             "open_work_in_closed_sprint", True, "attention",
             lambda rule: is_open(F.col("state_category")) & F.col("iteration_closed"),
+            needs="closed_iterations",
         ),
         Rule(
             "missing_required_fields", True, "info",
@@ -71,6 +74,7 @@ RULES: dict[str, Rule] = {
             lambda rule: (F.col("accounting_level") == v.LEAF_TASK)
             & F.col("item_type").isin(*STORY_TYPES)
             & ~F.col("has_child"),
+            needs="children",
         ),
         Rule(
             "missing_estimate", False, "info",
@@ -175,8 +179,12 @@ def late_children(items: DataFrame, relations: DataFrame) -> DataFrame:
     )
     # Each child row is looked up by its own id; only then does the parent's date arrive.
     return (
-        edges.join(children, ["child_id", "organization"])
-        .join(parents, ["parent_id", "organization"])
+        salted_join(
+            edges.join(children, ["child_id", "organization"]),
+            parents,
+            ["parent_id", "organization"],
+            "inner",
+        )
         .where("child_target > parent_target")
         .select("team_id", "organization", "parent_id", "child_id", "parent_target", "child_target")
     )
@@ -189,12 +197,16 @@ def evaluate_planning(
     rules: DataFrame,
     today: DataFrame,
     closed_iterations: DataFrame,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
     """One finding per enabled rule and item it fires for.
 
     ``rules`` comes from :func:`effective_rules`, ``today`` is (team_id, today) and
-    ``closed_iterations`` is (team_id, iteration_path).
+    ``closed_iterations`` is (team_id, iteration_path). ``only`` narrows the registry;
+    what none of its rules needs is not joined.
     """
+    evaluated = [RULES[rule_id] for rule_id in only] if only is not None else list(RULES.values())
+    needed = {rule.needs for rule in evaluated}
     per_team = (
         rules.where("enabled")
         .groupBy("team_id")
@@ -214,25 +226,25 @@ def evaluate_planning(
         .join(per_team, "team_id")
         .join(today.select("team_id", "today"), "team_id")
     )
-    closed = closed_iterations.select(
-        "team_id", "iteration_path", F.lit(True).alias("iteration_closed")
-    ).distinct()
     values = [
         c for f in items.schema.fields if f.dataType.typeName() not in ("array", "map", "struct")
         for c in (F.lit(f.name), F.col(f.name).cast("string"))
     ]
     no = F.lit(False)
-    joined = (
-        attach(attach(items, team, "team_id", "inner"), closed, ["team_id", "iteration_path"])
-        .join(children_summary(items, relations), ["item_id", "organization"], "left")
-        .withColumns(
-            {
-                "has_child": F.coalesce("has_child", no),
-                "iteration_closed": F.coalesce("iteration_closed", no),
-                "item_values": F.create_map(*values),
-            }
-        )
+    joined = attach(items, team, "team_id", "inner").withColumn(
+        "item_values", F.create_map(*values)
     )
+    if "children" in needed:
+        joined = joined.join(
+            children_summary(items, relations), ["item_id", "organization"], "left"
+        ).withColumn("has_child", F.coalesce("has_child", no))
+    if "closed_iterations" in needed:
+        closed = closed_iterations.select(
+            "team_id", "iteration_path", F.lit(True).alias("iteration_closed")
+        ).distinct()
+        joined = attach(joined, closed, ["team_id", "iteration_path"]).withColumn(
+            "iteration_closed", F.coalesce("iteration_closed", no)
+        )
 
     def finding(rule: Rule) -> Column:
         own = F.try_element_at("rules", F.lit(rule.rule_id))
@@ -247,7 +259,7 @@ def evaluate_planning(
             ),
         )
 
-    found = F.array_compact(F.array(*[finding(rule) for rule in RULES.values()]))
+    found = F.array_compact(F.array(*[finding(rule) for rule in evaluated]))
     return joined.select("team_id", "organization", "item_id", F.inline(found)).select(
         "team_id",
         "organization",

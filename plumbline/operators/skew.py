@@ -14,8 +14,11 @@ ESTIMATE_BYTES = 10 * 1024 * 1024
 # Otherwise the rows are looked at, up to these bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# A key with more rows than this is spread over SALTS tasks when joined.
+HOT_ROWS = 1_000_000
 SALTS = 32
 
+_HOT = "__hot"
 _SALT = "__salt"
 _SLICE = "__slice"
 
@@ -51,38 +54,63 @@ def attach(
     how: str = "left",
     *,
     max_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join a large table with a dimension, without gathering a hot key in one task.
 
-    A dimension measured to be small is broadcast, so the large side is not
-    shuffled. A larger one is joined on key + salt: the large side is spread by a
-    hash of the row and the dimension is repeated once per salt. ``how`` is one of
-    left, inner, left_semi and left_anti, where each row of the large side is kept
-    or matched on its own.
+    A dimension known to be small is broadcast, so the large side is not shuffled. A
+    larger one goes through :func:`salted_join`. ``how`` is one of left, inner,
+    left_semi and left_anti, where each row of the large side is kept or matched on
+    its own.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dimension, max_bytes=max_bytes):
         return facts.join(F.broadcast(dimension), keys, how)
-    return salted_join(facts, dimension, keys, how, salts=salts)
+    return salted_join(facts, dimension, keys, how)
 
 
 def salted_join(
-    facts: DataFrame, dimension: DataFrame, on: Sequence[str], how: str, *, salts: int = SALTS
+    facts: DataFrame,
+    dimension: DataFrame,
+    on: Sequence[str],
+    how: str,
+    *,
+    hot_rows: int = HOT_ROWS,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """The shuffled form of :func:`attach`.
+    """A shuffled join whose hot keys are spread over several tasks.
 
-    The salt is a hash of the row's own values: a task that is run again puts
-    every row where the first attempt put it.
+    A key is hot when it has more than ``hot_rows`` rows in ``facts``, so at most
+    rows / hot_rows keys are hot. Only their rows get a salt and only their dimension
+    rows are repeated. The salt is a hash of the row's own values: a task that is run
+    again puts every row where the first attempt put it.
     """
+    keys = list(on)
+    hot = (
+        facts.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .where(F.col("__n") > hot_rows)
+        .select(*keys, F.lit(True).alias(_HOT))
+    )
+    if not fits_broadcast(hot):
+        # Very many hot keys: none of them dominates, and adaptive execution splits them.
+        return facts.join(dimension, keys, how)
+    hot = F.broadcast(hot)
     hashable = [
-        F.col(f"`{f.name}`") for f in facts.schema.fields if not isinstance(f.dataType, T.MapType)
+        F.col(f"`{f.name}`")
+        for f in facts.schema.fields
+        if not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]
-    left = facts.withColumn(_SALT, F.pmod(F.xxhash64(*hashable), F.lit(salts)))
-    right = dimension.withColumn(
-        _SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    is_hot = F.coalesce(_HOT, F.lit(False))
+    zero = F.lit(0).cast("bigint")
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(salts))
+    left = facts.join(hot, keys, "left").withColumn(
+        _SALT, F.when(is_hot, spread).otherwise(zero)
+    )
+    every_salt = F.sequence(zero, F.lit(salts - 1).cast("bigint"))
+    right = dimension.join(hot, keys, "left").withColumn(
+        _SALT, F.explode(F.when(is_hot, every_salt).otherwise(F.array(zero)))
     )
-    return left.join(right, [*on, _SALT], how).drop(_SALT)
+    return left.drop(_HOT).join(right.drop(_HOT), [*keys, _SALT], how).drop(_SALT)
 
 
 def day_slice(moment: Column) -> Column:

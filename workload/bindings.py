@@ -427,8 +427,13 @@ class Tables:
 
     @cached_property
     def closed_iterations(self) -> DataFrame:
+        """Every team's sprints up to May 1997."""
+        due = self.raw_children.select("team_id", "target_date").unionByName(
+            self.parents.select("team_id", "target_date")
+        )
+        month = F.date_format("target_date", "yyyy-MM")
         return (
-            self.planning_items.where("target_date < date '1997-06-01'")
-            .select("team_id", "iteration_path")
+            due.where("target_date < date '1997-06-01'")
+            .select("team_id", F.concat_ws("-", F.lit("it"), month).alias("iteration_path"))
             .distinct()
         )

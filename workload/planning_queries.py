@@ -12,11 +12,14 @@ from workload.views import with_views
 
 def findings(t: Tables, rule_id: str | None = None):
     """All findings, or those of one rule; only the rules asked for are evaluated."""
-    rules = planning.effective_rules(t.settings, t.rule_overrides)
-    if rule_id is not None:
-        rules = rules.where(F.col("rule_id") == rule_id)
     return planning.evaluate_planning(
-        t.planning_items, t.relations, t.settings, rules, t.calendars, t.closed_iterations
+        t.planning_items,
+        t.relations,
+        t.settings,
+        planning.effective_rules(t.settings, t.rule_overrides),
+        t.calendars,
+        t.closed_iterations,
+        only=None if rule_id is None else [rule_id],
     )
 
 
