@@ -68,18 +68,23 @@ class _LoadCase:
         self.known = self.open & value.isNotNull() & ~other_unit & (value >= 0)
 
 
-def known_load(accountable: DataFrame, settings: DataFrame, by: Sequence[str]) -> DataFrame:
+def known_load(
+    accountable: DataFrame,
+    settings: DataFrame | None,
+    by: Sequence[str],
+    unit: str | None = None,
+) -> DataFrame:
     """Sum of valid remaining work of open items, with what had to be left out.
 
     ``accountable`` already sits on one accounting level; ``by`` is the grain, e.g.
-    team or team and person. Missing work never becomes zero: without a single known
+    team or team and person. The unit is each team's own, or ``unit`` for all. Missing work never becomes zero: without a single known
     item the value is missing.
     """
-    return (
-        attach(accountable, settings.select("team_id", "unit"), "team_id", "inner")
-        .groupBy(*by, F.col("unit").alias("load_unit"))
-        .agg(*_load_tallies())
-    )
+    if unit is not None:
+        measured = accountable.withColumn("unit", F.lit(unit))
+    else:
+        measured = attach(accountable, settings.select("team_id", "unit"), "team_id", "inner")
+    return measured.groupBy(*by, F.col("unit").alias("load_unit")).agg(*_load_tallies())
 
 
 def _load_tallies() -> list[Column]:

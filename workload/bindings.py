@@ -15,7 +15,7 @@ from plumbline.operators.calendar import (
     reserved_capacity,
     team_calendars,
 )
-from plumbline.operators.capacity_people import deduplicate_items
+from plumbline.operators.cross_team import deduplicate_items
 from plumbline.operators.history import history_coverage, usable_revisions
 from plumbline.operators.load import accountable_items
 from plumbline.operators.skew import attach
@@ -77,7 +77,12 @@ class Tables:
             .otherwise("1.10")
             .cast("decimal(9,4)")
             .alias("attention"),
-            F.lit("RemainingWork").alias("remaining_field"),
+            F.lit("Microsoft.VSTS.Scheduling.RemainingWork").alias("remaining_field"),
+            F.when(region == 0, "Microsoft.VSTS.Scheduling.OriginalEstimate").alias(
+                "original_estimate_field"
+            ),
+            F.lit(None).cast("string").alias("completed_work_field"),
+            F.lit("Points").alias("story_points_field"),
             F.when(region != 1, "tag:blocked").alias("impediment_source"),
             F.array().cast("array<string>").alias("blocked_states"),
             F.when(region == 3, F.array(F.lit("capacity")))
@@ -437,3 +442,297 @@ class Tables:
             .select("team_id", F.concat_ws("-", F.lit("it"), month).alias("iteration_path"))
             .distinct()
         )
+
+    # -- people across teams --------------------------------------------------
+
+    @cached_property
+    def shared_people(self) -> DataFrame:
+        """Every supplier in its own team and, with the funds for it, in a second one."""
+        second = self.read("supplier").where("s_acctbal >= 3000").select(
+            F.pmod(F.col("s_nationkey") + 7, F.lit(25)).cast("string").alias("team_id"),
+            F.col("s_suppkey").cast("string").alias("person_id"),
+            F.col("s_name").alias("display_name"),
+        )
+        return self.people.unionByName(second)
+
+    @cached_property
+    def shared_reservations(self) -> DataFrame:
+        second = self.read("supplier").where("s_acctbal >= 3000").select(
+            F.pmod(F.col("s_nationkey") + 7, F.lit(25)).cast("string").alias("team_id"),
+            F.col("s_suppkey").cast("string").alias("person_id"),
+            F.lit("support").alias("activity"),
+            F.lit(2).cast(_MONEY).alias("per_day"),
+            F.lit("hours").alias("unit"),
+        )
+        return self.reservations.unionByName(second)
+
+    @cached_property
+    def declared_availability(self) -> DataFrame:
+        """Eight hours a day, in days for the best funded, undeclared for the least."""
+        return self.read("supplier").where("s_acctbal >= 1000").select(
+            F.col("s_suppkey").cast("string").alias("person_id"),
+            F.lit(8).cast(_MONEY).alias("per_day"),
+            F.when(F.col("s_acctbal") > 9500, "days").otherwise("hours").alias("availability_unit"),
+        )
+
+    # -- landed JSON ----------------------------------------------------------
+
+    @cached_property
+    def item_payloads(self) -> DataFrame:
+        """One work item payload per line, in the shapes a source may answer with."""
+        line = attach(self.read("lineitem"), self._supplier_team, "l_suppkey", "inner")
+        identifier = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
+        flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+        iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+        quantity = F.col("l_quantity").cast("int").cast("string")
+        body = F.to_json(
+            F.struct(
+                F.when(flag != "A", F.concat(F.lit(" "), status, flag)).alias("System.State"),
+                F.lit("Task").alias("System.WorkItemType"),
+                F.concat(F.lit("part "), "l_partkey").alias("System.Title"),
+                F.when(flag == "N", F.concat(F.lit("Supplier <sup"), "l_suppkey", F.lit("@org>")))
+                .when(flag == "R", F.concat(F.lit("SUP"), "l_suppkey", F.lit("@ORG")))
+                .alias("System.AssignedTo"),
+                F.when(F.col("l_tax") > 0, F.when(flag == "R", "x; Blocked").otherwise("x")).alias(
+                    "System.Tags"
+                ),
+                (F.col("l_orderkey") * 10).cast("string").alias("System.Parent"),
+                F.when(F.col("l_discount") == 0, "n/a")
+                .otherwise(quantity)
+                .alias("Microsoft.VSTS.Scheduling.RemainingWork"),
+                F.when(F.col("l_tax") > 0.02, quantity).alias(
+                    "Microsoft.VSTS.Scheduling.OriginalEstimate"
+                ),
+                F.when(status == "F", F.date_format("l_shipdate", iso)).alias(
+                    "Microsoft.VSTS.Scheduling.TargetDate"
+                ),
+                F.date_format("l_shipdate", "yyyy-MM-dd").alias("Microsoft.VSTS.Scheduling.DueDate"),
+            )
+        )
+        record = (
+            F.when(F.col("l_tax") == 0.08, F.concat(F.lit('{"fields":'), body, F.lit("}")))
+            .when(
+                status == "F",
+                F.concat(F.lit('{"id":'), identifier, F.lit(',"fields":'), body, F.lit("}")),
+            )
+            .otherwise(
+                F.concat(
+                    F.lit('{"workItemId":"'), identifier, F.lit('",'),
+                    F.substring(body, 2, 1_000_000),
+                )
+            )
+        )
+        payload = (
+            F.when(flag == "N", F.concat(F.lit('{"value":['), record, F.lit(",7]}")))
+            .when(flag == "A", F.concat(F.lit("["), record, F.lit("]")))
+            .otherwise(record)
+        )
+        return line.select(
+            F.lit(ORGANIZATION).alias("organization"),
+            "team_id",
+            F.struct(*self.ARRIVAL).alias("arrival"),
+            payload.alias("payload"),
+        )
+
+    @cached_property
+    def link_payloads(self) -> DataFrame:
+        flag = F.col("l_returnflag")
+        link = F.struct(
+            F.when(flag != "R", "System.LinkTypes.Hierarchy-Forward").alias("rel"),
+            F.when(
+                flag != "A", F.struct((F.col("l_orderkey") * 10).cast("string").alias("id"))
+            ).alias("source"),
+            F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).alias("target"),
+        )
+        return attach(self.read("lineitem"), self._supplier_team, "l_suppkey", "inner").select(
+            F.lit(ORGANIZATION).alias("organization"),
+            "team_id",
+            F.to_json(F.struct(F.array(link).alias("workItemRelations"))).alias("payload"),
+        )
+
+    @cached_property
+    def capacity_payloads(self) -> DataFrame:
+        """One capacity payload per supplier; overdrawn ones come without an identity."""
+        balance = F.col("s_acctbal")
+        name = F.col("s_name")
+        start = F.date_add(F.lit("1998-01-05").cast("date"), F.floor(F.abs(balance) / 1000).cast("int"))
+        member = F.struct(
+            F.when(balance >= 2000, F.concat(F.lit("p"), "s_suppkey")).alias("id"),
+            F.when(balance >= 0, F.concat(F.lit("sup"), "s_suppkey", F.lit("@org"))).alias(
+                "uniqueName"
+            ),
+            name.alias("displayName"),
+        )
+        activity = F.struct(
+            F.lit("build").alias("name"),
+            F.when(balance < 9000, F.floor(balance / 1000)).alias("capacityPerDay"),
+        )
+        off = F.struct(
+            F.when(balance > 9500, "soon").otherwise(start.cast("string")).alias("start"),
+            start.cast("string").alias("end"),
+        )
+        entry = F.struct(
+            member.alias("teamMember"),
+            F.when(balance >= 1000, F.array(activity)).alias("activities"),
+            F.array(off).alias("daysOff"),
+        )
+        whole_team = F.struct(
+            F.date_add(F.lit("1998-01-05").cast("date"), F.col("s_nationkey")).cast("string").alias("start"),
+            F.date_add(F.lit("1998-01-05").cast("date"), F.col("s_nationkey")).cast("string").alias("end"),
+        )
+        payload = F.struct(
+            F.array(entry).alias("teamMembers"),
+            F.when(balance < 5000, F.array(whole_team)).alias("teamDaysOff"),
+        )
+        return self.read("supplier").select(
+            F.col("s_nationkey").cast("string").alias("team_id"),
+            F.col("s_suppkey").alias("arrival"),
+            F.to_json(payload).alias("payload"),
+        )
+
+    @cached_property
+    def iteration_payloads(self) -> DataFrame:
+        """Three sprints per customer-as-team: one dated, one undated, one shifted by balance."""
+        shifted = F.date_add(
+            F.lit("1998-01-05").cast("date"), F.floor(F.col("c_acctbal") / 500).cast("int")
+        )
+        payload = F.concat(
+            F.lit('{"iterations":[{"id":"a","path":"P1","attributes":{"startDate":"1997-12-22T00:00:00Z",'
+                  '"finishDate":"1998-01-04T00:00:00Z"}},{"name":"P2"},{"id":"c","path":"P3","start":"'),
+            shifted.cast("string"),
+            F.lit('","finish":"'),
+            F.date_add(shifted, 13).cast("string"),
+            F.lit('"}]}'),
+        )
+        return self.read("customer").select(
+            F.col("c_custkey").cast("string").alias("team_id"),
+            F.col("c_custkey").alias("arrival"),
+            payload.alias("payload"),
+        )
+
+    @cached_property
+    def iteration_teams(self) -> DataFrame:
+        segment = F.col("c_mktsegment")
+        return self.read("customer").select(
+            F.col("c_custkey").cast("string").alias("team_id"),
+            F.when(segment == "BUILDING", "America/Sao_Paulo")
+            .when(segment == "MACHINERY", "America/New_York")
+            .otherwise("UTC")
+            .alias("timezone"),
+            F.lit(LOAD_AS_OF).cast("timestamp").alias("as_of"),
+            F.when(segment == "AUTOMOBILE", "P2").when(segment == "FURNITURE", "P9").alias(
+                "wanted_path"
+            ),
+        )
+
+    @cached_property
+    def revision_payloads(self) -> DataFrame:
+        """One revision per event; errors come with an unusable instant."""
+        kind = F.col("event_type")
+        instant = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        fields = F.to_json(
+            F.struct(
+                F.when(kind == "error", "n/a").otherwise(instant).alias("System.ChangedDate"),
+                kind.alias("System.State"),
+                F.concat(F.lit("S"), F.length("props")).alias("System.IterationPath"),
+                F.struct(F.concat(F.lit("u"), "user_id").alias("uniqueName")).alias(
+                    "System.AssignedTo"
+                ),
+                F.col("value").cast("string").alias("Points"),
+            )
+        )
+        number = F.when(kind == "signup", F.lit('"revision":')).otherwise(F.lit('"rev":'))
+        return self.read("events").select(
+            F.lit(ORGANIZATION).alias("organization"),
+            F.pmod("user_id", F.lit(25)).cast("string").alias("team_id"),
+            F.col("user_id").alias("item_id"),
+            F.concat(
+                F.lit('{"value":[{'), number, F.col("event_id").cast("string"),
+                F.lit(',"fields":'), fields, F.lit("}]}"),
+            ).alias("payload"),
+        )
+
+    @cached_property
+    def state_map(self) -> DataFrame:
+        """Known states of every team; errors stay unmapped."""
+        states = F.array(
+            *[
+                F.struct(F.lit(state).alias("state"), F.lit(category).alias("state_category"))
+                for state, category in (
+                    ("signup", "proposed"), ("view", "in_progress"), ("click", "in_progress"),
+                    ("purchase", "completed"), ("ON", "in_progress"), ("OR", "proposed"),
+                    ("FN", "completed"), ("FR", "completed"), ("FA", "completed"),
+                )
+            ]
+        )
+        return self.read("nation").select(
+            F.col("n_nationkey").cast("string").alias("team_id"), F.inline(states)
+        )
+
+    @cached_property
+    def type_definitions(self) -> DataFrame:
+        """Two item types per customer-as-team."""
+        segment = F.col("c_mktsegment")
+        task = F.concat(
+            F.lit('{"states":[{"name":"To Do","category":"Proposed"},{"name":"Doing","category":"'),
+            F.when(segment == "BUILDING", "Paused").otherwise("InProgress"),
+            F.lit('"},{"name":"Done","category":"COMPLETED"}],"fields":[{"referenceName":'
+                  '"Microsoft.VSTS.Scheduling.RemainingWork"},{"referenceName":"Other"}]}'),
+        )
+        story = F.concat(
+            F.lit('{"states":[{"name":"Doing","category":"'),
+            F.when(segment == "MACHINERY", "Resolved").otherwise("Unheard"),
+            F.lit('"},{"category":"Proposed"}],"fields":['),
+            F.when(F.col("c_acctbal") > 0,
+                   F.lit('{"referenceName":"Microsoft.VSTS.Scheduling.StoryPoints"}')).otherwise(""),
+            F.lit("]}"),
+        )
+        return self.read("customer").select(
+            F.col("c_custkey").cast("string").alias("team_id"),
+            F.posexplode(F.array(task, story)).alias("type_order", "payload"),
+        )
+
+    @cached_property
+    def team_setting_payloads(self) -> DataFrame:
+        segment, balance = F.col("c_mktsegment"), F.col("c_acctbal")
+        flag = F.when(balance > 5000, "true").otherwise("false")
+        first = F.concat(F.lit('{"value":"area"'),
+                         F.when(segment != "BUILDING", F.lit(',"includeChildren":true')).otherwise(""),
+                         F.lit("}"))
+        second = F.concat(F.lit('{"path":"area-'), segment, F.lit('"'),
+                          F.when(segment != "BUILDING", F.concat(F.lit(',"includeChildren":'), flag))
+                          .otherwise(""), F.lit("}"))
+        areas = F.when(segment == "FURNITURE", F.lit("")).otherwise(
+            F.concat(F.lit('"areas":['), first, F.lit(","), second, F.lit("],"))
+        )
+        return self.read("customer").select(
+            F.col("c_custkey").cast("string").alias("team_id"),
+            F.concat(
+                F.lit("{"), areas,
+                F.lit('"workingDays":[1,2,3,4,5,9,'), F.pmod("c_nationkey", F.lit(7)).cast("string"),
+                F.lit('],"bugsBehavior":'), F.pmod("c_nationkey", F.lit(4)).cast("string"), F.lit("}"),
+            ).alias("payload"),
+        )
+
+    @cached_property
+    def setting_layers(self) -> DataFrame:
+        """Settings leaves per customer-as-team; stronger layers exist for some of them."""
+        balance, segment = F.col("c_acctbal"), F.col("c_mktsegment")
+
+        def leaf(layer, key, value):
+            return F.struct(F.lit(layer).alias("layer"), F.lit(key).alias("key"), value.alias("value"))
+
+        rows = F.array_compact(
+            F.array(
+                leaf("default", "allocation.unit", F.lit("hours")),
+                leaf("default", "calendar.timezone", F.lit("UTC")),
+                leaf("profile", "capabilities", F.lit("current_status,allocation")),
+                leaf("team", "calendar.timezone", segment),
+                F.when(balance > 2000, leaf("local", "allocation.unit", F.lit("days"))),
+                F.when(balance > 4000, leaf("run_all", "capabilities", F.lit("current_status"))),
+                F.when(balance > 6000, leaf("run", "capabilities", F.lit("flow_history"))),
+            )
+        )
+        return self.read("customer").select(
+            F.col("c_custkey").cast("string").alias("team_id"), F.inline(rows)
+        )

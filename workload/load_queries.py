@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import calendar as cal
 from plumbline.operators import load, quality
-from plumbline.operators.capacity_people import deduplicate_items
+from plumbline.operators.cross_team import deduplicate_items
 from workload.bindings import Tables
 from workload.catalog import query
 from workload.views import (

@@ -1,6 +1,11 @@
 """Import the query modules, so that the catalog is complete, and expose it."""
 
-from workload import history_queries, load_queries, planning_queries  # noqa: F401
+from workload import (  # noqa: F401
+    history_queries,
+    load_queries,
+    planning_queries,
+    source_queries,
+)
 from workload.catalog import callables, oracles
 
 __all__ = ["callables", "oracles"]
