@@ -1,78 +1,83 @@
-"""Reading loosely shaped JSON objects held as ``map<string, variant>`` columns."""
+"""Reading loosely shaped JSON: objects as ``map<string, string>``, lists as ``array<string>``.
+
+A nested value is its JSON text, a JSON string its content and a JSON null missing. Keys
+are looked up on demand, so a field the source never sent is simply absent. A number
+counts as its digits where text is read.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import QUANTITY, day, instant
-
-OBJECT = "map<string,variant>"
+from plumbline.functions.columns import quantity, text
 
 
 def as_object(value: Column) -> Column:
-    """The object in a variant, missing when it is anything else."""
-    return F.try_variant_get(value, "$", OBJECT)
+    """The object a JSON text holds, missing when it holds anything else."""
+    return F.when(F.startswith(F.ltrim(value), F.lit("{")), F.from_json(value, "map<string,string>"))
 
 
 def as_list(value: Column) -> Column:
-    """The list in a variant, missing when it is anything else."""
-    return F.try_variant_get(value, "$", "array<variant>")
+    """The list a JSON text holds, missing when it holds anything else."""
+    return F.when(F.startswith(F.ltrim(value), F.lit("[")), F.from_json(value, "array<string>"))
 
 
 def member(record: Column, name: Column | str) -> Column:
     return F.try_element_at(record, F.lit(name) if isinstance(name, str) else name)
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
-
-
 def as_text(value: Column) -> Column:
-    """A non-blank JSON string, trimmed; numbers and booleans are no text."""
-    plain = F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
-    return F.nullif(F.trim(plain), F.lit(""))
+    """Non-blank trimmed text; an object is no text."""
+    return F.when(~F.startswith(F.ltrim(value), F.lit("{")), text(value))
 
 
 def as_label(value: Column) -> Column:
     """Text, or what names an object: display name, unique name, name, then id."""
-    record = as_object(value)
     names = ("displayName", "uniqueName", "name", "id")
-    return F.coalesce(as_text(value), *[as_text(member(record, n)) for n in names])
+    named = [text(F.get_json_object(value, f"$.{n}")) for n in names]
+    return F.when(F.startswith(F.ltrim(value), F.lit("{")), F.coalesce(*named)).otherwise(
+        text(value)
+    )
 
 
 def as_quantity(value: Column) -> Column:
-    """A JSON number or numeric text; booleans and anything else are missing."""
-    text = F.when(_kind(value) != "BOOLEAN", F.try_variant_get(value, "$", "string"))
-    return F.trim(text).try_cast(QUANTITY)
+    """A number or numeric text; anything else is missing."""
+    return quantity(value)
 
 
 def as_id(value: Column) -> Column:
     return as_quantity(value).cast("bigint")
 
 
-def as_instant(value: Column) -> Column:
-    return instant(as_text(value))
-
-
-def as_day(value: Column) -> Column:
-    return day(as_text(value))
-
-
 def fields_of(record: Column) -> Column:
     """The nested ``fields`` object, or the record itself."""
     return F.coalesce(as_object(member(record, "fields")), record)
 
 
-def either(record: Column, fields: Column, name: str) -> Column:
-    """A value from the fields when they have the name, else from the record."""
-    return F.coalesce(member(fields, name), member(record, name))
+def pick(df: DataFrame, **names: Sequence[str]) -> DataFrame:
+    """Stage raw members as columns ``<alias>_0``, ``<alias>_1`` ... , one per name.
+
+    A name is looked up in the ``fields`` column first and then in ``record``. Parsing
+    a staged column may repeat it freely; parsing the lookup itself would repeat the
+    lookup.
+    """
+    return df.withColumns(
+        {
+            f"{alias}_{i}": F.coalesce(
+                member(F.col("fields"), name), member(F.col("record"), name)
+            )
+            for alias, listed in names.items()
+            for i, name in enumerate(listed)
+        }
+    )
 
 
-def first_label(record: Column, fields: Column, *names: str) -> Column:
-    return F.coalesce(*[as_label(either(record, fields, n)) for n in names])
+def picked(parse, alias: str, count: int) -> Column:
+    """First staged member of ``alias`` that parses."""
+    return F.coalesce(*[parse(F.col(f"{alias}_{i}")) for i in range(count)])
 
 
 def first_of(parse, record: Column, names: Sequence[str]) -> Column:

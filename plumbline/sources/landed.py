@@ -11,21 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import vocabulary as v
-from plumbline.functions.columns import codes
+from plumbline.functions.columns import codes, day, instant
 from plumbline.functions.json import (
-    as_day,
     as_id,
-    as_instant,
     as_label,
     as_list,
     as_object,
     as_quantity,
     as_text,
-    either,
     fields_of,
-    first_label,
     first_of,
     member,
+    pick,
+    picked,
 )
 from plumbline.operators.skew import attach
 
@@ -47,19 +45,18 @@ def payload_records(payloads: DataFrame, *keys: str) -> DataFrame:
     Records are the payload itself when it is a list, else the first listed key that
     holds a list, else the lone object. What is not an object is dropped.
     """
-    root = F.try_parse_json("payload")
     listed = [as_list(member(F.col("__root"), key)) for key in (*keys, *RECORD_KEYS)]
     records = F.coalesce(
-        as_list(F.col("__json")),
+        as_list(F.col("payload")),
         *listed,
-        F.when(F.col("__root").isNotNull(), F.array("__json")),
+        F.when(F.col("__root").isNotNull(), F.array("payload")),
     )
     context = [c for c in payloads.columns if c != "payload"]
-    objects = F.filter(F.transform(records, as_object), lambda r: r.isNotNull())
     return (
-        payloads.select(*context, root.alias("__json"))
-        .select(*context, "__json", as_object(F.col("__json")).alias("__root"))
-        .select(*context, F.posexplode(objects).alias("position", "record"))
+        payloads.withColumn("__root", as_object(F.col("payload")))
+        .select(*context, F.posexplode(records).alias("position", "__record"))
+        .select(*context, "position", as_object(F.col("__record")).alias("record"))
+        .where("record is not null")
     )
 
 
@@ -118,67 +115,89 @@ def normalize_work_items(payloads: DataFrame, settings: DataFrame) -> DataFrame:
     rows = attach(payload_records(payloads, "workItems"), team, "team_id", "inner").withColumn(
         "fields", fields_of(F.col("record"))
     )
+    labels = {
+        "type": ("System.WorkItemType", "workItemType"),
+        "state": ("System.State", "state"),
+        "title": ("System.Title", "title"),
+        "assigned_to": ("System.AssignedTo", "assignedTo"),
+        "area_path": ("System.AreaPath", "areaPath"),
+        "iteration_path": ("System.IterationPath", "iterationPath"),
+        "activity": ("Microsoft.VSTS.Common.Activity", "activity"),
+        "tags": ("System.Tags", "tags"),
+    }
     record, fields = F.col("record"), F.col("fields")
-
-    def configured(name: str) -> Column:
-        return as_quantity(member(fields, F.col(name)))
-
-    state = first_label(record, fields, "System.State", "state")
-    tags = first_label(record, fields, "System.Tags", "tags")
-    target = [f"Microsoft.VSTS.Scheduling.{n}" for n in ("TargetDate", "FinishDate", "DueDate")]
+    targets = [f"Microsoft.VSTS.Scheduling.{n}" for n in ("TargetDate", "FinishDate", "DueDate")]
+    raw = pick(rows, **labels).withColumns(
+        {
+            **{
+                f"raw_{name}": member(fields, F.col(f"{name}_field"))
+                for name in ("remaining", "original_estimate", "completed_work", "story_points")
+            },
+            **{f"raw_target_{i}": member(fields, n) for i, n in enumerate(targets)},
+            **{f"raw_id_{i}": member(record, n) for i, n in enumerate(("id", "workItemId", "Id"))},
+            "raw_start": member(fields, "Microsoft.VSTS.Scheduling.StartDate"),
+            "raw_created": member(fields, "System.CreatedDate"),
+            "raw_changed": member(fields, "System.ChangedDate"),
+            "raw_parent": member(fields, "System.Parent"),
+            "raw_other_parent": member(record, "parentId"),
+        }
+    )
+    texts = raw.select(
+        "organization",
+        "team_id",
+        "arrival",
+        "position",
+        "unit",
+        "allocates",
+        "remaining_field",
+        "blocked_states",
+        "impediment_source",
+        picked(as_id, "raw_id", 3).alias("item_id"),
+        *[picked(as_label, alias, 2).alias(alias) for alias in labels],
+        as_quantity(F.col("raw_remaining")).alias("remaining"),
+        as_quantity(F.col("raw_original_estimate")).alias("original_estimate"),
+        as_quantity(F.col("raw_completed_work")).alias("completed_work"),
+        as_quantity(F.col("raw_story_points")).alias("story_points"),
+        as_text(F.col("raw_start")).alias("start_text"),
+        F.coalesce(*[as_text(F.col(f"raw_target_{i}")) for i in range(3)]).alias("target_text"),
+        as_text(F.col("raw_created")).alias("created_text"),
+        as_text(F.col("raw_changed")).alias("changed_text"),
+        F.coalesce(as_id(F.col("raw_parent")), as_id(F.col("raw_other_parent"))).alias("parent_id"),
+    ).where("item_id is not null")
     unknown = F.lit(v.UNKNOWN_LABEL)
-    remaining = configured("remaining_field")
-    parsed = rows.select(
+    owes_work = F.col("allocates") & F.col("remaining_field").isNotNull()
+    return texts.select(
         "organization",
         "team_id",
-        first_of(as_id, record, ("id", "workItemId", "Id")).alias("item_id"),
+        "item_id",
         "arrival",
         "position",
-        F.coalesce(first_label(record, fields, "System.WorkItemType", "workItemType"), unknown)
-        .alias("item_type"),
-        F.coalesce(state, unknown).alias("state"),
-        first_label(record, fields, "System.Title", "title").alias("title"),
-        first_label(record, fields, "System.AssignedTo", "assignedTo").alias("assigned_to"),
-        first_label(record, fields, "System.AreaPath", "areaPath").alias("area_path"),
-        first_label(record, fields, "System.IterationPath", "iterationPath").alias(
-            "iteration_path"
-        ),
-        remaining.alias("remaining"),
+        F.coalesce("type", unknown).alias("item_type"),
+        F.coalesce("state", unknown).alias("state"),
+        "title",
+        "assigned_to",
+        "area_path",
+        "iteration_path",
+        "remaining",
         F.col("unit").alias("remaining_unit"),
-        configured("original_estimate_field").alias("original_estimate"),
-        configured("completed_work_field").alias("completed_work"),
-        configured("story_points_field").alias("story_points"),
-        first_label(record, fields, "Microsoft.VSTS.Common.Activity", "activity").alias("activity"),
-        tags.alias("tags"),
-        blocked_flag(state, tags, F.col("blocked_states"), F.col("impediment_source")).alias(
-            "blocked"
-        ),
-        as_day(member(fields, "Microsoft.VSTS.Scheduling.StartDate")).alias("start_date"),
-        as_day(F.coalesce(*[_filled(member(fields, n)) for n in target])).alias("target_date"),
-        as_instant(member(fields, "System.CreatedDate")).alias("created_at"),
-        as_instant(member(fields, "System.ChangedDate")).alias("changed_at"),
-        F.coalesce(
-            as_id(_filled(member(fields, "System.Parent"))), as_id(member(record, "parentId"))
-        ).alias("parent_id"),
+        "original_estimate",
+        "completed_work",
+        "story_points",
+        "activity",
+        "tags",
+        blocked_flag(
+            F.col("state"), F.col("tags"), F.col("blocked_states"), F.col("impediment_source")
+        ).alias("blocked"),
+        day(F.col("start_text")).alias("start_date"),
+        day(F.col("target_text")).alias("target_date"),
+        instant(F.col("created_text")).alias("created_at"),
+        instant(F.col("changed_text")).alias("changed_at"),
+        "parent_id",
         F.array("team_id").alias("team_memberships"),
-        codes(
-            [
-                (
-                    F.col("allocates") & F.col("remaining_field").isNotNull() & remaining.isNull(),
-                    "missing_remaining_work",
-                )
-            ]
-        ).alias("reasons"),
-    )
-    return parsed.where("item_id is not null")
-
-
-def _filled(value: Column) -> Column:
-    """A value that is neither absent, JSON null nor empty text."""
-    empty = F.is_variant_null(value) | (
-        F.coalesce(F.try_variant_get(value, "$", "string"), F.lit("-")) == ""
+        codes([(owes_work & F.col("remaining").isNull(), "missing_remaining_work")]).alias(
+            "reasons"
+        ),
     )
-    return F.when(~empty, value)
 
 
 def capacity_members(payloads: DataFrame) -> DataFrame:
@@ -258,14 +277,16 @@ def capacity_problems(members: DataFrame) -> DataFrame:
 
 
 def _dates(entry: Column) -> tuple[Column, Column]:
-    start = F.coalesce(_filled(member(entry, "start")), member(entry, "startDate"))
-    end = F.coalesce(_filled(member(entry, "end")), member(entry, "endDate"))
-    return as_day(start), as_day(end)
+    """Start and inclusive end as text."""
+    return (
+        first_of(as_text, entry, ("start", "startDate")),
+        first_of(as_text, entry, ("end", "endDate")),
+    )
 
 
 def _has_dates(entry: Column) -> Column:
     start, end = _dates(entry)
-    return start.isNotNull() & end.isNotNull()
+    return day(start).isNotNull() & day(end).isNotNull()
 
 
 def normalize_days_off(members: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -284,23 +305,25 @@ def normalize_days_off(members: DataFrame, payloads: DataFrame) -> DataFrame:
         "team_id", "person_id", as_object(F.col("entry")).alias("entry")
     )
     start, end = _dates(F.col("entry"))
-    return rows.select(
+    texts = rows.select("team_id", "person_id", start.alias("start"), end.alias("end"))
+    return texts.select(
         "team_id",
         "person_id",
-        start.alias("start"),
-        F.date_add(end, 1).alias("end"),
+        day(F.col("start")).alias("start"),
+        F.date_add(day(F.col("end")), 1).alias("end"),
         F.lit(None).cast("decimal(5,4)").alias("fraction"),
     ).where("start is not null and end is not null")
 
 
 def team_days_off_lists(payloads: DataFrame) -> DataFrame:
     """The team-wide list of each payload; a missing list makes the source partial."""
-    json = F.try_parse_json("payload")
-    root = as_object(json)
+    root = F.col("root")
     listed = F.coalesce(
-        as_list(member(root, "teamDaysOff")), as_list(member(root, "daysOff")), as_list(json)
+        as_list(member(root, "teamDaysOff")),
+        as_list(member(root, "daysOff")),
+        as_list(F.col("payload")),
     )
-    return payloads.select(
+    return payloads.withColumn("root", as_object(F.col("payload"))).select(
         "team_id",
         listed.alias("listed"),
         F.when(listed.isNull(), "team_days_off").alias("partial_source"),
@@ -309,26 +332,24 @@ def team_days_off_lists(payloads: DataFrame) -> DataFrame:
 
 def normalize_iterations(payloads: DataFrame) -> DataFrame:
     """Path, start and inclusive finish of every listed iteration, in source order."""
-    rows = payload_records(payloads, "iterations").withColumn(
-        "dated", F.coalesce(as_object(member(F.col("record"), "attributes")), F.col("record"))
-    )
-    record, dated = F.col("record"), F.col("dated")
-    fields = fields_of(record)
-
-    def first_filled(*names: str) -> Column:
-        return as_day(F.coalesce(*[_filled(member(dated, n)) for n in names]))
-
-    return rows.select(
+    record = F.col("record")
+    rows = payload_records(payloads, "iterations").withColumns(
+        {
+            "dated": F.coalesce(as_object(member(record, "attributes")), record),
+            "fields": fields_of(record),
+        }
+    )
+    dated = F.col("dated")
+    texts = pick(rows, path=("path", "name", "iterationPath")).select(
         "team_id",
         as_text(member(record, "id")).alias("iteration_id"),
-        F.coalesce(
-            *[as_label(either(record, fields, n)) for n in ("path", "name", "iterationPath")]
-        ).alias("path"),
-        first_filled("startDate", "start").alias("start"),
-        first_filled("finishDate", "endDate", "finish").alias("finish"),
+        picked(as_label, "path", 3).alias("path"),
+        first_of(as_text, dated, ("startDate", "start")).alias("start"),
+        first_of(as_text, dated, ("finishDate", "endDate", "finish")).alias("finish"),
         "arrival",
         "position",
     )
+    return texts.withColumns({"start": day(F.col("start")), "finish": day(F.col("finish"))})
 
 
 def iteration_links(payloads: DataFrame) -> DataFrame:
@@ -384,28 +405,39 @@ def normalize_revisions(payloads: DataFrame, settings: DataFrame, state_map: Dat
     )
     team = settings.select("team_id", "story_points_field", "remaining_field")
     record, fields = F.col("record"), F.col("fields")
-    assignee = member(fields, "System.AssignedTo")
-    person = as_object(assignee)
-    number = F.coalesce(
-        F.nullif(as_id(member(record, "rev")), F.lit(0)), as_id(member(record, "revision"))
-    )
-    parsed = attach(rows, team, "team_id", "inner").select(
+    raw = attach(rows, team, "team_id", "inner").withColumns(
+        {
+            "raw_rev": member(record, "rev"),
+            "raw_revision": member(record, "revision"),
+            "raw_changed": member(fields, "System.ChangedDate"),
+            "raw_other_changed": member(record, "changedDate"),
+            "raw_state": member(fields, "System.State"),
+            "raw_iteration": member(fields, "System.IterationPath"),
+            "raw_area": member(fields, "System.AreaPath"),
+            "raw_assignee": member(fields, "System.AssignedTo"),
+            "raw_points": member(fields, F.col("story_points_field")),
+            "raw_remaining": member(fields, F.col("remaining_field")),
+            "person": as_object(member(fields, "System.AssignedTo")),
+        }
+    )
+    number = F.coalesce(F.nullif(as_id(F.col("raw_rev")), F.lit(0)), as_id(F.col("raw_revision")))
+    parsed = raw.select(
         "organization",
         "team_id",
         "item_id",
         F.coalesce(number, F.lit(0)).alias("revision"),
-        as_instant(
-            F.coalesce(_filled(member(fields, "System.ChangedDate")), member(record, "changedDate"))
-        ).alias("changed_at"),
-        as_text(member(fields, "System.State")).alias("state"),
-        as_text(member(fields, "System.IterationPath")).alias("iteration_path"),
-        as_text(member(fields, "System.AreaPath")).alias("area_path"),
+        F.coalesce(as_text(F.col("raw_changed")), as_text(F.col("raw_other_changed"))).alias(
+            "changed_text"
+        ),
+        as_text(F.col("raw_state")).alias("state"),
+        as_text(F.col("raw_iteration")).alias("iteration_path"),
+        as_text(F.col("raw_area")).alias("area_path"),
         F.coalesce(
-            first_of(as_text, person, ("id", "uniqueName", "descriptor")), as_text(assignee)
+            first_of(as_text, F.col("person"), ("id", "uniqueName", "descriptor")),
+            as_text(F.col("raw_assignee")),
         ).alias("assigned_to"),
-        as_quantity(member(fields, F.col("story_points_field"))).alias("story_points"),
-        as_quantity(member(fields, F.col("remaining_field"))).alias("remaining"),
-    )
-    return map_state_category(parsed.where("changed_at is not null"), state_map).drop(
-        "state_reason"
-    )
+        as_quantity(F.col("raw_points")).alias("story_points"),
+        as_quantity(F.col("raw_remaining")).alias("remaining"),
+    ).withColumn("changed_at", instant(F.col("changed_text")))
+    usable = parsed.drop("changed_text").where("changed_at is not null")
+    return map_state_category(usable, state_map).drop("state_reason")

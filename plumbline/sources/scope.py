@@ -84,7 +84,7 @@ def resolve_window(iterations: DataFrame) -> DataFrame:
 
 
 def _type_states(definitions: DataFrame) -> DataFrame:
-    root = as_object(F.try_parse_json("payload"))
+    root = as_object(F.col("payload"))
     state = F.col("state")
     return (
         definitions.select(
@@ -129,7 +129,7 @@ def unmapped_states(definitions: DataFrame) -> DataFrame:
 
 def discover_fields(definitions: DataFrame) -> DataFrame:
     """Scheduling fields that at least one of the team's types has."""
-    root = as_object(F.try_parse_json("payload"))
+    root = as_object(F.col("payload"))
     names = F.transform(
         as_list(member(root, "fields")), lambda f: as_text(member(as_object(f), "referenceName"))
     )
@@ -149,7 +149,7 @@ def discover_team_scope(payloads: DataFrame) -> DataFrame:
     Descendants count only when every area says so, and are unknown when none says.
     Weekdays turn from Sunday = 0 to Monday = 0.
     """
-    root = as_object(F.try_parse_json("payload"))
+    root = as_object(F.col("payload"))
     listed = F.coalesce(
         *[as_list(member(F.col("root"), k)) for k in ("teamFieldValues", "areaPaths", "areas", "values")]
     )
@@ -159,7 +159,7 @@ def discover_team_scope(payloads: DataFrame) -> DataFrame:
             areas,
             lambda a: F.struct(
                 first_of(as_text, a, ("value", "path", "areaPath", "name")).alias("path"),
-                F.try_variant_get(member(a, "includeChildren"), "$", "boolean").alias("children"),
+                member(a, "includeChildren").try_cast("boolean").alias("children"),
             ),
         ),
         lambda a: a["path"].isNotNull(),
