@@ -86,7 +86,7 @@ def reconcile_identity(items: DataFrame, people: DataFrame) -> DataFrame:
         .groupBy("team_id", "assigned_to")
         .agg(F.min_by("person_id", "at").alias("person_id"))
     )
-    return attach(items, resolved, ["team_id", "assigned_to"]).select(
+    return attach(items, resolved, ["team_id", "assigned_to"], derived=True).select(
         *[c for c in items.columns if c != "assigned_to"],
         F.coalesce("person_id", "assigned_to").alias("assigned_to"),
         (F.col("assigned_to").isNull() | F.col("person_id").isNotNull()).alias("reconciled"),

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import checkpointed
+
 # A plan Spark itself estimates below this needs no measuring.
 ESTIMATE_BYTES = 10 * 1024 * 1024
 # Otherwise the rows are looked at, up to these bounds.
@@ -54,14 +56,18 @@ def attach(
     how: str = "left",
     *,
     max_bytes: int = BROADCAST_BYTES,
+    derived: bool = False,
 ) -> DataFrame:
     """Join a large table with a dimension, without gathering a hot key in one task.
 
     A dimension known to be small is broadcast, so the large side is not shuffled. A
     larger one goes through :func:`salted_join`. ``how`` is one of left, inner,
     left_semi and left_anti, where each row of the large side is kept or matched on
-    its own.
+    its own. ``derived`` marks a dimension that itself takes a pass over large tables:
+    it is written to the checkpoint folder, so measuring it does not compute it twice.
     """
+    if derived:
+        dimension = checkpointed(dimension)
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dimension, max_bytes=max_bytes):
         return facts.join(F.broadcast(dimension), keys, how)

@@ -55,8 +55,8 @@ def payload_records(payloads: DataFrame, *keys: str) -> DataFrame:
     return (
         payloads.withColumn("__root", as_object(F.col("payload")))
         .select(*context, F.posexplode(records).alias("position", "__record"))
+        .where(F.startswith(F.ltrim("__record"), F.lit("{")))
         .select(*context, "position", as_object(F.col("__record")).alias("record"))
-        .where("record is not null")
     )
 
 

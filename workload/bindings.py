@@ -736,3 +736,34 @@ class Tables:
         return self.read("customer").select(
             F.col("c_custkey").cast("string").alias("team_id"), F.inline(rows)
         )
+
+    # -- forecast -------------------------------------------------------------
+
+    @cached_property
+    def weekly_orders(self) -> DataFrame:
+        """Completed orders per Monday week and customer group, zero weeks included."""
+        done = self.read("orders").where("o_orderstatus = 'F'").select(
+            F.pmod("o_custkey", F.lit(25)).cast("string").alias("team_id"),
+            F.date_trunc("week", "o_orderdate").cast("date").alias("week"),
+        )
+        counts = done.groupBy("team_id", "week").agg(F.count(F.lit(1)).alias("completed"))
+        span = counts.agg(F.min("week").alias("first"), F.max("week").alias("last"))
+        weeks = F.sequence("first", "last", F.expr("interval 7 days"))
+        # One row of bounds beside at most 25 groups.
+        spine = (
+            counts.select("team_id").distinct().join(F.broadcast(span)).select(
+                "team_id", F.explode(weeks).alias("week")
+            )
+        )
+        return spine.join(counts, ["team_id", "week"], "left").select(
+            "team_id", "week", F.coalesce("completed", F.lit(0)).cast("bigint").alias("completed")
+        )
+
+    @cached_property
+    def open_scope(self) -> DataFrame:
+        """Open orders per customer group."""
+        return (
+            self.read("orders")
+            .groupBy(F.pmod("o_custkey", F.lit(25)).cast("string").alias("team_id"))
+            .agg(F.count(F.when(F.col("o_orderstatus") == "O", 1)).alias("scope"))
+        )

@@ -1,6 +1,7 @@
 """Import the query modules, so that the catalog is complete, and expose it."""
 
 from workload import (  # noqa: F401
+    forecast_queries,
     history_queries,
     load_queries,
     planning_queries,
