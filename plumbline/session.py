@@ -26,15 +26,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the cluster's shared checkpoint folder.
-
-    The folder is whatever the session names; only a session that names none (a
-    local test) gets a temporary one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names for checkpoints; a temporary one only without it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get(CHECKPOINT_DIR, None) or tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -17,7 +17,7 @@ from plumbline.operators.calendar import (
 )
 from plumbline.operators.cross_team import deduplicate_items
 from plumbline.operators.history import history_coverage, usable_revisions
-from plumbline.operators.load import accountable_items
+from plumbline.operators.load import accountable_items, load_findings
 from plumbline.operators.skew import attach
 from plumbline.session import configure
 
@@ -767,3 +767,105 @@ class Tables:
             .groupBy(F.pmod("o_custkey", F.lit(25)).cast("string").alias("team_id"))
             .agg(F.count(F.when(F.col("o_orderstatus") == "O", 1)).alias("scope"))
         )
+
+    # -- reports, claims and runs ---------------------------------------------
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """Load findings of every team; negative work is severe, unmapped states are minor."""
+        found = load_findings(self.accountable, self.settings)
+        return found.withColumn(
+            "severity",
+            F.when(F.col("rule_id") == "negative_remaining_work", "critical")
+            .when(F.col("rule_id") == "unmapped_state", "unheard")
+            .otherwise("attention"),
+        )
+
+    @cached_property
+    def decision_logs(self) -> list[DataFrame]:
+        """Two decision logs out of conversations: what users said, then everything."""
+        talk = self.read("conversations").select(
+            F.concat(F.lit("d"), "conv_id").alias("id"),
+            F.col("turn").alias("position"),
+            F.col("role").alias("status"),
+            F.length("text").cast("bigint").alias("statement_length"),
+        )
+        first = talk.where("status = 'user'").withColumn("log_order", F.lit(0))
+        return [first, talk.withColumn("log_order", F.lit(1))]
+
+    @cached_property
+    def replay_pair(self) -> tuple[DataFrame, DataFrame]:
+        """Stored and recomputed quantities per supplier; returned untaxed lines moved."""
+        line = self.read("lineitem")
+        base = line.select(
+            F.col("l_suppkey").cast("string").alias("run_id"),
+            F.col("l_orderkey").alias("item_id"),
+            F.col("l_quantity").cast("bigint").alias("value"),
+        )
+        moved = F.when((F.col("l_returnflag") == "R") & (F.col("l_tax") == 0.08) & (
+            F.col("l_discount") == 0.1), 1).otherwise(0)
+        again = line.select(
+            F.col("l_suppkey").cast("string").alias("run_id"),
+            F.col("l_orderkey").alias("item_id"),
+            (F.col("l_quantity").cast("bigint") + moved).alias("value"),
+        )
+        return base, again
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        """Every document is a claim about the run its source numbers."""
+        lang, size = F.col("lang"), F.col("n_chars")
+        cited = F.when(lang == "en", F.array(F.lit("known_remaining_work"))).when(
+            lang == "de",
+            F.array(
+                F.lit("open_items_count"),
+                F.concat(F.lit("evidence/items/"), F.col("doc_id") * 10, F.lit(".json")),
+            ),
+        ).when(lang == "es", F.array(F.lit("velocity"))).otherwise(F.array())
+        return self.read("documents").select(
+            F.substring("source", 4, 10).alias("run_id"),
+            F.when(size % 2 == 0, "action").otherwise("hypothesis").alias("kind"),
+            F.col("doc_id").alias("position"),
+            F.when(size > 20, F.col("text")).otherwise("").alias("statement"),
+            cited.cast("array<string>").alias("references"),
+            F.when(size % 3 > 0, "to be confirmed").alias("condition"),
+        )
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """Open parents are the evidence of their team's run."""
+        return self.parents.where("state_category = 'in_progress'").select(
+            F.col("team_id").alias("run_id"), "item_id"
+        )
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """One run per user and day with events; a day with an error is partial."""
+        day = F.to_date("ts")
+        failed = F.max(F.when(F.col("event_type") == "error", 1).otherwise(0)) == 1
+        return (
+            self.read("events")
+            .groupBy("user_id", day.alias("day"))
+            .agg(F.max("ts").cast("timestamp").alias("as_of"), failed.alias("failed"))
+            .select(
+                F.concat_ws("-", F.date_format("day", "yyyyMMdd"), "user_id").alias("run_id"),
+                F.col("user_id").cast("string").alias("team_id"),
+                "as_of",
+                F.when(F.col("failed"), "partial").otherwise("complete").alias("state"),
+                F.when(F.col("failed"), F.array(F.lit("work_items")))
+                .otherwise(F.array())
+                .cast("array<string>")
+                .alias("partial_reasons"),
+                "day",
+            )
+        )
+
+    @cached_property
+    def run_values(self) -> DataFrame:
+        """What each run measured: its events."""
+        return self.read("events").select(
+            F.concat_ws("-", F.date_format("ts", "yyyyMMdd"), "user_id").alias("run_id"),
+            F.col("event_type").alias("metric_id"),
+            F.col("event_id").alias("item_id"),
+            F.col("value").cast(_MONEY).cast("string").alias("value"),
+        )

@@ -32,20 +32,10 @@ VIEWS["scopes"] = (
 )
 
 
-def simulation(sample: str, size: str, scope: str, seed: str, iteration: str, limit: int) -> str:
-    """Periods of one iteration as a fold over the draws, the same integer arithmetic."""
-    p = 2147483647
-    x0 = f"(({iteration} * 1000003 + k * 7919 + {seed}) % {p})"
-    x1 = f"(({x0} * {x0} + 12345) % {p})"
-    x2 = f"(({x1} * 48271 + {iteration} * 31 + k) % {p})"
-    x3 = f"(({x2} * {x2} + k * 101 + {seed}) % {p})"
-    x4 = f"(({x3} * 69621 + {iteration}) % {p})"
-    # The state packs delivered items and periods as delivered * 1000 + periods.
-    return f"""
-      (list_reduce(range(1, {limit + 1}), lambda a, k:
-        case when a // 1000 >= {scope} then a
-          else a + 1 + 1000 * {sample}[{x4} % {size} + 1] end, cast(0 as bigint)) % 1000)
-    """
+_P = 2147483647
+# The draw for iteration i and period k, the same integer arithmetic as the operator.
+_X1 = f"(((i * 1000003 + k * 7919 + 20260913) % {_P}) * ((i * 1000003 + k * 7919 + 20260913) % {_P}) + 12345) % {_P}"
+_X2 = f"(({_X1}) * 48271 + i * 31 + k) % {_P}"
 
 
 def _eligibility(t: Tables):
@@ -70,22 +60,31 @@ def _(t: Tables):
     return _eligibility(t).drop("sample")
 
 
+# One fold per iteration delivers both scopes. Its state is delivered * 10^6 + periods for
+# the given scope * 10^3 + periods for the larger one.
 _FORECAST = (
     with_views("", "samples", "scopes").rstrip()
     + f""",
     grid as (
-      select s.team_id, s.sample, s.n, c.scenario, c.remaining_items, i.iteration
-      from samples s join scopes p using (team_id),
-        lateral (values ('scope', p.scope), ('scope_plus_20', cast(round_even(p.scope * 1.2, 0) as bigint)))
-          c(scenario, remaining_items),
-        range(0, 10000) i(iteration)
+      select s.team_id, s.sample, s.n, p.scope, cast(round_even(p.scope * 1.2, 0) as bigint) as larger, r.i
+      from samples s join scopes p using (team_id), range(0, 10000) r(i)
       where s.n >= 12 and s.completions >= 30 and p.scope > 0),
+    half_drawn as (
+      select *, list_transform(range(1, 521), lambda k: {_X2}) as x2 from grid),
     runs as (
-      select team_id, scenario, remaining_items,
-        {simulation('sample', 'n', 'remaining_items', '20260913', 'iteration', 520)} as periods
-      from grid),
+      select team_id, scope, larger, list_reduce(
+        list_transform(x2, lambda x, k: sample[
+          (((x * x + k * 101 + 20260913) % {_P}) * 69621 + i) % {_P} % n + 1]),
+        lambda a, drawn: case when a // 1000000 >= larger then a
+          else a + drawn * 1000000 + case when a // 1000000 < scope then 1001 else 1 end end,
+        cast(0 as bigint)) as state
+      from half_drawn),
+    periods as (
+      select team_id, 'scope' as scenario, scope as remaining_items, state // 1000 % 1000 as periods from runs
+      union all
+      select team_id, 'scope_plus_20', larger, state % 1000 from runs),
     ranked as (
-      select *, row_number() over (partition by team_id, scenario order by periods) as rank from runs)
+      select *, row_number() over (partition by team_id, scenario order by periods) as rank from periods)
     select cast(team_id as varchar) as team_id, scenario, remaining_items, count(*) as iterations,
       max(case when rank = 5000 then periods end) as p50_periods,
       max(case when rank = 8500 then periods end) as p85_periods
@@ -99,33 +98,6 @@ def _(t: Tables):
     return forecast.bootstrap_forecast(_eligibility(t))
 
 
-_BACKTEST = (
-    with_views("", "samples").rstrip()
-    + f""",
-    cuts as (
-      select team_id, sample, cutoff, list_sum(sample[cutoff + 1 : cutoff + 4]) as ahead
-      from samples, lateral (select unnest(range(12, n - 3)) as cutoff)
-      where list_sum(sample[cutoff + 1 : cutoff + 4]) > 0 and list_sum(sample[1 : cutoff]) > 0),
-    runs as (
-      select team_id, cutoff,
-        {simulation('sample', 'cutoff', 'ahead', '(20260913 + cutoff)', 'iteration', 520)} as periods
-      from cuts, range(0, 2000) i(iteration)),
-    ranked as (
-      select *, row_number() over (partition by team_id, cutoff order by periods) as rank from runs),
-    found as (
-      select team_id, cutoff, max(case when rank = 1000 then periods end) as p50,
-        max(case when rank = 1700 then periods end) as p85
-      from ranked group by all)
-    select cast(team_id as varchar) as team_id, count(f.cutoff) as evaluated,
-      round(count(*) filter (where p50 >= 4) / nullif(count(f.cutoff), 0), 6) as p50_coverage,
-      round(count(*) filter (where p85 >= 4) / nullif(count(f.cutoff), 0), 6) as p85_coverage,
-      case when max(n) < 16 then 'series_too_short' when count(f.cutoff) = 0 then 'no_usable_cutoff'
-        end as reason
-    from samples left join found f using (team_id) group by team_id
-    """
-)
-
-
 # No oracle: folding 16 million iterations of up to 520 draws is too slow in SQL. The tests
 # check the operator against a plain loop on a small series.
 @query("forecast_backtest")

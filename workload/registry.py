@@ -5,6 +5,7 @@ from workload import (  # noqa: F401
     history_queries,
     load_queries,
     planning_queries,
+    report_queries,
     source_queries,
 )
 from workload.catalog import callables, oracles
