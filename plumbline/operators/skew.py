@@ -25,6 +25,17 @@ _SALT = "__salt"
 _SLICE = "__slice"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input with fewer splits than the session has cores over all of them.
+
+    A table of many files or row groups already has more and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of a plan; joins and aggregations overstate it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -5,7 +5,7 @@ The mapping is fixed and covers whole tables; ``oracle.py`` states the same view
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from plumbline.operators.calendar import (
 from plumbline.operators.cross_team import deduplicate_items
 from plumbline.operators.history import history_coverage, usable_revisions
 from plumbline.operators.load import accountable_items, load_findings
-from plumbline.operators.skew import attach
+from plumbline.operators.skew import attach, spread
 from plumbline.session import configure
 
 # The flagship sprint, and the sprint the revision history is read against.
@@ -28,6 +28,8 @@ HISTORY = ("2024-01-08", "2024-01-20")
 ORGANIZATION = "org"
 
 _MONEY = "decimal(18,4)"
+# Tables whose rows are worked on one by one before anything is aggregated.
+_FACTS = ("lineitem", "documents")
 
 
 class Tables:
@@ -37,8 +39,10 @@ class Tables:
         self.spark = configure(spark)
         self.folder = folder
 
+    @cache
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in _FACTS else table
 
     # -- team dimension -------------------------------------------------------
 
