@@ -68,6 +68,7 @@ def attach(
     *,
     max_bytes: int = BROADCAST_BYTES,
     derived: bool = False,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large table with a dimension, without gathering a hot key in one task.
 
@@ -76,11 +77,13 @@ def attach(
     left_semi and left_anti, where each row of the large side is kept or matched on
     its own. ``derived`` marks a dimension that itself takes a pass over large tables:
     it is written to the checkpoint folder, so measuring it does not compute it twice.
+    ``sized_by`` is a cheaper table with the same number of rows or more to measure in
+    its place.
     """
     if derived:
         dimension = checkpointed(dimension)
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(dimension, max_bytes=max_bytes):
+    if fits_broadcast(dimension if sized_by is None else sized_by, max_bytes=max_bytes):
         return facts.join(F.broadcast(dimension), keys, how)
     return salted_join(facts, dimension, keys, how)
 
