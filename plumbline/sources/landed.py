@@ -163,10 +163,12 @@ def normalize_work_items(payloads: DataFrame, settings: DataFrame) -> DataFrame:
         as_text(F.col("raw_created")).alias("created_text"),
         as_text(F.col("raw_changed")).alias("changed_text"),
         F.coalesce(as_id(F.col("raw_parent")), as_id(F.col("raw_other_parent"))).alias("parent_id"),
-    ).where("item_id is not null")
+    )
+    # Drops records without an id. A filter would be pushed below and parse each record again.
+    identified = texts.withColumn("item_id", F.explode(F.array_compact(F.array("item_id"))))
     unknown = F.lit(v.UNKNOWN_LABEL)
     owes_work = F.col("allocates") & F.col("remaining_field").isNotNull()
-    return texts.select(
+    return identified.select(
         "organization",
         "team_id",
         "item_id",

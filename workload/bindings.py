@@ -19,7 +19,7 @@ from plumbline.operators.cross_team import deduplicate_items
 from plumbline.operators.history import history_coverage, usable_revisions
 from plumbline.operators.load import accountable_items, load_findings
 from plumbline.operators.skew import attach, spread
-from plumbline.session import configure
+from plumbline.session import configure, stored
 
 # The flagship sprint, and the sprint the revision history is read against.
 SPRINT = ("1998-01-05", "1998-01-17")
@@ -400,7 +400,8 @@ class Tables:
                 "iteration_path": F.concat_ws("-", F.lit("it"), month),
             }
         )
-        return children.select(*fields).unionByName(parents.select(*fields))
+        # Rules read items and, for their dates, the items' children.
+        return stored(children.select(*fields).unionByName(parents.select(*fields)))
 
     @cached_property
     def rule_overrides(self) -> DataFrame:

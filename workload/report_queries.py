@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from plumbline.operators import claims, report, runs
-from plumbline.session import shared_folder
+from plumbline.session import shared_folder, stored
 from plumbline.sources import sinks
 from workload.bindings import Tables
 from workload.catalog import query
@@ -274,9 +274,9 @@ def _run_metrics(t: Tables):
     return team_metrics(t).withColumnRenamed("team_id", "run_id")
 
 
-def _numbers(t: Tables):
+def _numbers(t: Tables, metrics):
     return claims.allowed_numbers(
-        _run_metrics(t),
+        metrics,
         person_load(t).withColumnRenamed("team_id", "run_id"),
         t.evidence,
         t.findings.withColumnRenamed("team_id", "run_id"),
@@ -331,7 +331,7 @@ def _with_findings(sql: str) -> str:
 def _(t: Tables):
     """Count per run of the numbers with at most one decimal, which both engines spell alike."""
     return (
-        _numbers(t)
+        _numbers(t, _run_metrics(t))
         .where(F.rlike("number", F.lit(r"^-?[0-9]+([.][0-9])?$")))
         .groupBy("run_id")
         .agg(F.count(F.lit(1)).alias("numbers"))
@@ -339,8 +339,10 @@ def _(t: Tables):
 
 
 def _verdicts(t: Tables):
-    references = claims.known_references(_run_metrics(t), t.evidence)
-    return claims.validate_claims(t.claims, references, _numbers(t), banned=BANNED)
+    # A run's metrics and numbers are stored before anything is claimed about it.
+    metrics = stored(_run_metrics(t))
+    references = claims.known_references(metrics, t.evidence)
+    return claims.validate_claims(t.claims, references, stored(_numbers(t, metrics)), banned=BANNED)
 
 
 _CLAIMS = (
@@ -400,7 +402,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    return claims.accepted_references(t.claims, _verdicts(t))
+    return claims.accepted_references(t.claims, stored(_verdicts(t)))
 
 
 # -- runs ---------------------------------------------------------------------
