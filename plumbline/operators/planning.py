@@ -68,6 +68,7 @@ RULES: dict[str, Rule] = {
         Rule(
             "missing_required_fields", True, "info",
             lambda rule: F.size(_missing_fields(rule)) > 0,
+            needs="item_values",
         ),
         Rule(
             "story_without_task", False, "info",
@@ -92,6 +93,10 @@ RULES: dict[str, Rule] = {
 }
 
 
+def _column(rule: Rule) -> str:
+    return f"rule_{rule.rule_id}"
+
+
 def effective_rules(teams: DataFrame, overrides: DataFrame) -> DataFrame:
     """Every rule per team with the team's overrides over the defaults.
 
@@ -207,18 +212,16 @@ def evaluate_planning(
     """
     evaluated = [RULES[rule_id] for rule_id in only] if only is not None else list(RULES.values())
     needed = {rule.needs for rule in evaluated}
+    # One column of settings per rule; a rule that is off has none.
+    own_settings = F.struct("rule_version", "severity", "tolerance_days", "exceptions")
     per_team = (
         rules.where("enabled")
         .groupBy("team_id")
         .agg(
-            F.map_from_entries(
-                F.collect_list(
-                    F.struct(
-                        "rule_id",
-                        F.struct("rule_version", "severity", "tolerance_days", "exceptions"),
-                    )
-                )
-            ).alias("rules")
+            *[
+                F.max(F.when(F.col("rule_id") == r.rule_id, own_settings)).alias(_column(r))
+                for r in evaluated
+            ]
         )
     )
     team = (
@@ -231,9 +234,9 @@ def evaluate_planning(
         for c in (F.lit(f.name), F.col(f.name).cast("string"))
     ]
     no = F.lit(False)
-    joined = attach(items, team, "team_id", "inner").withColumn(
-        "item_values", F.create_map(*values)
-    )
+    joined = attach(items, team, "team_id", "inner")
+    if "item_values" in needed:
+        joined = joined.withColumn("item_values", F.create_map(*values))
     if "children" in needed:
         joined = joined.join(
             children_summary(items, relations), ["item_id", "organization"], "left"
@@ -247,7 +250,7 @@ def evaluate_planning(
         )
 
     def finding(rule: Rule) -> Column:
-        own = F.try_element_at("rules", F.lit(rule.rule_id))
+        own = F.col(_column(rule))
         excepted = F.array_contains(own["exceptions"], F.col("item_id").cast("string"))
         fired = own.isNotNull() & ~excepted & rule.fires(own)
         return F.when(

@@ -186,7 +186,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           epoch_us(case when n_regionkey = 3 then timestamp '2024-01-09 12:00:00'
             else timestamp '2024-01-08' end) as commitment_at,
           epoch_us(timestamp '2024-01-08') as since, epoch_us(timestamp '2024-01-20') as until,
-          n_regionkey <> 0 as complete
+          n_regionkey <> 0 and n_nationkey in (select user_id % 25 from events) as complete
         from nation
         """,
     ),
