@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline import vocabulary as v
 from plumbline.functions.columns import local_date, local_midnight
 from plumbline.functions.json import as_id, as_list, as_object, as_text, first_of, member
+from plumbline.operators.skew import attach
 
 # Source state categories (lower case) and their category here.
 SOURCE_CATEGORIES = {
@@ -45,7 +46,7 @@ def select_iteration(teams: DataFrame, iterations: DataFrame) -> DataFrame:
     wanted = F.col("path") == F.col("wanted_path")
     rank = F.when(wanted, 0).when(here.between(F.col("start"), F.col("finish")), 1)
     chosen = (
-        teams.join(iterations, "team_id")
+        attach(iterations, teams, "team_id", "inner")
         .withColumn("rank", rank)
         .where("rank is not null")
         .groupBy("team_id")

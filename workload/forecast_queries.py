@@ -46,7 +46,8 @@ def _eligibility(t: Tables):
     "forecast_eligibility",
     with_views(
         """
-        select cast(team_id as varchar) as team_id, scope, n as weeks, completions,
+        select cast(team_id as varchar) as team_id, scope, n as weeks,
+          cast(completions as bigint) as completions,
           case when n < 12 or completions < 30 then concat_ws(',', case when n < 12 then 'too_few_weeks' end,
               case when completions < 30 then 'too_few_completions' end)
             when scope <= 0 then 'no_sample_or_scope' else '' end as reasons,

@@ -330,11 +330,11 @@ def _(t: Tables):
             round(cast(s.baseline_size - s.done as double) / s.baseline_size, 6) end as carry_over,
           s.committed as committed_points, s.current as current_points,
           case when w.complete then coalesce(s.changed, 0) end as changed_items,
-          case when w.complete then coalesce(t.entered, 0) end as scope_entered,
-          case when w.complete then coalesce(t.exited, 0) end as scope_exited,
+          case when w.complete then cast(coalesce(t.entered, 0) as bigint) end as scope_entered,
+          case when w.complete then cast(coalesce(t.exited, 0) as bigint) end as scope_exited,
           case when w.complete then coalesce(t.both_ways, 0) end as scope_round_trips,
           case when w.complete then coalesce(f.throughput, 0) end as throughput,
-          case when w.complete then 2 end as weeks,
+          case when w.complete then cast(2 as bigint) end as weeks,
           case when w.complete then coalesce(g.reopened, 0) end as reopened_items,
           r.cycles[greatest(1, (50 * r.cycle_n + 99) // 100)] as cycle_time_p50,
           r.cycles[greatest(1, (85 * r.cycle_n + 99) // 100)] as cycle_time_p85,

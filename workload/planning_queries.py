@@ -38,7 +38,7 @@ for _rule_id in planning.RULES:
     "evaluate_planning",
     with_views(
         """
-        select team_id, rule_id, severity, count(*) as findings, sum(item_id) as item_id_sum
+        select team_id, rule_id, severity, count(*) as findings, cast(sum(item_id) as bigint) as item_id_sum
         from planning_findings group by all
         """,
         "planning_findings",
@@ -76,7 +76,8 @@ def _(t: Tables):
         when rule_id = 'story_without_task' then 'high'
         when rule_id = 'area_or_iteration_mismatch' and n_regionkey = 1 then 'attention'
         else severity end as severity,
-      case when rule_id = 'overdue_open_item' and n_regionkey = 3 then 30 else 0 end as tolerance_days
+      cast(case when rule_id = 'overdue_open_item' and n_regionkey = 3 then 30 else 0 end as bigint)
+        as tolerance_days
     from nation, (values ('inverted_dates', true, 'attention', []),
       ('overdue_open_item', true, 'attention', []),
       ('parent_ends_before_children', true, 'attention', []),

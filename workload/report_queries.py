@@ -78,7 +78,7 @@ _CANDIDATES = (
     _PAIR
     + f""",
     candidates as (
-      select i.team_id, 'impediment' as prefix, 'active_impediment' as rule_id, 1 as priority,
+      select i.team_id, 'impediment' as prefix, 'active_impediment' as rule_id, cast(1 as bigint) as priority,
         cast(count(*) as double) as amount, false as is_partial
       from children i where blocked group by i.team_id
       union all
@@ -137,7 +137,7 @@ VIEWS["findings"] = (
         case when state_category is null then 'unheard'
           when state_category in ('completed', 'removed') then 'attention' else 'critical' end as severity,
         case when state_category is null then 99
-          when state_category in ('completed', 'removed') then 2 else 0 end as severity_rank
+          when state_category in ('completed', 'removed') then 2 else 0 end::bigint as severity_rank
       from accountable)
     where rule_id is not null
     """,
@@ -181,7 +181,7 @@ def _(t: Tables):
       select cast(o_custkey % 25 as varchar) as run_id, o_orderkey * 10 as item_id,
         row_number() over (partition by o_custkey % 25 order by o_orderkey) as position,
         count(*) over (partition by o_custkey % 25) as total,
-        case when count(*) over (partition by o_custkey % 25) > 90 then 90 end as next_cursor
+        case when count(*) over (partition by o_custkey % 25) > 90 then cast(90 as bigint) end as next_cursor
       from orders where o_orderstatus = 'O')
     where position > 40 and position <= 90
     """,
@@ -193,7 +193,7 @@ def _(t: Tables):
 @query(
     "merge_decisions",
     """
-    select id, log_order, position, status, statement_length from (
+    select id, cast(log_order as bigint) as log_order, position, status, statement_length from (
       select *, row_number() over (partition by id order by log_order, position) as n from (
         select 'd' || conv_id as id, 0 as log_order, turn as position, role as status,
           length(text) as statement_length from conversations where role = 'user'
@@ -457,7 +457,7 @@ def _(t: Tables):
 @query(
     "append_snapshot",
     """
-    select strftime(ts, '%Y%m%d') || '-' || user_id as run_id, count(*) as rows, sum(event_id) as item_sum,
+    select strftime(ts, '%Y%m%d') || '-' || user_id as run_id, count(*) as rows, cast(sum(event_id) as bigint) as item_sum,
       'sha256:' || substr(sha256('org|' || user_id), 1, 32) as source_identity
     from events group by 1, user_id
     """,

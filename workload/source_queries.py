@@ -199,7 +199,7 @@ _SHIFTED = "date '1998-01-05' + cast(floor(c_acctbal / 500) as int)"
 @query(
     "normalize_iterations",
     f"""
-    select cast(c_custkey as varchar) as team_id, path, iteration_id, position,
+    select cast(c_custkey as varchar) as team_id, path, iteration_id, cast(position as bigint) as position,
       strftime(start, '%Y-%m-%d') as start, strftime(finish, '%Y-%m-%d') as finish
     from customer, lateral (values ('P1', 'a', 0, date '1997-12-22', date '1998-01-04'),
       ('P2', null, 1, null, null), ('P3', 'c', 2, {_SHIFTED}, {_SHIFTED} + 13))
@@ -297,7 +297,7 @@ def _(t: Tables):
 @query(
     "unmapped_states",
     """
-    select cast(c_custkey as varchar) as team_id, type_order, 'Doing' as state, source from customer,
+    select cast(c_custkey as varchar) as team_id, cast(type_order as bigint) as type_order, 'Doing' as state, source from customer,
       lateral (values (0, case when c_mktsegment = 'BUILDING' then 'paused' end),
         (1, case when c_mktsegment <> 'MACHINERY' then 'unheard' end)) s(type_order, source)
     where source is not null
