@@ -35,18 +35,25 @@ def item_milestones(revisions: DataFrame) -> DataFrame:
     )
 
 
-def _completed_cohort(revisions: DataFrame, windows: DataFrame) -> DataFrame:
+def completed_cohort(revisions: DataFrame, windows: DataFrame) -> DataFrame:
+    """Milestones of the items first completed in their team's window.
+
+    Throughput, cycle and lead time all read it; compute it once and pass it to each.
+    """
     frame = windows.select("team_id", "since", "until")
     return attach(item_milestones(revisions), frame, "team_id", "inner").where(
         _in_cohort("completed_at")
     )
 
 
-def throughput_by_week(revisions: DataFrame, windows: DataFrame) -> DataFrame:
+def throughput_by_week(
+    revisions: DataFrame, windows: DataFrame, cohort: DataFrame | None = None
+) -> DataFrame:
     """First completions per Monday week of every team in ``windows``, zero weeks kept."""
+    if cohort is None:
+        cohort = completed_cohort(revisions, windows)
     counts = (
-        _completed_cohort(revisions, windows)
-        .groupBy("team_id", week_start(F.col("completed_at")).alias("week"))
+        cohort.groupBy("team_id", week_start(F.col("completed_at")).alias("week"))
         .agg(F.count(F.lit(1)).alias("completed"))
     )
     weeks = F.sequence(
@@ -75,13 +82,17 @@ def reopened_completions(revisions: DataFrame, windows: DataFrame) -> DataFrame:
     return per_item.where(again > 0).select(*ITEM, again.alias("completions"))
 
 
-def cycle_times(revisions: DataFrame, windows: DataFrame) -> DataFrame:
+def cycle_times(
+    revisions: DataFrame, windows: DataFrame, cohort: DataFrame | None = None
+) -> DataFrame:
     """First start to first completion in days, for items first completed in the window.
 
     An item not seen to start before it completed has no days, and the reason.
     """
+    if cohort is None:
+        cohort = completed_cohort(revisions, windows)
     started = F.col("started_at") <= F.col("completed_at")
-    return _completed_cohort(revisions, windows).select(
+    return cohort.select(
         *ITEM,
         "completed_at",
         F.when(started, elapsed_days(F.col("started_at"), F.col("completed_at"))).alias("days"),
@@ -89,14 +100,20 @@ def cycle_times(revisions: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
-def lead_times(revisions: DataFrame, created: DataFrame, windows: DataFrame) -> DataFrame:
+def lead_times(
+    revisions: DataFrame,
+    created: DataFrame,
+    windows: DataFrame,
+    cohort: DataFrame | None = None,
+) -> DataFrame:
     """Creation to first completion in days, for the same cohort.
 
     ``created`` has one row per (organization, item_id) with created_at.
     """
+    if cohort is None:
+        cohort = completed_cohort(revisions, windows)
     born = created.select("item_id", "organization", "created_at")
-    cohort = _completed_cohort(revisions, windows).join(born, ["item_id", "organization"], "left")
-    return cohort.select(
+    return cohort.join(born, ["item_id", "organization"], "left").select(
         *ITEM,
         "completed_at",
         elapsed_days(F.col("created_at"), F.col("completed_at")).alias("days"),

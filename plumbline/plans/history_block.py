@@ -9,6 +9,7 @@ from plumbline.functions.columns import ratio
 from plumbline.operators import commitment, flow
 from plumbline.operators.history import ITEM, usable_revisions
 from plumbline.operators.skew import attach
+from plumbline.session import stored
 
 
 def history_block(
@@ -18,8 +19,11 @@ def history_block(
 
     Item lists are not packed into the row. They are the tables of ``scope_changes``,
     ``scope_round_trips``, ``repointed_items``, ``reopened_completions`` and
-    ``aging_wip``; the row has their counts.
+    ``aging_wip``; the row has their counts. What several columns come from, the completed
+    cohort and the baseline's outcomes, is stored once.
     """
+    # Every part is gated by coverage: one small row per team.
+    coverage = stored(coverage)
     available = windows.where("iteration_path is not null").join(
         coverage.where("is_usable").select("team_id"), "team_id", "left_semi"
     )
@@ -29,7 +33,7 @@ def history_block(
     team = available.select("team_id")
 
     baseline = commitment.build_baseline(usable, available)
-    outcomes = commitment.baseline_outcomes(baseline, usable, available)
+    outcomes = stored(commitment.baseline_outcomes(baseline, usable, available))
     points = commitment.committed_points(outcomes)
     said = commitment.say_do(available, outcomes)
     changes = commitment.scope_changes(usable, available)
@@ -44,7 +48,8 @@ def history_block(
             "scope_round_trips"
         ),
     )
-    weeks = flow.throughput_by_week(usable, available)
+    cohort = stored(flow.completed_cohort(usable, available))
+    weeks = flow.throughput_by_week(usable, available, cohort)
     throughput = weeks.groupBy("team_id").agg(
         F.sum("completed").alias("throughput"), F.count(F.lit(1)).alias("weeks")
     )
@@ -54,7 +59,7 @@ def history_block(
         .agg(F.count(F.lit(1)).alias("reopened_items"))
     )
     cycle = flow.nearest_rank_percentile(
-        flow.cycle_times(usable, available), ["team_id"], [50, 85]
+        flow.cycle_times(usable, available, cohort), ["team_id"], [50, 85]
     ).select(
         "team_id",
         F.col("p50").alias("cycle_time_p50"),
@@ -63,7 +68,7 @@ def history_block(
         F.col("small_sample").alias("cycle_small"),
     )
     lead = flow.nearest_rank_percentile(
-        flow.lead_times(usable, created, available), ["team_id"], [50]
+        flow.lead_times(usable, created, available, cohort), ["team_id"], [50]
     ).select(
         "team_id",
         F.col("p50").alias("lead_time_p50"),
