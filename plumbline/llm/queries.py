@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, mixing, topk_search
+from plumbline.llm import bpe, exact_dedup, mixing, pii, quality, topk_search, toxicity
 from plumbline.llm.common import table
 
 
@@ -16,10 +17,27 @@ def op1_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return topk_search.search(topk_search.build_index(vectors), queries, k=5)
 
 
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.Mix(table(spark, folder, "documents")).taken()
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return exact_dedup.deduplicate(docs, exact_dedup.new_index(spark))
@@ -27,7 +45,11 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_pii": op2_pii,
+    "op4_quality": op4_quality,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
