@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, exact_dedup, mixing, pii, quality, topk_search, toxicity
+from plumbline.llm import bpe, class_lm, exact_dedup, mixing, pii, quality, topk_search, toxicity
 from plumbline.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.scored(table(spark, folder, "documents"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_class_lm": op8_class_lm,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
