@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, class_lm, exact_dedup, mixing, pii, quality, topk_search, toxicity
+from plumbline.llm import (
+    bpe,
+    class_lm,
+    exact_dedup,
+    html_wrappers,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    topk_search,
+    toxicity,
+)
 from plumbline.llm.common import table
 
 
@@ -21,10 +32,18 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.components_of(table(spark, folder, "documents"), words=3, percent=90)
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, folder, "pages"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.Mix(table(spark, folder, "documents")).taken()
 
@@ -50,7 +69,9 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_pii": op2_pii,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality": op4_quality,
+    "op5_html": op5_html,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_class_lm": op8_class_lm,
