@@ -101,16 +101,17 @@ def survivors(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
     The large texts meet the kept ids in one shuffled join; equal rows then count once.
     """
-    kept = deduplicate(docs, index).where("kept").select("doc_id", "text_sha256")
-    marked = docs.withColumn("text_sha256", F.lower(F.hex(digest())))
-    on = marked["doc_id"].eqNullSafe(kept["doc_id"]) & (
-        marked["text_sha256"] == kept["text_sha256"]
+    kept = deduplicate(docs, index).where("kept").select("doc_id", F.unhex("text_sha256"))
+    kept = kept.toDF("kept_id", "kept_digest")
+    marked = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("doc"), digest().alias("digest")
     )
-    longest = F.row_number().over(
-        Window.partitionBy("text_sha256", "doc_id").orderBy(F.char_length(text_of()).desc())
+    on = (marked["digest"] == kept["kept_digest"]) & marked["doc.doc_id"].eqNullSafe(kept["kept_id"])
+    longest = Window.partitionBy("digest", "doc.doc_id").orderBy(
+        F.char_length(text_of("doc.text")).desc()
     )
-    once = marked.join(kept, on, "left_semi").withColumn("copy_rank", longest)
-    return once.where("copy_rank = 1").select(*[docs[c] for c in docs.columns])
+    once = marked.join(kept, on, "left_semi").withColumn("place", F.row_number().over(longest))
+    return once.where("place = 1").select("doc.*")
 
 
 ORACLE = r"""

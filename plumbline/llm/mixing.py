@@ -266,3 +266,36 @@ class Mix:
             "doc_id", "size", "source_size", "target",
             F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
         )
+
+
+def mixed(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The documents of the mix, with their own columns: one row per document and pass.
+
+    A pass that takes all words of a document returns its text as it is; one that takes a
+    part returns the words taken, in order, joined by spaces. ``n_chars`` follows the text.
+    """
+    numbered = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    rows = stored(numbered, "mixed-input")  # the rows' numbers now are values
+    mix = Mix(rows.select(F.col("row").alias("doc_id"), "doc.source", "doc.text"), block, shard_slots)
+    keys = mix.documents.select(
+        F.col("doc_id").alias("row"), "size", "source_rank", "bucket", "place"
+    )
+    passes = mix.shards().groupBy("source_rank", "bucket", "place", "pass").agg(
+        F.array_sort(F.collect_list(F.struct("doc_word", "taken"))).alias("ranges"),
+        F.sum("taken").alias("words"),
+    )
+    taken = passes.join(keys, ["source_rank", "bucket", "place"]).select(
+        "row", F.when(F.col("words") < F.col("size"), F.col("ranges")).alias("ranges")
+    )
+    words = F.regexp_extract_all(text_of("doc.text"), F.lit(f"({WORD})"), F.lit(1))
+    parts = F.transform("ranges", lambda r: F.slice(words, r["doc_word"].cast("int") + 1, r["taken"].cast("int")))
+    text = F.when(F.col("ranges").isNull(), F.col("doc.text")).otherwise(
+        F.array_join(F.flatten(parts), " ")
+    )
+    each = rows.join(taken, "row").withColumn("mixed_text", text)
+    replaced = {"text": F.col("mixed_text"), "n_chars": F.char_length("mixed_text").cast("bigint")}
+    own = [replaced.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+    return each.select(*own)

@@ -503,3 +503,16 @@ def labelled_documents(rows: DataFrame, labels: DataFrame) -> DataFrame:
         "doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")
     )
     return found.unionByName(empty)
+
+
+def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with their columns.
+
+    Texts without words link with nothing and stay. Rows that repeat an id stay or go
+    together: they go if one of them links to a smaller id.
+    """
+    found = components_of(docs, words, percent)
+    leaving = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Sent to every task only while its written size is small; else both sides are shuffled.
+    gone = stored(leaving.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")

@@ -38,6 +38,7 @@ SECOND = frozenset(
     "tú ti usted vosotros ustedes".split()
 )
 NEAR = 5
+THRESHOLD = 0.5
 BEGINNINGS = (4, 5, 6, 7)
 LEVELS = (0, *BEGINNINGS)  # 0: whole words
 LEAST_DOCS, LEAST_ODDS, MOST_TERMS = 3, 1.5, 2_000
@@ -327,11 +328,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(*sample(docs, labels, "toxic"))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs`` and, of every whole text, ``score`` and ``predicted``; no shuffle."""
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` and, of every whole text, its score as ``column``; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn(column, F.lit(0.0)).schema
+    if column in docs.columns:
+        raise ValueError(f"there is a column {column} already")
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(shared.value.lexicons.hits)
@@ -341,13 +343,25 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 [features(t.as_py() or "", memo) for t in texts], dtype=float
             ).reshape(len(texts), N_FEATURES)
             marks = pa.array(shared.value.scores(rows), pa.float64())
-            yield pa.RecordBatch.from_arrays([*part.columns, marks], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, marks], [*part.schema.names, column])
 
-    scored = docs.select(*kept).mapInArrow(add, schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(add, schema)
 
 
-def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The contract's columns for every document."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", held_out(5).alias("held_out"), "score", "predicted")
+    return score(docs.select("doc_id", "text"), train(docs, labels)).select(
+        "doc_id",
+        held_out(5).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their own columns."""
+    column = "toxicity"
+    while column in docs.columns:
+        column += "_"
+    scored = score(docs, train(docs, labels), column)
+    return scored.where(F.col(column) < threshold).select(*docs.columns)
