@@ -23,7 +23,6 @@ HEADLINE = (
     "evaluate_planning",
     "summarize_within_budget",
     "bootstrap_forecast",
-    "forecast_backtest",
     "normalize_work_items",
     "validate_claims",
 )
@@ -38,6 +37,9 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        # Wide parsing projections run faster when code beyond the JVM's limit is not fused.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

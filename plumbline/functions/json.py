@@ -49,7 +49,8 @@ def as_quantity(value: Column) -> Column:
 
 
 def as_id(value: Column) -> Column:
-    return as_quantity(value).cast("bigint")
+    """A whole number of up to 18 digits; a fraction is cut off, as of a quantity."""
+    return F.trim(value.cast("string")).try_cast("decimal(38,4)").try_cast("bigint")
 
 
 def fields_of(record: Column) -> Column:

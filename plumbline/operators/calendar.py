@@ -96,9 +96,8 @@ def eligible_day_factors(
     per_team = days.groupBy("team_id").agg(
         F.collect_list(F.struct("day", "team_fraction")).alias("days")
     )
-    # One row per team, as long as its window: calendars tell whether that is small.
     expanded = attach(
-        people.select("team_id", "person_id"), per_team, "team_id", "inner", sized_by=calendars
+        people.select("team_id", "person_id"), per_team, "team_id", "inner"
     ).select("team_id", "person_id", F.inline("days"))
     factor = F.lit(1).cast(_FACTOR) - F.greatest(
         F.coalesce("team_fraction", F.lit(0).cast(_FACTOR)),

@@ -1,62 +1,33 @@
 """Throughput forecast: a bootstrap over every team, scenario and iteration.
 
 Each iteration draws weeks with replacement until the scope is delivered. A draw depends
-only on (seed, iteration, period), so results do not change with partitioning. The draws
-of one block of iterations are made with NumPy inside a task; Spark spreads the blocks.
+only on (seed, iteration, period), so results do not change with partitioning. Iterations
+are rows; Spark folds the draws of each in its own expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import vocabulary as v
 
 _PRIME = 2_147_483_647
-# Iterations worked on by one row of the grid.
-_BLOCK = 500
 
 
-def draw(seed: int, iteration: np.ndarray, period: np.ndarray) -> np.ndarray:
-    """Pseudo-random integers in [0, 2^31 - 1) for each (iteration, period).
+def draw(seed: int, iteration: Column, period: Column) -> Column:
+    """A pseudo-random integer in [0, 2^31 - 1) for an iteration and period.
 
-    Squarings modulo a prime with the inputs mixed in; all products stay below 2^63.
+    Squarings modulo a prime with the inputs mixed in; all products stay below 2^63. Each
+    step is an array of one, so that it is computed once for both of its uses.
     """
-    x = (iteration * 1_000_003 + period * 7_919 + seed) % _PRIME
-    x = (x * x + 12_345) % _PRIME
-    x = (x * 48_271 + iteration * 31 + period) % _PRIME
-    x = (x * x + period * 101 + seed) % _PRIME
-    return (x * 69_621 + iteration) % _PRIME
-
 
-def _periods(
-    sample: np.ndarray, scopes: np.ndarray, seed: int, iterations: np.ndarray, limit: int
-) -> np.ndarray:
-    """Periods each iteration takes to deliver each scope, at most ``limit``.
+    def step(x: Column, then) -> Column:
+        return F.transform(F.array(x), then)[0]
 
-    Draws are made in growing stretches, and only for iterations still short of the
-    largest scope.
-    """
-    result = np.full((len(scopes), len(iterations)), limit, dtype=np.int64)
-    delivered = np.zeros(len(iterations), dtype=np.int64)
-    live = np.arange(len(iterations))
-    begin, stretch = 0, 16
-    while begin < limit and live.size:
-        end = min(limit, begin + stretch)
-        drawn = draw(seed, iterations[live][:, None], np.arange(begin + 1, end + 1)[None, :])
-        running = delivered[live][:, None] + np.cumsum(sample[drawn % len(sample)], axis=1)
-        for s, scope in enumerate(scopes):
-            reached = running >= scope
-            first = np.where(reached.any(axis=1), begin + 1 + reached.argmax(axis=1), limit)
-            result[s, live] = np.minimum(result[s, live], first)
-        delivered[live] = running[:, -1]
-        live = live[running[:, -1] < scopes.max()]
-        begin, stretch = end, stretch * 2
-    return result
+    first = (iteration * 1_000_003 + period * 7_919 + seed) % _PRIME
+    second = step(first, lambda x: ((x * x + 12_345) % _PRIME * 48_271 + iteration * 31 + period) % _PRIME)
+    return step(second, lambda x: ((x * x + period * 101 + seed) % _PRIME * 69_621 + iteration) % _PRIME)
 
 
 def scope_scenarios(scope: str = "scope") -> list:
@@ -124,53 +95,56 @@ def bootstrap_forecast(
 ) -> DataFrame:
     """P50 and P85 periods to deliver each scope scenario, per eligible team.
 
-    The percentiles count distinct durations, of which there are at most
-    ``max_periods``.
+    One fold per iteration serves both scenarios; once the larger scope is delivered the
+    state passes through. The percentiles count distinct durations, of which there are at
+    most ``max_periods``.
     """
     spark = eligibility.sparkSession
-    blocks = F.sequence(F.lit(0), F.lit((iterations - 1) // _BLOCK))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = F.expr(f"sequence(0L, {iterations - 1}L)")
     grid = (
         eligibility.where("eligible")
         .select("team_id", "sample", F.array(*scope_scenarios()).alias("scenarios"))
-        .select(
-            "team_id",
-            "sample",
-            F.col("scenarios.scenario").alias("names"),
-            F.col("scenarios.remaining_items").alias("scopes"),
-            F.explode(blocks).alias("block"),
-        )
-        .repartition(_slots(spark), "team_id", "block")
+        .select("*", F.explode(numbers).alias("iteration"))
+        .repartition(tasks, "team_id", "iteration")
     )
+    scopes = [F.col("scenarios")[at]["remaining_items"] for at in (0, 1)]
+    zero = F.lit(0).cast("bigint")
 
-    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                first = row.block * _BLOCK
-                numbers = np.arange(first, min(first + _BLOCK, iterations), dtype=np.int64)
-                scopes = np.asarray(row.scopes, dtype=np.int64)
-                periods = _periods(
-                    np.asarray(row.sample, dtype=np.int64), scopes, seed, numbers, max_periods
-                )
-                for name, scope, taken in zip(row.names, scopes, periods, strict=True):
-                    values, counts = np.unique(taken, return_counts=True)
-                    out.append(
-                        pd.DataFrame(
-                            {
-                                "team_id": row.team_id,
-                                "scenario": name,
-                                "remaining_items": scope,
-                                "periods": values,
-                                "times": counts,
-                            }
-                        )
-                    )
-            if out:
-                yield pd.concat(out, ignore_index=True)
+    def one_more(state: Column, period: Column) -> Column:
+        drawn = F.col("sample")[
+            (draw(seed, F.col("iteration"), period) % F.size("sample")).cast("int")
+        ]
+        count = [
+            state[name] + F.when(state["delivered"] < scope, 1).otherwise(0)
+            for name, scope in zip(("first", "second"), scopes, strict=True)
+        ]
+        following = F.struct(
+            (state["delivered"] + drawn).alias("delivered"),
+            count[0].cast("bigint").alias("first"),
+            count[1].cast("bigint").alias("second"),
+        )
+        return F.when(state["delivered"] >= F.greatest(*scopes), state).otherwise(following)
 
-    durations = grid.mapInPandas(
-        simulate,
-        "team_id string, scenario string, remaining_items bigint, periods bigint, times bigint",
+    start = F.struct(zero.alias("delivered"), zero.alias("first"), zero.alias("second"))
+    periods = F.expr(f"sequence(1L, {max_periods}L)")
+    taken = grid.select(
+        "team_id", "scenarios", F.aggregate(periods, start, one_more).alias("taken")
+    )
+    each = F.array(
+        *[
+            F.struct(
+                F.col("scenarios")[at]["scenario"].alias("scenario"),
+                scopes[at].alias("remaining_items"),
+                F.col("taken")[name].alias("periods"),
+            )
+            for at, name in enumerate(("first", "second"))
+        ]
+    )
+    durations = (
+        taken.select("team_id", F.inline(each))
+        .groupBy("team_id", "scenario", "remaining_items", "periods")
+        .agg(F.count(F.lit(1)).alias("times"))
     )
     return _percentiles(durations, ["team_id", "scenario", "remaining_items"])
 
@@ -204,75 +178,3 @@ def _percentiles(durations: DataFrame, by: list[str]) -> DataFrame:
         ranked(50).alias("p50_periods"),
         ranked(85).alias("p85_periods"),
     )
-
-
-def _slots(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def forecast_backtest(
-    samples: DataFrame,
-    horizon: int = v.BACKTEST_HORIZON,
-    seed: int = v.DEFAULT_SEED,
-    iterations: int = v.BACKTEST_ITERATIONS,
-    min_training: int = v.MIN_WEEKS,
-    max_periods: int = v.MAX_PERIODS,
-) -> DataFrame:
-    """Rolling-origin check of the forecast, one row per team.
-
-    At each cutoff the weeks before it predict how long the deliveries of the next
-    ``horizon`` weeks take; coverage is the share of cutoffs whose percentile reaches the
-    horizon. Cutoffs without deliveries ahead, or with none behind, are skipped.
-    """
-    weeks = F.size("sample")
-    cutoffs = F.when(
-        weeks >= min_training + horizon, F.sequence(F.lit(min_training), weeks - horizon)
-    )
-    grid = (
-        samples.select("team_id", "sample", F.explode(cutoffs).alias("cutoff"))
-        .repartition(_slots(samples.sparkSession), "team_id", "cutoff")
-    )
-
-    def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = np.arange(iterations, dtype=np.int64)
-        # Positions of the nearest ranks in the sorted durations.
-        p50, p85 = (max(1, -(-p * iterations // 100)) - 1 for p in (50, 85))
-        for batch in batches:
-            out = []
-            for team, sample, cutoff in zip(batch.team_id, batch["sample"], batch.cutoff, strict=True):
-                series = np.asarray(sample, dtype=np.int64)
-                known, ahead = series[:cutoff], series[cutoff : cutoff + horizon].sum()
-                if ahead <= 0 or not known.any():
-                    continue
-                taken = np.sort(
-                    _periods(known, np.array([ahead]), seed + cutoff, numbers, max_periods)[0]
-                )
-                out.append((team, cutoff, ahead, taken[p50], taken[p85]))
-            if out:
-                yield pd.DataFrame(
-                    out, columns=["team_id", "cutoff", "observed", "p50_periods", "p85_periods"]
-                )
-
-    cut = grid.mapInPandas(
-        evaluate,
-        "team_id string, cutoff bigint, observed bigint, p50_periods bigint, p85_periods bigint",
-    )
-    per_team = cut.groupBy("team_id").agg(
-        F.count(F.lit(1)).alias("evaluated"),
-        F.count(F.when(F.col("p50_periods") >= horizon, 1)).alias("within_p50"),
-        F.count(F.when(F.col("p85_periods") >= horizon, 1)).alias("within_p85"),
-    )
-    zero = F.lit(0).cast("bigint")
-    long_enough = weeks >= min_training + horizon
-    joined = samples.select("team_id", long_enough.alias("long_enough")).join(
-        per_team, "team_id", "left"
-    )
-    return joined.select(
-        "team_id",
-        F.coalesce("evaluated", zero).alias("evaluated"),
-        F.try_divide(F.col("within_p50"), F.col("evaluated")).cast("decimal(18,14)").alias("p50_coverage"),
-        F.try_divide(F.col("within_p85"), F.col("evaluated")).cast("decimal(18,14)").alias("p85_coverage"),
-        F.when(~F.col("long_enough"), "series_too_short")
-        .when(F.col("evaluated").isNull(), "no_usable_cutoff")
-        .alias("reason"),
-    )

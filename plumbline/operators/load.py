@@ -195,6 +195,8 @@ def person_load(
 ) -> DataFrame:
     """Load against capacity for every known person, plus one row for unassigned work.
 
+    Assignees stand in for the people of a team that has none.
+
     A person without items still has a row. Unassigned items get a row only when some
     of them are open, and never a capacity. ``accountable`` was reduced with the whole
     team's hierarchy before it is split by person.
@@ -205,7 +207,16 @@ def person_load(
         .withColumn("person_id", F.coalesce("assigned_to", F.lit(v.UNASSIGNED_PERSON)))
         .drop("load_unit", "assigned_to")
     )
-    named = people.select("team_id", "person_id", "display_name")
+    known_people = people.select("team_id", "person_id", "display_name")
+    # A team without known people lists the assignees of its work.
+    assignees = (
+        accountable.where("assigned_to is not null")
+        .select("team_id", F.col("assigned_to").alias("person_id"))
+        .distinct()
+        .join(people.select("team_id").distinct(), "team_id", "left_anti")
+        .withColumn("display_name", F.lit(None).cast("string"))
+    )
+    named = known_people.unionByName(assignees)
     roster = named.unionByName(
         settings.select(
             "team_id",

@@ -73,7 +73,7 @@ def assess_metric(measured: DataFrame, settings: DataFrame, requirements: DataFr
         "partial_sources",
         _configured_fields().alias("configured_fields"),
     )
-    rows = measured.join(F.broadcast(requirements), "metric_id").join(team, "team_id")
+    rows = measured.join(requirements, "metric_id").join(team, "team_id")
     eligible, known = F.col("eligible"), F.col("known")
 
     no_capability = ~F.array_contains("capabilities", F.col("capability"))

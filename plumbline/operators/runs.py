@@ -49,12 +49,12 @@ def run_state(metrics: DataFrame, partial_sources: DataFrame) -> DataFrame:
 def artifact_fingerprint(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Fingerprint of the rows of each group, whatever their order.
 
-    Each row is hashed over its columns in name order; pieces of the hashes are summed,
-    which needs no ordering and no gathering of the group, and counts repeated rows.
+    Each row is hashed as JSON with its columns in name order and nulls kept, so different
+    rows differ; pieces of the hashes are summed, which needs no ordering and no gathering
+    of the group, and counts repeated rows.
     """
-    columns = sorted(c for c in rows.columns if c not in by)
-    missing = F.lit("∅")
-    text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), missing) for c in columns])
+    columns = [F.col(f"`{c}`") for c in sorted(rows.columns) if c not in by]
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     hashed = rows.select(*by, F.sha2(text, 256).alias("h"))
 
     def piece(at: int) -> Column:

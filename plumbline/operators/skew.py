@@ -9,15 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import checkpointed
-
-# A plan Spark itself estimates below this needs no measuring.
-ESTIMATE_BYTES = 10 * 1024 * 1024
-# Otherwise the rows are looked at, up to these bounds.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-# A key with more rows than this is spread over SALTS tasks when joined.
-HOT_ROWS = 1_000_000
+# Tasks that the rows of a hot key are spread over.
 SALTS = 32
 
 _HOT = "__hot"
@@ -36,56 +28,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan; joins and aggregations overstate it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def fits_broadcast(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> bool:
-    """Whether ``df`` stays within the broadcast bound.
-
-    Spark's estimate settles the clear cases. For the rest at most ``max_rows + 1``
-    rows are measured, so the check itself is bounded.
-    """
-    if estimated_bytes(df) <= min(ESTIMATE_BYTES, max_bytes):
-        return True
-    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    seen = (
-        df.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b"))
-        .first()
-    )
-    return seen["n"] <= max_rows and seen["b"] <= max_bytes
-
-
 def attach(
     facts: DataFrame,
     dimension: DataFrame,
     on: Sequence[str] | str,
     how: str = "left",
     *,
-    max_bytes: int = BROADCAST_BYTES,
-    derived: bool = False,
-    sized_by: DataFrame | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Join a large table with a dimension, without gathering a hot key in one task.
-
-    A dimension known to be small is broadcast, so the large side is not shuffled. A
-    larger one goes through :func:`salted_join`. ``how`` is one of left, inner,
-    left_semi and left_anti, where each row of the large side is kept or matched on
-    its own. ``derived`` marks a dimension that itself takes a pass over large tables:
-    it is written to the checkpoint folder, so measuring it does not compute it twice.
-    ``sized_by`` is a cheaper table with the same number of rows or more to measure in
-    its place.
+    """Join a large table with a dimension; describing the join starts no job.
+
+    A dimension whose files are small is broadcast by Spark itself, and adaptive execution
+    does so for a derived one once its size is known, or else splits hot keys of the
+    shuffled join. ``bounded`` is for a dimension whose rows the caller's contract bounds.
     """
-    if derived:
-        dimension = checkpointed(dimension)
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(dimension if sized_by is None else sized_by, max_bytes=max_bytes):
-        return facts.join(F.broadcast(dimension), keys, how)
-    return salted_join(facts, dimension, keys, how)
+    return facts.join(F.broadcast(dimension) if bounded else dimension, keys, how)
 
 
 def salted_join(
@@ -93,28 +51,18 @@ def salted_join(
     dimension: DataFrame,
     on: Sequence[str],
     how: str,
+    hot: DataFrame,
     *,
-    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """A shuffled join whose hot keys are spread over several tasks.
+    """A shuffled join that spreads the keys of ``hot``, which the caller knows, over tasks.
 
-    A key is hot when it has more than ``hot_rows`` rows in ``facts``, so at most
-    rows / hot_rows keys are hot. Only their rows get a salt and only their dimension
-    rows are repeated. The salt is a hash of the row's own values: a task that is run
-    again puts every row where the first attempt put it.
+    Only their rows get a salt and only their dimension rows are repeated. The salt is a
+    hash of the row's own values: a task that is run again puts every row where the first
+    attempt put it.
     """
     keys = list(on)
-    hot = (
-        facts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
-        .select(*keys, F.lit(True).alias(_HOT))
-    )
-    if not fits_broadcast(hot):
-        # Very many hot keys: none of them dominates, and adaptive execution splits them.
-        return facts.join(dimension, keys, how)
-    hot = F.broadcast(hot)
+    marked = hot.select(*keys).distinct().withColumn(_HOT, F.lit(True))
     hashable = [
         F.col(f"`{f.name}`")
         for f in facts.schema.fields
@@ -123,11 +71,11 @@ def salted_join(
     is_hot = F.coalesce(_HOT, F.lit(False))
     zero = F.lit(0).cast("bigint")
     spread = F.pmod(F.xxhash64(*hashable), F.lit(salts))
-    left = facts.join(hot, keys, "left").withColumn(
+    left = facts.join(marked, keys, "left").withColumn(
         _SALT, F.when(is_hot, spread).otherwise(zero)
     )
     every_salt = F.sequence(zero, F.lit(salts - 1).cast("bigint"))
-    right = dimension.join(hot, keys, "left").withColumn(
+    right = dimension.join(marked, keys, "left").withColumn(
         _SALT, F.explode(F.when(is_hot, every_salt).otherwise(F.array(zero)))
     )
     return left.drop(_HOT).join(right.drop(_HOT), [*keys, _SALT], how).drop(_SALT)

@@ -9,7 +9,6 @@ from plumbline.functions.columns import ratio
 from plumbline.operators import commitment, flow
 from plumbline.operators.history import ITEM, usable_revisions
 from plumbline.operators.skew import attach
-from plumbline.session import stored
 
 
 def history_block(
@@ -19,11 +18,10 @@ def history_block(
 
     Item lists are not packed into the row. They are the tables of ``scope_changes``,
     ``scope_round_trips``, ``repointed_items``, ``reopened_completions`` and
-    ``aging_wip``; the row has their counts. What several columns come from, the completed
-    cohort and the baseline's outcomes, is stored once.
+    ``aging_wip``; the row has their counts. Parts that several columns come from are
+    equal subplans, whose exchanges Spark runs once.
     """
     # Every part is gated by coverage: one small row per team.
-    coverage = stored(coverage)
     available = windows.where("iteration_path is not null").join(
         coverage.where("is_usable").select("team_id"), "team_id", "left_semi"
     )
@@ -33,7 +31,7 @@ def history_block(
     team = available.select("team_id")
 
     baseline = commitment.build_baseline(usable, available)
-    outcomes = stored(commitment.baseline_outcomes(baseline, usable, available))
+    outcomes = commitment.baseline_outcomes(baseline, usable, available)
     points = commitment.committed_points(outcomes)
     said = commitment.say_do(available, outcomes)
     changes = commitment.scope_changes(usable, available)
@@ -48,7 +46,7 @@ def history_block(
             "scope_round_trips"
         ),
     )
-    cohort = stored(flow.completed_cohort(usable, available))
+    cohort = flow.completed_cohort(usable, available)
     weeks = flow.throughput_by_week(usable, available, cohort)
     throughput = weeks.groupBy("team_id").agg(
         F.sum("completed").alias("throughput"), F.count(F.lit(1)).alias("weeks")

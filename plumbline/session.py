@@ -1,56 +1,22 @@
-"""Session settings the operators rely on, and where lineage may be cut."""
+"""The session setting that results depend on, and the folder executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings that results or skew handling depend on.
-
-    Instants are compared in UTC, and adaptive execution may split a skewed join
-    even when that costs one more exchange. Generated methods above 8000 bytes are never
-    compiled by the JVM; wide parsing projections run faster when Spark then generates
-    code per operator.
-    """
-    for name, value in {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-        "spark.sql.codegen.hugeMethodLimit": "8000",
-    }.items():
-        if spark.conf.get(name, None) != value:
-            spark.conf.set(name, value)
+    """Read instants and days in UTC; every other setting is the application's."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; a temporary one only without it."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_DIR, None) or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the cluster's shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it from there.
-
-    For a result that several parts of one plan read: it is computed once, and readers
-    still prune its columns.
-    """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """The folder that the session names for data which all executors read."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+    return folder

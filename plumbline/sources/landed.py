@@ -61,11 +61,16 @@ def payload_records(payloads: DataFrame, *keys: str) -> DataFrame:
 
 
 def map_state_category(items: DataFrame, state_map: DataFrame) -> DataFrame:
-    """Add state_category by (team_id, state); an unmapped state has none, and a reason."""
+    """Add state_category by (team_id, state); an unmapped state has none, and a reason.
+
+    The label of a missing state is no state: it is neither mapped nor given a reason.
+    """
+    known = state_map.where(F.col("state") != v.UNKNOWN_LABEL)
     mapped = attach(
-        items, state_map.select("team_id", "state", "state_category"), ["team_id", "state"]
+        items, known.select("team_id", "state", "state_category"), ["team_id", "state"]
     )
-    unmapped = F.col("state_category").isNull() & (F.coalesce("state", F.lit("")) != "")
+    stated = ~F.coalesce("state", F.lit("")).isin("", v.UNKNOWN_LABEL)
+    unmapped = F.col("state_category").isNull() & stated
     return mapped.withColumn("state_reason", F.when(unmapped, "unmapped_state"))
 
 
@@ -75,7 +80,7 @@ def blocked_flag(state: Column, tags: Column, blocked_states: Column, source: Co
     With a tag configured, an item without tags is known not to be blocked.
     """
     by_tag = F.contains(
-        F.lower(F.coalesce(tags, F.lit(""))), F.lower(F.substring(source, 5, 1_000_000))
+        F.lower(F.coalesce(tags, F.lit(""))), F.lower(F.substr(source, F.lit(5)))
     )
     return F.when(
         F.size(F.coalesce(blocked_states, F.array())) > 0,

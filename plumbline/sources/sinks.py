@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MANIFEST = "runs"
 
@@ -14,50 +16,88 @@ class RunExists(ValueError):
     """A run is immutable; its id was written before."""
 
 
-def write_report(artifacts: Mapping[str, DataFrame], root: str, fmt: str = "json") -> None:
-    """Write each artifact below ``root``, partitioned by run.
+def write_report(
+    artifacts: Mapping[str, DataFrame], root: str, fmt: str = "json", attempt: str = ""
+) -> str:
+    """Append each artifact below ``root`` in a folder of this attempt; the attempt's name.
 
-    Only the partitions of the runs in hand are replaced, so writing a failed attempt
-    again leaves no rows twice.
+    ``run_id`` stays a column and a run's rows share a file, so the number of folders and
+    files follows the size of the data, not the number of runs. A reader keeps to the
+    attempts that it was told of: rows of a failed one are never seen.
     """
+    attempt = attempt or uuid.uuid4().hex
     for name, rows in artifacts.items():
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id")
-            .format(fmt)
-            .save(f"{root}/{name}")
-        )
+        rows.repartition("run_id").write.format(fmt).save(f"{root}/{name}/attempt={attempt}")
+    return attempt
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame | None:
-    """Manifest rows written so far, or None for an empty store."""
+    """Manifest rows written so far, or None where there is no store yet."""
     try:
         return spark.read.parquet(f"{root}/{MANIFEST}")
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
 def append_snapshot(runs: DataFrame, artifacts: Mapping[str, DataFrame], root: str) -> None:
     """Store new runs: artifacts first, their manifest rows last.
 
-    A run id in the manifest is final. Readers start from the manifest, so a run that
-    failed half way is not seen and may be written again. A complete run must not carry
-    partial reasons.
+    A run id in the manifest is final, and a batch names a run once. Readers start from the
+    manifest, which names the attempt that wrote a run, so a run that failed half way is not
+    seen and may be written again. A complete run must not carry partial reasons.
     """
-    contradictory = runs.where("state = 'complete' and size(partial_reasons) > 0").limit(1)
-    if contradictory.count():
-        raise ValueError("a complete run carries partial reasons")
-    stored = read_runs(runs.sparkSession, root)
-    if stored is not None:
-        repeated = runs.join(stored.select("run_id"), "run_id", "left_semi").limit(1).collect()
-        if repeated:
-            raise RunExists(repeated[0]["run_id"])
-    write_report(artifacts, root, fmt="parquet")
-    runs.write.mode("append").parquet(f"{root}/{MANIFEST}")
+    contradictory = (F.col("state") == "complete") & (F.size("partial_reasons") > 0)
+    faults = runs.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("times"), F.max(contradictory).alias("contradictory")
+    )
+    known = read_runs(runs.sparkSession, root)
+    if known is not None:
+        faults = faults.join(
+            known.select("run_id", F.lit(True).alias("known")).distinct(), "run_id", "left"
+        )
+    else:
+        faults = faults.withColumn("known", F.lit(None).cast("boolean"))
+    fault = faults.where("times > 1 or contradictory or known").head()
+    if fault:
+        if fault["contradictory"]:
+            raise ValueError("a complete run carries partial reasons")
+        raise RunExists(fault["run_id"])
+    attempt = write_report(artifacts, root, fmt="parquet")
+    runs.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{root}/{MANIFEST}")
 
 
 def read_artifact(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows of an artifact for the runs the manifest lists."""
-    known = spark.read.parquet(f"{root}/{MANIFEST}").select("run_id")
-    return spark.read.parquet(f"{root}/{name}").join(known, "run_id", "left_semi")
+    """Rows of an artifact for the runs the manifest lists, from the attempts that it names."""
+    known = spark.read.parquet(f"{root}/{MANIFEST}").select("run_id", "attempt")
+    return (
+        spark.read.parquet(f"{root}/{name}")
+        .join(known, ["run_id", "attempt"], "left_semi")
+        .drop("attempt")
+    )
+
+
+def remove_runs(spark: SparkSession, root: str, expired: DataFrame, names: Sequence[str]) -> None:
+    """Take expired runs out of the store: the manifest first, then their artifacts.
+
+    Folders are written anew without the expired rows and take the place of the old ones.
+    """
+    kept = spark.read.parquet(f"{root}/{MANIFEST}").join(
+        expired.select("run_id").distinct(), "run_id", "left_anti"
+    )
+    _replaced(spark, kept, f"{root}/{MANIFEST}")
+    for name in names:
+        listed = spark.read.parquet(f"{root}/{MANIFEST}").select("run_id", "attempt")
+        rows = spark.read.parquet(f"{root}/{name}").join(listed, ["run_id", "attempt"], "left_semi")
+        _replaced(spark, rows, f"{root}/{name}", "attempt")
+
+
+def _replaced(spark: SparkSession, rows: DataFrame, path: str, *parts: str) -> None:
+    beside = f"{path}-{uuid.uuid4().hex}"
+    rows.write.partitionBy(*parts).parquet(beside)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    old, new = hadoop(path), hadoop(beside)
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    files.rename(new, old)

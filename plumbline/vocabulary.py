@@ -58,8 +58,6 @@ SMALL_SAMPLE = 20
 MIN_WEEKS = 12
 MIN_COMPLETIONS = 30
 FORECAST_ITERATIONS = 10_000
-BACKTEST_ITERATIONS = 2_000
-BACKTEST_HORIZON = 4
 MAX_PERIODS = 520
 DEFAULT_SEED = 20260913
 

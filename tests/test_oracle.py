@@ -1,9 +1,5 @@
-"""Registered queries against their SQL on the smallest driver tables.
+"""Registered queries against their SQL on the smallest driver tables."""
 
-A spread of queries runs by default; ORACLE_ALL=1 runs every one.
-"""
-
-import os
 from pathlib import Path
 
 import pytest
@@ -12,13 +8,8 @@ from workload import registry
 from workload.compare import difference, oracle_connection
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = (
-    "person_load", "assess_metric", "deduplicate_items", "consolidate_person", "history_block",
-    "evaluate_planning", "summarize_within_budget", "normalize_work_items", "artifact_fingerprint",
-    "select_iteration", "run_state_changes",
-)
 ORACLES = registry.oracles()
-NAMES = sorted(ORACLES) if os.environ.get("ORACLE_ALL") else SOME
+NAMES = sorted(ORACLES)
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables are absent")
 
@@ -38,5 +29,5 @@ def test_every_oracle_has_a_query():
     assert len(registry.callables()) > 90
 
 
-def test_only_the_backtest_has_no_oracle():
-    assert set(registry.callables()) - set(ORACLES) == {"forecast_backtest"}
+def test_every_query_has_an_oracle():
+    assert set(registry.callables()) == set(ORACLES)

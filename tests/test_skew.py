@@ -40,24 +40,16 @@ def test_salted_join_equals_join(spark):
     other = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("zz", 4)], "k string, w int")
     for how in ("left", "inner", "left_semi", "left_anti"):
         plain = df.join(other, ["k"], how)
-        for hot in (10, 10_000):
-            salted = skew.salted_join(df, other, ["k"], how, hot_rows=hot, salts=4)
+        for keys in (["hot"], ["hot", "k3"], []):
+            hot = spark.createDataFrame([(k,) for k in keys], "k string")
+            salted = skew.salted_join(df, other, ["k"], how, hot, salts=4)
             assert rows_of(salted) == rows_of(plain)
 
 
-def test_attach_leaves_broadcast_when_the_dimension_is_too_large(spark):
-    df = hot_rows(spark)
-    other = spark.range(2_000).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("w"))
-    small = skew.attach(df, other, "k")._jdf.queryExecution().toString()
-    large = skew.attach(df, other, "k", max_bytes=100)
-    assert "strategy=broadcast" in small
-    assert rows_of(large) == rows_of(df.join(other, ["k"], "left"))
-    assert not skew.fits_broadcast(other, max_bytes=100)
-    assert not skew.fits_broadcast(other, max_rows=100, max_bytes=1_000)
-
-
-def test_derived_dimension_is_checkpointed(spark):
+def test_attach_starts_no_job_and_leaves_the_choice_to_spark(spark):
     df = hot_rows(spark)
     other = df.select("k").distinct().withColumn("w", F.lit(1))
-    joined = skew.attach(df, other, "k", derived=True)
+    joined = skew.attach(df, other, "k")
+    assert "strategy=broadcast" not in joined._jdf.queryExecution().toString()
+    assert "strategy=broadcast" in skew.attach(df, other, "k", bounded=True)._jdf.queryExecution().toString()
     assert joined.where("w is null").count() == 0

@@ -231,3 +231,25 @@ def test_strongest_layer_wins(spark):
     assert rows_of(scope.effective_settings(layers), "key", "value", "layer") == [
         ("unit", "points", "run"), ("zone", "UTC", "profile"),
     ]
+
+
+def test_ids_of_any_length_are_kept(spark):
+    long_id = 123456789012345678
+    body = f'{{"id": {long_id}, "fields": {{"System.Parent": "{long_id - 1}", "System.State": "New"}}}}'
+    payloads = spark.createDataFrame([("org", "t", 1, body)], "organization string, team_id string, arrival int, payload string")
+    item = landed.normalize_work_items(payloads, settings_frame(spark)).first()
+    assert (item["item_id"], item["parent_id"]) == (long_id, long_id - 1)
+
+
+def test_a_missing_state_is_not_an_unmapped_one(spark):
+    items = spark.createDataFrame(
+        [(1, "t", "unknown"), (2, "t", "Odd"), (3, "t", "Doing"), (4, "t", None)],
+        "item_id int, team_id string, state string",
+    )
+    state_map = spark.createDataFrame(
+        [("t", "Doing", "in_progress"), ("t", "unknown", "completed")],
+        "team_id string, state string, state_category string",
+    )
+    got = {r["item_id"]: (r["state_category"], r["state_reason"])
+           for r in landed.map_state_category(items, state_map).collect()}
+    assert got == {1: (None, None), 2: (None, "unmapped_state"), 3: ("in_progress", None), 4: (None, None)}

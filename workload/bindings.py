@@ -19,7 +19,7 @@ from plumbline.operators.cross_team import deduplicate_items
 from plumbline.operators.history import history_coverage, usable_revisions
 from plumbline.operators.load import accountable_items, load_findings
 from plumbline.operators.skew import attach, spread
-from plumbline.session import configure, stored
+from plumbline.session import configure
 
 # The flagship sprint, and the sprint the revision history is read against.
 SPRINT = ("1998-01-05", "1998-01-17")
@@ -161,6 +161,17 @@ class Tables:
 
     ARRIVAL = ("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
 
+    @cached_property
+    def tagged_children(self) -> DataFrame:
+        """Child items as they arrive, with tags of the source."""
+        line = attach(self.read("lineitem"), self._supplier_team, "l_suppkey", "inner")
+        return line.select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"),
+            "team_id",
+            F.concat("l_linestatus", "l_returnflag").alias("state"),
+            F.when(F.col("l_tax") > 0.03, "a; BLOCKED").when(F.col("l_tax") > 0.01, "a").alias("tags"),
+        )
+
     @cached_property
     def children(self) -> DataFrame:
         return deduplicate_items(self.raw_children, self.ARRIVAL).drop(*self.ARRIVAL)
@@ -347,12 +358,11 @@ class Tables:
 
     @cached_property
     def created(self) -> DataFrame:
-        """First event of the users that are also suppliers; the others are unknown."""
+        """First event of every user."""
         return (
             self.read("events")
             .groupBy("user_id")
             .agg(F.min("ts").cast("timestamp").alias("created_at"))
-            .join(self.read("supplier"), F.col("user_id") == F.col("s_suppkey"), "left_semi")
             .select(
                 F.lit(ORGANIZATION).alias("organization"),
                 F.col("user_id").alias("item_id"),
@@ -401,7 +411,7 @@ class Tables:
             }
         )
         # Rules read items and, for their dates, the items' children.
-        return stored(children.select(*fields).unionByName(parents.select(*fields)))
+        return children.select(*fields).unionByName(parents.select(*fields))
 
     @cached_property
     def rule_overrides(self) -> DataFrame:
@@ -523,7 +533,7 @@ class Tables:
             .otherwise(
                 F.concat(
                     F.lit('{"workItemId":"'), identifier, F.lit('",'),
-                    F.substring(body, 2, 1_000_000),
+                    F.substr(body, F.lit(2)),
                 )
             )
         )
@@ -752,13 +762,10 @@ class Tables:
             F.date_trunc("week", "o_orderdate").cast("date").alias("week"),
         )
         counts = done.groupBy("team_id", "week").agg(F.count(F.lit(1)).alias("completed"))
-        span = counts.agg(F.min("week").alias("first"), F.max("week").alias("last"))
-        weeks = F.sequence("first", "last", F.expr("interval 7 days"))
-        # One row of bounds beside at most 25 groups.
-        spine = (
-            counts.select("team_id").distinct().join(F.broadcast(span)).select(
-                "team_id", F.explode(weeks).alias("week")
-            )
+        first, last = (done.agg(bound("week")).scalar() for bound in (F.min, F.max))
+        weeks = F.sequence(first, last, F.expr("interval 7 days"))
+        spine = counts.select("team_id").distinct().select(
+            "team_id", F.explode(weeks).alias("week")
         )
         return spine.join(counts, ["team_id", "week"], "left").select(
             "team_id", "week", F.coalesce("completed", F.lit(0)).cast("bigint").alias("completed")
@@ -793,7 +800,7 @@ class Tables:
             F.concat(F.lit("d"), "conv_id").alias("id"),
             F.col("turn").alias("position"),
             F.col("role").alias("status"),
-            F.length("text").cast("bigint").alias("statement_length"),
+            F.col("text").alias("statement"),
         )
         first = talk.where("status = 'user'").withColumn("log_order", F.lit(0))
         return [first, talk.withColumn("log_order", F.lit(1))]
@@ -828,10 +835,10 @@ class Tables:
             ),
         ).when(lang == "es", F.array(F.lit("velocity"))).otherwise(F.array())
         return self.read("documents").select(
-            F.substring("source", 4, 10).alias("run_id"),
+            F.substr("source", F.lit(4)).alias("run_id"),
             F.when(size % 2 == 0, "action").otherwise("hypothesis").alias("kind"),
             F.col("doc_id").alias("position"),
-            F.when(size > 20, F.col("text")).otherwise("").alias("statement"),
+            F.col("text").alias("statement"),
             cited.cast("array<string>").alias("references"),
             F.when(size % 3 > 0, "to be confirmed").alias("condition"),
         )

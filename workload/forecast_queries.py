@@ -97,10 +97,3 @@ _FORECAST = (
 @query("bootstrap_forecast", _FORECAST)
 def _(t: Tables):
     return forecast.bootstrap_forecast(_eligibility(t))
-
-
-# No oracle: folding 16 million iterations of up to 520 draws is too slow in SQL. The tests
-# check the operator against a plain loop on a small series.
-@query("forecast_backtest")
-def _(t: Tables):
-    return forecast.forecast_backtest(forecast.throughput_samples(t.weekly_orders))

@@ -38,18 +38,13 @@ for _rule_id in planning.RULES:
     "evaluate_planning",
     with_views(
         """
-        select team_id, rule_id, severity, count(*) as findings, cast(sum(item_id) as bigint) as item_id_sum
-        from planning_findings group by all
+        select team_id, item_id, rule_id, severity from planning_findings
         """,
         "planning_findings",
     ),
 )
 def _(t: Tables):
-    return (
-        findings(t)
-        .groupBy("team_id", "rule_id", "severity")
-        .agg(F.count(F.lit(1)).alias("findings"), F.sum("item_id").alias("item_id_sum"))
-    )
+    return findings(t).select("team_id", "item_id", "rule_id", "severity")
 
 
 @query(

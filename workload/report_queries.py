@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from plumbline.operators import claims, report, runs
-from plumbline.session import shared_folder, stored
+from plumbline.session import shared_folder
 from plumbline.sources import sinks
 from workload.bindings import Tables
 from workload.catalog import query
@@ -193,12 +193,12 @@ def _(t: Tables):
 @query(
     "merge_decisions",
     """
-    select id, cast(log_order as bigint) as log_order, position, status, statement_length from (
+    select id, cast(log_order as bigint) as log_order, position, status, statement from (
       select *, row_number() over (partition by id order by log_order, position) as n from (
         select 'd' || conv_id as id, 0 as log_order, turn as position, role as status,
-          length(text) as statement_length from conversations where role = 'user'
+          text as statement from conversations where role = 'user'
         union all
-        select 'd' || conv_id, 1, turn, role, length(text) from conversations)) where n = 1
+        select 'd' || conv_id, 1, turn, role, text from conversations)) where n = 1
     """,
 )
 def _(t: Tables):
@@ -339,10 +339,11 @@ def _(t: Tables):
 
 
 def _verdicts(t: Tables):
-    # A run's metrics and numbers are stored before anything is claimed about it.
-    metrics = stored(_run_metrics(t))
+    metrics = _run_metrics(t)
     references = claims.known_references(metrics, t.evidence)
-    return claims.validate_claims(t.claims, references, stored(_numbers(t, metrics)), banned=BANNED)
+    patterns = F.array(*[F.lit(pattern) for pattern in BANNED])
+    banned = t.spark.range(1).select(F.explode(patterns).alias("pattern"))
+    return claims.validate_claims(t.claims, references, _numbers(t, metrics), banned)
 
 
 _CLAIMS = (
@@ -350,7 +351,7 @@ _CLAIMS = (
     + r""",
     claims as (
       select substr(source, 4) as run_id, case when n_chars % 2 = 0 then 'action' else 'hypothesis' end as kind,
-        doc_id as position, trim(case when n_chars > 20 then text else '' end, ' ') as statement, lang,
+        doc_id as position, trim(coalesce(text, ''), ' ') as statement, lang,
         n_chars % 3 > 0 as has_condition
       from documents),
     spoken as (
@@ -402,7 +403,7 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    return claims.accepted_references(t.claims, stored(_verdicts(t)))
+    return claims.accepted_references(t.claims, _verdicts(t))
 
 
 # -- runs ---------------------------------------------------------------------
@@ -418,8 +419,9 @@ VIEWS["runs"] = (
 )
 _ROW_HASH = """
   select run_id, sha2 as h from (
-    select strftime(ts, '%Y%m%d') || '-' || user_id as run_id, sha256(concat_ws(chr(1),
-      cast(event_id as varchar), event_type, cast(cast(value as decimal(18,4)) as varchar))) as sha2
+    select strftime(ts, '%Y%m%d') || '-' || user_id as run_id, sha256('{"item_id":' || event_id
+      || ',"metric_id":"' || event_type || '","value":'
+      || coalesce('"' || cast(cast(value as decimal(18,4)) as varchar) || '"', 'null') || '}') as sha2
     from events)
 """
 _FINGERPRINT = (
@@ -457,9 +459,10 @@ def _(t: Tables):
 @query(
     "append_snapshot",
     """
-    select strftime(ts, '%Y%m%d') || '-' || user_id as run_id, count(*) as rows, cast(sum(event_id) as bigint) as item_sum,
+    select strftime(ts, '%Y%m%d') || '-' || user_id as run_id, event_type as metric_id, event_id as item_id,
+      cast(cast(value as decimal(18,4)) as varchar) as value,
       'sha256:' || substr(sha256('org|' || user_id), 1, 32) as source_identity
-    from events group by 1, user_id
+    from events
     """,
 )
 def append_snapshot(t: Tables):
@@ -468,24 +471,10 @@ def append_snapshot(t: Tables):
     manifest = t.runs.withColumn(
         "source_identity", runs.source_identity(F.lit("org"), F.col("team_id"))
     )
-    # One folder per run would be thousands of folders; the day groups them.
-    values = t.run_values.withColumnRenamed("run_id", "member_run").withColumn(
-        "run_id", F.substring("member_run", 1, 8)
-    )
-    sinks.append_snapshot(
-        manifest.withColumnRenamed("run_id", "member_run").withColumn(
-            "run_id", F.substring("member_run", 1, 8)
-        ),
-        {"values": values},
-        root,
-    )
-    stored = sinks.read_runs(t.spark, root).select("member_run", "source_identity")
-    return (
-        sinks.read_artifact(t.spark, root, "values")
-        .groupBy("member_run")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("item_id").alias("item_sum"))
-        .join(stored, "member_run")
-        .withColumnRenamed("member_run", "run_id")
+    sinks.append_snapshot(manifest, {"values": t.run_values}, root)
+    known = sinks.read_runs(t.spark, root).select("run_id", "source_identity")
+    return sinks.read_artifact(t.spark, root, "values").join(known, "run_id").select(
+        "run_id", "metric_id", "item_id", "value", "source_identity"
     )
 
 
@@ -499,8 +488,8 @@ def _(t: Tables):
     root = f"{shared_folder(t.spark)}/report-{uuid.uuid4().hex}"
     metrics = _run_metrics(t).select("run_id", "metric_id", "status", "known", "missing")
     sinks.write_report({"metrics": metrics}, root)
-    schema = "metric_id string, status string, known bigint, missing bigint, run_id string"
-    return t.spark.read.schema(schema).json(f"{root}/metrics")
+    schema = "run_id string, metric_id string, status string, known bigint, missing bigint"
+    return t.spark.read.schema(schema).json(f"{root}/metrics").drop("attempt")
 
 
 @query(

@@ -73,8 +73,8 @@ def _(t: Tables):
         """
         select item_id, team_id, state,
           case when state = 'ON' then 'in_progress' when state = 'OR' then 'proposed'
-            when state in ('FN', 'FR', 'FA') then 'completed' end as state_category,
-          case when state = 'unknown' then 'unmapped_state' end as state_reason
+            when state in ('FN', 'FA') then 'completed' end as state_category,
+          case when state = 'FR' then 'unmapped_state' end as state_reason
         from landed_items
         """,
         "landed_items",
@@ -82,7 +82,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     items = landed.normalize_work_items(t.item_payloads, t.settings)
-    return landed.map_state_category(items.select("item_id", "team_id", "state"), t.state_map)
+    mapped = t.state_map.where("state <> 'FR'")  # one state stays unmapped
+    return landed.map_state_category(items.select("item_id", "team_id", "state"), mapped)
 
 
 @query(
@@ -96,14 +97,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     """Region 0 lists blocked states and the others name a tag."""
-    items = t.raw_children.join(
-        t.read("lineitem").select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"),
-            *t.ARRIVAL,
-            F.when(F.col("l_tax") > 0.03, "a; BLOCKED").when(F.col("l_tax") > 0.01, "a").alias("tags"),
-        ),
-        ["item_id", *t.ARRIVAL],
-    ).drop("blocked")
+    items = t.tagged_children
     listed = t.settings.withColumn(
         "blocked_states",
         F.when(F.size("working_days") == 6, F.array(F.lit("OR"))).otherwise(F.col("blocked_states")),

@@ -215,8 +215,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         select t.team_id, t.item_id, t.changed_at as completed_at,
           (select min(u.changed_at) from usable u where u.team_id = t.team_id
             and u.item_id = t.item_id and u.state_category = 'in_progress') as started_at,
-          (select epoch_us(min(e.ts)) from events e where e.user_id = t.item_id
-            and e.user_id in (select s_suppkey from supplier)) as created_at
+          (select epoch_us(min(e.ts)) from events e where e.user_id = t.item_id) as created_at
         from transitions t where nth = 1 and t.changed_at between since and until
         """,
     ),
