@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct pre-tokens.
 
 Texts are split into pre-tokens. A block of texts lists its distinct pre-tokens once and
-keeps, for every position, the pre-token's number in that list; the lists of all blocks are
-shuffled by pre-token, so that equal ones meet and are merged once; their ids return to
-their blocks, where the positions put them in order. Only distinct pre-tokens are shuffled,
-not every occurrence. Decoding looks ids up in the token-byte table, whose size is that of
-the vocabulary.
+keeps, for every position, the pre-token's number in that list; the lists of all blocks,
+packed by a hash of the pre-token, are shuffled by it, so that equal ones meet and are merged
+once; their ids return to their blocks, where the positions put them in order. Only distinct
+pre-tokens are shuffled, not every occurrence; the positions stay in a table bucketed by
+block. Decoding looks ids up in the token-byte table, whose size is that of the vocabulary.
 
 Defined cases: a null text counts as empty and has no tokens; special tokens are ordinary
 text; a text of any length is encoded whole; rows that repeat an id each give a row; an
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +28,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, stored
+from plumbline.llm.common import batches, shared_path
 
 #: Characters of the texts of a block, but for one longer text.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 32_000_000
 #: Texts beyond this are split match by match, not into a list.
 LONG_TEXT = 2_000_000
-#: Distinct pre-tokens that a task holds before it hands their ids on.
-HELD_WORDS = 500_000
+#: Distinct pre-tokens whose ids a task remembers; beyond, it starts anew.
+HELD_WORDS = 1_000_000
+#: A byte that no UTF-8 text holds, between packed pre-tokens.
+BETWEEN = b"\xff"
 
 BLOCKS = (
     "block bigint, doc_ids array<bigint>, sizes array<bigint>, places binary, n_words bigint, "
-    "words array<string>"
+    "packs array<struct<part:int,places:binary,words:binary,n_bytes:bigint>>"
 )
 PIECES = "block bigint, places binary, counts binary, ids binary"
 CODED = pa.schema(
@@ -66,6 +70,30 @@ def unpacked(data: bytes, size: int, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, room, codec="zstd", asbytes=True), kind)
 
 
+def packs_of(words: list[str], parts: int) -> list[dict]:
+    """The words by a hash of each, every part with its words' places in ``words``."""
+    raw = [word.encode() for word in words]
+    part = np.fromiter(map(zlib.crc32, raw), np.uint32) % np.uint32(parts)
+    order = np.argsort(part, kind="stable").astype(np.uint32)
+    found = []
+    for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(places):
+            body = BETWEEN.join([raw[place] for place in places])
+            row = {"part": int(part[places[0]]), "places": counted(places)}
+            found.append(row | {"words": pa.compress(body, codec="zstd", asbytes=True),
+                                "n_bytes": len(body)})
+    return found
+
+
+def counted(values: np.ndarray) -> bytes:
+    """Packed numbers after their count."""
+    return np.int64(len(values)).tobytes() + packed(values)
+
+
+def recounted(data: bytes) -> np.ndarray:
+    return unpacked(data[8:], int(np.frombuffer(data[:8], np.int64)[0]), np.uint32)
+
+
 class Numbers(dict):
     """Numbers words in the order in which they are first asked for."""
 
@@ -74,7 +102,13 @@ class Numbers(dict):
         return number
 
 
-def _split(pattern: str):
+PACKS = pa.list_(
+    pa.struct([("part", pa.int32()), ("places", pa.binary()), ("words", pa.binary()),
+               ("n_bytes", pa.int64())])
+)
+
+
+def _split(pattern: str, tasks: int):
     """Blocks of texts as lists of distinct pre-tokens and positions in them."""
 
     def split(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +124,9 @@ def _split(pattern: str):
                 pa.array([[len(p) for p in places]], pa.list_(pa.int64())),
                 pa.array([packed(every)], pa.binary()),
                 pa.array([len(numbers)], pa.int64()),
-                pa.array([list(numbers)], pa.list_(pa.string())),
+                pa.array([packs_of(list(numbers), tasks)], PACKS),
             ]
-            names = ["block", "doc_ids", "sizes", "places", "n_words", "words"]
+            names = ["block", "doc_ids", "sizes", "places", "n_words", "packs"]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for part in parts:
@@ -115,51 +149,36 @@ def _split(pattern: str):
     return split
 
 
-class Held:
-    """Ids of distinct pre-tokens, gathered per block."""
-
-    def __init__(self):
-        self.blocks: dict[int, tuple[list[int], list[list[int]]]] = {}
-        self.size = 0
-
-    def add(self, block: int, place: int, ids: list[int]) -> None:
-        places, tokens = self.blocks.setdefault(block, ([], []))
-        places.append(place)
-        tokens.append(ids)
-        self.size += 1
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        for block, (places, tokens) in self.blocks.items():
-            counts = np.array([len(t) for t in tokens], np.uint32)
-            flat = np.fromiter((i for t in tokens for i in t), np.uint32)
-            head = np.array([len(places), len(flat)], np.int64).tobytes()
-            columns = [
-                pa.array([block], pa.int64()),
-                pa.array([head + packed(np.array(places, np.uint32))], pa.binary()),
-                pa.array([packed(counts)], pa.binary()),
-                pa.array([packed(flat)], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "places", "counts", "ids"])
-        self.__init__()
-
-
 def _merge(ranks):
-    """Rows (word, block, place) sorted by word; a run of equal words is merged once."""
+    """Packs (block, places, words, n_bytes) of one hash; a word is merged when first met."""
 
     def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {token: rank for rank, token in enumerate(ranks.value) if token}
         coder = tiktoken.Encoding("ranks", pat_str=r"[\s\S]", mergeable_ranks=table,
                                   special_tokens={})
-        held, last, ids = Held(), None, []
+        known: dict[bytes, list[int]] = {}
         for part in parts:
-            words, blocks, places = (c.to_pylist() for c in part.columns)
-            for word, block, place in zip(words, blocks, places, strict=True):
-                if word != last:
-                    last, ids = word, coder._encode_single_piece(word)
-                held.add(block, place, ids)
-            if held.size >= HELD_WORDS:
-                yield from held.rows()
-        yield from held.rows()
+            for block, places, words, n_bytes in zip(*part.columns, strict=True):
+                raw = pa.decompress(words.as_py(), n_bytes.as_py(), codec="zstd", asbytes=True)
+                found = []
+                for word in raw.split(BETWEEN):
+                    ids = known.get(word)
+                    if ids is None:
+                        if len(known) >= HELD_WORDS:
+                            known.clear()
+                        ids = known[word] = coder._encode_single_piece(word)
+                    found.append(ids)
+                counts = np.fromiter(map(len, found), np.uint32, len(found))
+                flat = np.fromiter((i for ids in found for i in ids), np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block.as_py()], pa.int64()),
+                        pa.array([places.as_py()], pa.binary()),
+                        pa.array([counted(counts)], pa.binary()),
+                        pa.array([counted(flat)], pa.binary()),
+                    ],
+                    names=["block", "places", "counts", "ids"],
+                )
 
     return merge
 
@@ -177,13 +196,12 @@ def _ids_of(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
     starts = np.zeros(row["n_words"], np.int64)
     flats, size = [], 0
     for piece in row["pieces"]:
-        n_words, n_ids = np.frombuffer(piece["places"][:16], np.int64)
-        places = unpacked(piece["places"][16:], n_words, np.uint32)
-        own = unpacked(piece["counts"], n_words, np.uint32).astype(np.int64)
+        places = recounted(piece["places"])
+        own = recounted(piece["counts"]).astype(np.int64)
         counts[places] = own
         starts[places] = size + np.cumsum(own) - own
-        flats.append(unpacked(piece["ids"], n_ids, np.uint32))
-        size += n_ids
+        flats.append(recounted(piece["ids"]))
+        size += len(flats[-1])
     flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
     every = unpacked(row["block_places"], sum(row["sizes"]), np.uint32)
     begin = 0
@@ -203,25 +221,33 @@ def _assembled(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _coded(docs: DataFrame, ranks, pattern: str) -> DataFrame:
     """One row per block with its positions and the ids of all its words."""
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    blocks = stored(rows.mapInArrow(_split(pattern), BLOCKS), "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shuffled = words.select("word", "block", "place").repartition(tasks, "word")
-    pieces = shuffled.sortWithinPartitions("word").mapInArrow(_merge(ranks), PIECES)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(rows.mapInArrow(_split(pattern, tasks), BLOCKS), "block", tasks)
+    packs = blocks.select("block", F.explode("packs").alias("pack")).select("block", "pack.*")
+    dealt = packs.repartition(tasks, "part").select("block", "places", "words", "n_bytes")
+    pieces = dealt.mapInArrow(_merge(ranks), PIECES)
     gathered = pieces.groupBy("block").agg(
         F.collect_list(F.struct("places", "counts", "ids")).alias("pieces")
     )
-    return blocks.join(gathered, "block", "left").select(
+    none = F.array().cast("array<struct<places:binary,counts:binary,ids:binary>>")
+    return blocks.join(gathered.hint("merge"), "block", "left").select(
         "doc_ids",
         "sizes",
         F.col("places").alias("block_places"),
         "n_words",
-        F.coalesce("pieces", F.array().cast("array<struct<places:binary,counts:binary,ids:binary>>"))
-        .alias("pieces"),
+        F.coalesce("pieces", none).alias("pieces"),
     )
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` as a stored table bucketed by ``key``: later joins on it leave it in place."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, key).sortBy(key).option("path", shared_path(spark, name))
+    writer.format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids``, little-endian unsigned 32-bit, per document."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
