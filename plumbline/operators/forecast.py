@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from plumbline import vocabulary as v
 
 _PRIME = 2_147_483_647
+# Periods of the first stretch of draws.
+STRETCH = 16
 
 
 def draw(seed: int, iteration: Column, period: Column) -> Column:
@@ -127,10 +129,15 @@ def bootstrap_forecast(
         return F.when(state["delivered"] >= F.greatest(*scopes), state).otherwise(following)
 
     start = F.struct(zero.alias("delivered"), zero.alias("first"), zero.alias("second"))
-    periods = F.expr(f"sequence(1L, {max_periods}L)")
-    taken = grid.select(
-        "team_id", "scenarios", F.aggregate(periods, start, one_more).alias("taken")
-    )
+    taken = grid.withColumn("taken", start)
+    begin = 0
+    while begin < max_periods:  # longer stretches for the iterations still short
+        end = min(max_periods, 4 * begin + STRETCH)
+        periods = F.expr(f"sequence({begin + 1}L, {end}L)")
+        done = F.col("taken.delivered") >= F.greatest(*scopes)
+        further = F.aggregate(periods, F.col("taken"), one_more)
+        taken = taken.withColumn("taken", F.when(done, F.col("taken")).otherwise(further))
+        begin = end
     each = F.array(
         *[
             F.struct(

@@ -163,7 +163,8 @@ def summarize_within_budget(
     """The longest ranked prefix of each team's findings that fits the byte budget.
 
     ``fixed`` is (team_id, fixed_bytes): metrics and limitations, which are never cut. A
-    cut summary also spends ``reference_bytes`` on pointing at the full list.
+    cut summary also spends ``reference_bytes`` on pointing at the full list. A team of
+    which no finding fits, or that has none, keeps one row without a finding.
 
     A finding takes at least a known number of bytes, so nothing beyond a fixed rank can
     fit; only that many per team are ordered, spread over salts first.
@@ -187,15 +188,25 @@ def summarize_within_budget(
     )
     running = W.partitionBy("team_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     budget = F.lit(limit_bytes) - F.col("fixed_bytes") + 1
-    whole = F.col("all_bytes") <= budget
-    return (
+    teams = (
+        fixed.select("team_id", "fixed_bytes")
+        .join(totals, "team_id", "left")
+        .select(
+            "team_id",
+            (F.coalesce("all_bytes", F.lit(0)) > budget).alias("truncated"),
+            (budget - reference_bytes).alias("cut_budget"),
+        )
+    )
+    fitting = (
         near.withColumn("rank", F.row_number().over(W.partitionBy("team_id").orderBy(*order)))
         .where(F.col("rank") <= deepest)
         .withColumn("running", F.sum("bytes").over(running))
-        .join(totals, "team_id")
-        .join(fixed.select("team_id", "fixed_bytes"), "team_id")
-        .where(whole | (F.col("running") <= budget - reference_bytes))
-        .select("team_id", "rank", *_FINDING_FIELDS, "bytes", (~whole).alias("truncated"))
+        .join(teams, "team_id")
+        .where(~F.col("truncated") | (F.col("running") <= F.col("cut_budget")))
+        .select("team_id", "rank", *_FINDING_FIELDS, "bytes")
+    )
+    return teams.join(fitting, "team_id", "left").select(
+        "team_id", "rank", *_FINDING_FIELDS, "bytes", "truncated"
     )
 
 

@@ -266,17 +266,14 @@ query("person_load", PERSON_LOAD_SQL)(person_load)
     + ","
     + _PERSON_PAIRS.format(source="accountable")
     + f"""
-    select load_class, is_lower_bound, reason, count(*) as people, sum(cast(load as double)) as load_value
-    from (select *, {LOAD_CLASS} as load_class, {LOAD_BOUND} as is_lower_bound,
-      {LOAD_REASON} as reason from pairs) group by load_class, is_lower_bound, reason
+    select team_id, person_id, {LOAD_CLASS} as load_class, {LOAD_BOUND} as is_lower_bound,
+      {LOAD_REASON} as reason, cast(load as double) as load_value from pairs
     """,
 )
 def _(t: Tables):
     rows = load.person_load(t.people, t.accountable, t.settings, t.capacities)
-    return (
-        rows.where("load_class <> 'UNASSIGNED'")
-        .groupBy("load_class", "is_lower_bound", "reason")
-        .agg(F.count(F.lit(1)).alias("people"), F.sum("load_value").alias("load_value"))
+    return rows.where("load_class <> 'UNASSIGNED'").select(
+        "team_id", "person_id", "load_class", "is_lower_bound", "reason", "load_value"
     )
 
 

@@ -160,17 +160,22 @@ def _(t: Tables):
           select *, row_number() over w as rank, sum(bytes) over w as running,
             sum(bytes) over (partition by team_id) as all_bytes
           from sized window w as (partition by team_id order by severity_rank, rule_id, finding_id
-            rows between unbounded preceding and current row))
-        select team_id, rank, finding_id, rule_id, severity, item_id, bytes,
-          all_bytes > 24576 - 1000 + 1 as truncated
-        from ranked
-        where all_bytes <= 24576 - 1000 + 1 or running <= 24576 - 1000 + 1 - 64
+            rows between unbounded preceding and current row)),
+        budgets as (
+          select team_id, 24576 + 1 - case when cast(team_id as int) % 7 = 0 then 24560 else 1000 end as budget
+          from settings)
+        select b.team_id, rank, finding_id, rule_id, severity, item_id, bytes,
+          coalesce((select max(a.all_bytes) from ranked a where a.team_id = b.team_id), 0) > budget as truncated
+        from budgets b left join ranked r
+          on r.team_id = b.team_id and (r.all_bytes <= budget or r.running <= budget - 64)
         """,
-        "findings",
+        "settings", "findings",
     ),
 )
 def _(t: Tables):
-    fixed = t.settings.select("team_id", F.lit(1000).alias("fixed_bytes"))
+    # The fixed part of some teams leaves no room for a finding.
+    large = F.col("team_id").cast("int") % 7 == 0
+    fixed = t.settings.select("team_id", F.when(large, 24_560).otherwise(1_000).alias("fixed_bytes"))
     return report.summarize_within_budget(t.findings, fixed)
 
 
@@ -324,17 +329,19 @@ def _with_findings(sql: str) -> str:
     "allowed_numbers",
     _with_findings(_NUMBERS)
     + """
-    select run_id, count(*) as numbers from numbers
-    where regexp_full_match(number, '-?[0-9]+([.][0-9])?') group by run_id
+    select distinct run_id, """
+    + _CANON
+    + """ as number from (
+      select run_id, cast(cast(cast(number as decimal(28,6)) as decimal(28,4)) as varchar) as raw from numbers)
     """,
 )
 def _(t: Tables):
-    """Count per run of the numbers with at most one decimal, which both engines spell alike."""
+    """Every number of every run, its decimals to the fourth: the oracle's ratios have six."""
+    four = F.round(F.col("number").cast("decimal(38,14)"), 4).cast("string")
     return (
         _numbers(t, _run_metrics(t))
-        .where(F.rlike("number", F.lit(r"^-?[0-9]+([.][0-9])?$")))
-        .groupBy("run_id")
-        .agg(F.count(F.lit(1)).alias("numbers"))
+        .select("run_id", claims.canonical_number(four).alias("number"))
+        .distinct()
     )
 
 
