@@ -24,6 +24,8 @@ SHARE = 1.5
 MOST_PASSES = 2
 BLOCK_WORDS = 64
 SHARD_SLOTS = 65_536
+#: Slots that are made into rows together.
+RUN = 4_096
 ROUNDS = 12
 BUCKET_DOCS = 8_192
 SEED = 20_417
@@ -129,8 +131,11 @@ def draws(plan: DataFrame, shard_slots: int) -> DataFrame:
     )
     width = F.least(F.lit(shard_slots), F.col("all_slots") - F.col("shard") * shard_slots)
     uniform = F.pmod(F.xxhash64(F.lit(SEED + 2), "shard", "slot"), F.col("all_slots"))
-    each = spread.repartition("shard").select(
-        "shares", "all_slots", "shard", F.explode(F.sequence(F.lit(1), width)).alias("slot")
+    runs = spread.select("*", F.explode(F.sequence(F.lit(1), width, F.lit(RUN))).alias("begin"))
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    upto = F.least(F.col("begin") + RUN - 1, width)
+    each = runs.repartition(tasks, "shard", "begin").select(
+        "shares", "all_slots", "shard", F.explode(F.sequence("begin", upto)).alias("slot")
     )
     drawn = F.filter(F.col("shares"), lambda s: s["upto"] > F.col("uniform"))[0]["source_rank"]
     counts = (
@@ -169,8 +174,13 @@ def slots_of(plan: DataFrame, ranges: DataFrame, block: int) -> DataFrame:
     """Every output slot: shard, source, the block that it takes and how many of its words."""
     keys = ["source_rank", "blocks", "full_passes", "rest", "short", "short_at"]
     wide = ranges.join(plan.select(*keys), "source_rank")
+    # Short runs of slots are dealt evenly before each slot becomes a row.
     last = F.col("first") + F.col("slots") - 1
-    each = wide.select("*", F.explode(F.sequence("first", last)).alias("slot"))
+    runs = wide.select("*", F.explode(F.sequence("first", last, F.lit(RUN))).alias("begin"))
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = runs.repartition(tasks, "source_rank", "begin")
+    upto = F.least(F.col("begin") + RUN - 1, last)
+    each = dealt.select("*", F.explode(F.sequence("begin", upto)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks"))
     place = F.col("slot") % F.col("blocks")
     timed = each.withColumn("pass", turn).withColumn("place", place)
