@@ -22,17 +22,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import batches, stored
 from plumbline.llm.graph import components
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 SKETCH_PARTS = 64
+#: Characters of the texts that are hashed together, but for one longer text.
+RUN_CHARS = 1_000_000
 #: Turns in which sets meet one leader of a group each.
 LEADERS = 3
 #: Sets of a cell; a task holds two cells.
@@ -48,7 +52,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        code = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
 
 
@@ -58,61 +62,112 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngrams(text: str | None, words: int, memo: WordHashes) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-grams; fewer words are one n-gram."""
+def coded(texts: list[str | None], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of some texts, and where each text begins and the last ends."""
     # Bytes fold A-Z and split at ASCII space alone.
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
-    size = min(words, len(codes))
-    count = len(codes) - size + 1
-    total = np.full(count, size, np.uint64) * _FACTORS[-1]
-    for at in range(size):
-        total += mixed(codes[at : at + count]) * _FACTORS[at]
-    return np.unique(mixed(total))
-
-
-def _texts(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    tokens = [(text or "").encode("utf-8", "replace").lower().split() for text in texts]
+    ends = np.cumsum([0, *map(len, tokens)])
+    codes = np.fromiter(map(memo.__getitem__, chain.from_iterable(tokens)), np.uint64, ends[-1])
+    return codes, ends
+
+
+def slid(values: np.ndarray, size: int, join) -> np.ndarray:
+    """``join`` of every ``size`` neighbours."""
+    out = values[: len(values) - size + 1].copy()
+    for at in range(1, size):
+        join(out, values[at : at + len(out)], out=out)
+    return out
+
+
+def ngrams(
+    texts: list[str | None], words: int, memo: WordHashes, ranks: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Per text the sorted distinct hashes of its n-grams, and their ranks by rarest word.
+
+    Fewer words are one n-gram.
+    """
+    codes, ends = coded(texts, memo)
+    plain = mixed(codes)
+    rank = None if ranks is None else ranks[slots(codes)]
+    whole = len(codes) - words + 1
+    if whole > 0:
+        total = np.full(whole, words, np.uint64) * _FACTORS[-1]
+        for at in range(words):
+            total += plain[at : at + whole] * _FACTORS[at]
+        every = mixed(total)
+        least = None if rank is None else slid(rank, words, np.minimum)
+    for begin, end in pairwise(ends.tolist()):
+        n = end - begin
+        if n >= words:
+            part = slice(begin, end - words + 1)
+            if rank is None:
+                yield np.unique(every[part]), None
+            else:
+                found, first = np.unique(every[part], return_index=True)
+                yield found, least[part][first]
+        elif n:
+            one = np.full(1, n, np.uint64) * _FACTORS[-1]
+            one += (plain[begin:end] * _FACTORS[:n]).sum(dtype=np.uint64)
+            yield mixed(one), None if rank is None else rank[begin:end].min(keepdims=True)
+        else:
+            yield np.zeros(0, np.uint64), None if rank is None else np.zeros(0, np.int64)
+
+
+def _texts(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Ids and texts in runs of about ``RUN_CHARS`` characters."""
+    ids, texts, size = [], [], 0
     for part in parts:
-        for doc_id, text in zip(part.column(0), part.column(1), strict=True):
-            yield doc_id.as_py(), text.as_py()
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+            ids.append(doc_id)
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size >= RUN_CHARS or len(ids) >= RUN_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
-def slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def slots(codes: np.ndarray) -> np.ndarray:
+    return (mixed(codes) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """How many n-grams of all documents fall in each slot; its size is fixed."""
+def sketch(docs: DataFrame) -> np.ndarray:
+    """A rank per slot by how many words of all documents fall in it; its size is fixed."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, total = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, text in _texts(parts):
-            np.add.at(total, slots(ngrams(text, words, memo)), 1)
-        rows = [part.tobytes() for part in np.split(total, SKETCH_PARTS)]
+        for _, texts in _texts(parts):
+            total += np.bincount(slots(coded(texts, memo)[0]), minlength=1 << SKETCH_BITS)
+        rows = [pa.compress(part.tobytes(), codec="zstd", asbytes=True)
+                for part in np.split(total, SKETCH_PARTS)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(rows, pa.binary())],
             names=["part", "counts"],
         )
 
+    room = 8 * (1 << SKETCH_BITS) // SKETCH_PARTS
+
+    def counts_in(data: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(data, room, codec="zstd", asbytes=True), np.int64)
+
     def add(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = None, 0
         for batch in group:
             for key, counts in zip(batch.column(0), batch.column(1), strict=True):
-                part, total = key.as_py(), total + np.frombuffer(counts.as_py(), np.int64)
+                part, total = key.as_py(), total + counts_in(counts.as_py())
+        packed = pa.compress(total.tobytes(), codec="zstd", asbytes=True)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+            [pa.array([part], pa.int32()), pa.array([packed], pa.binary())],
             names=["part", "counts"],
         )
 
     partial = docs.selectExpr("doc_id", "text").mapInArrow(count, "part int, counts binary")
     rows = partial.groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    total = np.zeros((SKETCH_PARTS, room // 8), np.int64)
     for part, counts in rows:
-        own = np.frombuffer(counts, np.int64)
-        total[part * len(own) : (part + 1) * len(own)] = own
-    return total
+        total[part] = counts_in(counts)
+    return (np.log2(total.ravel() + 1.0) * (1 << 17)).astype(np.int64)  # below 2**24
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -135,20 +190,21 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Every document with its set's size, key, first n-grams and bitmap; stored."""
-    order = docs.sparkSession.sparkContext.broadcast(sketch(docs, words))
+    order = docs.sparkSession.sparkContext.broadcast(sketch(docs))
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         memo = WordHashes()
-        for doc_id, text in _texts(parts):
-            hashes = ngrams(text, words, memo)
-            n = len(hashes)
-            if not n:
-                yield doc_id, 0, b"", [], b""
-                continue
-            used = order.value[slots(hashes)]
-            shared = n - -(-percent * n // 100) + 1
-            first = hashes[np.lexsort((hashes, used))[:shared]]
-            yield doc_id, n, set_key(hashes), first.view(np.int64), bitmap(hashes)
+        for ids, texts in _texts(parts):
+            found = ngrams(texts, words, memo, order.value)
+            for doc_id, (hashes, ranks) in zip(ids, found, strict=True):
+                n = len(hashes)
+                if not n:
+                    yield doc_id, 0, b"", [], b""
+                    continue
+                shared = n - -(-percent * n // 100) + 1
+                place = ranks.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24)
+                at = np.argpartition(place, shared - 1)[:shared]
+                yield doc_id, n, set_key(hashes), hashes[at].view(np.int64), bitmap(hashes)
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(rows(parts), SIGNED, 1024)
@@ -169,61 +225,56 @@ def candidates(rows: DataFrame) -> DataFrame:
     return stored(tokens.join(shared.select("token"), "token"), "tokens")
 
 
-def _words(key: bytes, bits: int) -> list[int]:
-    """Three places of a key in a filter of 2**bits bits."""
-    return [int.from_bytes(key[at : at + 5], "little") & ((1 << bits) - 1) for at in (0, 5, 10)]
-
-
 class Filter:
-    """A Bloom filter of set keys of bounded size; what it lets pass wrongly is joined out."""
+    """A Bloom filter of document ids of bounded size; what it lets pass wrongly is joined out."""
 
-    def __init__(self, keys: DataFrame):
-        n = keys.count()
+    def __init__(self, ids: DataFrame):
         low, high = FILTER_BITS
-        self.bits = min(high, max(low, (16 * n).bit_length()))
-        bits = self.bits
-
-        def places(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                every = [p for key in part.column(0) for p in _words(key.as_py(), bits)]
-                at = np.array(every, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], names=["word", "bit"]
-                )
-
+        self.bits = min(high, max(low, (16 * ids.count()).bit_length()))
+        ends = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << self.bits)) for k in range(3)]
+        places = ids.select(F.explode(F.array(*ends)).alias("place"))
         table = (
-            keys.mapInArrow(places, "word bigint, bit bigint")
-            .groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+            places.groupBy(F.shiftright("place", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bit"))
+            .toArrow()
         )
-        self.words = np.zeros(1 << (bits - 6), np.int64)
+        self.words = np.zeros(1 << (self.bits - 6), np.int64)
         self.words[table["word"].to_numpy()] = table["bit"].to_numpy()
 
-    def holds(self, key: bytes) -> bool:
-        return all(self.words[p >> 6] >> (p & 63) & 1 for p in _words(key, self.bits))
+    def holds(self, *places: int) -> bool:
+        return all(self.words[p >> 6] >> (p & 63) & 1 for p in places)
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, hashes) of the wanted ids, read from the texts again; stored."""
-    keys = stored(rows.join(wanted, "id", "left_semi").select("set_key", "id"), "wanted")
-    passing = docs.sparkSession.sparkContext.broadcast(Filter(keys.select("set_key")))
+    """(id, hashes) of the wanted ids, from the texts of documents that may have them; stored."""
+    keys = stored(
+        rows.select("set_key", "id", "doc_id").join(wanted, "id", "left_semi"), "wanted"
+    )
+    passing = Filter(keys.select("doc_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(passing)
     schema = pa.schema([("set_key", pa.binary()), ("hashes", pa.binary())])
+    places = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << passing.bits)) for k in range(3)]
+
+    def some(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            marks = zip(*(column.to_pylist() for column in part.columns[2:]), strict=True)
+            yield part.select([0, 1]).filter(pa.array([shared.value.holds(*m) for m in marks], pa.bool_()))
 
     def found(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        memo, sent = WordHashes(), set()
-        for _, text in _texts(parts):
-            hashes = ngrams(text, words, memo)
-            key = set_key(hashes)
-            if key not in sent and len(hashes) and passing.value.holds(key):
-                if len(sent) < MEMO_WORDS:
-                    sent.add(key)
-                yield key, hashes.tobytes()
+        memo = WordHashes()
+        for _, texts in _texts(some(parts)):
+            for hashes, _ in ngrams(texts, words, memo):
+                if len(hashes):
+                    yield set_key(hashes), hashes.tobytes()
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(found(parts), schema, 256)
 
-    texts = docs.selectExpr("doc_id", "text").mapInArrow(read, "set_key binary, hashes binary")
-    joined = texts.join(keys, "set_key").groupBy("id").agg(F.first("hashes").alias("hashes"))
-    return stored(joined, "sets")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    marked = own.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(places)])
+    texts = marked.mapInArrow(read, "set_key binary, hashes binary")
+    joined = texts.join(keys.select("set_key", "id"), "set_key")
+    return stored(joined.groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
