@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from plumbline import vocabulary as v
 from plumbline.functions.columns import excerpt
-from plumbline.operators.skew import position_in_group
 
 
 def capacity_gap(rows: DataFrame) -> DataFrame:
@@ -215,24 +214,33 @@ def evidence_page(
 ) -> DataFrame:
     """One page of every run's evidence in numeric id order, with the next cursor.
 
-    ``evidence`` is (run_id, item_id). Positions are counted per slice of ids, so a run
-    of any size is never ordered in one task.
+    ``evidence`` is (run_id, item_id). Items are counted per slice of ids, and only those of
+    the slices that the page meets are ordered.
     """
-    pieces = F.floor(F.col("item_id") / id_slice)
-    placed = position_in_group(
-        evidence.select("run_id", "item_id"), ["run_id"], ["item_id"], pieces, "position"
+    sliced = evidence.select("run_id", "item_id").withColumn(
+        "slice", F.floor(F.col("item_id") / id_slice)
     )
-    totals = evidence.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
-    after = F.lit(cursor + limit)
+    every = W.partitionBy("run_id")
+    before = every.orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = F.lit(cursor + limit)
+    near = (
+        sliced.groupBy("run_id", "slice")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .withColumn("offset", F.sum("size").over(before) - F.col("size"))
+        .withColumn("total", F.sum("size").over(every))
+        .where((F.col("offset") < upto) & (F.col("offset") + F.col("size") > cursor))
+    )
+    inside = W.partitionBy("run_id", "slice").orderBy("item_id")
     return (
-        placed.where((F.col("position") > cursor) & (F.col("position") <= after))
-        .join(totals, "run_id")
+        sliced.join(near, ["run_id", "slice"])
+        .withColumn("position", F.col("offset") + F.row_number().over(inside))
+        .where((F.col("position") > cursor) & (F.col("position") <= upto))
         .select(
             "run_id",
             "item_id",
             "position",
             "total",
-            F.when(after < F.col("total"), after).alias("next_cursor"),
+            F.when(upto < F.col("total"), upto).alias("next_cursor"),
         )
     )
 
