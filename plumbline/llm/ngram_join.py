@@ -37,8 +37,8 @@ SKETCH_BITS = 20
 SKETCH_PARTS = 64
 #: Characters of the texts that are hashed together, but for one longer text.
 RUN_CHARS = 1_000_000
-#: Turns in which sets meet one leader of a group each.
-LEADERS = 3
+#: Turns in which sets meet one leader of a group each, at most.
+LEADERS = 8
 #: Sets of a cell; a task holds two cells.
 CELL = 2_048
 LEAF = 8
@@ -317,16 +317,36 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(old.unionByName(fresh.select("id", "label")), "labels")
 
 
+def centred(members: DataFrame) -> DataFrame:
+    """``members`` with how central each set is: the sizes of all its groups together.
+
+    The text that copies were made from is in more and larger groups than any copy.
+    """
+    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
+    central = members.join(sizes, "token").groupBy("id").agg(F.sum("size").alias("central"))
+    return stored(members.join(central, "id"), "centred")
+
+
 def leader_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """Each set with one leader of one of its groups that is not joined with it yet.
 
-    A group's leader is its member with the least hash of the turn.
+    In the first turn a group's leader is its most central member. After that only those
+    not joined with it are left, led by the most central or, in odd turns, by the member of
+    the least hash.
     """
     known = labelled(members, labels)
-    order = F.struct(F.xxhash64("id", F.lit(turn)), "id", "label")
-    leaders = known.groupBy("token").agg(F.min(order).alias("leader"))
-    pairs = known.join(leaders, "token").where(F.col("leader.label") != F.col("label"))
-    return pairs.groupBy(F.col("id").alias("a")).agg(F.min("leader.id").alias("b"))
+
+    def led(rows: DataFrame, order: Column) -> DataFrame:
+        best = rows.groupBy("token").agg(F.max(F.struct(order, "id", "label")).alias("leader"))
+        return rows.join(best, "token").where(F.col("leader.label") != F.col("label"))
+
+    pairs = led(known, F.col("central"))
+    if turn:
+        order = F.xxhash64("id", F.lit(turn)) if turn % 2 else F.col("central")
+        pairs = led(pairs.drop("leader"), order)
+    return pairs.groupBy(F.col("id").alias("a")).agg(F.max("leader").alias("leader")).select(
+        "a", F.col("leader.id").alias("b")
+    )
 
 
 def cells(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -529,12 +549,15 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     component's id is the smallest document id that links reach.
     """
     rows = signed(docs, words, percent)
-    members = candidates(rows)
+    members = centred(candidates(rows))
     sets = sets_of(docs, rows, members.select("id").distinct(), words)
     labels = stored(members.select("id", F.col("id").alias("label")).limit(0), "labels")
     for turn in range(LEADERS):
         pairs = leader_pairs(members, labels, turn)
-        labels = relabelled(labels, verified(pairs, sets, percent))
+        links = verified(pairs, sets, percent)
+        if turn and links.isEmpty():
+            break
+        labels = relabelled(labels, links)
     pairs = tree_pairs(rows, members, labels, percent)
     labels = relabelled(labels, verified(pairs, sets, percent))
     return labelled_documents(rows, labels)
