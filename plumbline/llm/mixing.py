@@ -262,7 +262,8 @@ class Mix:
         pieces = pieces_of(self.documents, self.block)
         taken = F.least("end", "words") - F.col("begin")
         return (
-            slots.join(pieces, ["source_rank", "block"])
+            # Files tell nothing of the rows made out of them here: never broadcast.
+            slots.join(pieces.hint("merge"), ["source_rank", "block"])
             .where(taken > 0)
             .select("shard", "pass", "source_rank", "block", "bucket", "place", "doc_word",
                     taken.alias("taken"))
@@ -272,7 +273,7 @@ class Mix:
         """One row per document with the words that the mix takes of it."""
         key = ["source_rank", "bucket", "place"]
         sums = self.shards().groupBy(*key).agg(F.sum("taken").alias("taken"))
-        return self.documents.join(sums, key, "left").select(
+        return self.documents.join(sums.hint("merge"), key, "left").select(
             "doc_id", "size", "source_size", "target",
             F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
         )
@@ -297,7 +298,7 @@ def mixed(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SL
         F.array_sort(F.collect_list(F.struct("doc_word", "taken"))).alias("ranges"),
         F.sum("taken").alias("words"),
     )
-    taken = passes.join(keys, ["source_rank", "bucket", "place"]).select(
+    taken = passes.join(keys.hint("merge"), ["source_rank", "bucket", "place"]).select(
         "row", F.when(F.col("words") < F.col("size"), F.col("ranges")).alias("ranges")
     )
     words = F.regexp_extract_all(text_of("doc.text"), F.lit(f"({WORD})"), F.lit(1))
@@ -305,7 +306,7 @@ def mixed(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SL
     text = F.when(F.col("ranges").isNull(), F.col("doc.text")).otherwise(
         F.array_join(F.flatten(parts), " ")
     )
-    each = rows.join(taken, "row").withColumn("mixed_text", text)
+    each = rows.join(taken.hint("merge"), "row").withColumn("mixed_text", text)
     replaced = {"text": F.col("mixed_text"), "n_chars": F.char_length("mixed_text").cast("bigint")}
     own = [replaced.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
     return each.select(*own)
