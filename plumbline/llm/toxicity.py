@@ -42,7 +42,7 @@ THRESHOLD = 0.5
 BEGINNINGS = (4, 5, 6, 7)
 LEVELS = (0, *BEGINNINGS)  # 0: whole words
 LEAST_DOCS, LEAST_ODDS, MOST_TERMS = 3, 1.5, 2_000
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 UPPER = bytes(range(65, 91))
 STOPS = b"!?"
@@ -58,12 +58,13 @@ class Uses:
     """How often each text uses the terms that enough toxic texts share, and their words."""
 
     def __init__(self, texts: list[str], labels: list[int]):
-        shared = Counter()
-        for text, label in zip(texts, labels, strict=True):
-            if label:
-                words = set(WORDS.findall(text.lower()))
-                shared.update({key for word in words for key in keyed(word)})
-        self.shared = {key for key, n in shared.items() if n >= LEAST_DOCS}
+        toxic = [text for text, label in zip(texts, labels, strict=True) if label]
+        self.shared: set[tuple[int, str]] = set()
+        for level in range(len(LEVELS)):  # one level at a time, to hold few counts
+            docs = Counter()
+            for text in toxic:
+                docs.update({terms(word)[level] for word in set(WORDS.findall(text.lower()))})
+            self.shared |= {(level, term) for term, n in docs.items() if term and n >= LEAST_DOCS}
         memo = Memo(lambda word: [key for key in keyed(word) if key in self.shared])
         self.by_text: list[Counter] = []
         self.words: list[int] = []
