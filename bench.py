@@ -22,7 +22,6 @@ HEADLINE = (
     "cycle_times",
     "evaluate_planning",
     "summarize_within_budget",
-    "bootstrap_forecast",
     "normalize_work_items",
     "validate_claims",
 )
