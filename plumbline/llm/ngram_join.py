@@ -38,7 +38,7 @@ SKETCH_PARTS = 64
 #: Characters of the texts that are hashed together, but for one longer text.
 RUN_CHARS = 1_000_000
 #: Turns in which sets meet one leader of a group each, at most.
-LEADERS = 8
+LEADERS = 3
 #: Sets of a cell; a task holds two cells.
 CELL = 2_048
 LEAF = 8
