@@ -75,25 +75,24 @@ REWRITES = re.compile(
 )
 _PART = re.compile(r"[\x20-]|[^\x20-]+")
 
-# Cheap signs that a text may hold a disguise, on lower case; most texts have none.
-_BRACKETED = re.compile(
+# The alternatives of REWRITES on lower case, none narrower than its own. A bare ``at`` alone
+# can add only an email, whose domain then follows as it is.
+_SIGNS = re.compile(
     rf"{_OPEN}(?:at|@|arroba|arobase|ät|dot|\.|punkt|punto|point){_CLOSE}"
     r"|&(?:#0*(?:64|46)|commat|period);"
 )
-_BARE_AT = re.compile(r"\x20at\x20[\w-]+(?:\.\w|\x20?[\[({<&]|\x20(?:dot|punkt|punto|point)\x20)")
+_BARE_AT = re.compile(r"\x20(?:at|arroba|arobase)\x20[a-z0-9-]+\.[a-z0-9-]")
+_BARE = re.compile(r"\x20(?:punkt|punto|point)\x20|dot\x20|plus\x20")
+_TOLD = re.compile(rf"\b(?:{_SPELLED})[\x20-](?:{_SPELLED}|[0-9])")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
-_BARE = [f" {word} " for word in "arroba arobase dot punkt punto point plus".split()]
 
 
 def suspicious(text: str) -> bool:
     """Whether the rewriting transducer could change ``text`` so that more is found."""
-    low = text.lower()
-    if any(word in low for word in _BARE) or _BRACKETED.search(low) or _BARE_AT.search(low):
-        return True
     if not text.isascii() and _HIDDEN.search(text):
         return True
-    words = low.replace("-", " ").split()
-    return b"\1\1" in bytes(map(DIGIT_OF.__contains__, words))
+    low = text.lower()
+    return any(signs.search(low) for signs in (_BARE, _BARE_AT, _SIGNS, _TOLD))
 
 
 def _look(char: str) -> str:
@@ -225,13 +224,12 @@ class Rewritten:
         """Whether the source there is in disguise, beyond doubt that it is prose.
 
         A lone `` at `` before a plain domain is how people write; it counts only with a
-        written-out dot, or where the local part has a digit or a joining sign.
+        written-out dot, or where the local part has a digit or a joining sign. A lone `` dot ``
+        is between numbers or after a written @ wherever something is found, so it counts.
         """
         source = self.source[begin:end]
         if kinds == {"bare_at"} and not re.match(r"\S*[0-9._+-]\S*\x20", source):
             return False
-        if kinds == {"bare_dot"}:
-            return False
         return bool(kinds) or source != self.looked[begin:end] or bool(
             re.search(f"[{INVISIBLE}]", source)
         )

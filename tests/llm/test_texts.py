@@ -75,6 +75,36 @@ def test_disguises(text, found):
     assert pii.joined(pii.spans_of(text)[1]).split(",") == (found or [""])
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("write to maria.lopez@example dot com today", "email:9:36"),
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip:5:28"),
+        ("call +1 212 dot 555 dot 0100 now", "phone:5:28"),
+        ("(plus 49 170 1234567)", "phone:1:20"),
+        ("Tel:\nplus 44 20 7946 0958", "phone:5:25"),
+        ("plus 49 170 1234567 is mine", "phone:0:19"),
+        ("(four 111 1111 1111 1111)", "card:1:24"),
+        ("(four 111 one 111 one 111 one 111)", "card:1:33"),
+        ("jane7 arroba example.com", "email:0:24"),
+        ("192.168.one-2.7", "ip:0:15"),
+        ("ask bob@localhost. dot it, 3 dot 4 plus 5 at home", ""),
+    ],
+)
+def test_every_rewriting_is_reached_and_kept(text, found):
+    assert pii.joined(pii.spans_of(text)[1]) == found
+
+
+def test_the_gate_is_no_narrower_than_the_rewriting(monkeypatch):
+    chance = random.Random(8)
+    bits = ["plus ", "(", ")", "one", "two ", "-", " ", "3", "4.5", "dot ", " dot ", " at ", "\n",
+            "[at]", "&#46;", "x7", "y.org", "@", ".", "+4", " punkt ", "null", "\u200b", "111 2222 "]
+    texts = ["".join(chance.choices(bits, k=chance.randint(1, 16))) for _ in range(6000)]
+    gated = [pii.spans_of(text) for text in texts]
+    monkeypatch.setattr(pii, "suspicious", lambda text: True)
+    assert gated == [pii.spans_of(text) for text in texts]
+
+
 def test_pii_rows(documents):
     docs = documents([(1, None, "x"), (2, "a@b.co a@b.co", "x"), (2, "no", None)])
     rows = {(r.doc_id, r.n_email, r.spans) for r in pii.find(docs).collect()}
