@@ -12,6 +12,10 @@ exactly. Groups of near copies are joined first by links to a few leaders; the t
 leaves pairs of nodes that are joined already, so a group of copies needs no look at all its
 pairs. A large group is cut into cells, and pairs of cells are walked in tasks of their own.
 
+Links are counted inside components, where all of them are: every pair of sets of a
+component is pruned by the trees without their labels and then compared exactly. A
+component is cut into cells too, and only sums per set leave a task.
+
 Defined cases: a null text counts as empty; a text without words has no n-grams and links
 with nothing; rows that repeat an id are documents of their own, with their own sets; an
 empty table gives an empty result. Hashes of n-grams have 64 bits, those of sets 128. Only
@@ -22,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +45,11 @@ RUN_CHARS = 1_000_000
 LEADERS = 3
 #: Sets of a cell; a task holds two cells.
 CELL = 2_048
+#: Sets and n-grams of a cell in which links are counted; a task holds two.
+LINK_CELL = 512
+LINK_GRAMS = 2_000_000
+#: Pairs that are compared at once.
+LINK_PAIRS = 200_000
 LEAF = 8
 MEMO_WORDS = 1_000_000
 FILTER_BITS = (20, 28)
@@ -425,7 +434,7 @@ class Node:
 
 def tree_of(leaves: list[Node]) -> Node:
     """A tree of nodes of a few children, over leaves of one label or size side by side."""
-    level = sorted(leaves, key=lambda leaf: (leaf.label, leaf.most, leaf.ids))
+    level = sorted(leaves, key=lambda leaf: (leaf.label or 0, leaf.most, leaf.ids))
     while len(level) > 1:
         level = [Node.above(level[at : at + LEAF]) for at in range(0, len(level), LEAF)]
     return level[0]
@@ -465,11 +474,12 @@ def fold(bits: int, width: int) -> int:
     return bits >> half | bits & ((1 << half) - 1)
 
 
-def pairs_in(members: list[tuple], percent: int) -> set[tuple[int, int]]:
+def met(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
     """Pairs to compare among ``members`` (id, label, n, bits, sides) of a pair of cells.
 
     Sides tell the cells: 1, 2 or, of a cell with itself, 3. Bitmaps of one width meet as
     they are, those of the next width folded; sizes of sets that link are not further apart.
+    Each pair comes once; members without a label are never left as joined.
     """
     widths: dict[int, list[tuple]] = {}
     for member in members:
@@ -483,7 +493,6 @@ def pairs_in(members: list[tuple], percent: int) -> set[tuple[int, int]]:
                 found.append(Node.leaf(key, label, n, fold(bits, width) if folded else bits, side))
         return found
 
-    out: set[tuple[int, int]] = set()
     itself = any(member[4] == 3 for member in members)
     for width in widths:
         if itself:
@@ -497,10 +506,45 @@ def pairs_in(members: list[tuple], percent: int) -> set[tuple[int, int]]:
         for left, right in meetings:
             if left and right is None:
                 root = tree_of(left)
-                out.update(walk(root, root, percent))
+                yield from walk(root, root, percent)
             elif left and right:
-                out.update(walk(tree_of(left), tree_of(right), percent))
-    return out
+                yield from walk(tree_of(left), tree_of(right), percent)
+
+
+def pairs_in(members: list[tuple], percent: int) -> set[tuple[int, int]]:
+    return set(met(members, percent))
+
+
+def counted(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """(id, documents it links with) for ``members`` (id, n, bits, hashes, copies, sides)."""
+    if not members:
+        return
+    at_of = {member[0]: at for at, member in enumerate(members)}
+    sizes = np.array([member[1] for member in members], np.int64)
+    copies = np.array([member[4] for member in members], np.int64)
+    every = np.frombuffer(b"".join(member[3] for member in members), np.uint64)
+    known, codes = np.unique(every, return_inverse=True)
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    marked = np.zeros(len(known), np.int64)
+    total = np.zeros(len(members), np.int64)
+    pairs = met([(m[0], None, m[1], m[2], m[5]) for m in members], percent)
+    while some := list(islice(pairs, LINK_PAIRS)):
+        partners: dict[int, list[int]] = {}
+        for a, b in some:
+            partners.setdefault(at_of[a], []).append(at_of[b])
+        for a, others in partners.items():
+            marked[own[a]] = 1
+            # A few at a time, as their n-grams are laid side by side.
+            for begin in range(0, len(others), 256):
+                part = np.array(others[begin : begin + 256])
+                starts = np.cumsum(sizes[part]) - sizes[part]
+                both = np.add.reduceat(marked[np.concatenate([own[b] for b in part])], starts)
+                part = part[100 * both >= percent * (sizes[a] + sizes[part] - both)]
+                total[a] += copies[part].sum()
+                total[part] += copies[a]
+            marked[own[a]] = 0
+    for at in np.flatnonzero(total).tolist():
+        yield members[at][0], int(total[at])
 
 
 def tree_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -542,12 +586,61 @@ def tree_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame, percent:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
+def link_counts(
+    rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: int
+) -> DataFrame:
+    """(id, n) with how many documents of other sets link with each set that has a link.
 
-    Two documents link when their n-grams are similar by ``percent`` hundredths or more; a
-    component's id is the smallest document id that links reach.
+    Sets that link are of one component, so the pairs of a component's cells meet every
+    link once, whichever n-grams its ends share.
     """
+    copies = rows.where("n > 0").groupBy("set_key").agg(
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
+    )
+    signs = rows.select("id", "n", "bits").join(copies.select("id", "copies"), "id")
+    known = stored(labels.join(signs, "id").join(sets, "id"), "linking")
+    room = known.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
+    parts = F.ceil(F.greatest(F.col("sets") / LINK_CELL, F.col("grams") / LINK_GRAMS))
+    placed = known.join(room.select("label", parts.alias("parts")), "label").withColumn(
+        "cell", F.pmod(F.xxhash64("id"), F.col("parts"))
+    )
+    # Each set goes to the pairs of its cell with every cell; x <= y names a pair.
+    with_other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sides = F.when(F.col("cell") == F.col("other"), 3).when(F.col("cell") < F.col("other"), 1)
+    dealt = (
+        with_other.select(
+            "label",
+            F.least("cell", "other").alias("x"),
+            F.greatest("cell", "other").alias("y"),
+            "id", "n", "bits", "hashes", "copies",
+            sides.otherwise(2).alias("sides"),
+        )
+        .repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label", "x", "y")
+        .sortWithinPartitions("label", "x", "y")
+    )
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
+
+    def groups(batches_in: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        key, held = None, []
+        for part in batches_in:
+            for *own, key_id, n, bits, hashes, times, side in zip(
+                *(c.to_pylist() for c in part.columns), strict=True
+            ):
+                if own != key:
+                    yield from counted(held, percent)
+                    key, held = own, []
+                held.append((key_id, n, bits, hashes, times, side))
+        yield from counted(held, percent)
+
+    def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches(groups(batches_in), schema)
+
+    found = dealt.mapInArrow(run, "id bigint, n bigint")
+    return stored(found.groupBy("id").agg(F.sum("n").alias("n")), "links")
+
+
+def joined(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows, the whole sets that may link, and the labels of those that do."""
     rows = signed(docs, words, percent)
     members = centred(candidates(rows))
     sets = sets_of(docs, rows, members.select("id").distinct(), words)
@@ -559,22 +652,51 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
             break
         labels = relabelled(labels, links)
     pairs = tree_pairs(rows, members, labels, percent)
-    labels = relabelled(labels, verified(pairs, sets, percent))
-    return labelled_documents(rows, labels)
+    return rows, sets, relabelled(labels, verified(pairs, sets, percent))
 
 
-def labelled_documents(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
+
+    Two documents link when their n-grams are similar by ``percent`` hundredths or more; a
+    component's id is the smallest document id that links reach.
+    """
+    rows, _, labels = joined(docs, words, percent)
+    return labelled_documents(rows, labels).drop("n_links")
+
+
+def links_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``components_of`` with ``n_links``: how many other documents link with each.
+
+    Documents of one set link with each other and count, as do all links between sets.
+    """
+    rows, sets, labels = joined(docs, words, percent)
+    return labelled_documents(rows, labels, link_counts(rows, sets, labels, percent))
+
+
+def labelled_documents(
+    rows: DataFrame, labels: DataFrame, links: DataFrame | None = None
+) -> DataFrame:
     """The smallest document id of each component, brought back to all its documents."""
     known = rows.where("n > 0").select("doc_id", "n", "set_key", "id")
-    heads = known.groupBy("set_key").agg(F.min("id").alias("id"), F.min("doc_id").alias("least"))
-    named = labelled(heads, labels).select("set_key", "label", "least")
+    heads = known.groupBy("set_key").agg(
+        F.min("id").alias("id"),
+        F.min("doc_id").alias("least"),
+        (F.count(F.lit(1)) - 1).alias("n_links"),
+    )
+    if links is not None:
+        heads = heads.join(links.withColumnRenamed("n", "more"), "id", "left").withColumn(
+            "n_links", F.col("n_links") + F.coalesce("more", F.lit(0))
+        )
+    named = labelled(heads, labels).select("set_key", "label", "least", "n_links")
     parts = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    keyed = named.join(parts, "label").select("set_key", "component_id")
+    keyed = named.join(parts, "label").select("set_key", "component_id", "n_links")
     found = known.join(keyed, "set_key").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id"
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links"
     )
+    none = F.lit(0).cast("bigint")
     empty = rows.where("n = 0").select(
-        "doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id")
+        "doc_id", none.alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("n_links")
     )
     return found.unionByName(empty)
 

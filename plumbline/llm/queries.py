@@ -33,7 +33,7 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.components_of(table(spark, folder, "documents"), words=3, percent=90)
+    return ngram_join.links_of(table(spark, folder, "documents"), words=3, percent=90)
 
 
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -217,7 +217,30 @@ def test_join_equals_all_pairs(documents, monkeypatch, words, percent, cell):
     assert sorted(map(tuple, found)) == brute_components(rows, words, percent)
 
 
+@pytest.mark.parametrize(("cell", "grams"), [(512, 2_000_000), (7, 2_000_000), (512, 900)])
+def test_links_equal_all_pairs(documents, monkeypatch, cell, grams):
+    monkeypatch.setattr(ngram_join, "LINK_CELL", cell)
+    monkeypatch.setattr(ngram_join, "LINK_GRAMS", grams)
+    monkeypatch.setattr(ngram_join, "LINK_PAIRS", 50)
+    chance = random.Random(9)
+    texts = near_copies(chance, 40, 90, 5) + near_copies(chance, 25, 33, 1) + ["", None, "a b", "A b"]
+    texts += texts[:6]
+    rows = [(7 * k + 2, t, "x") for k, t in enumerate(texts)]
+    sets = []
+    for _, text, _ in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else set())
+    links = [
+        sum(j != k and bool(s) and 100 * len(s & o) >= 80 * len(s | o) for j, o in enumerate(sets))
+        for k, s in enumerate(sets)
+    ]
+    found = ngram_join.links_of(documents(rows), 3, 80).collect()
+    assert {r.doc_id: r.n_links for r in found} == {r[0]: n for r, n in zip(rows, links, strict=True)}
+    assert sorted(tuple(r)[:3] for r in found) == brute_components(rows, 3, 80)
+
+
 def test_join_of_few_rows(documents):
+    assert ngram_join.links_of(documents([])).count() == 0
     assert ngram_join.components_of(documents([])).count() == 0
     docs = documents([(7, "a b c d e f", "x"), (3, "A b  c d e f", "y"), (9, None, None)])
     found = {tuple(r) for r in ngram_join.components_of(docs).collect()}
