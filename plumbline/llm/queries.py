@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
+    backtracking_bpe,
     bpe,
     class_lm,
     exact_dedup,
+    fill_middle,
     html_wrappers,
     mixing,
     ngram_join,
+    periodic_runs,
     pii,
     quality,
     topk_search,
@@ -66,6 +69,21 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.deduplicate(docs, exact_dedup.new_index(spark))
 
 
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, folder, "documents")))
+
+
+def op12_backtracking_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = backtracking_bpe.encode(table(spark, folder, "documents"), path)
+    return backtracking_bpe.digests(backtracking_bpe.decode(encoded, path))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic_runs.planted(table(spark, folder, "documents"))
+    return periodic_runs.digests(periodic_runs.find(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_pii": op2_pii,
@@ -77,9 +95,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_lm": op8_class_lm,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_backtracking_bpe": op12_backtracking_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op1_topk_search": topk_search.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
 }
