@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import elapsed_days
-from plumbline.operators import commitment, flow, history
+from plumbline.operators import commitment, flow, history, history_fold
 from plumbline.plans.history_block import history_block
 from tests.conftest import at, number, rows_of
 
@@ -163,9 +163,11 @@ def test_coverage_needs_every_item(spark):
     short = history.history_coverage(more, revs)
     assert short.first()["is_usable"] is False
     assert history.usable_revisions(revs, short).count() == 0
-    created = spark.createDataFrame([], "organization string, item_id bigint, created_at timestamp")
-    block = history_block(revs, short, created, windows(spark)).first()
+    born = F.lit(None).cast("timestamp").alias("created_at")
+    block = history_block(revs, more.select("*", born), windows(spark)).first()
     assert (block["available"], block["reason"]) == (False, "history_unavailable")
+    block = history_block(revs, asked.select("*", born), windows(spark)).first()
+    assert (block["available"], block["baseline_size"]) == (True, 2)
 
 
 @pytest.mark.parametrize(
@@ -231,3 +233,65 @@ def test_random_histories_match_a_plain_loop(spark, seed):
     assert {i for (i,) in rows_of(flow.reopened_completions(revs, frame), "item_id")} == again
     aged = flow.aging_wip(revs, frame).select("item_id", F.unix_micros("episode_started_at"))
     assert dict(map(tuple, aged.collect())) == {i: m and micros(m) for i, m in ages.items()}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("hours", [24, 6, 100_000])
+def test_the_fold_equals_the_single_operators(spark, seed, hours):
+    """Whatever the slices, one item holding most rows included."""
+    rows = random_history(seed) + [
+        (99, k, (dt.datetime(2026, 9, 11) + dt.timedelta(minutes=7 * k)).isoformat(),
+         random.Random(k * seed).choice(["proposed", "in_progress", "completed", None]),
+         random.Random(k + seed).choice(["S1", "S2"]), k % 5)
+        for k in range(1500)
+    ]
+    revs = revisions(spark, *rows).repartition(5)
+    frame = windows(spark)
+    pieces = F.floor(F.unix_seconds("changed_at") / (3600 * hours))
+    folds = history_fold.item_folds(revs, frame, pieces)
+    scope = commitment.scope_changes(revs, frame)
+    for direction in ("entered", "exited"):
+        counted = scope.where(F.col("direction") == direction).groupBy("item_id").count()
+        assert rows_of(folds.where(f"{direction} > 0"), "item_id", direction) == rows_of(counted)
+    again = flow.reopened_completions(revs, frame)
+    assert rows_of(folds.where("recompletions > 0"), "item_id", "recompletions") == rows_of(
+        again, "item_id", "completions"
+    )
+    aged = flow.aging_wip(revs, frame)
+    assert rows_of(
+        folds.where("category = 'in_progress'").select(
+            "item_id", "episode_started_at",
+            (F.col("reopened") & F.col("episode_started_at").isNotNull()).alias("reopened"),
+        )
+    ) == rows_of(aged, "item_id", "episode_started_at", "reopened")
+    marks = flow.item_milestones(revs)
+    assert rows_of(folds, "item_id", "started_at", "completed_at") == rows_of(
+        marks, "item_id", "started_at", "completed_at"
+    )
+    for name, moment in (("at_cut", "commitment_at"), ("at_end", "as_of")):
+        state = history.revision_at(revs, frame, moment)
+        assert rows_of(
+            folds.where(F.col(name).isNotNull()),
+            "item_id", f"{name}.category", f"{name}.story_points",
+        ) == rows_of(state, "item_id", "state_category", "story_points")
+
+
+def test_the_block_reads_its_revisions_once(spark, tmp_path):
+    rows = random_history(5)
+    path = str(tmp_path / "revisions")
+    revisions(spark, *rows).repartition(4).write.parquet(path)
+    revs = spark.read.parquet(path)
+    asked = revs.groupBy(*history.ITEM).agg(F.min("changed_at").alias("created_at"))
+    windows(spark).write.parquet(path + "-windows")
+    block = history_block(revs, asked, spark.read.parquet(path + "-windows"))
+    plan = block._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("== Initial Plan ==")[-1]
+    scans = [line for line in first.splitlines() if "Scan parquet" in line]
+    assert sum("revision#" in line or "changed_at#" in line for line in scans) == 2
+    # By (item, slice), by item, and the items asked for; the rest has a row per team.
+    by_item = [
+        line for line in first.splitlines()
+        if "Exchange hashpartitioning" in line and "item_id" in line
+    ]
+    assert len(by_item) == 3
+    assert block.first()["available"]

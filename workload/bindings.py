@@ -343,6 +343,27 @@ class Tables:
         )
         return users.unionByName(absent)
 
+    @cached_property
+    def history_items(self) -> DataFrame:
+        """The requested items with their creation, out of one scan."""
+        users = self.read("events").groupBy("user_id").agg(
+            F.min("ts").cast("timestamp").alias("created_at")
+        )
+        absent = self.read("nation").where("n_regionkey = 0")
+        return users.select(
+            F.lit(ORGANIZATION).alias("organization"),
+            F.col("user_id").alias("item_id"),
+            F.pmod("user_id", F.lit(25)).cast("string").alias("team_id"),
+            "created_at",
+        ).unionByName(
+            absent.select(
+                F.lit(ORGANIZATION).alias("organization"),
+                (-1 - F.col("n_nationkey")).cast("bigint").alias("item_id"),
+                F.col("n_nationkey").cast("string").alias("team_id"),
+                F.lit(None).cast("timestamp").alias("created_at"),
+            )
+        )
+
     @cached_property
     def coverage(self) -> DataFrame:
         return history_coverage(self.requested_items, self.revisions)

@@ -353,4 +353,4 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return history_block(t.revisions, t.coverage, t.created, t.history_windows)
+    return history_block(t.revisions, t.history_items, t.history_windows)
