@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -17,6 +20,22 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names for data which all executors read."""
     folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    # Only a local session may go without: its one machine is driver and executor.
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, and read from there.
+
+    It cuts the lineage at data that a lost executor leaves alone, and readers plan with its
+    true size. The folder is the application's to remove.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

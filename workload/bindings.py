@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import cache, cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.calendar import (
@@ -19,6 +19,7 @@ from plumbline.operators.cross_team import deduplicate_items
 from plumbline.operators.history import history_coverage, usable_revisions
 from plumbline.operators.load import accountable_items, load_findings
 from plumbline.operators.skew import attach, spread
+from plumbline.plans.run_outputs import RunOutputs, run_outputs
 from plumbline.session import configure
 
 # The flagship sprint, and the sprint the revision history is read against.
@@ -220,11 +221,24 @@ class Tables:
     @cached_property
     def sprint_accountable(self) -> DataFrame:
         """Accountable items due in the flagship sprint; parents are excluded first."""
-        in_sprint = self.items.where(
-            (F.col("target_date") >= F.lit(SPRINT[0]).cast("date"))
-            & (F.col("target_date") < F.lit(SPRINT[1]).cast("date"))
+        return accountable_items(
+            self.items.where(self.in_sprint), self.relations, self.settings
+        )
+
+    @property
+    def in_sprint(self) -> Column:
+        """Whether an item is due in the flagship sprint."""
+        due = F.col("target_date")
+        first, end = (F.lit(day).cast("date") for day in SPRINT)
+        return F.coalesce((due >= first) & (due < end), F.lit(False))
+
+    @cached_property
+    def outputs(self) -> RunOutputs:
+        """What every team's run produced; the first use computes and stores it."""
+        return run_outputs(
+            self.accountable, self.in_sprint, self.people, self.settings, self.reservations,
+            self.capacities, self.evidence,
         )
-        return accountable_items(in_sprint, self.relations, self.settings)
 
     # -- people and capacity --------------------------------------------------
 

@@ -279,15 +279,6 @@ def _run_metrics(t: Tables):
     return team_metrics(t).withColumnRenamed("team_id", "run_id")
 
 
-def _numbers(t: Tables, metrics):
-    return claims.allowed_numbers(
-        metrics,
-        person_load(t).withColumnRenamed("team_id", "run_id"),
-        t.evidence,
-        t.findings.withColumnRenamed("team_id", "run_id"),
-    )
-
-
 _CANON = r"""
   regexp_replace(case when contains(raw, '.') then regexp_replace(raw, '\.?0+$', '') else raw end,
     '^(-?)0+([0-9])', '\1\2')
@@ -339,18 +330,16 @@ def _(t: Tables):
     """Every number of every run, its decimals to the fourth: the oracle's ratios have six."""
     four = F.round(F.col("number").cast("decimal(38,14)"), 4).cast("string")
     return (
-        _numbers(t, _run_metrics(t))
+        t.outputs.numbers()
         .select("run_id", claims.canonical_number(four).alias("number"))
         .distinct()
     )
 
 
 def _verdicts(t: Tables):
-    metrics = _run_metrics(t)
-    references = claims.known_references(metrics, t.evidence)
     patterns = F.array(*[F.lit(pattern) for pattern in BANNED])
     banned = t.spark.range(1).select(F.explode(patterns).alias("pattern"))
-    return claims.validate_claims(t.claims, references, _numbers(t, metrics), banned)
+    return t.outputs.verdicts(t.claims, banned)
 
 
 _CLAIMS = (
