@@ -300,8 +300,10 @@ def test_a_batch_names_a_run_once_and_a_broken_store_is_an_error(spark, tmp_path
     with pytest.raises(sinks.RunExists):
         sinks.append_snapshot(twice, {}, root)
     assert sinks.read_runs(spark, root) is None
-    (tmp_path / "store" / "runs").mkdir(parents=True)
-    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+    manifest = tmp_path / "store" / sinks.MANIFEST
+    manifest.mkdir(parents=True)
+    (manifest / f"{1:020d}.json").write_text("half a fi")
+    with pytest.raises(ValueError):
         sinks.read_runs(spark, root)
 
 
@@ -317,6 +319,107 @@ def test_expired_runs_leave_the_store(spark, tmp_path):
     assert rows_of(sinks.read_artifact(spark, root, "values"), "run_id", "value") == [("new", 2)]
 
 
+def folders(root, name):
+    return sorted(p.name for p in (root / name).glob("attempt=*"))
+
+
+def batch(spark, *names):
+    rows = run_rows(spark, *[(n, "a", "2026-09-02T00:00", "complete", ()) for n in names])
+    return rows, {"values": spark.createDataFrame([(n, 1) for n in names], "run_id string, value int")}
+
+
+@pytest.mark.parametrize("other, kept", [(("r1", "r9"), ["r1", "r9"]), (("r9",), ["r1", "r2", "r9"])])
+def test_of_two_writers_of_one_run_the_later_fails(spark, tmp_path, monkeypatch, other, kept):
+    """The second writer comes in after the first has checked and written its folders."""
+    root = str(tmp_path / "store")
+    write, late = sinks.write_report, []
+
+    def interrupted(*args, **kwargs):
+        attempt = write(*args, **kwargs)
+        if not late:
+            late.append(attempt)
+            sinks.append_snapshot(*batch(spark, *other), root)
+        return attempt
+
+    monkeypatch.setattr(sinks, "write_report", interrupted)
+    if "r1" in other:
+        with pytest.raises(sinks.RunExists, match="r1"):
+            sinks.append_snapshot(*batch(spark, "r1", "r2"), root)
+        assert len(folders(tmp_path / "store", "values")) == 1
+    else:
+        done = sinks.append_snapshot(*batch(spark, "r1", "r2"), root)
+        assert done.version == 2
+    assert rows_of(sinks.read_runs(spark, root), "run_id") == [(n,) for n in kept]
+    assert rows_of(sinks.read_artifact(spark, root, "values"), "run_id") == [(n,) for n in kept]
+
+
+def test_a_version_is_written_by_one_writer(spark, tmp_path):
+    root = str(tmp_path / "store")
+    seen = sinks.read_manifest(spark, root)
+    from dataclasses import replace
+
+    for name in ("x", "y", "z"):
+        sinks.commit(spark, root, seen, lambda s: replace(s, attempts=(*s.attempts, name)))  # noqa: B023
+    state = sinks.read_manifest(spark, root)
+    assert (state.version, state.attempts) == (3, ("x", "y", "z"))
+    assert not [p for p in (tmp_path / "store" / sinks.MANIFEST).iterdir() if p.name.count("-") > 1]
+
+
+def test_expiry_writes_no_data_anew_and_drops_empty_folders(spark, tmp_path):
+    root, store = str(tmp_path / "store"), tmp_path / "store"
+    sinks.append_snapshot(*batch(spark, "a1", "a2"), root)
+    sinks.append_snapshot(*batch(spark, "b1"), root)
+    before = sinks.read_manifest(spark, root)
+    files = {p: p.stat().st_mtime_ns for p in (store / "values").rglob("*.parquet")}
+    gone = spark.createDataFrame([("a1",), ("zz",)], "run_id string")
+    sinks.remove_runs(spark, root, gone, ["values"])
+    assert {p: p.stat().st_mtime_ns for p in (store / "values").rglob("*.parquet")} == files
+    assert rows_of(sinks.read_artifact(spark, root, "values"), "run_id") == [("a2",), ("b1",)]
+    # A reader that began earlier still sees the state that it began with.
+    assert rows_of(sinks.read_runs(spark, root, before), "run_id") == [("a1",), ("a2",), ("b1",)]
+    sinks.append_snapshot(*batch(spark, "a1"), root)
+    assert rows_of(sinks.read_runs(spark, root), "run_id") == [("a1",), ("a2",), ("b1",)]
+    state = sinks.remove_runs(spark, root, spark.createDataFrame([("a2",)], "run_id string"), ["values"])
+    assert rows_of(sinks.read_artifact(spark, root, "values"), "run_id") == [("a1",), ("b1",)]
+    assert len(folders(store, "values")) == len(folders(store, "runs")) == 2
+    # The tombstones of a dropped attempt are no longer read.
+    assert state.expiries == () and state.dropped == ()
+
+
+@pytest.mark.parametrize("crash", ["create_once", "remove"])
+def test_a_crash_while_runs_expire_loses_nothing(spark, tmp_path, monkeypatch, crash):
+    root, store = str(tmp_path / "store"), tmp_path / "store"
+    sinks.append_snapshot(*batch(spark, "old"), root)
+    sinks.append_snapshot(*batch(spark, "new"), root)
+    expired = spark.createDataFrame([("old",)], "run_id string")
+
+    def stop(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks._Files, crash, stop)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.remove_runs(spark, root, expired, ["values"])
+    # Before the new version nothing has gone; after it all has, but for the folders.
+    left = [("new",), ("old",)] if crash == "create_once" else [("new",)]
+    assert rows_of(sinks.read_runs(spark, root), "run_id") == left
+    assert rows_of(sinks.read_artifact(spark, root, "values"), "run_id") == left
+    assert len(folders(store, "values")) == 2
+    sinks.remove_runs(spark, root, expired, ["values"])
+    assert rows_of(sinks.read_artifact(spark, root, "values"), "run_id") == [("new",)]
+    assert len(folders(store, "values")) == len(folders(store, "runs")) == 1
+
+
+def test_old_versions_of_the_manifest_are_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "KEPT_VERSIONS", 2)
+    root = str(tmp_path / "store")
+    for name in ("a", "b", "c"):
+        sinks.append_snapshot(*batch(spark, name), root)
+    sinks.remove_runs(spark, root, spark.createDataFrame([("b",)], "run_id string"), ["values"])
+    assert len(list((tmp_path / "store" / sinks.MANIFEST).glob("0*.json"))) == 2
+    assert rows_of(sinks.read_runs(spark, root), "run_id") == [("a",), ("c",)]
+
+
 def test_findings_without_an_item_are_not_cut_short(spark):
     rows = [("t", f"f{k:04d}", "r", "low", None) for k in range(700)]
     found = spark.createDataFrame(
