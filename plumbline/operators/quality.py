@@ -129,30 +129,32 @@ def assess_metric(measured: DataFrame, settings: DataFrame, requirements: DataFr
     )
 
 
-def observed_utilization(compared: DataFrame, settings: DataFrame) -> DataFrame:
-    """Load over capacity per team, with its own status order.
-
-    ``compared`` is the team's row out of ``classify_load``. Not applicable comes first,
-    then unknown capacity, then a missing ratio, then partial load.
-    """
-    team = settings.select("team_id", "capabilities")
+def _utilization() -> dict[str, Column]:
+    """Status, ratio and reason of load over capacity, over a team's compared row."""
+    disabled = ~F.array_contains("capabilities", F.lit("allocation"))
     status = (
-        F.when(~F.array_contains("capabilities", F.lit("allocation")), v.NOT_APPLICABLE)
+        F.when(disabled, v.NOT_APPLICABLE)
         .when(F.col("capacity_value").isNull() | F.col("ratio").isNull(), v.UNAVAILABLE)
         .when(F.col("known") != F.col("eligible"), v.PARTIAL)
         .otherwise(v.AVAILABLE)
     )
     reason = (
-        F.when(~F.array_contains("capabilities", F.lit("allocation")), "capability_not_enabled")
+        F.when(disabled, "capability_not_enabled")
         .when(F.col("capacity_value").isNull(), "capacity_unknown")
         .when(F.col("ratio").isNull(), "not_comparable")
     )
-    return compared.join(team, "team_id").select(
-        "team_id",
-        status.alias("status"),
-        F.when(status != v.NOT_APPLICABLE, F.col("ratio")).alias("ratio"),
-        reason.alias("reason"),
-    )
+    return {"status": status, "ratio": F.when(~disabled, F.col("ratio")), "reason": reason}
+
+
+def observed_utilization(compared: DataFrame, settings: DataFrame) -> DataFrame:
+    """Load over capacity per team, with its own status order.
+
+    ``compared`` is the team's row out of ``classify_load``. Not applicable comes first,
+    then unknown capacity, then a missing ratio, then partial load.
+    """
+    team = settings.select("team_id", "capabilities")
+    parts = [column.alias(name) for name, column in _utilization().items()]
+    return compared.join(team, "team_id").select("team_id", *parts)
 
 
 def team_comparison(
@@ -191,7 +193,10 @@ def team_metrics(
     capacities: DataFrame,
     comparison: DataFrame | None = None,
 ) -> DataFrame:
-    """The long metrics table: five metrics per team with value, status and quality."""
+    """The long metrics table: five metrics per team with value, status and quality.
+
+    Every team's items are tallied in one pass, and its row is spread into the metrics.
+    """
     zero = F.lit(0).cast("bigint")
     if comparison is None:
         comparison = team_comparison(accountable, settings, reservations, capacities)
@@ -213,9 +218,11 @@ def team_metrics(
     load_quality = [c("eligible"), c("known"), c("missing"), c("invalid"), c("excluded")]
     items = F.lit(v.ITEMS_UNIT)
     none = F.lit(None)
-    long = comparison.select(
+    measured_on = comparison.join(settings.select("team_id", "capabilities"), "team_id")
+    long = measured_on.select(
         "team_id",
         has_reservations.alias("has_reservations"),
+        *[column.alias(f"use_{name}") for name, column in _utilization().items()],
         F.inline(
             F.array(
                 metric("open_items_count", c("open"), items, c("accountable"), c("accountable")),
@@ -233,35 +240,24 @@ def team_metrics(
         ),
     )
     assessed = assess_metric(long, settings, metric_requirements(accountable.sparkSession))
-    use = observed_utilization(comparison, settings).select(
+    # Utilization has its own status; it travels with the row that it was measured on.
+    own = (c("metric_id") == "observed_utilization") & (c("status") != v.NOT_APPLICABLE)
+    return assessed.select(
         "team_id",
-        F.lit("observed_utilization").alias("metric_id"),
-        F.col("status").alias("use_status"),
-        "ratio",
-        F.col("reason").alias("use_reason"),
-    )
-    own = F.col("use_status").isNotNull() & (F.col("status") != v.NOT_APPLICABLE)
-    return (
-        assessed.join(use, ["team_id", "metric_id"], "left")
-        .select(
-            "team_id",
-            "metric_id",
-            F.when(own, F.col("use_status")).otherwise(F.col("status")).alias("status"),
-            "value",
-            F.when(F.col("value").isNotNull(), F.col("unit")).alias("unit"),
-            F.when(own, F.col("ratio")).alias("ratio"),
-            "coverage_eligible",
-            "coverage_known",
-            "coverage_ratio",
-            "eligible",
-            "known",
-            "missing",
-            "invalid",
-            "excluded",
-            F.when(own, F.array_compact(F.array("use_reason")))
-            .otherwise(F.col("reasons"))
-            .alias("reasons"),
-        )
+        "metric_id",
+        F.when(own, c("use_status")).otherwise(c("status")).alias("status"),
+        "value",
+        F.when(c("value").isNotNull(), c("unit")).alias("unit"),
+        F.when(own, c("use_ratio")).alias("ratio"),
+        "coverage_eligible",
+        "coverage_known",
+        "coverage_ratio",
+        "eligible",
+        "known",
+        "missing",
+        "invalid",
+        "excluded",
+        F.when(own, F.array_compact(F.array("use_reason"))).otherwise(c("reasons")).alias("reasons"),
     )
 
 

@@ -7,6 +7,8 @@ and nothing is guessed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +33,38 @@ from plumbline.operators.skew import attach
 RECORD_KEYS = ("value", "items", "workItems", "teamMembers", "teamCapacities", "capacities")
 
 
-def read_landed_payloads(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """Landed files as payloads: one per line, or one per file."""
-    text = spark.read.text(path, wholetext=whole_files)
-    return text.select(
-        F.col("value").alias("payload"), F.col("_metadata.file_path").alias("source")
+def read_landed_payloads(
+    spark: SparkSession, path: str, whole_files: bool = False, context: Sequence[str] = ()
+) -> DataFrame:
+    """Landed files as payloads: one per line, or one per file, with the file as ``source``.
+
+    ``context`` names what the folders below ``path`` say of a payload (``team_id=7/...``);
+    it is read as text, so an id keeps its leading zeros. Blank lines and files are none.
+    Payloads come as they are: see :func:`malformed_payloads`.
+    """
+    folders = "".join(f", `{name}` string" for name in context)
+    text = spark.read.schema(f"value string{folders}").text(path, wholetext=whole_files)
+    return text.where(F.trim("value") != "").select(
+        *context, F.col("value").alias("payload"), F.col("_metadata.file_path").alias("source")
     )
 
 
+def malformed_payloads(payloads: DataFrame) -> DataFrame:
+    """The payloads that hold no record source, with the ``reason``: nothing is dropped unseen.
+
+    ``not_json`` does not parse as a whole, as a line that was cut off; ``no_records`` is a
+    lone number, text or null. What follows a whole document is not looked at.
+    """
+    holds = F.substring(F.ltrim("payload"), 1, 1).isin("{", "[")
+    reason = F.when(F.try_parse_json("payload").isNull(), "not_json").when(~holds, "no_records")
+    return payloads.withColumn("reason", reason).where("reason is not null")
+
+
+def well_formed_payloads(payloads: DataFrame) -> DataFrame:
+    """The payloads that parse as a whole; the others are :func:`malformed_payloads`."""
+    return payloads.where(F.try_parse_json("payload").isNotNull())
+
+
 def payload_records(payloads: DataFrame, *keys: str) -> DataFrame:
     """One row per record of each payload, as ``record`` with its ``position``.
 

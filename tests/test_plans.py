@@ -11,7 +11,7 @@ from workload import registry
 from workload.compare import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-SINKS = {"append_snapshot", "write_report"}
+SINKS = {"append_snapshot", "remove_runs", "write_report", "read_landed_payloads"}
 STORED = {"allowed_numbers", "validate_claims", "accepted_references"}
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables are absent")

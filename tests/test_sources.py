@@ -44,6 +44,27 @@ def test_lines_and_whole_files(spark, tmp_path):
     assert landed.payload_records(whole).count() == 1
 
 
+def test_landed_folders_are_context_and_nothing_is_lost(spark, tmp_path):
+    for team, lines in {"007": ['{"id": 1}', "", '{"id": 2', "  ", '[{"id": 3}, {"id": 4}]'],
+                        "b": ["17", '"text"', "null", "{nothing}", '{"value": [{"id": 5}]}']}.items():
+        folder = tmp_path / f"team_id={team}"
+        folder.mkdir()
+        (folder / "part.txt").write_text("\n".join(lines))
+    landing = landed.read_landed_payloads(spark, str(tmp_path), context=["team_id"])
+    records = landed.payload_records(landed.well_formed_payloads(landing))
+    assert rows_of(records, "team_id", "position", F.col("record")["id"]) == [
+        ("007", 0, "1"), ("007", 0, "3"), ("007", 1, "4"), ("b", 0, "5"),
+    ]
+    assert rows_of(landed.malformed_payloads(landing), "team_id", "payload", "reason") == sorted([
+        ("007", '{"id": 2', "not_json"), ("b", "17", "no_records"), ("b", '"text"', "no_records"),
+        ("b", "null", "no_records"), ("b", "{nothing}", "not_json"),
+    ], key=repr)
+    whole = landed.read_landed_payloads(spark, str(tmp_path), whole_files=True, context=["team_id"])
+    # A file is one document: what follows the first is not looked at, and no lone value counts.
+    assert rows_of(landed.malformed_payloads(whole), "team_id", "reason") == [("b", "no_records")]
+    assert rows_of(landed.payload_records(landed.well_formed_payloads(whole)), "team_id") == [("007",)]
+
+
 def test_work_item_fields(spark):
     nested = {
         "id": "7",

@@ -581,6 +581,7 @@ class Tables:
             F.lit(ORGANIZATION).alias("organization"),
             "team_id",
             F.struct(*self.ARRIVAL).alias("arrival"),
+            F.col("l_tax").alias("tax"),
             payload.alias("payload"),
         )
 

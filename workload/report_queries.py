@@ -474,6 +474,31 @@ def append_snapshot(t: Tables):
     )
 
 
+@query(
+    "remove_runs",
+    with_views(
+        """
+        select r.run_id, event_type as metric_id, event_id as item_id,
+          cast(cast(value as decimal(18,4)) as varchar) as value
+        from events e join runs r on r.run_id = strftime(e.ts, '%Y%m%d') || '-' || e.user_id
+        where as_of >= epoch_us(timestamp '2024-01-31 12:00:00' - interval 15 day)
+        """,
+        "runs",
+    ),
+)
+def _(t: Tables):
+    """Store the runs in a batch per state, let the older ones expire, and read what is left."""
+    root = f"{shared_folder(t.spark)}/expiring-{uuid.uuid4().hex}"
+    manifest = t.runs.withColumn("partial_reasons", F.array().cast("array<string>"))
+    for state in ("complete", "partial"):
+        batch = manifest.where(F.col("state") == state)
+        values = t.run_values.join(batch.select("run_id"), "run_id", "left_semi")
+        sinks.append_snapshot(batch, {"values": values}, root)
+    expired = runs.expired_runs(sinks.read_runs(t.spark, root), NOW, retention_days=15)
+    sinks.remove_runs(t.spark, root, expired, ["values"])
+    return sinks.read_artifact(t.spark, root, "values")
+
+
 @query(
     "write_report",
     METRICS_SQL

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from plumbline.functions.json import as_text, fields_of, member
 from plumbline.operators import cross_team
 from plumbline.operators.calendar import eligible_day_factors
+from plumbline.session import shared_folder
 from plumbline.sources import landed, scope
 from workload.bindings import Tables
 from workload.catalog import query
@@ -31,21 +35,63 @@ VIEWS["landed_items"] = (
 )
 
 
+_LANDED_ID = "case when l_tax <> 0.08 then cast(l_orderkey * 10 + l_linenumber as varchar) end"
+
+
 @query(
     "read_landed_payloads",
-    """
-    select cast(s_nationkey as varchar) as team_id, count(*) as records,
-      count(*) filter (where l_tax = 0.08) as without_id
-    from lineitem join supplier on l_suppkey = s_suppkey group by s_nationkey
+    f"""
+    select cast(s_nationkey as varchar) as team_id, 'line' as landed,
+      case when l_tax <> 0.06 then cast(0 as bigint) end as position, {_LANDED_ID} as record_id,
+      case when l_tax <> 0.06 then 'part ' || l_partkey end as title,
+      case when l_tax = 0.06 then 'not_json' end as reason
+    from lineitem join supplier on l_suppkey = s_suppkey
+    union all
+    select cast(n_nationkey as varchar), 'file', i, n_nationkey || '' || i, n_name, null
+    from nation, (values (cast(0 as bigint)), (cast(2 as bigint))) p(i)
     """,
 )
-def _(t: Tables):
-    records = landed.payload_records(t.item_payloads, "workItems")
-    named = F.coalesce(F.try_element_at("record", F.lit("id")),
-                       F.try_element_at("record", F.lit("workItemId")))
-    return records.groupBy("team_id").agg(
-        F.count(F.lit(1)).alias("records"), F.count(F.when(named.isNull(), 1)).alias("without_id")
-    )
+def read_landed_payloads(t: Tables):
+    """Land item payloads as lines, some cut off, and a payload per team as a whole file; read
+    both back: every record, and every payload that could not be read."""
+    root = f"{shared_folder(t.spark)}/landed-{uuid.uuid4().hex}"
+    cut_off = F.expr("substr(payload, 1, length(payload) - 1)")
+    t.item_payloads.withColumn(
+        "payload", F.when(F.col("tax") == 0.06, cut_off).otherwise(F.col("payload"))
+    ).select("team_id", "payload").write.partitionBy("team_id").text(f"{root}/lines")
+    document = """{{ "value": [\n  {{"id": "{0}0", "System.Title": "{1}"}},\n  "note",\n
+      {{"id": "{0}2", "System.Title": "{1}"}}\n] }}"""
+    team = F.col("n_nationkey").cast("string")
+    before, between, after = document.format("\0", "\1").split("\0")
+    t.read("nation").select(
+        team.alias("team_id"),
+        F.replace(
+            F.concat(F.lit(before), team, F.lit(between), team, F.lit(after)),
+            F.lit("\1"), F.col("n_name"),
+        ).alias("payload"),
+    ).write.partitionBy("team_id").text(f"{root}/files")
+
+    def found(kind: str, **options):
+        payloads = landed.read_landed_payloads(
+            t.spark, f"{root}/{kind}s", context=["team_id"], **options
+        )
+        records = landed.payload_records(landed.well_formed_payloads(payloads), "workItems")
+        fields = fields_of(F.col("record"))
+        named = F.coalesce(member(F.col("record"), "id"), member(F.col("record"), "workItemId"))
+        read = records.select(
+            "team_id", F.lit(kind).alias("landed"), "position", as_text(named).alias("record_id"),
+            as_text(member(fields, "System.Title")).alias("title"),
+            F.lit(None).cast("string").alias("reason"),
+        )
+        told = r'"(?:id|workItemId)":"?([0-9]+)'
+        bad = landed.malformed_payloads(payloads).select(
+            "team_id", F.lit(kind).alias("landed"), F.lit(None).cast("int").alias("position"),
+            F.nullif(F.regexp_extract("payload", told, 1), F.lit("")).alias("record_id"),
+            F.lit(None).cast("string").alias("title"), "reason",
+        )
+        return read.unionByName(bad)
+
+    return found("line").unionByName(found("file", whole_files=True))
 
 
 @query(
