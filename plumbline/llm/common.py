@@ -46,6 +46,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one computation, each removed once its last reader has run.
+
+    What comes after them is stored itself, so a lost executor never asks for them again.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((found, path))
+        return found
+
+    def release(self, *frames: DataFrame) -> None:
+        """Remove the tables that :meth:`stored` gave; their readers have run."""
+        gone = [path for held, path in self.held if any(held is frame for frame in frames)]
+        self.held = [(held, path) for held, path in self.held if path not in gone]
+        for name in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release_all_but(self, *frames: DataFrame) -> None:
+        keep = [held for held, _ in self.held if not any(held is frame for frame in frames)]
+        self.release(*keep)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -8,9 +8,11 @@ any order gives the same result.
 In a group a signature tree is walked against itself. Its leaves are token bitmaps of sets,
 its nodes the OR of what is below, with the range of sizes: a pair of nodes is left as soon
 as the overlap possible at most is less than the least needed. What remains is compared
-exactly. Groups of near copies are joined first by links to a few leaders; the tree then
-leaves pairs of nodes that are joined already, so a group of copies needs no look at all its
-pairs. A large group is cut into cells, and pairs of cells are walked in tasks of their own.
+exactly, in the same task, and a link joins the labels of its ends at once: pairs of nodes
+that are joined by then are left too. A task hands out a forest of links, never all of them.
+Groups of near copies are joined first by links to a few leaders, so a group of copies needs
+no look at all its pairs. A large group is cut into cells, and pairs of cells are walked in
+tasks of their own.
 
 Links are counted inside components, where all of them are: every pair of sets of a
 component is pruned by the trees without their labels and then compared exactly. A
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, stored
+from plumbline.llm.common import Scratch, batches, stored
 from plumbline.llm.graph import components
 
 SKETCH_BITS = 20
@@ -43,10 +45,11 @@ SKETCH_PARTS = 64
 RUN_CHARS = 1_000_000
 #: Turns in which sets meet one leader of a group each, at most.
 LEADERS = 3
-#: Sets of a cell; a task holds two cells.
+#: Sets and n-grams of a cell, but for one larger set; a task holds two cells.
 CELL = 2_048
-#: Sets and n-grams of a cell in which links are counted; a task holds two.
-LINK_CELL = 512
+CELL_GRAMS = 2_000_000
+#: The same for cells in which links are counted.
+LINK_CELL = 1_024
 LINK_GRAMS = 2_000_000
 #: Pairs that are compared at once.
 LINK_PAIRS = 200_000
@@ -189,7 +192,7 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 SIGNED = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()),
-     ("first", pa.list_(pa.int64())), ("bits", pa.binary())]
+     ("first", pa.list_(pa.int64()))]
 )
 
 
@@ -198,7 +201,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Every document with its set's size, key, first n-grams and bitmap; stored."""
+    """Every document with its set's size, key and first n-grams; stored."""
     order = docs.sparkSession.sparkContext.broadcast(sketch(docs))
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -208,30 +211,30 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for doc_id, (hashes, ranks) in zip(ids, found, strict=True):
                 n = len(hashes)
                 if not n:
-                    yield doc_id, 0, b"", [], b""
+                    yield doc_id, 0, b"", []
                     continue
                 shared = n - -(-percent * n // 100) + 1
                 place = ranks.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24)
                 at = np.argpartition(place, shared - 1)[:shared]
-                yield doc_id, n, set_key(hashes), hashes[at].view(np.int64), bitmap(hashes)
+                yield doc_id, n, set_key(hashes), hashes[at].view(np.int64)
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(rows(parts), SIGNED, 1024)
 
     texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    schema = "doc_id bigint, n bigint, set_key binary, first array<bigint>, bits binary"
+    schema = "doc_id bigint, n bigint, set_key binary, first array<bigint>"
     # Stored with the rows' own numbers, which stand for sets from here on.
     return stored(
         texts.mapInArrow(sign, schema).withColumn("id", F.monotonically_increasing_id()), "signed"
     )
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(token, id) for one row of each set and every first n-gram that two sets share."""
     one = rows.where("n > 0").groupBy("set_key").agg(F.min("id").alias("id")).select("id")
     tokens = rows.join(one, "id", "left_semi").select("id", F.explode("first").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    return stored(tokens.join(shared.select("token"), "token"), "tokens")
+    return scratch.stored(tokens.join(shared.select("token"), "token"), "tokens")
 
 
 class Filter:
@@ -254,9 +257,11 @@ class Filter:
         return all(self.words[p >> 6] >> (p & 63) & 1 for p in places)
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def sets_of(
+    docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, scratch: Scratch
+) -> DataFrame:
     """(id, hashes) of the wanted ids, from the texts of documents that may have them; stored."""
-    keys = stored(
+    keys = scratch.stored(
         rows.select("set_key", "id", "doc_id").join(wanted, "id", "left_semi"), "wanted"
     )
     passing = Filter(keys.select("doc_id"))
@@ -282,12 +287,19 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) ->
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     marked = own.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(places)])
     texts = marked.mapInArrow(read, "set_key binary, hashes binary")
-    joined = texts.join(keys.select("set_key", "id"), "set_key")
-    return stored(joined.groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
+    # One shuffle by key serves the sum over rows of one set and the join.
+    once = texts.groupBy("set_key").agg(F.first("hashes").alias("hashes"))
+    found_sets = scratch.stored(
+        once.join(keys.select("set_key", "id"), "set_key").select("id", "hashes"), "sets"
+    )
+    scratch.release(keys)
+    return found_sets
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(proposed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets; stored."""
+    # With their true size known, few pairs are sent to the sets and not the sets to them.
+    pairs = scratch.stored(proposed, "pairs")
     own = sets.select(F.col("id").alias("a"), F.col("hashes").alias("a_hashes"))
     others = sets.select(F.col("id").alias("b"), F.col("hashes").alias("b_hashes"))
     both = pairs.join(own, "a").join(others, "b").select("a", "b", "a_hashes", "b_hashes")
@@ -302,7 +314,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * (len(x) + len(y) - every) >= percent * every)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.mapInArrow(linked, "a bigint, b bigint"), "linked")
+    links = scratch.stored(both.mapInArrow(linked, "a bigint, b bigint"), "linked")
+    scratch.release(pairs)
+    return links
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -310,30 +324,37 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after more links: the labels' own graph is joined and looked up."""
+def relabelled(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The labels after more links: the labels' own graph is joined and looked up.
+
+    The old labels and the links are released.
+    """
     ends = labels.withColumnRenamed("id", "a").withColumnRenamed("label", "x")
     other = labels.withColumnRenamed("id", "b").withColumnRenamed("label", "y")
     lifted = links.join(ends, "a", "left").join(other, "b", "left").select(
         F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")
     )
-    found = components(lifted.where("a <> b").distinct())
+    found = components(lifted.where("a <> b").distinct(), scratch)
     roots = found.select(F.col("id").alias("label"), F.col("label").alias("root"))
     old = labels.join(roots, "label", "left").select(
         "id", F.coalesce("root", "label").alias("label")
     )
     fresh = found.join(labels.select("id"), "id", "left_anti")
-    return stored(old.unionByName(fresh.select("id", "label")), "labels")
+    after = scratch.stored(old.unionByName(fresh.select("id", "label")), "labels")
+    scratch.release(found, labels, links)
+    return after
 
 
-def centred(members: DataFrame) -> DataFrame:
+def centred(members: DataFrame, scratch: Scratch) -> DataFrame:
     """``members`` with how central each set is: the sizes of all its groups together.
 
     The text that copies were made from is in more and larger groups than any copy.
     """
     sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     central = members.join(sizes, "token").groupBy("id").agg(F.sum("size").alias("central"))
-    return stored(members.join(central, "id"), "centred")
+    found = scratch.stored(members.join(central, "id"), "centred")
+    scratch.release(members)
+    return found
 
 
 def leader_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -358,7 +379,9 @@ def leader_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def cells(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cells(
+    rows: DataFrame, members: DataFrame, labels: DataFrame, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
     """Open groups cut into cells: their members, and the pairs of cells to walk.
 
     A group is open while its members have several labels; of groups with the same members
@@ -377,22 +400,38 @@ def cells(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     opened = marks.where("low < high").groupBy("sets", "mark", "least", "most").agg(
         F.min("token").alias("token")
     )
-    inside = stored(known.join(opened.select("token", "sets"), "token"), "open")
+    sized = known.join(opened.select("token"), "token").join(rows.select("id", "n"), "id")
+    inside = scratch.stored(sized.select("token", "id", "label", "n"), "open")
+
+    def parts(sets: str, grams: str) -> Column:
+        return F.ceil(F.greatest(F.col(sets) / CELL, F.col(grams) / CELL_GRAMS))
+
+    def sizes(prefix: str) -> list[Column]:
+        return [F.count(F.lit(1)).alias(f"{prefix}_sets"), F.sum("n").alias(f"{prefix}_grams")]
+
     large = (
-        inside.groupBy("token", "label").agg(F.count(F.lit(1)).alias("own")).where(F.col("own") > CELL)
+        inside.groupBy("token", "label").agg(*sizes("own")).withColumn(
+            "own", parts("own_sets", "own_grams")
+        ).where("own > 1")
+    )
+    whole = inside.groupBy("token").agg(*sizes("all")).select(
+        "token", parts("all_sets", "all_grams").alias("bundles")
+    )
+    split = inside.join(whole, "token").join(
+        large.select("token", "label", "own"), ["token", "label"], "left"
     )
-    split = inside.join(large, ["token", "label"], "left")
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / CELL))
-    bundle = F.pmod(F.xxhash64("label"), F.ceil(F.col("sets") / CELL))
     placed = split.select(
         "token",
         "id",
         "label",
         F.when(F.col("own").isNull(), F.lit(-1)).otherwise(F.col("label")).alias("cell_label"),
-        F.when(F.col("own").isNull(), bundle).otherwise(part).alias("cell_part"),
+        F.when(F.col("own").isNull(), F.pmod(F.xxhash64("label"), "bundles"))
+        .otherwise(F.pmod(F.xxhash64("id"), "own"))
+        .alias("cell_part"),
     )
     cell = F.struct("cell_label", "cell_part")
-    placed = stored(placed.select("token", "id", "label", cell.alias("cell")), "cells")
+    placed = scratch.stored(placed.select("token", "id", "label", cell.alias("cell")), "cells")
+    scratch.release(inside)
     every = placed.select("token", "cell").distinct()
     pairs = every.withColumnRenamed("cell", "x").join(
         every.withColumnRenamed("cell", "y"), "token"
@@ -403,6 +442,21 @@ def cells(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, walked
 
 
+class Labels(dict):
+    """Labels that links join: every label's root, itself unless joined."""
+
+    def root(self, label: int) -> int:
+        top = label
+        while (above := self.get(top, top)) != top:
+            top = above
+        while label != top:
+            self[label], label = top, self.get(label, label)
+        return top
+
+    def join(self, a: int, b: int) -> None:
+        self[self.root(a)] = self.root(b)
+
+
 class Node:
     """A node of a signature tree: the OR of the bitmaps below and what bounds an overlap."""
 
@@ -431,6 +485,16 @@ class Node:
         node.spare = max(child.spare for child in children)
         return node
 
+    def root(self, joined: Labels | None) -> int | None:
+        """The one label below after all links so far, or None where there are several."""
+        if joined is None:
+            return self.label
+        if self.label is None and self.children:
+            below = {child.root(joined) for child in self.children}
+            if len(below) == 1:
+                self.label = below.pop()
+        return None if self.label is None else joined.root(self.label)
+
 
 def tree_of(leaves: list[Node]) -> Node:
     """A tree of nodes of a few children, over leaves of one label or size side by side."""
@@ -440,13 +504,20 @@ def tree_of(leaves: list[Node]) -> Node:
     return level[0]
 
 
-def walk(left: Node, right: Node, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of ids below two nodes that the bitmaps let link and that are not joined yet."""
+def walk(
+    left: Node, right: Node, percent: int, joined: Labels | None = None
+) -> Iterator[tuple[int, int]]:
+    """Pairs of ids below two nodes that the bitmaps let link and that are not joined by then.
+
+    Without ``joined``, every such pair. A caller may join labels between two pairs.
+    """
     stack = [(left, right)]
     while stack:
         a, b = stack.pop()
-        if a.label is not None and a.label == b.label:
-            continue
+        if joined is not None:
+            own = a.root(joined)
+            if own is not None and own == b.root(joined):
+                continue
         if 100 * a.most < percent * b.least or 100 * b.most < percent * a.least:
             continue
         possible = min((a.bits & b.bits).bit_count() + min(a.spare, b.spare), a.most, b.most)
@@ -474,12 +545,14 @@ def fold(bits: int, width: int) -> int:
     return bits >> half | bits & ((1 << half) - 1)
 
 
-def met(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+def met(
+    members: list[tuple], percent: int, joined: Labels | None = None
+) -> Iterator[tuple[int, int]]:
     """Pairs to compare among ``members`` (id, label, n, bits, sides) of a pair of cells.
 
     Sides tell the cells: 1, 2 or, of a cell with itself, 3. Bitmaps of one width meet as
     they are, those of the next width folded; sizes of sets that link are not further apart.
-    Each pair comes once; members without a label are never left as joined.
+    Each pair comes once. With ``joined``, pairs of one label are left.
     """
     widths: dict[int, list[tuple]] = {}
     for member in members:
@@ -506,50 +579,95 @@ def met(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
         for left, right in meetings:
             if left and right is None:
                 root = tree_of(left)
-                yield from walk(root, root, percent)
+                yield from walk(root, root, percent, joined)
             elif left and right:
-                yield from walk(tree_of(left), tree_of(right), percent)
-
-
-def pairs_in(members: list[tuple], percent: int) -> set[tuple[int, int]]:
-    return set(met(members, percent))
+                yield from walk(tree_of(left), tree_of(right), percent, joined)
+
+
+class Sets:
+    """Whole sets of a task under small numbers, so that an overlap is a sum over marks."""
+
+    def __init__(self, ids: list[int], hashes: list[bytes]):
+        self.at = {key: at for at, key in enumerate(ids)}
+        self.sizes = np.array([len(data) // 8 for data in hashes], np.int64)
+        every = np.frombuffer(b"".join(hashes), np.uint64)
+        known, codes = np.unique(every, return_inverse=True)
+        self.codes = np.split(codes, np.cumsum(self.sizes)[:-1])
+        self.marks = np.zeros(len(known), bool)
+        self.marked: int | None = None
+
+    def mark(self, at: int) -> None:
+        if self.marked != at:
+            if self.marked is not None:
+                self.marks[self.codes[self.marked]] = False
+            self.marks[self.codes[at]] = True
+            self.marked = at
+
+    def link(self, a: int, b: int, percent: int) -> bool:
+        """Whether the sets of two ids are similar enough, by their whole n-grams."""
+        x, y = self.at[a], self.at[b]
+        if self.marked == y:
+            x, y = y, x
+        self.mark(x)
+        both = np.count_nonzero(self.marks[self.codes[y]])
+        return 100 * both >= percent * (self.sizes[x] + self.sizes[y] - both)
+
+
+def forest(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Links among ``members`` (id, label, hashes, sides) that join all labels which link."""
+    if not members:
+        return
+    joined = Labels()
+    sets = Sets([m[0] for m in members], [m[2] for m in members])
+    label_of = {m[0]: m[1] for m in members}
+    bits = [bitmap(np.frombuffer(m[2], np.uint64)) for m in members]
+    signs = [(m[0], m[1], len(m[2]) // 8, own, m[3]) for m, own in zip(members, bits, strict=True)]
+    for a, b in met(signs, percent, joined):
+        if joined.root(label_of[a]) != joined.root(label_of[b]) and sets.link(a, b, percent):
+            joined.join(label_of[a], label_of[b])
+            yield a, b
 
 
 def counted(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """(id, documents it links with) for ``members`` (id, n, bits, hashes, copies, sides)."""
+    """(id, documents it links with) for ``members`` (id, hashes, copies, sides)."""
     if not members:
         return
-    at_of = {member[0]: at for at, member in enumerate(members)}
-    sizes = np.array([member[1] for member in members], np.int64)
-    copies = np.array([member[4] for member in members], np.int64)
-    every = np.frombuffer(b"".join(member[3] for member in members), np.uint64)
-    known, codes = np.unique(every, return_inverse=True)
-    own = np.split(codes, np.cumsum(sizes)[:-1])
-    marked = np.zeros(len(known), np.int64)
+    sets = Sets([m[0] for m in members], [m[1] for m in members])
+    sizes, copies = sets.sizes, np.array([m[2] for m in members], np.int64)
     total = np.zeros(len(members), np.int64)
-    pairs = met([(m[0], None, m[1], m[2], m[5]) for m in members], percent)
+    signs = [
+        (m[0], None, len(m[1]) // 8, bitmap(np.frombuffer(m[1], np.uint64)), m[3]) for m in members
+    ]
+    pairs = met(signs, percent)
     while some := list(islice(pairs, LINK_PAIRS)):
         partners: dict[int, list[int]] = {}
         for a, b in some:
-            partners.setdefault(at_of[a], []).append(at_of[b])
+            partners.setdefault(sets.at[a], []).append(sets.at[b])
         for a, others in partners.items():
-            marked[own[a]] = 1
+            sets.mark(a)
             # A few at a time, as their n-grams are laid side by side.
             for begin in range(0, len(others), 256):
                 part = np.array(others[begin : begin + 256])
                 starts = np.cumsum(sizes[part]) - sizes[part]
-                both = np.add.reduceat(marked[np.concatenate([own[b] for b in part])], starts)
+                laid = sets.marks[np.concatenate([sets.codes[b] for b in part])]
+                both = np.add.reduceat(laid.astype(np.int64), starts)
                 part = part[100 * both >= percent * (sizes[a] + sizes[part] - both)]
                 total[a] += copies[part].sum()
                 total[part] += copies[a]
-            marked[own[a]] = 0
     for at in np.flatnonzero(total).tolist():
         yield members[at][0], int(total[at])
 
 
-def tree_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The pairs of sets, not joined yet, that signature trees of their groups leave."""
-    placed, walked = cells(members, labels)
+def tree_links(
+    rows: DataFrame,
+    sets: DataFrame,
+    members: DataFrame,
+    labels: DataFrame,
+    percent: int,
+    scratch: Scratch,
+) -> DataFrame:
+    """Links that join all sets which link and are not joined yet: per pair of cells a forest."""
+    placed, walked = cells(rows, members, labels, scratch)
     numbered = walked.withColumn("pair", F.xxhash64("token", "x", "y"))
     both = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("cell"), F.lit(3).alias("sides")))).otherwise(
         F.array(
@@ -560,11 +678,13 @@ def tree_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame, percent:
     sides = numbered.select("token", "pair", F.explode(both).alias("side")).select(
         "token", "pair", F.col("side.cell").alias("cell"), F.col("side.sides").alias("sides")
     )
-    signs = rows.select("id", "n", "bits")
-    loaded = sides.join(placed, ["token", "cell"]).join(signs, "id")
+    loaded = sides.join(placed, ["token", "cell"]).select("token", "pair", "sides", "id", "label")
+    # Written first: few rows are then sent to the sets, and the sets stay where they are.
+    asked = scratch.stored(loaded, "asked")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        loaded.select("token", "pair", "sides", "id", "label", "n", "bits")
+        asked.join(sets, "id")
+        .select("token", "pair", "sides", "id", "label", "hashes")
         .repartition(tasks, "pair", "token")
         .sortWithinPartitions("pair", "token")
     )
@@ -575,19 +695,21 @@ def tree_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame, percent:
         for part in parts:
             for token, pair, side, *member in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if (pair, token) != key:
-                    yield from sorted(pairs_in(held, percent))
+                    yield from forest(held, percent)
                     key, held = (pair, token), []
                 held.append((*member, side))
-        yield from sorted(pairs_in(held, percent))
+        yield from forest(held, percent)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(groups(parts), schema)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    links = scratch.stored(dealt.mapInArrow(run, "a bigint, b bigint"), "linked")
+    scratch.release(placed, asked)
+    return links
 
 
 def link_counts(
-    rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: int
+    rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch
 ) -> DataFrame:
     """(id, n) with how many documents of other sets link with each set that has a link.
 
@@ -597,8 +719,7 @@ def link_counts(
     copies = rows.where("n > 0").groupBy("set_key").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
     )
-    signs = rows.select("id", "n", "bits").join(copies.select("id", "copies"), "id")
-    known = stored(labels.join(signs, "id").join(sets, "id"), "linking")
+    known = labels.join(rows.select("id", "n"), "id").join(copies.select("id", "copies"), "id")
     room = known.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     parts = F.ceil(F.greatest(F.col("sets") / LINK_CELL, F.col("grams") / LINK_GRAMS))
     placed = known.join(room.select("label", parts.alias("parts")), "label").withColumn(
@@ -607,14 +728,19 @@ def link_counts(
     # Each set goes to the pairs of its cell with every cell; x <= y names a pair.
     with_other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sides = F.when(F.col("cell") == F.col("other"), 3).when(F.col("cell") < F.col("other"), 1)
-    dealt = (
+    asked = scratch.stored(
         with_other.select(
             "label",
             F.least("cell", "other").alias("x"),
             F.greatest("cell", "other").alias("y"),
-            "id", "n", "bits", "hashes", "copies",
+            "id", "copies",
             sides.otherwise(2).alias("sides"),
-        )
+        ),
+        "asked",
+    )
+    dealt = (
+        asked.join(sets, "id")
+        .select("label", "x", "y", "id", "hashes", "copies", "sides")
         .repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label", "x", "y")
         .sortWithinPartitions("label", "x", "y")
     )
@@ -623,36 +749,42 @@ def link_counts(
     def groups(batches_in: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         key, held = None, []
         for part in batches_in:
-            for *own, key_id, n, bits, hashes, times, side in zip(
+            for *own, key_id, hashes, times, side in zip(
                 *(c.to_pylist() for c in part.columns), strict=True
             ):
                 if own != key:
                     yield from counted(held, percent)
                     key, held = own, []
-                held.append((key_id, n, bits, hashes, times, side))
+                held.append((key_id, hashes, times, side))
         yield from counted(held, percent)
 
     def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(groups(batches_in), schema)
 
     found = dealt.mapInArrow(run, "id bigint, n bigint")
-    return stored(found.groupBy("id").agg(F.sum("n").alias("n")), "links")
+    links = stored(found.groupBy("id").agg(F.sum("n").alias("n")), "links")
+    scratch.release(asked)
+    return links
 
 
-def joined(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def joined(
+    docs: DataFrame, words: int, percent: int, scratch: Scratch
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The signed rows, the whole sets that may link, and the labels of those that do."""
     rows = signed(docs, words, percent)
-    members = centred(candidates(rows))
-    sets = sets_of(docs, rows, members.select("id").distinct(), words)
-    labels = stored(members.select("id", F.col("id").alias("label")).limit(0), "labels")
+    members = centred(candidates(rows, scratch), scratch)
+    sets = sets_of(docs, rows, members.select("id").distinct(), words, scratch)
+    none = members.select("id", F.col("id").alias("label")).limit(0)
+    labels = scratch.stored(none, "labels")
     for turn in range(LEADERS):
-        pairs = leader_pairs(members, labels, turn)
-        links = verified(pairs, sets, percent)
+        links = verified(leader_pairs(members, labels, turn), sets, percent, scratch)
         if turn and links.isEmpty():
             break
-        labels = relabelled(labels, links)
-    pairs = tree_pairs(rows, members, labels, percent)
-    return rows, sets, relabelled(labels, verified(pairs, sets, percent))
+        labels = relabelled(labels, links, scratch)
+    links = tree_links(rows, sets, members, labels, percent, scratch)
+    labels = relabelled(labels, links, scratch)
+    scratch.release(members)
+    return rows, sets, labels
 
 
 def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -661,7 +793,9 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     Two documents link when their n-grams are similar by ``percent`` hundredths or more; a
     component's id is the smallest document id that links reach.
     """
-    rows, _, labels = joined(docs, words, percent)
+    scratch = Scratch(docs.sparkSession)
+    rows, _, labels = joined(docs, words, percent, scratch)
+    scratch.release_all_but(labels)
     return labelled_documents(rows, labels).drop("n_links")
 
 
@@ -670,8 +804,11 @@ def links_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Documents of one set link with each other and count, as do all links between sets.
     """
-    rows, sets, labels = joined(docs, words, percent)
-    return labelled_documents(rows, labels, link_counts(rows, sets, labels, percent))
+    scratch = Scratch(docs.sparkSession)
+    rows, sets, labels = joined(docs, words, percent, scratch)
+    links = link_counts(rows, sets, labels, percent, scratch)
+    scratch.release_all_but(labels)
+    return labelled_documents(rows, labels, links)
 
 
 def labelled_documents(
