@@ -22,29 +22,45 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
 
 SCALE = 256
 INDEX_ROWS = 4_096
-QUERY_ROWS = 256
-LIMIT = 1 << 26
+#: Queries that travel together; every index block is met once by each such pack.
+QUERY_ROWS = 4_096
+#: Quantised components stay below, so that differences of two fit 64 bits; beyond, it raises.
+LIMIT = 1 << 62
 
 INDEX = "block bigint, n_rows int, ids binary, lowest binary, widths binary, slices binary"
 HITS = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """``vec_id`` and the components as floor(256 x); unusable vectors are left out."""
-    value = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    fits = F.forall(
-        "embedding",
-        lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < LIMIT - 1),
-    )
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fits).select(
-        F.col("vec_id").cast("bigint").alias("vec_id"), value.alias("q")
+    """``vec_id`` and the components as floor(256 x).
+
+    Vectors that are null or hold a null or non-finite component are left out. No other is:
+    a component of magnitude 2**54 or more, whose quantised value fits no slice, raises.
+    """
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * SCALE
+        return F.when(F.abs(scaled) < float(LIMIT), F.floor(scaled)).otherwise(
+            F.raise_error(F.lit("a vector component is beyond 2**54")).cast("bigint")
+        )
+
+    def finite(x: Column) -> Column:
+        value = F.abs(x.cast("double"))
+        return x.isNotNull() & ~F.isnan(value) & (value < float("inf"))
+
+    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite)
+    # The condition stands with the value: a filter alone may be evaluated after it.
+    value = F.when(usable, F.transform("embedding", whole))
+    return (
+        vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), value.alias("q"))
+        .where("q is not null")
     )
 
 
@@ -180,7 +196,8 @@ class Block:
         width = max(len(query), len(self.lowest))
         query = np.pad(query, (0, width - len(query)))
         lowest = np.pad(self.lowest, (0, width - len(self.lowest)))
-        base = int(query @ lowest)
+        # Whole numbers of any size: a sum may leave 64 bits on its way.
+        base = sum(int(q) * int(low) for q, low in zip(query.tolist(), lowest.tolist(), strict=True))
         plain = len(self.slices) // 2
         chosen: dict[int, list[int]] = {}
         for d, bits in enumerate(self.widths.tolist()):
@@ -202,11 +219,14 @@ class Block:
         sure, edge = self.places(sure), self.places(edge)
         edge = edge[np.argsort(self.ids[edge], kind="stable")][: max(0, k - len(sure))]
         places = np.concatenate([sure, edge])
-        scores = np.zeros(len(places), np.int64)
+        scores = [base] * len(places)
         for weight, bits in enumerate(total):
             held = bits[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1)
-            scores += held.astype(np.int64) << weight
-        return [(int(self.ids[p]), base + int(s)) for p, s in zip(places, scores, strict=True)]
+            for at in np.flatnonzero(held).tolist():
+                scores[at] += 1 << weight
+        if any(not -(1 << 63) <= score < 1 << 63 for score in scores):
+            raise OverflowError(f"a score of query {query_id} does not fit 64 bits")
+        return [(int(self.ids[p]), score) for p, score in zip(places, scores, strict=True)]
 
     def places(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
