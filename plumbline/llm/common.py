@@ -80,6 +80,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as one name, dots included."""
+    return f"`{name}`"
+
+
 def text_of(column: str = "text") -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -1,7 +1,8 @@
 """Exact duplicates by a persistent digest index, bucketed and sorted by digest.
 
 A batch is reduced to one row per digest, the unseen ones are found by a sort-merge anti
-join with the index, whose side needs neither exchange nor sort, and appended to it.
+join with the index, and appended to it. The index side is not shuffled; its buckets are
+sorted again as they are read, since every batch adds a file to each.
 
 Defined cases: a null text counts as empty, and all empty texts are equal; a null id sorts
 after every other id; rows that repeat an id and a text count each, and one of them stays;
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE, shared_path, text_of
+from plumbline.llm.common import SPACE, quoted, shared_path, text_of
 
 SCHEMA = "digest binary, keep_id bigint, group_size bigint"
 
@@ -104,7 +105,7 @@ def survivors(docs: DataFrame, index: DigestIndex) -> DataFrame:
     kept = deduplicate(docs, index).where("kept").select("doc_id", F.unhex("text_sha256"))
     kept = kept.toDF("kept_id", "kept_digest")
     marked = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("doc"), digest().alias("digest")
+        F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("doc"), digest().alias("digest")
     )
     on = (marked["digest"] == kept["kept_digest"]) & marked["doc.doc_id"].eqNullSafe(kept["kept_id"])
     longest = Window.partitionBy("digest", "doc.doc_id").orderBy(

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, stored, text_of
+from plumbline.llm.common import WORD, quoted, stored, text_of
 
 #: The weights of the contract, by the order of the sources.
 WEIGHTS = (5, 2, 1)
@@ -286,7 +286,7 @@ def mixed(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SL
     part returns the words taken, in order, joined by spaces. ``n_chars`` follows the text.
     """
     numbered = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+        F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("doc"),
         F.monotonically_increasing_id().alias("row"),
     )
     rows = stored(numbered, "mixed-input")  # the rows' numbers now are values
@@ -302,11 +302,16 @@ def mixed(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SL
         "row", F.when(F.col("words") < F.col("size"), F.col("ranges")).alias("ranges")
     )
     words = F.regexp_extract_all(text_of("doc.text"), F.lit(f"({WORD})"), F.lit(1))
-    parts = F.transform("ranges", lambda r: F.slice(words, r["doc_word"].cast("int") + 1, r["taken"].cast("int")))
-    text = F.when(F.col("ranges").isNull(), F.col("doc.text")).otherwise(
-        F.array_join(F.flatten(parts), " ")
-    )
+
+    def pieces(words: Column) -> Column:
+        return F.transform(
+            "ranges", lambda r: F.slice(words, r["doc_word"].cast("int") + 1, r["taken"].cast("int"))
+        )
+
+    # The words are bound as the one element of a list, so that a text is split once.
+    parts = F.flatten(F.get(F.transform(F.array(words), pieces), F.lit(0)))
+    text = F.when(F.col("ranges").isNull(), F.col("doc.text")).otherwise(F.array_join(parts, " "))
     each = rows.join(taken.hint("merge"), "row").withColumn("mixed_text", text)
     replaced = {"text": F.col("mixed_text"), "n_chars": F.char_length("mixed_text").cast("bigint")}
-    own = [replaced.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+    own = [replaced.get(c, F.col(f"doc.{quoted(c)}")).alias(c) for c in docs.columns]
     return each.select(*own)

@@ -360,9 +360,11 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their own columns."""
-    column = "toxicity"
-    while column in docs.columns:
-        column += "_"
-    scored = score(docs, train(docs, labels), column)
-    return scored.where(F.col(column) < threshold).select(*docs.columns)
+    """The rows of ``docs`` that are not predicted toxic, with their own columns.
+
+    Columns travel under plain names, so a dot in a name or a column ``score`` does no harm.
+    """
+    plain = ["text" if name == "text" else f"c{at}" for at, name in enumerate(docs.columns)]
+    scored = score(docs.toDF(*plain), train(docs, labels))
+    kept = scored.where(F.col("score") < threshold)
+    return kept.select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns, strict=True)])
