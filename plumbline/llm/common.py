@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -71,6 +72,15 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clean(self) -> None:
+        """Let the shuffle files go that no plan refers to any more.
+
+        Spark removes them when the driver's JVM finds that out; plans are small, so without
+        asking it may not look before the disks are full.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def release_all_but(self, *frames: DataFrame) -> None:
         keep = [held for held, _ in self.held if not any(held is frame for frame in frames)]
         self.release(*keep)

@@ -8,11 +8,12 @@ any order gives the same result.
 In a group a signature tree is walked against itself. Its leaves are token bitmaps of sets,
 its nodes the OR of what is below, with the range of sizes: a pair of nodes is left as soon
 as the overlap possible at most is less than the least needed. What remains is compared
-exactly, in the same task, and a link joins the labels of its ends at once: pairs of nodes
-that are joined by then are left too. A task hands out a forest of links, never all of them.
-Groups of near copies are joined first by links to a few leaders, so a group of copies needs
-no look at all its pairs. A large group is cut into cells, and pairs of cells are walked in
-tasks of their own.
+exactly, by whole sets. Groups of near copies are joined first by links to a few leaders;
+the tree leaves pairs of nodes that are joined already. In its first turns a task also takes
+the labels of a pair that it hands out for joined, so that it hands out a forest of pairs
+and not all pairs of a group; which of them link is found out after it. The last turn hands
+out every pair whose labels still differ, so no link is lost. A large group is cut into
+cells, and pairs of cells are walked in tasks of their own.
 
 Links are counted inside components, where all of them are: every pair of sets of a
 component is pruned by the trees without their labels and then compared exactly. A
@@ -47,8 +48,10 @@ RUN_CHARS = 1_000_000
 LEADERS = 3
 #: Sets and n-grams of a cell, but for one larger set; a task holds two cells.
 CELL = 2_048
-CELL_GRAMS = 2_000_000
-#: The same for cells in which links are counted.
+CELL_GRAMS = 8_000_000
+#: Turns of trees that hand out forests, before the one that hands out all that is left.
+FORESTS = 2
+#: The bounds of a cell in which links are counted.
 LINK_CELL = 1_024
 LINK_GRAMS = 2_000_000
 #: Pairs that are compared at once.
@@ -183,8 +186,8 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A token bitmap of at least two bits a token; a power of two, 64 or more."""
-    width = max(64, 1 << int(2 * len(hashes) - 1).bit_length())
+    """A token bitmap of at least four bits a token; a power of two, 64 or more."""
+    width = max(64, 1 << int(4 * len(hashes) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -192,7 +195,7 @@ def bitmap(hashes: np.ndarray) -> bytes:
 
 SIGNED = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()),
-     ("first", pa.list_(pa.int64()))]
+     ("first", pa.list_(pa.int64())), ("bits", pa.binary())]
 )
 
 
@@ -201,7 +204,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Every document with its set's size, key and first n-grams; stored."""
+    """Every document with its set's size, key, first n-grams and bitmap; stored."""
     order = docs.sparkSession.sparkContext.broadcast(sketch(docs))
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -211,18 +214,18 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for doc_id, (hashes, ranks) in zip(ids, found, strict=True):
                 n = len(hashes)
                 if not n:
-                    yield doc_id, 0, b"", []
+                    yield doc_id, 0, b"", [], b""
                     continue
                 shared = n - -(-percent * n // 100) + 1
                 place = ranks.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24)
                 at = np.argpartition(place, shared - 1)[:shared]
-                yield doc_id, n, set_key(hashes), hashes[at].view(np.int64)
+                yield doc_id, n, set_key(hashes), hashes[at].view(np.int64), bitmap(hashes)
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(rows(parts), SIGNED, 1024)
 
     texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    schema = "doc_id bigint, n bigint, set_key binary, first array<bigint>"
+    schema = "doc_id bigint, n bigint, set_key binary, first array<bigint>, bits binary"
     # Stored with the rows' own numbers, which stand for sets from here on.
     return stored(
         texts.mapInArrow(sign, schema).withColumn("id", F.monotonically_increasing_id()), "signed"
@@ -293,13 +296,16 @@ def sets_of(
         once.join(keys.select("set_key", "id"), "set_key").select("id", "hashes"), "sets"
     )
     scratch.release(keys)
+    scratch.clean()
     return found_sets
 
 
-def verified(proposed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets; stored."""
-    # With their true size known, few pairs are sent to the sets and not the sets to them.
-    pairs = scratch.stored(proposed, "pairs")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets; stored.
+
+    ``pairs`` is stored and then released. With their true size known, few pairs are sent to
+    the sets and not the sets to them.
+    """
     own = sets.select(F.col("id").alias("a"), F.col("hashes").alias("a_hashes"))
     others = sets.select(F.col("id").alias("b"), F.col("hashes").alias("b_hashes"))
     both = pairs.join(own, "a").join(others, "b").select("a", "b", "a_hashes", "b_hashes")
@@ -316,6 +322,7 @@ def verified(proposed: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
 
     links = scratch.stored(both.mapInArrow(linked, "a bigint, b bigint"), "linked")
     scratch.release(pairs)
+    scratch.clean()
     return links
 
 
@@ -603,29 +610,17 @@ class Sets:
             self.marks[self.codes[at]] = True
             self.marked = at
 
-    def link(self, a: int, b: int, percent: int) -> bool:
-        """Whether the sets of two ids are similar enough, by their whole n-grams."""
-        x, y = self.at[a], self.at[b]
-        if self.marked == y:
-            x, y = y, x
-        self.mark(x)
-        both = np.count_nonzero(self.marks[self.codes[y]])
-        return 100 * both >= percent * (self.sizes[x] + self.sizes[y] - both)
 
+def pairs_in(members: list[tuple], percent: int, forest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs to compare among ``members`` (id, label, n, bits, sides), of labels that differ.
 
-def forest(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """Links among ``members`` (id, label, hashes, sides) that join all labels which link."""
-    if not members:
-        return
-    joined = Labels()
-    sets = Sets([m[0] for m in members], [m[2] for m in members])
-    label_of = {m[0]: m[1] for m in members}
-    bits = [bitmap(np.frombuffer(m[2], np.uint64)) for m in members]
-    signs = [(m[0], m[1], len(m[2]) // 8, own, m[3]) for m, own in zip(members, bits, strict=True)]
-    for a, b in met(signs, percent, joined):
-        if joined.root(label_of[a]) != joined.root(label_of[b]) and sets.link(a, b, percent):
+    A forest takes the labels of every pair handed out for joined from then on.
+    """
+    joined, label_of = Labels(), {member[0]: member[1] for member in members}
+    for a, b in met(members, percent, joined):
+        if forest:
             joined.join(label_of[a], label_of[b])
-            yield a, b
+        yield a, b
 
 
 def counted(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
@@ -658,15 +653,18 @@ def counted(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
         yield members[at][0], int(total[at])
 
 
-def tree_links(
+def tree_pairs(
     rows: DataFrame,
-    sets: DataFrame,
     members: DataFrame,
     labels: DataFrame,
     percent: int,
+    forest: bool,
     scratch: Scratch,
 ) -> DataFrame:
-    """Links that join all sets which link and are not joined yet: per pair of cells a forest."""
+    """The pairs of sets, not joined yet, that signature trees of their groups leave; stored.
+
+    Of a forest, per pair of cells fewer than it has members.
+    """
     placed, walked = cells(rows, members, labels, scratch)
     numbered = walked.withColumn("pair", F.xxhash64("token", "x", "y"))
     both = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("cell"), F.lit(3).alias("sides")))).otherwise(
@@ -679,12 +677,10 @@ def tree_links(
         "token", "pair", F.col("side.cell").alias("cell"), F.col("side.sides").alias("sides")
     )
     loaded = sides.join(placed, ["token", "cell"]).select("token", "pair", "sides", "id", "label")
-    # Written first: few rows are then sent to the sets, and the sets stay where they are.
-    asked = scratch.stored(loaded, "asked")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        asked.join(sets, "id")
-        .select("token", "pair", "sides", "id", "label", "hashes")
+        loaded.join(rows.select("id", "n", "bits"), "id")
+        .select("token", "pair", "sides", "id", "label", "n", "bits")
         .repartition(tasks, "pair", "token")
         .sortWithinPartitions("pair", "token")
     )
@@ -695,17 +691,17 @@ def tree_links(
         for part in parts:
             for token, pair, side, *member in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if (pair, token) != key:
-                    yield from forest(held, percent)
+                    yield from pairs_in(held, percent, forest)
                     key, held = (pair, token), []
                 held.append((*member, side))
-        yield from forest(held, percent)
+        yield from pairs_in(held, percent, forest)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(groups(parts), schema)
 
-    links = scratch.stored(dealt.mapInArrow(run, "a bigint, b bigint"), "linked")
-    scratch.release(placed, asked)
-    return links
+    pairs = scratch.stored(dealt.mapInArrow(run, "a bigint, b bigint").distinct(), "pairs")
+    scratch.release(placed)
+    return pairs
 
 
 def link_counts(
@@ -764,6 +760,7 @@ def link_counts(
     found = dealt.mapInArrow(run, "id bigint, n bigint")
     links = stored(found.groupBy("id").agg(F.sum("n").alias("n")), "links")
     scratch.release(asked)
+    scratch.clean()
     return links
 
 
@@ -777,12 +774,16 @@ def joined(
     none = members.select("id", F.col("id").alias("label")).limit(0)
     labels = scratch.stored(none, "labels")
     for turn in range(LEADERS):
-        links = verified(leader_pairs(members, labels, turn), sets, percent, scratch)
+        pairs = scratch.stored(leader_pairs(members, labels, turn), "pairs")
+        links = verified(pairs, sets, percent, scratch)
         if turn and links.isEmpty():
             break
         labels = relabelled(labels, links, scratch)
-    links = tree_links(rows, sets, members, labels, percent, scratch)
-    labels = relabelled(labels, links, scratch)
+    for turn in range(FORESTS + 1):
+        pairs = tree_pairs(rows, members, labels, percent, turn < FORESTS, scratch)
+        if pairs.isEmpty():
+            break
+        labels = relabelled(labels, verified(pairs, sets, percent, scratch), scratch)
     scratch.release(members)
     return rows, sets, labels
 
