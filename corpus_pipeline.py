@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages that each write documents for the next one."""
+"""The corpus pipeline: stages that each write documents for the next one.
+
+Defined cases, as the stages state them: a null text counts as empty, and of all empty texts
+one stays; a null source is a source of its own, the last; a null id sorts after all others;
+rows that repeat an id are documents of their own; texts of any length are read whole; extra
+columns, whatever their names, come along up to the last stage; no documents give no rows.
+"""
 
 from __future__ import annotations
 
