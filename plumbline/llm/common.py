@@ -47,6 +47,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's own setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> None:
+    """Write ``df`` to ``path`` and let the shuffle files of the writing go.
+
+    The table stands in their place: later readers, also those of a lost executor's work,
+    read it. The setting holds for this write alone.
+    """
+    settings = df.sparkSession.conf
+    before = settings.get(CLEANUP)
+    settings.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        settings.set(CLEANUP, before)
+
+
 class Scratch:
     """Stored tables of one computation, each removed once its last reader has run.
 
@@ -59,7 +78,7 @@ class Scratch:
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_path(self.spark, name)
-        df.write.parquet(path)
+        written(df, path)
         found = self.spark.read.schema(df.schema).parquet(path)
         self.held.append((found, path))
         return found

@@ -758,7 +758,7 @@ def link_counts(
         return batches(groups(batches_in), schema)
 
     found = dealt.mapInArrow(run, "id bigint, n bigint")
-    links = stored(found.groupBy("id").agg(F.sum("n").alias("n")), "links")
+    links = scratch.stored(found.groupBy("id").agg(F.sum("n").alias("n")), "links")
     scratch.release(asked)
     scratch.clean()
     return links
@@ -808,7 +808,7 @@ def links_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows, sets, labels = joined(docs, words, percent, scratch)
     links = link_counts(rows, sets, labels, percent, scratch)
-    scratch.release_all_but(labels)
+    scratch.release_all_but(labels, links)
     return labelled_documents(rows, labels, links)
 
 
@@ -848,5 +848,6 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = components_of(docs, words, percent)
     leaving = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Sent to every task only while its written size is small; else both sides are shuffled.
-    gone = stored(leaving.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.stored(leaving.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
