@@ -12,26 +12,39 @@ from plumbline.operators.load import known_load
 from plumbline.operators.skew import attach
 
 
-def deduplicate_items(items: DataFrame, arrival: Sequence[str]) -> DataFrame:
-    """One row per (organization, item): the first arrival, with every team it was seen in.
+#: An item's key; the numeric id leads, so that sorting inside an aggregation compares
+#: numbers first.
+ITEM_KEY = ("item_id", "organization")
 
-    Memberships keep the order in which they were first seen. ``overlapping`` marks an
-    item that arrived more than once or belongs to several teams.
+
+def arrivals_state(items: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """First arrival and number of arrivals per item and list of teams it was seen in.
+
+    States of several batches merge into that of all their rows, in whichever order.
     """
-    # The numeric id leads, so that sorting inside the aggregation compares numbers first.
-    key = ["item_id", "organization"]
-    payload = F.struct(*[c for c in items.columns if c not in (*key, "team_memberships")])
+    payload = F.struct(*[c for c in items.columns if c not in (*ITEM_KEY, "team_memberships")])
     memberships = F.coalesce("team_memberships", F.array().cast("array<string>"))
     arrived = F.struct(F.struct(*arrival).alias("at"), payload.alias("row"))
-    # A hot item collapses to one row per distinct membership before those are collected.
-    per_membership = (
+    return (
         items.withColumn("team_memberships", memberships)
-        .groupBy(*key, "team_memberships")
+        .groupBy(*ITEM_KEY, "team_memberships")
         .agg(F.min(arrived).alias("first"), F.count(F.lit(1)).alias("arrivals"))
     )
+
+
+def merged_state(states: DataFrame) -> DataFrame:
+    """One state from the rows of several."""
+    return states.groupBy(*ITEM_KEY, "team_memberships").agg(
+        F.min("first").alias("first"), F.sum("arrivals").alias("arrivals")
+    )
+
+
+def arrived_items(state: DataFrame) -> DataFrame:
+    """The items of a state, or of several in one table, as :func:`deduplicate_items` has them."""
+    # The same list of teams may stand in several states; its first arrival is the least.
     seen = F.array_sort(F.collect_list(F.struct("first.at", "team_memberships")))
     return (
-        per_membership.groupBy(*key)
+        state.groupBy(*ITEM_KEY)
         .agg(
             F.min("first").alias("first"),
             F.sum("arrivals").alias("arrivals"),
@@ -41,7 +54,7 @@ def deduplicate_items(items: DataFrame, arrival: Sequence[str]) -> DataFrame:
             "team_memberships", F.array_distinct(F.flatten(F.col("seen.team_memberships")))
         )
         .select(
-            *key,
+            *ITEM_KEY,
             "first.row.*",
             "team_memberships",
             ((F.col("arrivals") > 1) | (F.size("team_memberships") > 1)).alias("overlapping"),
@@ -49,6 +62,16 @@ def deduplicate_items(items: DataFrame, arrival: Sequence[str]) -> DataFrame:
     )
 
 
+def deduplicate_items(items: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """One row per (organization, item): the first arrival, with every team it was seen in.
+
+    Memberships keep the order in which they were first seen. ``overlapping`` marks an
+    item that arrived more than once or belongs to several teams. A hot item collapses to
+    one row per distinct membership before those are collected.
+    """
+    return arrived_items(arrivals_state(items, arrival))
+
+
 def identity_aliases(people: DataFrame) -> DataFrame:
     """Lower-cased login, display name and "name <login>" of each person, per team.
 

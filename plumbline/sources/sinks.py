@@ -245,7 +245,7 @@ def append_snapshot(runs: DataFrame, artifacts: Mapping[str, DataFrame], root: s
             spark, root, seen, lambda state: replace(state, attempts=(*state.attempts, attempt)), check
         )
     except RunExists:
-        _remove_attempts(spark, root, [*artifacts, RUNS], [attempt])
+        remove_attempts(spark, root, [*artifacts, RUNS], [attempt])
         raise
 
 
@@ -261,7 +261,7 @@ def read_artifact(
     return rows.join(known, ["run_id", "attempt"], "left_semi").drop("attempt")
 
 
-def _remove_attempts(
+def remove_attempts(
     spark: SparkSession, root: str, names: Sequence[str], attempts: Sequence[str]
 ) -> None:
     files = _Files(spark, root)
@@ -308,15 +308,15 @@ def remove_runs(spark: SparkSession, root: str, expired: DataFrame, names: Seque
 
         if touched or emptied:
             seen = commit(spark, root, seen, change)
-    return _cleared(spark, root, seen, [*names, RUNS])
+    return cleared(spark, root, seen, [*names, RUNS])
 
 
-def _cleared(spark: SparkSession, root: str, seen: Manifest, names: Sequence[str]) -> Manifest:
+def cleared(spark: SparkSession, root: str, seen: Manifest, names: Sequence[str]) -> Manifest:
     """Remove what the state no longer refers to: emptied attempts, tombstones, old versions."""
     files = _Files(spark, root)
     if seen.dropped:
         gone = set(seen.dropped)
-        _remove_attempts(spark, root, names, seen.dropped)
+        remove_attempts(spark, root, names, seen.dropped)
         seen = commit(
             spark, root, seen,
             lambda state: replace(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import calendar as cal
 from plumbline.operators import load, quality
 from plumbline.operators.cross_team import deduplicate_items
+from plumbline.session import shared_folder
+from plumbline.sources import arrivals
 from workload.bindings import Tables
 from workload.catalog import query
 from workload.views import (
@@ -19,26 +23,42 @@ from workload.views import (
 )
 
 
-@query(
-    "deduplicate_items",
-    with_views(
-        """
-        select c.item_id, c.team_id, c.state_category, c.assigned_to,
-          cast(c.remaining as double) as remaining, strftime(c.target_date, '%Y-%m-%d') as target_date,
-          m.team_memberships, m.arrivals > 1 as overlapping
-        from children c join (
-          select item_id, sum(n) as arrivals, string_agg(team_id, ',' order by seen) as team_memberships
-          from (select item_id, team_id, count(*) as n, min(arrival) as seen
-                from raw_children group by all) group by item_id) m using (item_id)
-        """,
-        "children",
-    ),
+_DEDUPLICATED = with_views(
+    """
+    select c.item_id, c.team_id, c.state_category, c.assigned_to,
+      cast(c.remaining as double) as remaining, strftime(c.target_date, '%Y-%m-%d') as target_date,
+      m.team_memberships, m.arrivals > 1 as overlapping
+    from children c join (
+      select item_id, sum(n) as arrivals, string_agg(team_id, ',' order by seen) as team_memberships
+      from (select item_id, team_id, count(*) as n, min(arrival) as seen
+            from raw_children group by all) group by item_id) m using (item_id)
+    """,
+    "children",
 )
+_ITEM_COLUMNS = (
+    "item_id", "team_id", "state_category", "assigned_to", "remaining", "target_date",
+    "team_memberships", "overlapping",
+)
+
+
+@query("deduplicate_items", _DEDUPLICATED)
 def _(t: Tables):
-    return deduplicate_items(t.raw_children, t.ARRIVAL).select(
-        "item_id", "team_id", "state_category", "assigned_to", "remaining", "target_date",
-        "team_memberships", "overlapping",
-    )
+    return deduplicate_items(t.raw_children, t.ARRIVAL).select(*_ITEM_COLUMNS)
+
+
+@query("deduplicate_batches", _DEDUPLICATED)
+def _(t: Tables):
+    """All items in three batches, one of them delivered twice, by the stored state."""
+    root = f"{shared_folder(t.spark)}/arrivals-{uuid.uuid4().hex}"
+    known = F.coalesce("state_category", F.lit("none"))
+    batches = {
+        "open": t.raw_children.where(known.isin("in_progress", "proposed")),
+        "completed": t.raw_children.where(known == "completed"),
+        "none": t.raw_children.where(known == "none"),
+    }
+    for name in ("completed", "open", "completed", "none"):
+        arrivals.add_batch(batches[name], t.ARRIVAL, name, root, most_parts=2)
+    return arrivals.read_items(t.spark, root).select(*_ITEM_COLUMNS)
 
 
 @query(
