@@ -1,19 +1,25 @@
 """Scores of texts by a class-based bigram model with exchange clustering.
 
-Word counts of the training texts are a table. The commonest words get numbers, of which
-there is a stated maximum; the first of those are clustered by exchange: every word moves
-to the class that raises the likelihood of the class bigrams most, until none moves. The
-other numbered words, and all words beyond, form classes by the size of their counts. The
-model of a word after another is P(class | class before) * P(word | class), both smoothed,
-so that a text's score is the log10 probability of its words and its end.
-
-Class bigrams are counted over all training texts as a matrix of bounded size. A text's
-numbered words are scored where it is read; only its other words meet the count table in a
-shuffled join, summed per distinct word and text.
+Every word of at least a stated count gets a class by exchange: it moves to the class that
+raises the likelihood of the class bigrams most. The commonest words are clustered one after
+another, over their bigrams, until none moves. All others are settled in two rounds by
+Spark: the words beside each are counted as rows (word, class beside it, count), and every
+word moves at once against the class bigrams, which is a matrix of bounded size, as long as
+the likelihood rises. The first round settles the numbered words, of which there is a stated
+maximum, by the classes on both sides; the second all words beyond, by the class before. The
+counts and the classes of these are tables that grow with the corpus.
+
+The model of a word after another is P(class | history) * P(word | class), both smoothed,
+where the history is the class of a numbered word before, and one of its own for all others.
+A text's score is the log10 probability of its words and its end. Words below the stated
+count form one class with those that the training texts lack. A text's numbered words are
+scored where it is read; only its other words meet the table of classes in a shuffled join,
+summed per distinct word and history of a text.
 
 Defined cases: a null text counts as empty and holds only its end; a null id is trained on;
-without training texts every count is 0; rows that repeat an id each give a row; texts are
-read whole. Only the id and the text are read.
+without training texts every count is 0; rows that repeat an id each give a row; words of
+equal count are taken in the order of their bytes; texts are read whole. Only the id and the
+text are read.
 """
 
 from __future__ import annotations
@@ -30,15 +36,22 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import batches, held_out, stored
 
-#: Words with numbers, and those of them that are clustered: the bounds of what is sent
-#: to every task and to the driver.
+#: Words with numbers, and those of them that are clustered one by one: the bounds of what
+#: is sent to every task and to the driver.
 NUMBERED = 50_000
 CLUSTERED = 1_000
 CLASSES = 40
-BANDS = 6
 SWEEPS = 6
+#: Rarer words have no class of their own, and how often all others move at most in a round.
+LEAST = 3
+MOVES = 3
+#: The class of rare and unknown words, and the history at the start.
+REST, START = CLASSES, CLASSES + 1
 #: Distinct words that a task holds before it hands their counts on.
 HELD_WORDS = 400_000
+#: Pairs of word and neighbour that a task holds, and words that it moves at once.
+HELD_PAIRS = 200_000
+MOVED_WORDS = 1_000
 #: Tokens that a task counts at once, but for one longer text.
 HELD_TOKENS = 1_000_000
 
@@ -82,50 +95,47 @@ def word_counts(training: DataFrame) -> DataFrame:
 def numbered(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """The commonest words with counts, at most ``most``, by count and word.
 
-    The lowest count taken is found from how many words have each count, so that no task
-    sorts all words; words of a count that does not fit as a whole are left out.
+    How many words have each count tells which counts fit whole, so that only words of the
+    next count are sorted.
     """
     sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    largest = sizes.orderBy(F.desc("n")).limit(most).collect()  # each has one word or more
-    taken, least = 0, None
-    for n, words in largest:
-        taken += words
-        if taken > most:
+    taken, least, cut = 0, None, None
+    for n, words in sizes.orderBy(F.desc("n")).limit(most).collect():
+        if taken + words > most:
+            cut = n
             break
-        least = n
-    if least is None:
-        return []
-    table = counts.where(F.col("n") >= least).toArrow()
-    pairs = zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True)
-    return sorted(pairs, key=lambda pair: (-pair[1], pair[0]))
+        taken, least = taken + words, n
+    pairs = []
+    if least is not None:
+        pairs.append(counts.where(F.col("n") >= least))
+    if cut is not None and taken < most:
+        pairs.append(counts.where(F.col("n") == cut).orderBy("word").limit(most - taken))
+    found = []
+    for part in pairs:
+        table = part.toArrow()
+        found += zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True)
+    return sorted(found, key=lambda pair: (-pair[1], pair[0]))
 
 
 @dataclass
 class Numbers:
-    """Numbers of words: clustered words first, then a number per band and for the rest."""
+    """Numbers of the words clustered one by one, then of all others and of the start."""
 
-    words: list[tuple[bytes, int]]
+    words: list[bytes]
 
     def __post_init__(self):
-        self.clustered = min(CLUSTERED, len(self.words))
-        tops = [math.log2(n + 1) for _, n in self.words[self.clustered :]]
-        low, high = (min(tops), max(tops)) if tops else (0.0, 1.0)
-        width = (high - low) / BANDS or 1.0
-        self.of = {word: at for at, (word, _) in enumerate(self.words[: self.clustered])}
-        for word, n in self.words[self.clustered :]:
-            band = min(BANDS - 1, int((math.log2(n + 1) - low) / width))
-            self.of[word] = self.clustered + band
-        self.rest = self.clustered + BANDS
+        self.of = {word: at for at, word in enumerate(self.words)}
+        self.rest = len(self.words)
         self.start = self.rest + 1
         self.size = self.start + 1
 
 
 class Lookup(dict):
-    """A word's number, or the number of all words beyond."""
+    """A word's number or class, or that of all words beyond."""
 
-    def __init__(self, numbers: Numbers):
-        super().__init__(numbers.of)
-        self.rest = numbers.rest
+    def __init__(self, of: dict[bytes, int], rest: int):
+        super().__init__(of)
+        self.rest = rest
 
     def __missing__(self, word: bytes) -> int:
         return self.rest
@@ -138,7 +148,7 @@ def bigrams(training: DataFrame, numbers: Numbers) -> np.ndarray:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        lookup = Lookup(known)
+        lookup = Lookup(known.of, known.rest)
         total = np.zeros(size * size, np.int64)
 
         def add(chain: list[int]) -> None:
@@ -233,30 +243,203 @@ def exchange(matrix: np.ndarray, movable: int, classes: int, sweeps: int) -> np.
     return of
 
 
+#: A word that is not in the classes yet and whose neighbours are counted.
+PENDING = START + 1
+HISTORIES = START + 1
+#: Cells of the matrix travel as rows of no word: a blank and the history.
+CELL = b" "
+
+
+def contexts(training: DataFrame, of: dict[bytes, int], both: bool) -> DataFrame:
+    """What stands beside every pending word, and how often class follows class.
+
+    Words of ``of`` have their class or are marked pending, and words beyond are of the rest
+    if ``both`` sides are counted, else pending too. A slot is the history before a word, or
+    ``HISTORIES`` and the class after it. One exchange, by word, of counts summed per task.
+    """
+    shared = training.sparkSession.sparkContext.broadcast(of)
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(shared.value, REST if both else PENDING)
+        cells = np.zeros(HISTORIES * HISTORIES, np.int64)
+        held: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            words = [word for word, _ in held]
+            slots = [slot for _, slot in held]
+            return _context_rows(words, slots, list(held.values()))
+
+        for part in parts:
+            for text in part.column(0):
+                tokens = tokens_of(text.as_py())
+                own = np.fromiter(map(lookup.__getitem__, tokens), np.int64, len(tokens))
+                history = np.where(own == PENDING, REST, own)
+                left = np.concatenate([[START], history[:-1]])
+                known = own != PENDING
+                cells += np.bincount(
+                    left[known] * HISTORIES + own[known], minlength=HISTORIES * HISTORIES
+                )
+                pending = np.flatnonzero(~known)
+                for start in range(0, len(pending), HELD_PAIRS):
+                    at = pending[start : start + HELD_PAIRS]
+                    held.update(zip([tokens[i] for i in at], left[at].tolist(), strict=True))
+                    if both:
+                        at = at[at < len(tokens) - 1]
+                        at = at[known[at + 1]]  # a pair of pending words counts once, by its second
+                        held.update(
+                            zip([tokens[i] for i in at], (HISTORIES + history[at + 1]).tolist(),
+                                strict=True)
+                        )
+                    if len(held) > HELD_PAIRS:
+                        yield rows()
+                        held.clear()
+        if held:
+            yield rows()
+        at = np.flatnonzero(cells)
+        words = [CELL + b"%d" % history for history in at // HISTORIES]
+        yield _context_rows(words, at % HISTORIES, cells[at])
+
+    partial = training.select("text").mapInArrow(count, "word binary, slot int, n bigint")
+    sums = partial.repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+    beside = F.struct("slot", "n")
+    left = F.when(F.col("slot") < HISTORIES, F.col("n"))
+    return stored(
+        sums.groupBy("word").agg(
+            F.coalesce(F.sum(left), F.lit(0)).alias("n"),
+            F.array_sort(F.collect_list(beside)).alias("beside"),  # 2 * HISTORIES at most
+        ),
+        "contexts",
+    )
+
+
+def _context_rows(words, slots, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(words, pa.binary()), pa.array(slots, pa.int32()), pa.array(counts, pa.int64())],
+        names=["word", "slot", "n"],
+    )
+
+
+def cells_of(found: DataFrame) -> np.ndarray:
+    """The matrix of classes after histories that the counting of contexts met."""
+    cell = F.substring("word", 1, 1) == F.lit(CELL)
+    rows = found.where(cell).select("word", F.explode("beside").alias("at")).select("word", "at.*")
+    matrix = np.zeros((HISTORIES, HISTORIES))
+    for word, slot, n in rows.collect():  # HISTORIES squared at most
+        matrix[int(bytes(word)), slot] = n
+    return matrix
+
+
+def likelihood(matrix: np.ndarray) -> float:
+    """The log likelihood of the class bigrams but for what no exchange changes."""
+    return float(
+        _x_log_x(matrix).sum() - _x_log_x(matrix.sum(0)).sum() - _x_log_x(matrix.sum(1)).sum()
+    )
+
+
+class Moves:
+    """The classes of words after moving against each of ``matrices`` in turn."""
+
+    def __init__(self, matrices: list[np.ndarray], both: bool):
+        self.both = both
+        self.steps = []
+        for matrix in matrices:
+            slots = np.concatenate([matrix[:, :CLASSES], matrix[:CLASSES].T])
+            self.steps.append((slots, matrix.sum(0)[:CLASSES], matrix.sum(1)[:CLASSES]))
+
+    def classes(self, first: np.ndarray, slot: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """A class per word; a word's slots begin at its place in ``first``."""
+        word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(slot))))
+        left = np.add.reduceat(np.where(slot < HISTORIES, times, 0.0), first)
+        right = np.add.reduceat(np.where(slot < HISTORIES, 0.0, times), first)
+        of = None
+        for slots, into, out in self.steps:
+            base = slots[slot]
+            totals = [(np.repeat(into[None], len(first), 0), left)]
+            if self.both:
+                totals.append((np.repeat(out[None], len(first), 0), right))
+            if of is not None:  # a word is taken out of its class before it moves
+                base[np.arange(len(slot)), of[word]] -= times
+                for total, own in totals:
+                    total[np.arange(len(first)), of] -= own
+            gain = np.add.reduceat(_x_log_x(base + times[:, None]) - _x_log_x(base), first)
+            for total, own in totals:
+                gain -= _x_log_x(total + own[:, None]) - _x_log_x(total)
+            of = gain.argmax(1)
+        return np.where(left < LEAST, REST, of)
+
+
+def _moved(found: DataFrame, moves: Moves, output: str, emit) -> DataFrame:
+    """What ``emit`` makes of every batch's words, counts, slots and classes."""
+    shared = found.sparkSession.sparkContext.broadcast(moves)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for start in range(0, part.num_rows, MOVED_WORDS):
+                rows = part.slice(start, MOVED_WORDS)
+                lists = rows.column(2)
+                ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                flat = lists.flatten()
+                slot = flat.field(0).to_numpy(zero_copy_only=False)
+                times = flat.field(1).to_numpy(zero_copy_only=False).astype(float)
+                of = shared.value.classes(ends[:-1], slot, times)
+                yield emit(rows, np.repeat(of, np.diff(ends)), of, slot, times)
+
+    words = found.where(F.substring("word", 1, 1) != F.lit(CELL))
+    return words.select("word", "n", "beside").mapInArrow(run, output)
+
+
+def _cells(rows, each, of, slot, times) -> pa.RecordBatch:
+    """The change of the matrix by a batch's words, as its cells."""
+    change = np.zeros(HISTORIES * HISTORIES)
+    left = slot < HISTORIES
+    np.add.at(change, slot[left] * HISTORIES + each[left], times[left])
+    after = slot[~left] - HISTORIES
+    np.add.at(change, each[~left] * HISTORIES + after, times[~left])
+    np.add.at(change, REST * HISTORIES + after, -times[~left])  # it stood there as one of the rest
+    at = np.flatnonzero(change)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(change[at])], ["cell", "n"])
+
+
+def _classes(rows, each, of, slot, times) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [rows.column(0), rows.column(1), pa.array(of, pa.int32())], ["word", "n", "class"]
+    )
+
+
+def settled(found: DataFrame, both: bool) -> tuple[DataFrame, np.ndarray]:
+    """Every pending word with its count and class, and the matrix with all words in it."""
+    start = cells_of(found)
+    matrices, kept, best, final = [start], [start], -math.inf, start
+    for _ in range(MOVES):
+        change = _moved(found, Moves(matrices, both), "cell bigint, n double", _cells)
+        matrix = start.copy()
+        for cell, n in change.groupBy("cell").agg(F.sum("n")).collect():  # HISTORIES squared
+            matrix[cell // HISTORIES, cell % HISTORIES] += n
+        value = likelihood(matrix)
+        if value <= best:
+            break
+        kept, best, final = list(matrices), value, matrix
+        matrices.append(matrix)
+    return _moved(found, Moves(kept, both), "word binary, n bigint, class int", _classes), final
+
+
 @dataclass
 class Model:
-    """What scoring needs of the numbered words, and the counts for the others."""
+    """What scoring needs of the numbered words, and the sums for all others."""
 
-    numbers: Numbers
-    class_of: np.ndarray  # per number
-    transition: np.ndarray  # log10 P(class | class before)
+    words: dict[bytes, tuple[int, int]]  # class and count of every numbered word
+    transition: np.ndarray  # log10 P(class | history)
+    totals: np.ndarray  # per class, what a share of it is divided by
     tokens: int
     distinct: int
-    rest_tokens: int
-    rest_distinct: int
 
     def __post_init__(self):
-        words = self.numbers.words
-        at = np.array([self.numbers.of[word] for word, _ in words], int)
-        n = np.array([n for _, n in words], float)
-        own = self.class_of[at]
-        size = len(self.transition)
-        total = np.bincount(own, n, size)
-        members = np.bincount(own, minlength=size)
-        share = np.log10((n + ADDED) / (total + ADDED * (members + 1))[own])
+        own = np.array([of for of, _ in self.words.values()], int)
+        n = np.array([n for _, n in self.words.values()], float)
+        share = np.log10((n + ADDED) / self.totals[own])
         base = np.log10((n + ADDED) / self.base_of)
         self.word = dict(
-            zip((w for w, _ in words), zip(own.tolist(), share.tolist(), base.tolist(), strict=True),
+            zip(self.words, zip(own.tolist(), share.tolist(), base.tolist(), strict=True),
                 strict=True)
         )
 
@@ -264,73 +447,77 @@ class Model:
     def base_of(self) -> float:
         return self.tokens + ADDED * (self.distinct + 1)
 
-    @property
-    def rest_of(self) -> float:
-        return self.rest_tokens + ADDED * (self.rest_distinct + 1)
-
 
 def train(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the count table of all words of the training texts."""
+    """The model, and the table of the words without numbers: count and class."""
     counts = word_counts(training)
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    numbers = Numbers(numbered(counts, NUMBERED))
-    matrix = bigrams(training, numbers)
-    class_of = exchange(matrix, numbers.clustered, CLASSES, SWEEPS)
-    size = int(class_of.max()) + 1
-    member = np.zeros((len(class_of), size))
-    member[np.arange(len(class_of)), class_of] = 1.0
-    pairs = member.T @ matrix @ member
-    # A class's share among all words, and that share as pseudo-counts after each class.
+    common = numbered(counts, NUMBERED)
+    numbers = Numbers([word for word, n in common[:CLUSTERED] if n >= LEAST])
+    classes = exchange(bigrams(training, numbers), numbers.rest, CLASSES, SWEEPS)
+    of = {word: int(classes[at]) for word, at in numbers.of.items()}
+    marked = of | {word: PENDING for word, _ in common if word not in of}
+    if len(marked) > len(of):
+        near, _ = settled(contexts(training, marked, both=True), both=True)
+        table = near.select("word", "class").toArrow()  # NUMBERED rows at most
+        of |= zip(table["word"].to_pylist(), table["class"].to_pylist(), strict=True)
+    far, pairs = settled(contexts(training, of, both=False), both=False)
+    far = stored(far, "classes")
+    # A class's share among all words, and that share as pseudo-counts after each history.
     share = pairs.sum(0) + ADDED
-    share[class_of[numbers.start]] = 0.0
+    share[START] = 0.0
     share /= share.sum()
     with np.errstate(divide="ignore"):
         transition = np.log10(
             (pairs + BACK_OFF * share) / (pairs.sum(1, keepdims=True) + BACK_OFF)
         )
-    known = sum(n for _, n in numbers.words)
-    model = Model(
-        numbers, class_of, transition, row[0], row[1], row[0] - known, row[1] - len(numbers.words)
-    )
-    return model, counts
+    members = np.bincount([of[word] for word, _ in common], minlength=HISTORIES).astype(float)
+    for own, n in far.groupBy("class").agg(F.count(F.lit(1))).collect():
+        members[own] += n
+    totals = pairs.sum(0) + ADDED * (members + 1)
+    words = {word: (of[word], n) for word, n in common}
+    return Model(words, transition, totals, row[0], row[1]), far
 
 
 SCORED = pa.schema(
     [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
      ("base_score", pa.float64()), ("score", pa.float64()),
-     ("others", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))]
+     ("others", pa.list_(pa.struct(
+         [("word", pa.binary()), ("history", pa.int32()), ("n", pa.int64())])))]
 )
 SCORED_SQL = (
     "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, "
-    "others array<struct<word:binary,n:bigint>>"
+    "others array<struct<word:binary,history:int,n:bigint>>"
 )
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, far: DataFrame) -> DataFrame:
     """One row per text with the base and the model's log10 probability."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows_of(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         own = shared.value
-        start = int(own.class_of[own.numbers.start])
-        rest = int(own.class_of[own.numbers.rest])
         steps = own.transition
         lookup = own.word.get
         for part in parts:
             for doc_id, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 tokens = tokens_of(value.as_py())
                 found = [lookup(token) for token in tokens]
-                classes = np.array([start, *[hit[0] if hit else rest for hit in found]])
+                classes = [hit[0] if hit else REST for hit in found]
+                before = np.array([START, *classes[:-1]])
+                known = np.array([hit is not None for hit in found])
                 hits = [hit for hit in found if hit]
-                chain = float(steps[classes[:-1], classes[1:]].sum())
-                others = Counter(t for t, hit in zip(tokens, found, strict=True) if not hit)
+                chain = float(steps[before[known], np.array(classes)[known]].sum())
+                others = Counter(
+                    (tokens[at], int(before[at])) for at in np.flatnonzero(~known).tolist()
+                )
                 yield (
                     doc_id,
                     len(tokens),
                     len(hits),
                     math.fsum(hit[2] for hit in hits),
                     chain + math.fsum(hit[1] for hit in hits),
-                    [{"word": word, "n": n} for word, n in others.items()],
+                    [{"word": w, "history": h, "n": n} for (w, h), n in others.items()],
                 )
 
     def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,20 +530,24 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         "near",
     )
     each = read.select("row", F.explode("others").alias("other")).select(
-        "row", F.col("other.word").alias("word"), F.col("other.n").alias("times")
+        "row", F.col("other.word").alias("word"), F.col("other.history").alias("history"),
+        F.col("other.n").alias("times"),
     )
     count = F.coalesce("n", F.lit(0))
-    far = each.join(counts, "word", "left").groupBy("row").agg(
+    own = F.coalesce("class", F.lit(REST))
+    step = F.element_at(F.lit(_finite(model.transition)), F.col("history") * HISTORIES + own + 1)
+    total = F.element_at(F.lit(_finite(model.totals)), own + 1)
+    far_of = each.join(far, "word", "left").groupBy("row").agg(
         F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("far_known"),
         F.sum(F.col("times") * F.log10((count + ADDED) / model.base_of)).alias("far_base"),
-        F.sum(F.col("times") * F.log10((count + ADDED) / model.rest_of)).alias("far_score"),
+        F.sum(F.col("times") * (step + F.log10((count + ADDED) / total))).alias("far_score"),
     )
     added = {
         "n_known": F.col("n_known") + F.coalesce("far_known", F.lit(0)),
         "base_score": F.col("base_score") + F.coalesce("far_base", F.lit(0.0)),
         "score": F.col("score") + F.coalesce("far_score", F.lit(0.0)),
     }
-    return read.drop("others").join(far, "row", "left").select(
+    return read.drop("others").join(far_of, "row", "left").select(
         "doc_id",
         held_out(10).alias("held_out"),
         "n_tokens",
@@ -368,6 +559,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     )
 
 
+def _finite(values: np.ndarray) -> list[float]:
+    """The cells in a row; no word is of the start's class, which alone is not finite."""
+    return np.where(np.isfinite(values), values, 0.0).ravel().tolist()
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """Train on the rows outside the held-out tenth and score all."""
     return score(docs, *train(docs.where(~held_out(10))))

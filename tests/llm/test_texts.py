@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 
 from plumbline.llm import bpe, class_lm, ngram_join, pii, quality, toxicity
+from plumbline.llm.common import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [
@@ -157,6 +158,99 @@ def test_base_score_and_classes(documents, monkeypatch):
     assert class_lm.scored(documents([])).count() == 0
 
 
+def grammar(sentences):
+    """Texts in which words of five kinds follow each other, with many rare words of each."""
+    chance = random.Random(4)
+    kinds = [[f"{kind}{k}" for k in range(40)] for kind in "abcde"]
+    share = [1 / (k + 1) for k in range(40)]
+    return [
+        (i, " ".join(chance.choices(kinds[(i + k) % 5], share)[0] for k in range(12)), "x")
+        for i in range(sentences)
+    ] + [(sentences, "zulu", "x"), (sentences + 1, None, "x"), (sentences + 2, "zulu a1", "x")]
+
+
+@pytest.mark.parametrize("numbers", [12, 60, 500])
+def test_score_equals_plain_loops(documents, monkeypatch, numbers):
+    monkeypatch.setattr(class_lm, "NUMBERED", numbers)
+    monkeypatch.setattr(class_lm, "CLUSTERED", 10)
+    monkeypatch.setattr(class_lm, "CLASSES", 6)
+    monkeypatch.setattr(class_lm, "HELD_PAIRS", 50)
+    rows = grammar(400)
+    docs = documents(rows)
+    training = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10]
+    model, far = class_lm.train(docs.where(~held_out(10)))
+    far = {bytes(r["word"]): (r["class"], r["n"]) for r in far.collect()}
+    known = model.words | far
+    counts = Counter(w for _, t, _ in training for w in class_lm.tokens_of(t))
+    assert {w: n for w, (_, n) in known.items()} == counts
+    assert len(model.words) == min(numbers, len(counts)) and not set(model.words) & set(far)
+    rest, start = class_lm.REST, class_lm.START
+    assert all((of == rest) == (n < class_lm.LEAST) for of, n in known.values())
+
+    def steps(text):
+        history = start
+        for word in class_lm.tokens_of(text):
+            own, n = known.get(word, (rest, 0))
+            yield history, own, n
+            history = own if word in model.words else rest
+
+    pairs, totals, members = Counter(), Counter(), Counter(of for of, _ in known.values())
+    for _, text, _ in training:
+        for history, own, _ in steps(text):
+            pairs[history, own] += 1
+            totals[own] += 1
+    after = Counter()
+    for (history, _), n in pairs.items():
+        after[history] += n
+    classes = [k for k in range(class_lm.HISTORIES) if k != start]
+    every = sum(totals[k] + class_lm.ADDED for k in classes)
+
+    def brute(text):
+        total = 0.0
+        for history, own, n in steps(text):
+            share = (totals[own] + class_lm.ADDED) / every
+            back = class_lm.BACK_OFF
+            total += math.log10((pairs[history, own] + back * share) / (after[history] + back))
+            total += math.log10(
+                (n + class_lm.ADDED) / (totals[own] + class_lm.ADDED * (members[own] + 1))
+            )
+        return total
+
+    found = class_lm.scored(docs).collect()
+    assert len(found) == len(rows)
+    texts = {i: t for i, t, _ in rows}
+    for row in found:
+        assert row.score == pytest.approx(brute(texts[row.doc_id]), abs=1e-6)
+    held = [row for row in found if row.held_out]
+    assert sum(row.score for row in held) > sum(row.base_score for row in held) + 0.2 * len(held)
+
+
+def test_all_words_of_the_least_count_are_settled(documents, monkeypatch):
+    monkeypatch.setattr(class_lm, "NUMBERED", 60)
+    monkeypatch.setattr(class_lm, "CLUSTERED", 25)
+    monkeypatch.setattr(class_lm, "CLASSES", 6)
+    model, far = class_lm.train(documents(grammar(1500)))
+    table = {bytes(r["word"]): (r["class"], r["n"]) for r in far.collect()}
+    for words in (model.words, table):  # most words of a kind share a class, near and far
+        kinds = {}
+        for word, (of, n) in words.items():
+            if n >= 10 and word != class_lm.END:
+                kinds.setdefault(word[:1], Counter())[of] += 1
+        assert len(kinds) == 5
+        tops = [found.most_common(1)[0] for found in kinds.values()]
+        assert len({of for of, _ in tops}) == 5
+        assert sum(n for _, n in tops) >= 0.8 * sum(sum(f.values()) for f in kinds.values())
+
+
+def test_numbered_words_break_ties_by_their_bytes(spark):
+    counts = spark.createDataFrame(
+        [(bytearray(w), n) for w, n in [(b"d", 2), (b"c", 2), (b"b", 2), (b"a", 5)]],
+        "word binary, n bigint",
+    )
+    assert class_lm.numbered(counts, 3) == [(b"a", 5), (b"b", 2), (b"c", 2)]
+    assert class_lm.numbered(counts, 0) == []
+
+
 def test_exchange_finds_planted_classes():
     chance = np.random.default_rng(1)
     matrix = np.zeros((12, 12), np.int64)
