@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, held_out, stored
+from plumbline.llm.common import held_out, stored
 
 #: Words with numbers, and those of them that are clustered one by one: the bounds of what
 #: is sent to every task and to the driver.
@@ -50,8 +50,10 @@ REST, START = CLASSES, CLASSES + 1
 #: Distinct words that a task holds before it hands their counts on.
 HELD_WORDS = 400_000
 #: Pairs of word and neighbour that a task holds, and words that it moves at once.
-HELD_PAIRS = 200_000
+HELD_PAIRS = 300_000
 MOVED_WORDS = 1_000
+#: Tokens of texts in a row that a task looks up at once, but for one longer text.
+HELD_CHAIN = 200_000
 #: Tokens that a task counts at once, but for one longer text.
 HELD_TOKENS = 1_000_000
 
@@ -257,47 +259,58 @@ def contexts(training: DataFrame, of: dict[bytes, int], both: bool) -> DataFrame
     if ``both`` sides are counted, else pending too. A slot is the history before a word, or
     ``HISTORIES`` and the class after it. One exchange, by word, of counts summed per task.
     """
-    shared = training.sparkSession.sparkContext.broadcast(of)
+    pending = [word for word, own in of.items() if own == PENDING]
+    codes = {word: own for word, own in of.items() if own != PENDING}
+    codes |= {word: PENDING + at for at, word in enumerate(pending)}
+    codes[None] = START
+    shared = training.sparkSession.sparkContext.broadcast((codes, pending))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(shared.value, REST if both else PENDING)
+        codes, pending = shared.value
+        lookup = Lookup(codes, REST if both else PENDING)
         cells = np.zeros(HISTORIES * HISTORIES, np.int64)
+        near = np.zeros(len(pending) * 2 * HISTORIES, np.int64)  # NUMBERED rows at most
         held: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            words = [word for word, _ in held]
-            slots = [slot for _, slot in held]
-            return _context_rows(words, slots, list(held.values()))
-
-        for part in parts:
-            for text in part.column(0):
-                tokens = tokens_of(text.as_py())
-                own = np.fromiter(map(lookup.__getitem__, tokens), np.int64, len(tokens))
-                history = np.where(own == PENDING, REST, own)
-                left = np.concatenate([[START], history[:-1]])
-                known = own != PENDING
-                cells += np.bincount(
-                    left[known] * HISTORIES + own[known], minlength=HISTORIES * HISTORIES
+        suffix = [bytes([history]) for history in range(HISTORIES)]
+
+        for tokens in _chains(parts):
+            own = np.fromiter(map(lookup.__getitem__, tokens), np.int64, len(tokens))
+            open_ = own >= PENDING
+            history = np.where(open_, REST, own)
+            known = np.flatnonzero(~open_ & (own != START))
+            pairs = history[known - 1] * HISTORIES + own[known]
+            cells += np.bincount(pairs, minlength=len(cells))
+            at = np.flatnonzero(open_)
+            if both:
+                place = (own[at] - PENDING) * 2 * HISTORIES
+                slots = place + history[at - 1]
+                near += np.bincount(slots, minlength=len(near))
+                # A pair of pending words counts once, by its second; a last word has no next.
+                place, after = place[at < len(tokens) - 1], at[at < len(tokens) - 1] + 1
+                right = ~open_[after] & (own[after] != START)
+                slots = place[right] + HISTORIES + history[after[right]]
+                near += np.bincount(slots, minlength=len(near))
+                continue
+            for start in range(0, len(at), HELD_PAIRS):
+                some = at[start : start + HELD_PAIRS]
+                before = history[some - 1].tolist()
+                held.update(
+                    [tokens[i] + suffix[h] for i, h in zip(some.tolist(), before, strict=True)]
                 )
-                pending = np.flatnonzero(~known)
-                for start in range(0, len(pending), HELD_PAIRS):
-                    at = pending[start : start + HELD_PAIRS]
-                    held.update(zip([tokens[i] for i in at], left[at].tolist(), strict=True))
-                    if both:
-                        at = at[at < len(tokens) - 1]
-                        at = at[known[at + 1]]  # a pair of pending words counts once, by its second
-                        held.update(
-                            zip([tokens[i] for i in at], (HISTORIES + history[at + 1]).tolist(),
-                                strict=True)
-                        )
-                    if len(held) > HELD_PAIRS:
-                        yield rows()
-                        held.clear()
+                if len(held) > HELD_PAIRS:
+                    yield _held_rows(held)
+                    held.clear()
         if held:
-            yield rows()
+            yield _held_rows(held)
+        words = pa.array(pending, pa.binary())
+        found = np.flatnonzero(near)
+        for start in range(0, len(found), HELD_PAIRS):
+            at = found[start : start + HELD_PAIRS]
+            yield _context_rows(words.take(pa.array(at // (2 * HISTORIES))),
+                                at % (2 * HISTORIES), near[at])
         at = np.flatnonzero(cells)
         words = [CELL + b"%d" % history for history in at // HISTORIES]
-        yield _context_rows(words, at % HISTORIES, cells[at])
+        yield _context_rows(pa.array(words, pa.binary()), at % HISTORIES, cells[at])
 
     partial = training.select("text").mapInArrow(count, "word binary, slot int, n bigint")
     sums = partial.repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n"))
@@ -312,9 +325,28 @@ def contexts(training: DataFrame, of: dict[bytes, int], both: bool) -> DataFrame
     )
 
 
+def _chains(parts: Iterator[pa.RecordBatch]) -> Iterator[list[bytes | None]]:
+    """The tokens of many texts in a row, with None at the start of each."""
+    chain: list[bytes | None] = []
+    for part in parts:
+        for text in part.column(0):
+            chain.append(None)
+            chain += tokens_of(text.as_py())
+            if len(chain) > HELD_CHAIN:
+                yield chain
+                chain = []
+    if chain:
+        yield chain
+
+
+def _held_rows(held: Counter) -> pa.RecordBatch:
+    words = pa.array([pair[:-1] for pair in held], pa.binary())
+    return _context_rows(words, [pair[-1] for pair in held], list(held.values()))
+
+
 def _context_rows(words, slots, counts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(words, pa.binary()), pa.array(slots, pa.int32()), pa.array(counts, pa.int64())],
+        [words, pa.array(slots, pa.int32()), pa.array(counts, pa.int64())],
         names=["word", "slot", "n"],
     )
 
@@ -433,15 +465,15 @@ class Model:
     tokens: int
     distinct: int
 
-    def __post_init__(self):
+    def places(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+        """Every numbered word's place, and by place, with one for all words beyond, the
+        class, the log10 share of the class and the log10 of the base."""
         own = np.array([of for of, _ in self.words.values()], int)
         n = np.array([n for _, n in self.words.values()], float)
         share = np.log10((n + ADDED) / self.totals[own])
         base = np.log10((n + ADDED) / self.base_of)
-        self.word = dict(
-            zip(self.words, zip(own.tolist(), share.tolist(), base.tolist(), strict=True),
-                strict=True)
-        )
+        at = {word: place for place, word in enumerate(self.words)}
+        return at, np.append(own, REST), np.append(share, 0.0), np.append(base, 0.0)
 
     @property
     def base_of(self) -> float:
@@ -479,12 +511,6 @@ def train(training: DataFrame) -> tuple[Model, DataFrame]:
     return Model(words, transition, totals, row[0], row[1]), far
 
 
-SCORED = pa.schema(
-    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-     ("base_score", pa.float64()), ("score", pa.float64()),
-     ("others", pa.list_(pa.struct(
-         [("word", pa.binary()), ("history", pa.int32()), ("n", pa.int64())])))]
-)
 SCORED_SQL = (
     "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, "
     "others array<struct<word:binary,history:int,n:bigint>>"
@@ -493,35 +519,54 @@ SCORED_SQL = (
 
 def score(docs: DataFrame, model: Model, far: DataFrame) -> DataFrame:
     """One row per text with the base and the model's log10 probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def rows_of(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        own = shared.value
-        steps = own.transition
-        lookup = own.word.get
-        for part in parts:
-            for doc_id, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                tokens = tokens_of(value.as_py())
-                found = [lookup(token) for token in tokens]
-                classes = [hit[0] if hit else REST for hit in found]
-                before = np.array([START, *classes[:-1]])
-                known = np.array([hit is not None for hit in found])
-                hits = [hit for hit in found if hit]
-                chain = float(steps[before[known], np.array(classes)[known]].sum())
-                others = Counter(
-                    (tokens[at], int(before[at])) for at in np.flatnonzero(~known).tolist()
-                )
-                yield (
-                    doc_id,
-                    len(tokens),
-                    len(hits),
-                    math.fsum(hit[2] for hit in hits),
-                    chain + math.fsum(hit[1] for hit in hits),
-                    [{"word": w, "history": h, "n": n} for (w, h), n in others.items()],
-                )
+    shared = docs.sparkSession.sparkContext.broadcast((model.places(), model.transition))
 
     def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches(rows_of(parts), SCORED, 512)
+        (places, own_of, share_of, base_of), steps = shared.value
+        lookup = Lookup(places, len(places))
+
+        def rows(ids: list, tokens: list[bytes], sizes: list[int]) -> pa.RecordBatch:
+            place = np.fromiter(map(lookup.__getitem__, tokens), np.int64, len(tokens))
+            first = np.cumsum([0, *sizes[:-1]])
+            own, known = own_of[place], place < len(places)
+            before = np.concatenate([[START], own[:-1]])
+            before[first] = START
+            step = np.where(known, steps[before, own] + share_of[place], 0.0)
+            text = np.repeat(np.arange(len(ids)), sizes)
+            at = np.flatnonzero(~known)
+            others = Counter(
+                zip(text[at].tolist(), [tokens[i] for i in at.tolist()], before[at].tolist(),
+                    strict=True)
+            )  # in the order of the texts
+            each = np.bincount(np.array([k for k, _, _ in others], int), minlength=len(ids))
+            flat = pa.StructArray.from_arrays(
+                [pa.array([word for _, word, _ in others], pa.binary()),
+                 pa.array([history for _, _, history in others], pa.int32()),
+                 pa.array(list(others.values()), pa.int64())],
+                names=["word", "history", "n"],
+            )
+            ends = pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(np.add.reduceat(known.astype(np.int64), first)),
+                 pa.array(np.add.reduceat(base_of[place], first)),
+                 pa.array(np.add.reduceat(step, first)),
+                 pa.ListArray.from_arrays(ends, flat)],
+                names=["doc_id", "n_tokens", "n_known", "base_score", "score", "others"],
+            )
+
+        ids, tokens, sizes = [], [], []
+        for part in parts:
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                own = tokens_of(text.as_py())
+                ids.append(doc_id)
+                tokens += own
+                sizes.append(len(own))
+                if len(tokens) > HELD_CHAIN:
+                    yield rows(ids, tokens, sizes)
+                    ids, tokens, sizes = [], [], []
+        if ids:
+            yield rows(ids, tokens, sizes)
 
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     # Ids may repeat: a row's own number keeps rows apart, and is read from a stored table.
