@@ -225,6 +225,17 @@ def test_score_equals_plain_loops(documents, monkeypatch, numbers):
     assert sum(row.score for row in held) > sum(row.base_score for row in held) + 0.2 * len(held)
 
 
+def test_scores_of_long_texts_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "HELD_CHAIN", 100)
+    names = "doc_id bigint, text string, n bigint, word string, row int, `a.b` int"
+    rows = [(None, None, 1, "a", 1, 1), (1, "zz " * 30_000, 2, "b", 1, 1), (1, "", 3, "c", 1, 1)]
+    found = class_lm.scored(spark.createDataFrame(rows, names)).collect()
+    assert sorted(r.n_tokens for r in found) == [1, 1, 30_001]
+    assert all(r.n_known == r.n_tokens and r.train_tokens == 30_003 for r in found)
+    empty = {round(r.score, 9) for r in found if r.n_tokens == 1}
+    assert len(empty) == 1 and all(r.score < 0 for r in found)
+
+
 def test_all_words_of_the_least_count_are_settled(documents, monkeypatch):
     monkeypatch.setattr(class_lm, "NUMBERED", 60)
     monkeypatch.setattr(class_lm, "CLUSTERED", 25)
