@@ -82,10 +82,19 @@ def payload_records(payloads: DataFrame, *keys: str) -> DataFrame:
         payloads.withColumn("__root", as_object(F.col("payload")))
         .select(*context, F.posexplode(records).alias("position", "__record"))
         .where(F.startswith(F.ltrim("__record"), F.lit("{")))
-        .select(*context, "position", as_object(F.col("__record")).alias("record"))
+        # Exploded, a record is parsed once: what callers filter by is not pushed below that.
+        .select(*context, "position", F.explode(F.array(as_object(F.col("__record")))).alias("record"))
     )
 
 
+def _kept(value: Column) -> Column:
+    """The value, without the rows that have none.
+
+    A filter would be pushed below the column's expression and parse each record again.
+    """
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def map_state_category(items: DataFrame, state_map: DataFrame) -> DataFrame:
     """Add state_category by (team_id, state); an unmapped state has none, and a reason.
 
@@ -195,8 +204,7 @@ def normalize_work_items(payloads: DataFrame, settings: DataFrame) -> DataFrame:
         as_text(F.col("raw_changed")).alias("changed_text"),
         F.coalesce(as_id(F.col("raw_parent")), as_id(F.col("raw_other_parent"))).alias("parent_id"),
     )
-    # Drops records without an id. A filter would be pushed below and parse each record again.
-    identified = texts.withColumn("item_id", F.explode(F.array_compact(F.array("item_id"))))
+    identified = texts.withColumn("item_id", _kept(F.col("item_id")))
     unknown = F.lit(v.UNKNOWN_LABEL)
     owes_work = F.col("allocates") & F.col("remaining_field").isNotNull()
     return identified.select(
@@ -390,13 +398,20 @@ def iteration_links(payloads: DataFrame) -> DataFrame:
     rows = payload_records(payloads, "workItemRelations", "workItems")
     record = F.col("record")
     target = F.coalesce(as_object(member(record, "target")), record)
-    return rows.select(
+    raw = rows.select(
         "organization",
         "team_id",
-        as_id(member(as_object(member(record, "source")), "id")).alias("parent_id"),
-        as_id(member(target, "id")).alias("item_id"),
+        member(as_object(member(record, "source")), "id").alias("raw_parent"),
+        member(target, "id").alias("raw_id"),
         as_text(member(record, "rel")).alias("link"),
-    ).where("item_id is not null")
+    )
+    return raw.select(
+        "organization",
+        "team_id",
+        as_id(F.col("raw_parent")).alias("parent_id"),
+        _kept(as_id(F.col("raw_id"))).alias("item_id"),
+        "link",
+    )
 
 
 def hierarchy_relations(links: DataFrame, items: DataFrame) -> DataFrame:

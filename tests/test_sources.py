@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.cross_team import merge_people, reconcile_identity
+from plumbline.session import configure
 from plumbline.sources import landed, scope
 from tests.conftest import at, on, rows_of, settings_frame
 
@@ -274,3 +275,23 @@ def test_a_missing_state_is_not_an_unmapped_one(spark):
     got = {r["item_id"]: (r["state_category"], r["state_reason"])
            for r in landed.map_state_category(items, state_map).collect()}
     assert got == {1: (None, None), 2: (None, "unmapped_state"), 3: ("in_progress", None), 4: (None, None)}
+
+
+def test_configure_fuses_no_code_that_the_jvm_interprets(spark):
+    name, before = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        for given, left in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(name, given)
+            assert configure(spark).conf.get(name) == left
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_no_record_is_parsed_again_by_a_filter(spark):
+    links = landed.iteration_links(payloads(spark, {"workItemRelations": [{"target": {"id": 1}}]}))
+    items = landed.normalize_work_items(payloads(spark, [{"id": 2}]), settings_frame(spark))
+    for df in (links.where("parent_id is not null"), items.where("parent_id is not null")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        filters = [line for line in plan if line.lstrip(" :+-").startswith("Filter")]
+        assert not any(f"MapType(StringType,StringType,true), {name}" in line
+                       for line in filters for name in ("__record", "payload"))

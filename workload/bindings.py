@@ -559,25 +559,27 @@ class Tables:
                 F.date_format("l_shipdate", "yyyy-MM-dd").alias("Microsoft.VSTS.Scheduling.DueDate"),
             )
         )
+        whole, text = F.col("body"), F.col("record")
         record = (
-            F.when(F.col("l_tax") == 0.08, F.concat(F.lit('{"fields":'), body, F.lit("}")))
+            F.when(F.col("l_tax") == 0.08, F.concat(F.lit('{"fields":'), whole, F.lit("}")))
             .when(
                 status == "F",
-                F.concat(F.lit('{"id":'), identifier, F.lit(',"fields":'), body, F.lit("}")),
+                F.concat(F.lit('{"id":'), identifier, F.lit(',"fields":'), whole, F.lit("}")),
             )
             .otherwise(
                 F.concat(
                     F.lit('{"workItemId":"'), identifier, F.lit('",'),
-                    F.substr(body, F.lit(2)),
+                    F.substr(whole, F.lit(2)),
                 )
             )
         )
         payload = (
-            F.when(flag == "N", F.concat(F.lit('{"value":['), record, F.lit(",7]}")))
-            .when(flag == "A", F.concat(F.lit("["), record, F.lit("]")))
-            .otherwise(record)
+            F.when(flag == "N", F.concat(F.lit('{"value":['), text, F.lit(",7]}")))
+            .when(flag == "A", F.concat(F.lit("["), text, F.lit("]")))
+            .otherwise(text)
         )
-        return line.select(
+        # Staged, so that the code that renders the body stands once and not once per shape.
+        return line.withColumn("body", body).withColumn("record", record).select(
             F.lit(ORGANIZATION).alias("organization"),
             "team_id",
             F.struct(*self.ARRIVAL).alias("arrival"),
