@@ -151,9 +151,14 @@ def children_summary(items: DataFrame, relations: DataFrame) -> DataFrame:
     The maximum is enough to tell whether any child ends later, so a parent with any
     number of children is reduced before it reaches one task.
     """
-    targets = items.select(
-        "organization", F.col("item_id").alias("child_id"), F.col("target_date").alias("child_target")
-    ).where("child_target is not null")
+    # Inlined, so that what the join asks of its key is not pushed into the items' source:
+    # their shuffles then equal those of the caller's own use of the items, and run once.
+    target = F.struct(
+        "organization",
+        F.col("item_id").alias("child_id"),
+        F.col("target_date").alias("child_target"),
+    )
+    targets = items.select(F.inline(F.array(target))).where("child_target is not null")
     edges = relations.select("organization", "parent_id", "child_id", "relation").distinct()
     return (
         edges.join(targets, ["child_id", "organization"], "left")
@@ -204,7 +209,8 @@ def evaluate_planning(
 
     ``rules`` comes from :func:`effective_rules`, ``today`` is (team_id, today) and
     ``closed_iterations`` is (team_id, iteration_path). ``only`` narrows the registry;
-    what none of its rules needs is not joined.
+    what none of its rules needs is not joined. Teams and their closed iterations are tables
+    that fit a task: they go to the items, which are not dealt by team.
     """
     evaluated = [RULES[rule_id] for rule_id in only] if only is not None else list(RULES.values())
     needed = {rule.needs for rule in evaluated}
@@ -230,20 +236,23 @@ def evaluate_planning(
         for c in (F.lit(f.name), F.col(f.name).cast("string"))
     ]
     no = F.lit(False)
-    joined = attach(items, team, "team_id", "inner")
-    if "item_values" in needed:
-        joined = joined.withColumn("item_values", F.create_map(*values))
+    joined = items
     if "children" in needed:
         joined = joined.join(
             children_summary(items, relations), ["item_id", "organization"], "left"
         ).withColumn("has_child", F.coalesce("has_child", no))
+    # After the shuffle by item: the settings of all rules are wider than an item.
+    joined = attach(joined, team, "team_id", "inner", bounded=True)
     if "closed_iterations" in needed:
         closed = closed_iterations.select(
             "team_id", "iteration_path", F.lit(True).alias("iteration_closed")
         ).distinct()
-        joined = attach(joined, closed, ["team_id", "iteration_path"]).withColumn(
-            "iteration_closed", F.coalesce("iteration_closed", no)
-        )
+        joined = attach(
+            joined, closed, ["team_id", "iteration_path"], bounded=True
+        ).withColumn("iteration_closed", F.coalesce("iteration_closed", no))
+    if "item_values" in needed:
+        # After the joins, so that the texts of all columns do not travel beside the columns.
+        joined = joined.withColumn("item_values", F.create_map(*values))
 
     def finding(rule: Rule) -> Column:
         own = F.col(_column(rule))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import planning
+from plumbline.operators.cross_team import deduplicate_items
 from tests.conftest import items_frame, on, rows_of, settings_frame
 
 OVERRIDE = """team_id string, rule_id string, enabled boolean, severity string, tolerance_days int,
@@ -94,3 +95,32 @@ def test_area_scope(spark):
     flat = settings_frame(spark, {"include_descendants": False})
     assert rows_of(planning.filter_area_scope(items, flat), "item_id") == [(1,)]
     assert planning.filter_area_scope(items, flat).where(F.col("item_id") == 2).count() == 0
+
+
+def test_items_have_one_source_for_rules_and_children(spark, tmp_path):
+    """The same shuffles serve both uses only where no filter of one use reaches the source."""
+    raw = items_frame(spark, [{"item_id": i, "target_date": on("2026-09-14")} for i in (1, 2)])
+    raw.drop("overlapping").write.parquet(str(tmp_path / "raw"))
+    items = deduplicate_items(spark.read.parquet(str(tmp_path / "raw")), ["created_at"])
+    relations = spark.createDataFrame(
+        [("org", 1, 2, "hierarchy")],
+        "organization string, parent_id bigint, child_id bigint, relation string",
+    )
+    summary = planning.children_summary(items, relations)
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "IsNotNull(item_id)" not in plan
+    assert rows_of(summary, "item_id", "last_child_target") == [(1, on("2026-09-14"))]
+
+
+def test_items_are_not_dealt_by_team(spark):
+    team = settings_frame(spark, {})
+    rules = planning.effective_rules(team, spark.createDataFrame([], OVERRIDE))
+    today = spark.createDataFrame([("t", on("2026-09-15"))], "team_id string, today date").distinct()
+    items = items_frame(spark, [{"item_id": 1}])
+    found = planning.evaluate_planning(
+        items, None, team, rules, today, None, only=["inverted_dates", "missing_estimate"]
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(team_id" in line]
+    assert "item_id" in plan and "SortMergeJoin" not in plan.split("Scan")[0]
+    assert "BroadcastHashJoin" in plan.split("Scan")[0] and dealt
