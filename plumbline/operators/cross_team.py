@@ -20,9 +20,11 @@ ITEM_KEY = ("item_id", "organization")
 def arrivals_state(items: DataFrame, arrival: Sequence[str]) -> DataFrame:
     """First arrival and number of arrivals per item and list of teams it was seen in.
 
-    States of several batches merge into that of all their rows, in whichever order.
+    States of several batches merge into that of all their rows, in whichever order. What
+    orders the arrivals stands in ``first.at`` alone, the other columns in ``first.row``.
     """
-    payload = F.struct(*[c for c in items.columns if c not in (*ITEM_KEY, "team_memberships")])
+    held = (*ITEM_KEY, "team_memberships", *arrival)
+    payload = F.struct(*[c for c in items.columns if c not in held])
     memberships = F.coalesce("team_memberships", F.array().cast("array<string>"))
     arrived = F.struct(F.struct(*arrival).alias("at"), payload.alias("row"))
     return (
@@ -41,6 +43,9 @@ def merged_state(states: DataFrame) -> DataFrame:
 
 def arrived_items(state: DataFrame) -> DataFrame:
     """The items of a state, or of several in one table, as :func:`deduplicate_items` has them."""
+    first = state.schema["first"].dataType
+    held = (*ITEM_KEY, "team_memberships", *first["row"].dataType.names)
+    ordering = [f"first.at.{c}" for c in first["at"].dataType.names if c not in held]
     # The same list of teams may stand in several states; its first arrival is the least.
     seen = F.array_sort(F.collect_list(F.struct("first.at", "team_memberships")))
     return (
@@ -56,6 +61,7 @@ def arrived_items(state: DataFrame) -> DataFrame:
         .select(
             *ITEM_KEY,
             "first.row.*",
+            *ordering,
             "team_memberships",
             ((F.col("arrivals") > 1) | (F.size("team_memberships") > 1)).alias("overlapping"),
         )
@@ -69,7 +75,9 @@ def deduplicate_items(items: DataFrame, arrival: Sequence[str]) -> DataFrame:
     item that arrived more than once or belongs to several teams. A hot item collapses to
     one row per distinct membership before those are collected.
     """
-    return arrived_items(arrivals_state(items, arrival))
+    rows = arrived_items(arrivals_state(items, arrival))
+    listed = [c for c in items.columns if c not in (*ITEM_KEY, "team_memberships")]
+    return rows.select(*ITEM_KEY, *listed, "team_memberships", "overlapping")
 
 
 def identity_aliases(people: DataFrame) -> DataFrame:

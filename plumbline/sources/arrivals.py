@@ -113,4 +113,4 @@ def read_items(
     state = manifest or sinks.read_manifest(spark, root)
     if not state.attempts:
         return None
-    return arrived_items(merged_state(_part(root, STATE, state.attempts, spark)))
+    return arrived_items(_part(root, STATE, state.attempts, spark))

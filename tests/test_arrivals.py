@@ -98,3 +98,20 @@ def test_states_merge(spark, rows, cut):
     states = [arrivals_state(frame(spark, part), ["arrival"]) for part in (rows[:cut], rows[cut:])]
     both = merged_state(states[0].unionByName(states[1]))
     assert found(arrived_items(both)) == found(deduplicate_items(frame(spark, rows), ["arrival"]))
+
+
+def test_the_order_of_arrivals_is_held_once_and_read_back(spark):
+    rows = frame(spark, ROWS)
+    first = arrivals_state(rows, ["arrival"]).schema["first"].dataType
+    assert "arrival" in first["at"].dataType.names and "arrival" not in first["row"].dataType.names
+    assert deduplicate_items(rows, ["arrival"]).columns == [
+        "item_id", "organization", "arrival", "team_id", "team_memberships", "overlapping"
+    ]
+
+
+def test_reading_the_store_shuffles_its_states_once(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for batch in (0, 1):
+        arrivals.add_batch(frame(spark, ROWS[4 * batch : 4 * batch + 4]), ["arrival"], f"b{batch}", root)
+    plan = arrivals.read_items(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
