@@ -199,13 +199,10 @@ def consolidate_person(
         .groupBy("person_id")
         .agg(F.sum("factor").cast("decimal(12,4)").alias("available_days"))
     )
-    loads = known_load(accountable, None, ["assigned_to"], unit=unit).select(
-        F.col("assigned_to").alias("person_id"), "load_value", "eligible", "known", "missing"
-    )
-    overlaps = (
-        accountable.where("overlapping")
-        .groupBy(F.col("assigned_to").alias("person_id"))
-        .agg(F.count(F.lit(1)).alias("overlapping_items"))
+    overlapping = F.count(F.when(F.col("overlapping"), 1)).alias("overlapping_items")
+    loads = known_load(accountable, None, ["assigned_to"], unit, overlapping).select(
+        F.col("assigned_to").alias("person_id"),
+        "load_value", "eligible", "known", "missing", "overlapping_items",
     )
     comparable = F.col("availability_unit") == unit
     declared = F.when(
@@ -215,7 +212,6 @@ def consolidate_person(
     zero = F.lit(0).cast("bigint")
     wide = (
         observed.join(loads, "person_id", "left")
-        .join(overlaps, "person_id", "left")
         .join(availability, "person_id", "left")
         .join(union_days, "person_id", "left")
         .withColumn("availability", declared)

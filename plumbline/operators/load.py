@@ -73,18 +73,19 @@ def known_load(
     settings: DataFrame | None,
     by: Sequence[str],
     unit: str | None = None,
+    *more: Column,
 ) -> DataFrame:
     """Sum of valid remaining work of open items, with what had to be left out.
 
     ``accountable`` already sits on one accounting level; ``by`` is the grain, e.g.
     team or team and person. The unit is each team's own, or ``unit`` for all. Missing work never becomes zero: without a single known
-    item the value is missing.
+    item the value is missing. ``more`` are aggregates of the same items out of the same pass.
     """
     if unit is not None:
         measured = accountable.withColumn("unit", F.lit(unit))
     else:
         measured = attach(accountable, settings.select("team_id", "unit"), "team_id", "inner")
-    return measured.groupBy(*by, F.col("unit").alias("load_unit")).agg(*_load_tallies())
+    return measured.groupBy(*by, F.col("unit").alias("load_unit")).agg(*_load_tallies(), *more)
 
 
 def _load_tallies() -> list[Column]:

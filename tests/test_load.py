@@ -322,3 +322,10 @@ def test_reservations_of_two_teams_exceed_one_person(spark):
     undeclared = consolidate_person(pairs, reserved, factors, items, declared.limit(0), "hours").first()
     assert (undeclared["utilization"], undeclared["over_reserved"]) == (None, False)
     assert undeclared["reason"] == "availability_not_declared"
+
+
+def test_more_aggregates_share_the_pass_over_the_items(spark):
+    items = items_frame(spark, [{"item_id": i, "remaining": 1} for i in (1, 2, 3)])
+    odd = F.count(F.when(F.col("item_id") % 2 == 1, 1)).alias("odd")
+    row = load.known_load(items, None, ["team_id"], "hours", odd).first()
+    assert (row["known"], row["odd"]) == (3, 2)
