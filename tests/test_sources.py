@@ -295,3 +295,21 @@ def test_no_record_is_parsed_again_by_a_filter(spark):
         filters = [line for line in plan if line.lstrip(" :+-").startswith("Filter")]
         assert not any(f"MapType(StringType,StringType,true), {name}" in line
                        for line in filters for name in ("__record", "payload"))
+
+
+def test_landed_fields_are_parsed_once_a_record(spark, tmp_path):
+    from workload.registry import callables
+
+    folder = str(tmp_path)
+    spark.sql("""select 1L as l_orderkey, 2L as l_partkey, 3L as l_suppkey, 1 as l_linenumber,
+        5d as l_quantity, 9d as l_extendedprice, 0.1d as l_discount, 0d as l_tax, 'N' as l_returnflag,
+        'F' as l_linestatus, timestamp_ntz'1998-01-05 00:00:00' as l_shipdate""").write.parquet(
+        f"{folder}/lineitem.parquet")
+    spark.sql("select 3L as s_suppkey, 4 as s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+    spark.sql("select 4 as n_nationkey, 'X' as n_name").write.parquet(f"{folder}/nation.parquet")
+    found = callables()["read_landed_payloads"](spark, folder)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    parses = "MapType(StringType,StringType,true), element_at(record"
+    assert plan.count(parses) <= 2  # lines and files
+    assert rows_of(found, "landed", "record_id", "title") == [
+        ("file", "40", "X"), ("file", "42", "X"), ("line", "11", "part 2")]

@@ -76,11 +76,15 @@ def read_landed_payloads(t: Tables):
             t.spark, f"{root}/{kind}s", context=["team_id"], **options
         )
         records = landed.payload_records(landed.well_formed_payloads(payloads), "workItems")
-        fields = fields_of(F.col("record"))
         named = F.coalesce(member(F.col("record"), "id"), member(F.col("record"), "workItemId"))
-        read = records.select(
-            "team_id", F.lit(kind).alias("landed"), "position", as_text(named).alias("record_id"),
-            as_text(member(fields, "System.Title")).alias("title"),
+        # Staged: parsing a text looks at it several times, and each would parse the fields again.
+        staged = records.withColumn("fields", fields_of(F.col("record"))).select(
+            "team_id", "position", named.alias("raw_id"),
+            member(F.col("fields"), "System.Title").alias("raw_title"),
+        )
+        read = staged.select(
+            "team_id", F.lit(kind).alias("landed"), "position",
+            as_text(F.col("raw_id")).alias("record_id"), as_text(F.col("raw_title")).alias("title"),
             F.lit(None).cast("string").alias("reason"),
         )
         told = r'"(?:id|workItemId)":"?([0-9]+)'
