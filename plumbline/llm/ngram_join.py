@@ -263,9 +263,12 @@ class Filter:
 def sets_of(
     docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, scratch: Scratch
 ) -> DataFrame:
-    """(id, hashes) of the wanted ids, from the texts of documents that may have them; stored."""
+    """(id, n, set_key, hashes) of the wanted ids, from the texts of documents that may have them.
+
+    Stored in buckets by key, so that whatever asks for sets is sent to them and they stay.
+    """
     keys = scratch.stored(
-        rows.select("set_key", "id", "doc_id").join(wanted, "id", "left_semi"), "wanted"
+        rows.select("set_key", "id", "n", "doc_id").join(wanted, "id", "left_semi"), "wanted"
     )
     passing = Filter(keys.select("doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(passing)
@@ -290,10 +293,14 @@ def sets_of(
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     marked = own.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(places)])
     texts = marked.mapInArrow(read, "set_key binary, hashes binary")
-    # One shuffle by key serves the sum over rows of one set and the join.
+    # One shuffle by key serves the sum over rows of one set, the join and the buckets.
     once = texts.groupBy("set_key").agg(F.first("hashes").alias("hashes"))
-    found_sets = scratch.stored(
-        once.join(keys.select("set_key", "id"), "set_key").select("id", "hashes"), "sets"
+    found_sets = scratch.bucketed(
+        once.join(keys.select("set_key", "id", "n"), "set_key").select(
+            "id", "n", "set_key", "hashes"
+        ),
+        "sets",
+        "set_key",
     )
     scratch.release(keys)
     scratch.clean()
@@ -303,12 +310,23 @@ def sets_of(
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets; stored.
 
-    ``pairs`` is stored and then released. With their true size known, few pairs are sent to
-    the sets and not the sets to them.
+    ``pairs`` is stored and then released. Sets whose sizes are too far apart to link are
+    not looked at. The other pairs are sent to the sets' buckets and not the sets to them:
+    first, as ids and keys alone, to the set of b, which as a leader may be in very many,
+    and from there with it to the set of a.
     """
-    own = sets.select(F.col("id").alias("a"), F.col("hashes").alias("a_hashes"))
-    others = sets.select(F.col("id").alias("b"), F.col("hashes").alias("b_hashes"))
-    both = pairs.join(own, "a").join(others, "b").select("a", "b", "a_hashes", "b_hashes")
+    keys = sets.select("id", "set_key", "n")
+    keyed = (
+        pairs.join(keys.toDF("a", "a_key", "a_n"), "a")
+        .join(keys.toDF("b", "b_key", "b_n"), "b")
+        .where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+        .select("a", "b", "a_key", "b_key")
+    )
+    others = sets.select(F.col("set_key").alias("b_key"), F.col("hashes").alias("b_hashes"))
+    own = sets.select(F.col("set_key").alias("a_key"), F.col("hashes").alias("a_hashes"))
+    both = keyed.join(others, "b_key").drop("b_key").join(own, "a_key").select(
+        "a", "b", "a_hashes", "b_hashes"
+    )
 
     def linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -715,7 +733,7 @@ def link_counts(
     copies = rows.where("n > 0").groupBy("set_key").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
     )
-    known = labels.join(rows.select("id", "n"), "id").join(copies.select("id", "copies"), "id")
+    known = labels.join(rows.select("id", "n"), "id").join(copies, "id")
     room = known.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     parts = F.ceil(F.greatest(F.col("sets") / LINK_CELL, F.col("grams") / LINK_GRAMS))
     placed = known.join(room.select("label", parts.alias("parts")), "label").withColumn(
@@ -729,13 +747,13 @@ def link_counts(
             "label",
             F.least("cell", "other").alias("x"),
             F.greatest("cell", "other").alias("y"),
-            "id", "copies",
+            "id", "set_key", "copies",
             sides.otherwise(2).alias("sides"),
         ),
         "asked",
     )
     dealt = (
-        asked.join(sets, "id")
+        asked.join(sets.select("set_key", "hashes"), "set_key")
         .select("label", "x", "y", "id", "hashes", "copies", "sides")
         .repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label", "x", "y")
         .sortWithinPartitions("label", "x", "y")

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 
 from plumbline.llm import bpe, class_lm, ngram_join, pii, quality, toxicity
+from plumbline.llm.common import Scratch
 from plumbline.llm.common import held_out
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -353,6 +354,26 @@ def test_join_of_few_rows(documents):
     assert {r.doc_id for r in ngram_join.representatives(docs).collect()} == {3, 9}
 
 
+def test_whole_sets_stay_in_their_buckets(spark, documents):
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (40, 41, 80)]
+    docs = documents([(k, text, "x") for k, text in enumerate(texts)])
+    scratch = Scratch(spark)
+    rows = ngram_join.signed(docs, 3, 90)
+    sets = ngram_join.sets_of(docs, rows, rows.select("id"), 3, scratch)
+    key = spark.sql(f"describe extended {scratch.tables[scratch.held[-1][1]]}").where(
+        "col_name = 'Bucket Columns'"
+    )
+    assert key.first()["data_type"] == "[`set_key`]"
+    ids = [r["id"] for r in rows.orderBy("doc_id").collect()]
+    pairs = scratch.stored(
+        spark.createDataFrame([(ids[0], ids[1]), (ids[0], ids[2])], "a bigint, b bigint"), "pairs"
+    )
+    found = ngram_join.verified(pairs, sets, 90, scratch)
+    assert [tuple(r) for r in found.collect()] == [(ids[0], ids[1])]
+    scratch.release_all_but()
+    assert not scratch.tables
+
+
 def labelled_texts(n, seed):
     chance = random.Random(seed)
     words = [chance.choice("bcdfgl") + chance.choice("aeiou") + chance.choice("mnrst") for _ in range(300)]
