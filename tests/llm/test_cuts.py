@@ -157,6 +157,19 @@ def test_any_pre_token_equals_the_library(library, coder):
         assert coder.encode(text).tolist() == known.ids, text
 
 
+def test_listed_classes_split_like_the_whole_expression():
+    split = backtracking_bpe.Split(backtracking_bpe.unassigned_letters())
+    assert isinstance(split.short, re.Pattern)
+    chance = random.Random(4)
+    pool = [chr(point) for point in range(0x10000) if not 0xD800 <= point < 0xE000]
+    near = " \t\n'sdlrevem a1A.\x1c\x1f\x85\xa0\u3000"
+    texts = ["".join(pool), " ".join(pool)]
+    for _ in range(2000):
+        texts.append("".join(chance.choice(pool if chance.random() < 0.4 else near) for _ in range(30)))
+    for text in texts:
+        assert list(split(text)) == split.exact.findall(text)
+
+
 def test_ids_of_no_text_decode_like_the_library(library):
     table, chance = backtracking_bpe.Offsets(backtracking_bpe.Vocabulary(FILE)), random.Random(6)
     for _ in range(800):
