@@ -45,7 +45,8 @@ class RunOutputs:
         numbers = claims.produced_numbers(
             self.metrics, self.people, self.evidence, self.findings
         )
-        return claims.validate_claims(made, self.references(), numbers, banned)
+        judged = claims.judged_claims(made, self.references(), numbers, banned)
+        return claims.limited(stored(judged, "judged"))
 
 
 def run_outputs(

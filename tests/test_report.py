@@ -172,6 +172,22 @@ def test_claims_are_judged_in_order(spark):
     assert rows_of(accepted, "reference", "item_id") == [("evidence/items/101.json", 101), ("m", None)]
 
 
+def test_a_statement_is_read_before_it_is_laid_out_by_tokens(spark):
+    rows = spark.createDataFrame(
+        [("r", "action", 1, "is idle 1 2 3", ["m"], "ask")],
+        """run_id string, kind string, position int, statement string, references array<string>,
+        condition string""",
+    )
+    wording = spark.createDataFrame([("is idle",)], "pattern string")
+    references = spark.createDataFrame([("r", "m")], "run_id string, reference string")
+    numbers = spark.createDataFrame([("r", "1")], "run_id string, number string")
+    verdicts = claims.validate_claims(rows, references, numbers, wording)
+    plan = verdicts._jdf.queryExecution().optimizedPlan().toString()
+    # A plan's inputs come below it.
+    assert plan.index("Generate") < plan.index("RLIKE")
+    assert [r["reason"] for r in verdicts.collect()] == ["banned_wording"]
+
+
 @pytest.mark.parametrize(
     ("raw", "short"),
     [("10", "10"), ("007", "7"), ("1,50", "1.5"), ("2.000", "2"), ("0.0", "0"), ("0", "0"),
