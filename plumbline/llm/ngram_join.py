@@ -3,7 +3,9 @@
 Equal sets are one set. Sets that link share an n-gram among the first few of each in one
 common order, so these n-grams deal the sets into groups. The order puts n-grams of little
 used slots of a count sketch first, which keeps what many texts share out of the groups;
-any order gives the same result.
+any order gives the same result. Of groups with the same members one is kept, and of its
+members those that the bitmaps let link with another; sets without any such partner, most
+where texts share words by chance, go no further and are not built.
 
 In a group a signature tree is walked against itself. Its leaves are token bitmaps of sets,
 its nodes the OR of what is below, with the range of sizes: a pair of nodes is left as soon
@@ -11,8 +13,9 @@ as the overlap possible at most is less than the least needed. What remains is c
 exactly, by whole sets. Groups of near copies are joined first by links to a few leaders;
 the tree leaves pairs of nodes that are joined already. In its first turns a task also takes
 the labels of a pair that it hands out for joined, so that it hands out a forest of pairs
-and not all pairs of a group; which of them link is found out after it. The last turn hands
-out every pair whose labels still differ, so no link is lost. A large group is cut into
+and not all pairs of a group; which of them link is found out after it. A group that hands
+out no pair has none and is left by the turns after it. The last turn hands out every pair
+whose labels still differ, so no link is lost. A large group is cut into
 cells, and pairs of cells are walked in tasks of their own.
 
 Links are counted inside components, where all of them are: every pair of sets of a
@@ -34,7 +37,7 @@ from itertools import chain, islice, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, batches, stored
@@ -56,6 +59,8 @@ LINK_CELL = 1_024
 LINK_GRAMS = 2_000_000
 #: Pairs that are compared at once.
 LINK_PAIRS = 200_000
+#: Bits a token of the bitmaps that all sets have; those of sets with partners have more.
+BRIEF = 2
 LEAF = 8
 MEMO_WORDS = 1_000_000
 FILTER_BITS = (20, 28)
@@ -185,9 +190,9 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return (np.log2(total.ravel() + 1.0) * (1 << 17)).astype(np.int64)  # below 2**24
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """A token bitmap of at least four bits a token; a power of two, 64 or more."""
-    width = max(64, 1 << int(4 * len(hashes) - 1).bit_length())
+def bitmap(hashes: np.ndarray, room: int = 4) -> bytes:
+    """A token bitmap of at least ``room`` bits a token; a power of two, 64 or more."""
+    width = max(64, 1 << int(room * len(hashes) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -204,7 +209,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Every document with its set's size, key, first n-grams and bitmap; stored."""
+    """Every document with its set's size, key, first n-grams and small bitmap; stored."""
     order = docs.sparkSession.sparkContext.broadcast(sketch(docs))
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -219,7 +224,7 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 shared = n - -(-percent * n // 100) + 1
                 place = ranks.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24)
                 at = np.argpartition(place, shared - 1)[:shared]
-                yield doc_id, n, set_key(hashes), hashes[at].view(np.int64), bitmap(hashes)
+                yield doc_id, n, set_key(hashes), hashes[at].view(np.int64), bitmap(hashes, BRIEF)
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(rows(parts), SIGNED, 1024)
@@ -232,12 +237,81 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
 
 
-def candidates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(token, id) for one row of each set and every first n-gram that two sets share."""
-    one = rows.where("n > 0").groupBy("set_key").agg(F.min("id").alias("id")).select("id")
-    tokens = rows.join(one, "id", "left_semi").select("id", F.explode("first").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    return scratch.stored(tokens.join(shared.select("token"), "token"), "tokens")
+def candidates(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(token, id, sets, grams) for one row of each set and the groups by a shared first n-gram.
+
+    Of groups with the same members one is kept; ``sets`` is how many they are and ``grams``
+    their sizes together. Members that no other is near enough in size to link with are left.
+    """
+    known = rows.where("n > 0").select("set_key", "id")
+    one = known.groupBy("set_key").agg(F.min("id").alias("least"))
+    # Sent to every task only while its written size is small; else both sides are shuffled.
+    again = scratch.stored(known.join(one, "set_key").where("id > least").select("id"), "again")
+    tokens = rows.join(again, "id", "left_anti").select(
+        "id", "n", F.explode("first").alias("token")
+    )
+    # One shuffle serves the groups' sums and the join with them: both read the same columns,
+    # and the filter, which the join would put on its side alone, is on both.
+    spread = tokens.where("token is not null").repartition("token")
+    groups = spread.groupBy("token").agg(
+        F.count("id").alias("sets"),
+        F.sum("n").alias("grams"),
+        F.bit_xor(F.xxhash64("id")).alias("mark"),
+        F.min("id").alias("least"),
+        F.max("id").alias("most"),
+    )
+    kept = groups.where("sets > 1").groupBy("sets", "grams", "mark", "least", "most").agg(
+        F.min("token").alias("token")
+    )
+    by_size = Window.partitionBy("token").orderBy("n")
+    sized = spread.join(kept.select("token", "sets", "grams"), "token").select(
+        "token", "id", "sets", "grams", "n",
+        F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"),
+    )
+    near = sized.where(f"100 * less >= {percent} * n or 100 * n >= {percent} * more")
+    found = scratch.stored(near.select("token", "id", "sets", "grams"), "tokens")
+    scratch.release(again)
+    scratch.clean()
+    return found
+
+
+def with_partners(
+    rows: DataFrame, members: DataFrame, percent: int, scratch: Scratch
+) -> DataFrame:
+    """(token, id) for the members that the bitmaps let link with another of their group.
+
+    Members of a group too large for a cell are kept unseen.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = (F.col("sets") > CELL) | (F.col("grams") > CELL_GRAMS)
+    dealt = (
+        members.where(~large)
+        .join(rows.select("id", "n", "bits"), "id")
+        .select("token", "id", "n", "bits")
+        .repartition(tasks, "token")
+        .sortWithinPartitions("token")
+    )
+    schema = pa.schema([("token", pa.int64()), ("id", pa.int64())])
+
+    def groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        key, held = None, []
+        for part in parts:
+            for token, own, n, bits in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if token != key:
+                    yield from ((key, kept) for kept in partnered(held, percent))
+                    key, held = token, []
+                held.append((own, own, n, bits, 3))
+        yield from ((key, kept) for kept in partnered(held, percent))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches(groups(parts), schema)
+
+    walked = dealt.mapInArrow(run, "token bigint, id bigint")
+    whole = members.where(large).select("token", "id")
+    found = scratch.stored(walked.unionByName(whole), "partners")
+    scratch.release(members)
+    scratch.clean()
+    return found
 
 
 class Filter:
@@ -263,7 +337,7 @@ class Filter:
 def sets_of(
     docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, scratch: Scratch
 ) -> DataFrame:
-    """(id, n, set_key, hashes) of the wanted ids, from the texts of documents that may have them.
+    """(id, n, set_key, hashes, bits) of the wanted ids, from the texts of documents that may have them.
 
     Stored in buckets by key, so that whatever asks for sets is sent to them and they stay.
     """
@@ -272,7 +346,7 @@ def sets_of(
     )
     passing = Filter(keys.select("doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(passing)
-    schema = pa.schema([("set_key", pa.binary()), ("hashes", pa.binary())])
+    schema = pa.schema([("set_key", pa.binary()), ("hashes", pa.binary()), ("bits", pa.binary())])
     places = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << passing.bits)) for k in range(3)]
 
     def some(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,19 +359,21 @@ def sets_of(
         for _, texts in _texts(some(parts)):
             for hashes, _ in ngrams(texts, words, memo):
                 if len(hashes):
-                    yield set_key(hashes), hashes.tobytes()
+                    yield set_key(hashes), hashes.tobytes(), bitmap(hashes)
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(found(parts), schema, 256)
 
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     marked = own.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(places)])
-    texts = marked.mapInArrow(read, "set_key binary, hashes binary")
+    texts = marked.mapInArrow(read, "set_key binary, hashes binary, bits binary")
     # One shuffle by key serves the sum over rows of one set, the join and the buckets.
-    once = texts.groupBy("set_key").agg(F.first("hashes").alias("hashes"))
+    once = texts.groupBy("set_key").agg(
+        F.first("hashes").alias("hashes"), F.first("bits").alias("bits")
+    )
     found_sets = scratch.bucketed(
         once.join(keys.select("set_key", "id", "n"), "set_key").select(
-            "id", "n", "set_key", "hashes"
+            "id", "n", "set_key", "hashes", "bits"
         ),
         "sets",
         "set_key",
@@ -405,7 +481,7 @@ def leader_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
 
 
 def cells(
-    rows: DataFrame, members: DataFrame, labels: DataFrame, scratch: Scratch
+    sets: DataFrame, members: DataFrame, labels: DataFrame, scratch: Scratch
 ) -> tuple[DataFrame, DataFrame]:
     """Open groups cut into cells: their members, and the pairs of cells to walk.
 
@@ -425,7 +501,7 @@ def cells(
     opened = marks.where("low < high").groupBy("sets", "mark", "least", "most").agg(
         F.min("token").alias("token")
     )
-    sized = known.join(opened.select("token"), "token").join(rows.select("id", "n"), "id")
+    sized = known.join(opened.select("token"), "token").join(sets.select("id", "n"), "id")
     inside = scratch.stored(sized.select("token", "id", "label", "n"), "open")
 
     def parts(sets: str, grams: str) -> Column:
@@ -629,6 +705,16 @@ class Sets:
             self.marked = at
 
 
+def partnered(members: list[tuple], percent: int) -> list[int]:
+    """Ids of ``members`` (id, id, n, bits, 3) that the bitmaps let link with another.
+
+    A forest of pairs names each of them: a pair is left out only when pairs handed out
+    before have joined both its ends.
+    """
+    found = {key for pair in pairs_in(members, percent, True) for key in pair}
+    return [member[0] for member in members if member[0] in found]
+
+
 def pairs_in(members: list[tuple], percent: int, forest: bool) -> Iterator[tuple[int, int]]:
     """Pairs to compare among ``members`` (id, label, n, bits, sides), of labels that differ.
 
@@ -672,18 +758,20 @@ def counted(members: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
 
 
 def tree_pairs(
-    rows: DataFrame,
+    sets: DataFrame,
     members: DataFrame,
     labels: DataFrame,
     percent: int,
     forest: bool,
     scratch: Scratch,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """The pairs of sets, not joined yet, that signature trees of their groups leave; stored.
 
-    Of a forest, per pair of cells fewer than it has members.
+    Of a forest, per pair of cells fewer than it has members. Then the members of groups
+    that gave a pair: in all others no pair that may link has two labels. ``members`` is
+    released.
     """
-    placed, walked = cells(rows, members, labels, scratch)
+    placed, walked = cells(sets, members, labels, scratch)
     numbered = walked.withColumn("pair", F.xxhash64("token", "x", "y"))
     both = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("cell"), F.lit(3).alias("sides")))).otherwise(
         F.array(
@@ -695,31 +783,37 @@ def tree_pairs(
         "token", "pair", F.col("side.cell").alias("cell"), F.col("side.sides").alias("sides")
     )
     loaded = sides.join(placed, ["token", "cell"]).select("token", "pair", "sides", "id", "label")
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        loaded.join(rows.select("id", "n", "bits"), "id")
+        loaded.join(sets.select("id", "n", "bits"), "id")
         .select("token", "pair", "sides", "id", "label", "n", "bits")
         .repartition(tasks, "pair", "token")
         .sortWithinPartitions("pair", "token")
     )
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+    def walked_pairs(key: tuple, held: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        return ((key[1], a, b) for a, b in pairs_in(held, percent, forest))
+
+    def groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int]]:
         key, held = None, []
         for part in parts:
             for token, pair, side, *member in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if (pair, token) != key:
-                    yield from pairs_in(held, percent, forest)
+                    yield from walked_pairs(key, held)
                     key, held = (pair, token), []
                 held.append((*member, side))
-        yield from pairs_in(held, percent, forest)
+        yield from walked_pairs(key, held)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(groups(parts), schema)
 
-    pairs = scratch.stored(dealt.mapInArrow(run, "a bigint, b bigint").distinct(), "pairs")
-    scratch.release(placed)
-    return pairs
+    found = scratch.stored(dealt.mapInArrow(run, "token bigint, a bigint, b bigint"), "found")
+    pairs = scratch.stored(found.select("a", "b").distinct(), "pairs")
+    gave = found.select("token").distinct()
+    left = scratch.stored(members.join(gave, "token", "left_semi"), "members")
+    scratch.release(placed, found, members)
+    return pairs, left
 
 
 def link_counts(
@@ -787,7 +881,8 @@ def joined(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The signed rows, the whole sets that may link, and the labels of those that do."""
     rows = signed(docs, words, percent)
-    members = centred(candidates(rows, scratch), scratch)
+    members = with_partners(rows, candidates(rows, percent, scratch), percent, scratch)
+    members = centred(members, scratch)
     sets = sets_of(docs, rows, members.select("id").distinct(), words, scratch)
     none = members.select("id", F.col("id").alias("label")).limit(0)
     labels = scratch.stored(none, "labels")
@@ -798,7 +893,7 @@ def joined(
             break
         labels = relabelled(labels, links, scratch)
     for turn in range(FORESTS + 1):
-        pairs = tree_pairs(rows, members, labels, percent, turn < FORESTS, scratch)
+        pairs, members = tree_pairs(sets, members, labels, percent, turn < FORESTS, scratch)
         if pairs.isEmpty():
             break
         labels = relabelled(labels, verified(pairs, sets, percent, scratch), scratch)

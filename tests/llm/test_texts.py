@@ -374,6 +374,44 @@ def test_whole_sets_stay_in_their_buckets(spark, documents):
     assert not scratch.tables
 
 
+def test_sets_without_a_partner_are_left(spark, documents, monkeypatch):
+    texts = [" ".join(f"{w}{k}" for k in range(n)) for w, n in (("w", 60), ("w", 61), ("v", 60), ("w", 90))]
+    rows = ngram_join.signed(documents([(k, text, "x") for k, text in enumerate(texts)]), 3, 90)
+    ids = [r["id"] for r in rows.orderBy("doc_id").collect()]
+
+    def members(*placed):
+        schema = "token bigint, id bigint, sets bigint, grams bigint"
+        return spark.createDataFrame([(t, ids[k], n, 60 * n) for t, k, n in placed], schema)
+
+    # The three first texts in one group, and the third with the first in another.
+    groups = members((1, 0, 3), (1, 1, 3), (1, 2, 3), (2, 0, 2), (2, 2, 2))
+    scratch = Scratch(spark)
+    found = ngram_join.with_partners(rows, groups, 90, scratch).collect()
+    assert sorted(map(tuple, found)) == sorted([(1, ids[0]), (1, ids[1])])
+    monkeypatch.setattr(ngram_join, "CELL", 2)
+    found = ngram_join.with_partners(rows, groups, 90, scratch).collect()
+    assert sorted(map(tuple, found)) == sorted((1, key) for key in ids[:3])
+    # The last text is too long to link, though it shares its n-grams; groups come once.
+    found = ngram_join.candidates(rows, 90, scratch).collect()
+    assert {r["id"] for r in found} == set(ids[:2])
+    assert len({r["token"] for r in found}) * 2 == len(found) <= 4
+
+
+def test_groups_without_pairs_are_walked_once(spark, documents):
+    texts = [" ".join(f"{w}{k}" for k in range(n)) for w, n in (("w", 60), ("w", 61), ("v", 60))]
+    docs = documents([(k, text, "x") for k, text in enumerate(texts)])
+    scratch = Scratch(spark)
+    rows = ngram_join.signed(docs, 3, 90)
+    ids = [r["id"] for r in rows.orderBy("doc_id").collect()]
+    sets = ngram_join.sets_of(docs, rows, rows.select("id"), 3, scratch)
+    placed = [(1, ids[0]), (1, ids[1]), (2, ids[0]), (2, ids[2])]
+    members = spark.createDataFrame(placed, "token bigint, id bigint")
+    labels = members.selectExpr("id", "id label").limit(0)
+    pairs, left = ngram_join.tree_pairs(sets, members, labels, 90, True, scratch)
+    assert [tuple(r) for r in pairs.collect()] == [tuple(sorted(ids[:2]))]
+    assert sorted(r["id"] for r in left.collect()) == sorted(ids[:2])
+
+
 def labelled_texts(n, seed):
     chance = random.Random(seed)
     words = [chance.choice("bcdfgl") + chance.choice("aeiou") + chance.choice("mnrst") for _ in range(300)]
