@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import batches, shared_path
 
 #: Characters of the texts of a block, but for one longer text.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 8_000_000
 #: Texts beyond this are split match by match, not into a list.
 LONG_TEXT = 2_000_000
 #: Distinct pre-tokens whose ids a task remembers; beyond, it starts anew.
@@ -62,12 +62,15 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+    """The first bytes of all values, then the second ones and so on: high ones are alike."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, size: int, kind: type) -> np.ndarray:
     room = size * np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(data, room, codec="zstd", asbytes=True), kind)
+    planes = np.frombuffer(pa.decompress(data, room, codec="zstd", asbytes=True), np.uint8)
+    return planes.reshape(np.dtype(kind).itemsize, size).T.copy().view(kind).ravel()
 
 
 def packs_of(words: list[str], parts: int) -> list[dict]:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -115,6 +116,16 @@ def test_pii_rows(documents):
     assert pii.redacted("mail a@b.co now") == "mail <email> now"
 
 
+def test_positions_are_packed_by_byte():
+    chance = np.random.default_rng(1)
+    values = (chance.random(200_000) ** 4 * 150_000).astype(np.uint32)
+    plain = pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+    assert len(bpe.packed(values)) < 0.9 * len(plain)
+    for some in (values, values[3:4], values[:0]):
+        assert bpe.unpacked(bpe.packed(some), len(some), np.uint32).tolist() == some.tolist()
+        assert bpe.recounted(bpe.counted(some)).tolist() == some.tolist()
+
+
 def test_bpe_equals_the_library(spark, documents, monkeypatch):
     monkeypatch.setattr(bpe, "LONG_TEXT", 4000)
     ranks = {token: rank for rank, token in enumerate(bpe.read_ranks(RANKS)) if token}
