@@ -16,11 +16,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     an id with very many links is no burden to one task. The result is a table of
     ``scratch``, which the caller releases.
     """
-    both = scratch.stored(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .where("a <> b"),
-        "links",
-    )
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    ends = F.explode(F.array(F.struct("a", "b"), turned)).alias("ends")
+    both = scratch.stored(links.where("a <> b").select(ends).select("ends.*"), "links")
     labels = scratch.stored(
         both.groupBy("a").agg(F.min("b").alias("low")).select(
             F.col("a").alias("id"), F.least("a", "low").alias("label"), F.col("a").alias("was")

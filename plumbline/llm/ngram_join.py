@@ -14,8 +14,8 @@ exactly, by whole sets. Groups of near copies are joined first by links to a few
 the tree leaves pairs of nodes that are joined already. In its first turns a task also takes
 the labels of a pair that it hands out for joined, so that it hands out a forest of pairs
 and not all pairs of a group; which of them link is found out after it. A group that hands
-out no pair has none and is left by the turns after it. The last turn hands out every pair
-whose labels still differ, so no link is lost. A large group is cut into
+out no pair has none and is left by the turns after it. After a forest without a link comes
+the last turn. It hands out every pair whose labels still differ, so no link is lost. A large group is cut into
 cells, and pairs of cells are walked in tasks of their own.
 
 Links are counted inside components, where all of them are: every pair of sets of a
@@ -187,7 +187,10 @@ def sketch(docs: DataFrame) -> np.ndarray:
     total = np.zeros((SKETCH_PARTS, room // 8), np.int64)
     for part, counts in rows:
         total[part] = counts_in(counts)
-    return (np.log2(total.ravel() + 1.0) * (1 << 17)).astype(np.int64)  # below 2**24
+    ranks = total.ravel() + 1.0
+    np.log2(ranks, out=ranks)
+    ranks *= 1 << 17
+    return ranks.astype(np.int32)  # below 2**24
 
 
 def bitmap(hashes: np.ndarray, room: int = 4) -> bytes:
@@ -889,14 +892,26 @@ def joined(
     for turn in range(LEADERS):
         pairs = scratch.stored(leader_pairs(members, labels, turn), "pairs")
         links = verified(pairs, sets, percent, scratch)
-        if turn and links.isEmpty():
+        if not links.isEmpty():
+            labels = relabelled(labels, links, scratch)
+            continue
+        scratch.release(links)
+        if turn:
             break
-        labels = relabelled(labels, links, scratch)
-    for turn in range(FORESTS + 1):
-        pairs, members = tree_pairs(sets, members, labels, percent, turn < FORESTS, scratch)
+    same = False
+    for forest in [True] * FORESTS + [False]:
+        # Without a link the labels stay, and the next forest would be of the same pairs.
+        if forest and same:
+            continue
+        pairs, members = tree_pairs(sets, members, labels, percent, forest, scratch)
         if pairs.isEmpty():
             break
-        labels = relabelled(labels, verified(pairs, sets, percent, scratch), scratch)
+        links = verified(pairs, sets, percent, scratch)
+        same = links.isEmpty()
+        if same:
+            scratch.release(links)
+        else:
+            labels = relabelled(labels, links, scratch)
     scratch.release(members)
     return rows, sets, labels
 

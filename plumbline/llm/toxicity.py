@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import held_out
-from plumbline.llm.learning import sample
+from plumbline.llm.learning import learned, sampled
 
 WORDS = re.compile(r"[^\W\d_]+")
 BROKEN = re.compile(r"[a-z]+(?:[0-9@$*!]+[a-z]+)+")
@@ -326,7 +326,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return Model(*sample(docs, labels, "toxic"))
+    return learned(sampled(docs, labels, "toxic"), Model)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

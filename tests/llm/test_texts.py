@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from plumbline.llm import bpe, class_lm, ngram_join, pii, quality, toxicity
+from plumbline.llm import bpe, class_lm, learning, ngram_join, pii, quality, toxicity
 from plumbline.llm.common import Scratch
 from plumbline.llm.common import held_out
 
@@ -469,3 +469,37 @@ def test_toxic_rows_go_and_columns_stay(spark, documents):
 def test_isotonic_rises():
     knots, levels = toxicity.isotonic(np.array([1.0, 2, 3, 4, 5, 5]), np.array([0.0, 1, 0, 1, 1, 0]))
     assert list(knots) == [1, 3, 5] and np.allclose(levels, [0, 0.5, 2 / 3])
+
+
+def test_toxicity_is_not_learned_in_the_driver(spark, documents, monkeypatch):
+    rows = labelled_texts(300, 5)
+    docs = documents([(i, t, "x") for i, t, _, _ in rows])
+    labels = spark.createDataFrame([(i, t) for i, _, t, _ in rows], "doc_id bigint, toxic int")
+    here = toxicity.Model(*learning.sample(docs, labels, "toxic"))
+
+    def refused(*_):
+        raise AssertionError("learned in the driver")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(toxicity.Model, "__init__", refused)
+        model = toxicity.train(docs, labels)
+    assert model.lexicons.odds == here.lexicons.odds
+    assert model.trees.trees == here.trees.trees
+    assert model.knots.tolist() == here.knots.tolist()
+    assert toxicity.train(docs, labels.limit(0)).share == 0
+
+
+def test_turns_without_a_link_are_not_repeated(documents, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    # Sets of 58 n-grams that share 55: 100 * 55 < 95 * 61, and full bitmaps cannot tell.
+    own = [[f"x{k}{j}" for j in range(3)] for k in range(4)]
+    rows = [(k, " ".join([*words[:57], *own[k]]), "x") for k in range(4)]
+    rows.append((9, " ".join(sum(own, []) * 10), "x"))  # so what they share is rarer
+    turns = []
+    walk, relabel = ngram_join.tree_pairs, ngram_join.relabelled
+    monkeypatch.setattr(ngram_join, "bitmap", lambda hashes, room=4: bytes([255] * 8))
+    monkeypatch.setattr(ngram_join, "tree_pairs", lambda *a: turns.append(a[4]) or walk(*a))
+    monkeypatch.setattr(ngram_join, "relabelled", lambda *a: turns.append("labels") or relabel(*a))
+    found = ngram_join.components_of(documents(rows), 3, 95).collect()
+    assert sorted(map(tuple, found)) == [*[(k, 58, k) for k in range(4)], (9, 12, 9)]
+    assert turns == [True, False]
