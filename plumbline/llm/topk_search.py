@@ -232,6 +232,15 @@ class Block:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
+def _opened(queries: pa.StructArray) -> Iterator[tuple[int, np.ndarray]]:
+    """The id and the components of each query of a pack."""
+    ids, lists = queries.field(0).to_pylist(), queries.field(1)
+    ends = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    for query_id, begin, end in zip(ids, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield query_id, values[begin:end]
+
+
 def _search(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,9 +251,9 @@ def _search(k: int):
                     *[row[n].as_py() for n in ("n_rows", "ids", "lowest", "widths", "slices")]
                 )
                 out = []
-                for query in row["queries"].values.to_pylist():
-                    hits = block.top(query["vec_id"], np.array(query["q"], np.int64), k)
-                    out += [(query["vec_id"], *hit) for hit in hits]
+                for query_id, query in _opened(row["queries"].values):
+                    hits = block.top(query_id, query, k)
+                    out += [(query_id, *hit) for hit in hits]
                 columns = zip(*out, strict=True) if out else ([], [], [])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in columns],
@@ -257,13 +266,23 @@ def _search(k: int):
 def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The k best rows of the index for each row (vec_id, q) of ``queries``.
 
-    Query blocks of a few hundred rows meet every index block by a keyed join.
+    Query packs meet every group of index blocks by a sort-merge join: a pack is repeated for
+    each group, so its size, which the planner knows once only, tells nothing of what a
+    broadcast would hold in the driver. Packs travel in the narrowest numbers that hold them.
     """
     spark = index.sparkSession
     once = stored(queries.groupBy("vec_id").agg(F.min("q").alias("q")), "queries")
-    blocks = max(1, -(-once.count() // QUERY_ROWS))
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2 // blocks)
-    numbered = once.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    largest = F.greatest(F.array_max("q"), -F.array_min("q"))
+    n_queries, most = once.agg(F.count(F.lit(1)), F.coalesce(F.max(largest), F.lit(0))).first()
+    blocks = max(1, -(-n_queries // QUERY_ROWS))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, min(tasks * 2 // blocks, index.count()))
+    narrow = next((t for t, bits in (("smallint", 15), ("int", 31)) if most < 1 << bits), "bigint")
+    numbered = once.select(
+        "vec_id",
+        F.col("q").cast(f"array<{narrow}>").alias("q"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("query_block"),
+    )
     packs = numbered.groupBy("query_block").agg(
         F.collect_list(F.struct("vec_id", "q")).alias("queries")
     )
@@ -272,7 +291,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spread = parts.withColumn(
         "query_block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))
     )
-    pairs = spread.join(dealt, ["query_block", "part"]).drop("query_block", "part", "block")
+    # A pair of blocks is few bytes and much work: tasks are not coalesced by their size.
+    key, tasks = ["query_block", "part"], min(tasks, blocks * groups)
+    pairs = spread.repartition(tasks, *key).join(dealt.repartition(tasks, *key).hint("merge"), key)
+    pairs = pairs.drop(*key, "block")
     hits = pairs.mapInArrow(_search(k), HITS)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -91,6 +91,18 @@ def test_top_k_of_few_and_no_rows(spark):
     assert topk_search.search(topk_search.build_index(none), topk_search.quantised(none)).count() == 0
 
 
+def test_query_packs_are_not_broadcast(spark, monkeypatch):
+    """A pack is repeated for every group of index blocks: the driver must never hold them."""
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 16)
+    rows = [(i, [float(i % 7), float(-i)]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = topk_search.search(topk_search.build_index(frame), topk_search.quantised(frame), 3)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in found.where("query_id % 50 = 0").collect()} == brute_top(rows, 3)
+
+
 def level_targets(sizes):
     """The contract's sharing, turn by turn."""
     weights = dict(zip(sizes, [(5, 2, 1)[k % 3] for k in range(len(sizes))], strict=True))
