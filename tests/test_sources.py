@@ -2,6 +2,7 @@
 
 import json
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -313,3 +314,26 @@ def test_landed_fields_are_parsed_once_a_record(spark, tmp_path):
     assert plan.count(parses) <= 2  # lines and files
     assert rows_of(found, "landed", "record_id", "title") == [
         ("file", "40", "X"), ("file", "42", "X"), ("line", "11", "part 2")]
+
+
+def test_landed_lines_take_a_fraction_of_their_text(spark, tmp_path):
+    """The landed copy is compressed: its plain text is many times the tables it comes from."""
+    from plumbline.session import shared_folder
+    from workload.registry import callables
+
+    folder = str(tmp_path)
+    spark.sql("""select id as l_orderkey, 2L as l_partkey, 3L as l_suppkey, 1 as l_linenumber,
+        5d as l_quantity, 9d as l_extendedprice, 0.1d as l_discount,
+        if(id % 2 = 0, 0.06d, 0d) as l_tax, 'N' as l_returnflag, 'F' as l_linestatus,
+        timestamp_ntz'1998-01-05 00:00:00' as l_shipdate from range(2000)""").write.parquet(
+        f"{folder}/lineitem.parquet")
+    spark.sql("select 3L as s_suppkey, 4 as s_nationkey").write.parquet(f"{folder}/supplier.parquet")
+    spark.sql("select 4 as n_nationkey, 'X' as n_name").write.parquet(f"{folder}/nation.parquet")
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(shared.rglob("lines/**/part-*"))
+    found = callables()["read_landed_payloads"](spark, folder)
+    landed_files = set(shared.rglob("lines/**/part-*")) - before
+    assert sum(f.stat().st_size for f in landed_files) < 100 * 2000  # plain: 300 a line and more
+    lines = found.where("landed = 'line'")
+    assert lines.where("reason = 'not_json' and record_id is not null").count() == 1000
+    assert lines.where("title = 'part 2'").select("record_id").distinct().count() == 1000

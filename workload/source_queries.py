@@ -58,7 +58,9 @@ def read_landed_payloads(t: Tables):
     cut_off = F.expr("substr(payload, 1, length(payload) - 1)")
     t.item_payloads.withColumn(
         "payload", F.when(F.col("tax") == 0.06, cut_off).otherwise(F.col("payload"))
-    ).select("team_id", "payload").write.partitionBy("team_id").text(f"{root}/lines")
+    ).select("team_id", "payload").write.partitionBy("team_id").text(
+        f"{root}/lines", compression="gzip"  # a twelfth of the plain text; many files, not split
+    )
     document = """{{ "value": [\n  {{"id": "{0}0", "System.Title": "{1}"}},\n  "note",\n
       {{"id": "{0}2", "System.Title": "{1}"}}\n] }}"""
     team = F.col("n_nationkey").cast("string")
