@@ -209,3 +209,70 @@ def test_pages_table(spark):
     assert (5, "T5\n\np5\n\nq", 13) in found and (50, "", 0) in found and (51, "x", 1) in found
     assert (52, "L\n\nlong l", 200_002) in found
     assert hw.extract(frame.limit(0)).count() == 0
+
+
+def test_every_page_of_a_host_is_inferred_from(spark):
+    """However many, long or odd: a shape that one page of many has is in the wrapper."""
+    rows = [(k, "http://h.example/", page(f"T{k}", ["x"] * (k % 5 + 1))) for k in range(80)]
+    odd = page("T", ["a"]).replace("<p>a", "<table><tr><td>c</table><dl><dt>d</dl><p>a")
+    rows.append((80, "http://h.example/", odd))
+    rows.append((81, "http://h.example/", page("L", ["long " * 40_000]).replace("<h1>", "<h2>")))
+    many = "".join(random.Random(k).choice(("<p>w</p>", "<h3>h</h3>")) for k in range(1_200))
+    rows.append((82, "http://h.example/", page("M", ["m"]).replace("<p>m", many + "<p>m")))
+    rows.append((83, "http://h.example/", "<body><div>plain</div></body>"))
+    rows.append((84, "http://long.example/", page("L", ["long " * 40_000])))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r.host: json.loads(r.wrapper) for r in hw.wrappers(pages).collect()}
+    assert found["long.example"]["items"] and found["h.example"]["root"] == "article"
+    known = {host: hw.Extractor(json.dumps(wrapper)) for host, wrapper in found.items()}
+    for _, url, source in rows:
+        assert known[url.split("/")[2]].known.match(hw.Page(source)) is not None
+    texts = {r.page_id: r.text for r in hw.extract(pages).collect()}
+    assert texts[80] == "T\n\nc\n\nd\n\na" and texts[7] == "T7\n\nx\n\nx\n\nx"
+    assert texts[83] == "plain" and texts[81].endswith("long") and texts[82].count("w") > 400
+    assert texts[82].startswith("M\n\n") and texts[82].endswith("m")
+
+
+def test_wrappers_cover_each_other_whatever_grows():
+    chance = random.Random(13)
+    tokens = ["<a>", "<b>", "<c>", "</b>", "#"]
+    for most in (6, 12, 600):
+        for _ in range(150):
+            shapes = [chance.choices(tokens, k=chance.randint(1, 9)) for _ in range(6)]
+            whole = hw.Inference()
+            for own in (shapes[:3], shapes[3:]):
+                part = hw.Inference()
+                for shape in own:
+                    part.add_shape(hw.folded(list(shape)))
+                found = part.found()
+                if most < 600:
+                    found["items"] = hw.widened(found["items"])
+                whole.add(json.loads(json.dumps(found)))
+            if most == 6:
+                whole.items = hw.widened(whole.items)
+            wrapper = hw.Wrapper(whole.items, "")
+            assert all(wrapper.automaton.match(shape) is not None for shape in shapes)
+
+
+def test_names_that_each_page_makes_up_do_not_widen_a_wrapper():
+    sources = [
+        page(f"T{k}", ["a", "b"]).replace("<article>", f"<article id=post-{k}>").replace(
+            "<footer>", f"<div id=end-{k}>more</div><footer>")
+        for k in range(800)
+    ]
+    begun = time.process_time()
+    found = hw.inferred(sources)
+    assert time.process_time() - begun < 60
+    assert hw.places_of(found["items"]) <= hw.WIDEST and found["root"] == "article"
+    known = hw.Extractor(json.dumps(found))
+    for source in (sources[3], sources[799], page("N", ["a", "b"])):
+        assert known.text(source).split("\n\n")[1:] == ["a", "b"]
+    new = sources[3].replace("post-3", "post-x").replace("end-3", "end-x")
+    assert all(known.known.match(hw.Page(s)) is not None for s in (sources[3], sources[799], new))
+
+
+def test_pages_without_an_article_beside_others():
+    plain = "<body><div>Logo</div><div>{}</div><div>All rights</div></body>"
+    mixed = [plain.format(t) for t in ("one", "two")]
+    mixed.append("<body><div>Logo</div><article>three</article><div>All rights</div></body>")
+    assert [text(mixed, source) for source in mixed] == ["one", "two", "three"]
