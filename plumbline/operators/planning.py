@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,11 @@ STORY_TYPES = ("Product Backlog Item", "User Story")
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule: its defaults and, given its settings column, when it fires for an item."""
+    """A rule: its defaults and, given its settings column, when it fires for an item.
+
+    A rule that needs the children states in ``asks`` what it asks of the item beforehand.
+    What it fires by are then the summary of the children and the target date alone.
+    """
 
     rule_id: str
     enabled: bool
@@ -30,6 +35,7 @@ class Rule:
     fires: Callable[[Column], Column]
     needs: str | None = None
     version: str = "1.0"
+    asks: Callable[[Column], Column] | None = None
 
 
 def _missing_fields(rule: Column) -> Column:
@@ -59,6 +65,7 @@ RULES: dict[str, Rule] = {
             "parent_ends_before_children", True, "attention",
             lambda rule: F.col("last_child_target") > F.col("target_date"),
             needs="children",
+            asks=lambda rule: F.col("target_date").isNotNull(),
         ),
         Rule(
             "open_work_in_closed_sprint", True, "attention",
@@ -72,10 +79,10 @@ RULES: dict[str, Rule] = {
         ),
         Rule(
             "story_without_task", False, "info",
-            lambda rule: (F.col("accounting_level") == v.LEAF_TASK)
-            & F.col("item_type").isin(*STORY_TYPES)
-            & ~F.col("has_child"),
+            lambda rule: ~F.col("has_child"),
             needs="children",
+            asks=lambda rule: (F.col("accounting_level") == v.LEAF_TASK)
+            & F.col("item_type").isin(*STORY_TYPES),
         ),
         Rule(
             "missing_estimate", False, "info",
@@ -159,7 +166,8 @@ def children_summary(items: DataFrame, relations: DataFrame) -> DataFrame:
         F.col("target_date").alias("child_target"),
     )
     targets = items.select(F.inline(F.array(target))).where("child_target is not null")
-    edges = relations.select("organization", "parent_id", "child_id", "relation").distinct()
+    # An edge that comes twice changes neither a maximum nor that there is a child.
+    edges = relations.select("organization", "parent_id", "child_id", "relation")
     return (
         edges.join(targets, ["child_id", "organization"], "left")
         .groupBy(F.col("parent_id").alias("item_id"), "organization")
@@ -211,6 +219,9 @@ def evaluate_planning(
     ``closed_iterations`` is (team_id, iteration_path). ``only`` narrows the registry;
     what none of its rules needs is not joined. Teams and their closed iterations are tables
     that fit a task: they go to the items, which are not dealt by team.
+
+    An item meets its children with what is left of it: the rules that fired or still may, as
+    the bits of a number, and its target date. Its other columns are not shuffled for that.
     """
     evaluated = [RULES[rule_id] for rule_id in only] if only is not None else list(RULES.values())
     needed = {rule.needs for rule in evaluated}
@@ -236,13 +247,7 @@ def evaluate_planning(
         for c in (F.lit(f.name), F.col(f.name).cast("string"))
     ]
     no = F.lit(False)
-    joined = items
-    if "children" in needed:
-        joined = joined.join(
-            children_summary(items, relations), ["item_id", "organization"], "left"
-        ).withColumn("has_child", F.coalesce("has_child", no))
-    # After the shuffle by item: the settings of all rules are wider than an item.
-    joined = attach(joined, team, "team_id", "inner", bounded=True)
+    joined = attach(items, team, "team_id", "inner", bounded=True)
     if "closed_iterations" in needed:
         closed = closed_iterations.select(
             "team_id", "iteration_path", F.lit(True).alias("iteration_closed")
@@ -254,10 +259,13 @@ def evaluate_planning(
         # After the joins, so that the texts of all columns do not travel beside the columns.
         joined = joined.withColumn("item_values", F.create_map(*values))
 
-    def finding(rule: Rule) -> Column:
+    def fires(rule: Rule, condition: Callable[[Column], Column]) -> Column:
         own = F.col(_column(rule))
         excepted = F.array_contains(own["exceptions"], F.col("item_id").cast("string"))
-        fired = own.isNotNull() & ~excepted & rule.fires(own)
+        return own.isNotNull() & ~excepted & condition(own)
+
+    def finding(rule: Rule, fired: Column) -> Column:
+        own = F.col(_column(rule))
         return F.when(
             fired,
             F.struct(
@@ -267,7 +275,29 @@ def evaluate_planning(
             ),
         )
 
-    found = F.array_compact(F.array(*[finding(rule) for rule in evaluated]))
+    if "children" in needed:
+        bits = [
+            F.when(fires(rule, rule.asks or rule.fires), F.lit(1 << at)).otherwise(F.lit(0))
+            for at, rule in enumerate(evaluated)
+        ]
+        narrow = joined.select(
+            "team_id", "organization", "item_id", "target_date",
+            reduce(Column.bitwiseOR, bits).alias("__rules"),
+        ).where(F.col("__rules") != 0)
+        joined = narrow.join(
+            children_summary(items, relations), ["item_id", "organization"], "left"
+        ).withColumn("has_child", F.coalesce("has_child", no))
+        # Once more the rules' settings, which are one row per team.
+        joined = attach(joined, per_team, "team_id", "inner", bounded=True)
+
+        def fired(at: int, rule: Rule) -> Column:
+            bit = F.col("__rules").bitwiseAND(F.lit(1 << at)) != 0
+            return bit & rule.fires(F.col(_column(rule))) if rule.asks else bit
+
+        findings = [finding(rule, fired(at, rule)) for at, rule in enumerate(evaluated)]
+    else:
+        findings = [finding(rule, fires(rule, rule.fires)) for rule in evaluated]
+    found = F.array_compact(F.array(*findings))
     return joined.select("team_id", "organization", "item_id", F.inline(found)).select(
         "team_id",
         "organization",

@@ -124,3 +124,38 @@ def test_items_are_not_dealt_by_team(spark):
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(team_id" in line]
     assert "item_id" in plan and "SortMergeJoin" not in plan.split("Scan")[0]
     assert "BroadcastHashJoin" in plan.split("Scan")[0] and dealt
+
+
+def test_items_meet_their_children_without_their_texts(spark):
+    """Only what the rules on children read is shuffled by item, and every edge once."""
+    team = settings_frame(spark, {})
+    every = [("t", rule, True, "high", 0, []) for rule in planning.RULES]
+    rules = planning.effective_rules(team, spark.createDataFrame(every, OVERRIDE))
+    today = spark.createDataFrame([("t", on("2026-09-15"))], "team_id string, today date")
+    shut = spark.createDataFrame([("t", "S0")], "team_id string, iteration_path string")
+    items = items_frame(spark, [
+        {"item_id": 1, "item_type": "User Story", "target_date": on("2026-09-20"), "title": "x"},
+        {"item_id": 2, "target_date": on("2026-09-21"), "area_path": "other", "remaining": 1},
+        {"item_id": 3, "item_type": "User Story", "remaining": 1, "iteration_path": "S0"},
+    ])
+    relations = spark.createDataFrame(
+        [("org", 1, 2, "hierarchy")] * 2,
+        "organization string, parent_id bigint, child_id bigint, relation string",
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = planning.evaluate_planning(items, relations, team, rules, today, shut)
+        plan = found._jdf.queryExecution().executedPlan()
+        plan = plan.toString().split("== Initial Plan ==")[-1].splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_item = [k for k, line in enumerate(plan) if "Exchange hashpartitioning(item_id" in line]
+    fed = [plan[k + 1] for k in by_item]
+    assert by_item and not any("area_path#" in line.split("AS")[-1] for line in fed)
+    assert not any("Exchange hashpartitioning" in line and "parent_id" in line and "child_id" in line
+                   for line in plan)
+    assert [f for (f,) in rows_of(found, "finding_id")] == [
+        "area_or_iteration_mismatch:2", "missing_estimate:1", "open_work_in_closed_sprint:3",
+        "parent_ends_before_children:1", "story_without_task:3",
+    ]

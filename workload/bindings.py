@@ -423,10 +423,22 @@ class Tables:
             "organization", "item_id", "team_id", "item_type", "state_category", "assigned_to",
             "remaining", "start_date", "target_date", "area_path", "iteration_path",
         ]
+        # What is constant or told by the arrival is put back after it was shuffled.
+        told = ("item_type", "assigned_to", "remaining_unit", "blocked", "target_date")
+        arrived = deduplicate_items(self.raw_children.drop(*told), self.ARRIVAL).withColumns(
+            {
+                "parent_id": F.col("item_id") - F.pmod("item_id", F.lit(10)),
+                "target_date": F.col("l_shipdate").cast("date"),
+            }
+        )
+        children = attach(arrived.join(orders, "parent_id", "left"), regions, "team_id")
         children = (
-            attach(self.children, regions, "team_id")
-            .withColumn("parent_id", F.col("item_id") - F.pmod("item_id", F.lit(10)))
-            .join(orders, "parent_id", "left")
+            children.withColumns(
+                {
+                    "item_type": F.lit("Task"),
+                    "assigned_to": F.col("l_suppkey").cast("string"),
+                }
+            )
             .withColumns(
                 {
                     "area_path": F.concat_ws(
